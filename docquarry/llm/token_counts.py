@@ -12,6 +12,7 @@ columns are neither read nor returned.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -80,11 +81,17 @@ class PieceCounter:
         return [sum(map(get, parts)) for parts in split]
 
 
+@functools.lru_cache(maxsize=2)
+def counter_of(path: str) -> PieceCounter:
+    """A worker keeps the lengths it knows from one task to the next."""
+    return PieceCounter(path)
+
+
 def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", doc_id: str = "doc_id", limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row; ``path`` names the model's file on the executors."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(path or common.tokenizer_path(MODEL))
+        counter = counter_of(path or common.tokenizer_path(MODEL))
         for batch in batches:
             sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).cast(pa.int64())
             n = pa.array(counter.counts(batch.column(1).to_pylist()), pa.int64())
