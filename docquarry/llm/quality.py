@@ -155,7 +155,7 @@ def with_score(docs: DataFrame, weights: np.ndarray, text: str = "text", name: s
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; ids whose crc32 is a multiple of 5 don't train."""
-    held = lambda c: common.crc_mod(c, 5) == 0
+    held = lambda c: F.coalesce(common.crc_mod(c, 5) == 0, F.lit(False))
     weights = train(docs, labels, held)
     rows = docs.select("doc_id", F.col("text").alias(common.TEXT))
     scored = with_score(rows, weights, common.TEXT)
