@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language_id, quality, secrets, telephony, token_counts
+from . import bpe, decontaminate, language_id, pii, quality, secrets, telephony, token_counts
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.report(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_personal_data": op2_personal_data,
     "op3_language_id": op3_language_id,
     "op5_decontaminate": op5_decontaminate,
     "op7_telephony": op7_telephony,
