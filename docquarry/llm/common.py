@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -24,19 +25,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` cut off from its lineage by a reliable checkpoint.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``, which all executors share;
-    only where that is unset (tests on one machine) a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one the cluster names in ``spark.checkpoint.dir``, which all executors share;
+    only where that is unset (tests on one machine) a temporary one is made."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="docquarry-checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` cut off from its lineage by a reliable checkpoint; for narrow rows, as these aren't compressed."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` cut off from its lineage by a compressed table in the same shared folder."""
+    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def byte_list(column: pa.Array) -> list[bytes | None]:
     """A string column's values as UTF-8 bytes, without a detour over str."""
     return column.cast(pa.binary()).to_pylist()
