@@ -1 +1 @@
-"""Fielded search, layered tables and time-indexed text on Spark DataFrames."""
+"""Fielded search and time-indexed document analytics as Spark DataFrame plans."""
