@@ -42,7 +42,7 @@ def test_cut_shift_renumber_search(spark):
     made = spark.createDataFrame([("f", 1000, 2000, "b <i>the</i>"), ("f", 0, 500, "the a"), ("f", 1000, 1500, "c")], "file string, start_ms long, end_ms long, text string")
     assert [r.text for r in cues.cut(made, starts_after=500, ends_before=2000).collect()] == ["c"]
     assert cues.cut(made, starts_before=0).count() == 3
-    assert sorted(r.start_ms for r in cues.shift(made, ratio=0.5005, seconds=1).collect()) == [1000, 1501, 1501]
+    assert sorted(r.start_ms for r in cues.shift(made, ratio=0.0625, seconds=1).collect()) == [1000, 1063, 1063]
     assert {r.text: r["index"] for r in cues.renumber(made, "file").collect()} == {"the a": 1, "c": 2, "b <i>the</i>": 3}
     hits = {r.seek_ms: r.shown for r in cues.search(made, "the", lead_ms=300).collect()}
     assert hits == {0: "the a", 700: "b [I]the[/I]"}
