@@ -27,9 +27,11 @@ from . import common
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words and pairs that a task remembers.
-REMEMBERED_WORDS, REMEMBERED_PAIRS, LONGEST_KEPT = 1_000_000, 2_000_000, 48
-#: From this many bytes on a word is merged with a heap.
-HEAP_FROM = 48
+REMEMBERED_WORDS, REMEMBERED_PAIRS, LONGEST_KEPT = 500_000, 1_000_000, 48
+#: From this many bytes on a word is merged with a heap; so many shorter words at a time take their steps together.
+HEAP_FROM, MERGED_TOGETHER = 48, 4_000
+#: Stands between words, as no byte does.
+SEPARATOR = "\u0100"
 #: Stands for a pair that never merges.
 NEVER = 1 << 62
 
@@ -47,8 +49,40 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class IntTable:
+    """A hash table from whole numbers to whole numbers, asked for many at a time."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, absent: int):
+        self.bits = max(4, int(2 * len(keys) + 1).bit_length() + 1)
+        self.keys, self.values, self.absent = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64), absent
+        slot = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
+            left = np.ones(len(keys), bool)
+            left[put] = False
+            keys, values, slot = keys[left], values[left], (slot[left] + 1) & (1 << self.bits) - 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, asked: np.ndarray) -> np.ndarray:
+        out = np.full(len(asked), self.absent, np.int64)
+        at, slot = np.arange(len(asked)), self._slot(asked)
+        while len(at):
+            there = self.keys[slot]
+            same = there == asked[at]
+            out[at[same]] = self.values[slot[same]]
+            more = ~same & (there >= 0)
+            at, slot = at[more], (slot[more] + 1) & (1 << self.bits) - 1
+        return out
+
+
 class BytePairEncoder:
     def __init__(self, path: str):
+        import ahocorasick
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -65,9 +99,14 @@ class BytePairEncoder:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[ids[a] * self.size + ids[b]] = rank << 20 | ids[a + b]
         self.table = [self.bytes_of.get(i, b"") for i in range(self.size)]
-        self.longest: dict[bytes, int] = {}  # of the tokens that begin with two given bytes
-        for token in self.id_of:
-            self.longest[token[:2]] = max(len(token), self.longest.get(token[:2], 0))
+        self.step_table = IntTable(np.fromiter(self.merges, np.int64, len(self.merges)), np.fromiter(self.merges.values(), np.int64, len(self.merges)), NEVER)
+        self.letter_ids = np.array([self.id_of.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self.token_sizes = np.array([*map(len, self.table)], np.int64)
+        self.table_bytes, self.table_starts = np.frombuffer(b"".join(self.table), np.uint8), np.cumsum(self.token_sizes) - self.token_sizes
+        self.greedy = ahocorasick.Automaton()
+        for token, i in self.id_of.items():
+            self.greedy.add_word(token.decode("latin-1"), i)
+        self.greedy.make_automaton()
         self.words = regex.compile(PATTERN).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.known: dict[str, bytes] = {}  # ids of words, and of stretches
@@ -81,20 +120,62 @@ class BytePairEncoder:
     def merge(self, word: bytes) -> list[int]:
         """Tokens of a word: the lowest-ranked adjacent pair merges first, the leftmost of equals."""
         parts = [self.id_of[word[i : i + 1]] for i in range(len(word))]
-        return self._merge_heap(parts) if len(parts) >= HEAP_FROM else self._merge_scan(parts)
-
-    def _merge_scan(self, parts: list[int]) -> list[int]:
-        get, size = self.merges.get, self.size
-        steps = [get(a * size + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]  # rank and new token, as one number
-        while steps and (first := min(steps)) != NEVER:
-            i = steps.index(first)
-            parts[i : i + 2] = [first & 0xFFFFF]
-            del steps[i]
-            if i:
-                steps[i - 1] = get(parts[i - 1] * size + parts[i], NEVER)
-            if i < len(steps):
-                steps[i] = get(parts[i] * size + parts[i + 1], NEVER)
-        return parts
+        return self._merge_heap(parts)
+
+    def merge_all(self, words: list[bytes]) -> list[list[int]]:
+        """Tokens of many words: those of similar lengths take their merging steps together, as rows of a matrix."""
+        out: list[list[int]] = [[]] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        at = 0
+        while at < len(order):
+            longest = len(words[order[min(at + MERGED_TOGETHER, len(order)) - 1]])
+            if longest >= HEAP_FROM:
+                out[order[at]] = self.merge(words[order[at]])
+                at += 1
+                continue
+            own = order[at : at + MERGED_TOGETHER]
+            for i, tokens in zip(own, self._merge_rows([words[i] for i in own], longest), strict=True):
+                out[i] = tokens
+            at += len(own)
+        return out
+
+    def _merge_rows(self, words: list[bytes], width: int) -> list[list[int]]:
+        if width == 0:
+            return [[] for _ in words]
+        letters = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        parts = np.full((len(words), width + 1), -1, np.int64)  # the last column stays empty
+        parts[:, :width] = np.where(np.arange(width) < sizes[:, None], self.letter_ids[letters], -1)
+        steps = np.full(parts.shape, NEVER, np.int64)
+        steps[:, :-1] = self.steps_of(parts[:, :-1], parts[:, 1:])
+        rows, columns = np.arange(len(words)), np.arange(width)
+        done = np.full((len(words), width), -1, np.int64)
+        while len(rows):
+            i = steps.argmin(axis=1)
+            best = steps[np.arange(len(rows)), i]
+            ended = best == NEVER
+            if ended.any():
+                done[rows[ended]] = parts[ended, :-1]
+                rows, parts, steps, i, best = rows[~ended], parts[~ended], steps[~ended], i[~ended], best[~ended]
+            own = np.arange(len(rows))
+            moved = columns + (columns > i[:, None])
+            parts[own, i] = best & 0xFFFFF
+            parts[:, :-1] = np.take_along_axis(parts, moved, axis=1)
+            steps[:, :-1] = np.take_along_axis(steps, moved, axis=1)
+            steps[own, i] = self.steps_of(parts[own, i], parts[own, i + 1])
+            inner = i > 0
+            before = i[inner] - 1
+            steps[own[inner], before] = self.steps_of(parts[own[inner], before], parts[own[inner], before + 1])
+        counts = (done >= 0).sum(axis=1)
+        flat = done[done >= 0].tolist()
+        ends = np.cumsum(counts).tolist()
+        return [flat[e - n : e] for e, n in zip(ends, counts.tolist(), strict=True)]
+
+    def steps_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank and new token of each pair, as one number; NEVER for pairs that don't merge."""
+        asked = left * self.size + right
+        out = self.step_table.get(np.where((left < 0) | (right < 0), -2, asked).ravel())
+        return out.reshape(asked.shape)
 
     def _merge_heap(self, parts: list[int]) -> list[int]:
         get, size, n = self.merges.get, self.size, len(parts)
@@ -117,16 +198,16 @@ class BytePairEncoder:
 
     # -- speculation ---------------------------------------------------------------------------------------
 
-    def propose(self, word: bytes) -> list[int]:
-        """Greedy longest match."""
-        out, i, n, id_of = [], 0, len(word), self.id_of
-        while i < n:
-            for j in range(min(n, i + self.longest.get(word[i : i + 2], 1)), i, -1):
-                if (found := id_of.get(word[i:j])) is not None:
-                    out.append(found)
-                    i = j
-                    break
-        return out
+    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest matches of all words one after the other, and how many each word has."""
+        joined = SEPARATOR.join(w.decode("latin-1") for w in words)
+        found = np.array([*self.greedy.iter_long(joined)], np.int64).reshape(-1, 2)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes + 1) - 1  # of the separators
+        owner = np.searchsorted(ends, found[:, 0])
+        if int(self.token_sizes[found[:, 1]].sum()) != int(sizes.sum()):
+            raise ValueError("the vocabulary lacks some bytes")
+        return found[:, 1], np.bincount(owner, minlength=len(words))
 
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """For each adjacent pair, whether merging the bytes of both gives both back."""
@@ -140,8 +221,9 @@ class BytePairEncoder:
         answers[seen] = self.valid[at[seen]]
         if not seen.all():
             new = keys[~seen]
-            for k, (a, b) in zip(np.flatnonzero(~seen), zip((new // self.size).tolist(), (new % self.size).tolist(), strict=True), strict=True):
-                answers[k] = self.merge(self.table[a] + self.table[b]) == [a, b]
+            both = [*zip((new // self.size).tolist(), (new % self.size).tolist(), strict=True)]
+            merged = self.merge_all([self.table[a] + self.table[b] for a, b in both])
+            answers[~seen] = [m == [*pair] for m, pair in zip(merged, both, strict=True)]
             if len(self.pairs) > REMEMBERED_PAIRS:
                 self.pairs, self.valid = np.empty(0, np.int64), np.empty(0, bool)
                 self.pairs, self.valid = keys, answers
@@ -159,20 +241,21 @@ class BytePairEncoder:
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """Little-endian ids of words, each as bytes."""
         raw = [w.encode() for w in words]
-        tokens = [self.propose(w) for w in raw]
-        counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        flat = np.fromiter((t for ts in tokens for t in ts), np.int64, int(counts.sum()))
+        flat, counts = self.propose(raw)
         ends = np.cumsum(counts)
         adjacent = np.ones(max(0, len(flat) - 1), bool)
         adjacent[ends[:-1] - 1] = False  # the last token of a word and the first of the next
         left = np.flatnonzero(adjacent)
         bad = left[~self.compatible(flat[left], flat[left + 1])] if len(left) else left
         failing = set(np.searchsorted(ends, bad, side="right").tolist())
-        failing.update(i for i in np.flatnonzero(counts == 1).tolist() if not self.stands_alone(tokens[i][0]))
-        for i in failing:
-            tokens[i] = self.merge(raw[i])
+        failing.update(i for i in np.flatnonzero(counts == 1).tolist() if not self.stands_alone(int(flat[ends[i] - 1])))
+        ids = flat.astype("<u4").tobytes()
+        out = {w: ids[4 * (e - n) : 4 * e] for w, e, n in zip(words, ends.tolist(), counts.tolist(), strict=True)}
+        wrong = [*failing]
+        for i, tokens in zip(wrong, self.merge_all([raw[i] for i in wrong]), strict=True):
+            out[words[i]] = np.asarray(tokens, "<u4").tobytes()
         self.merged += len(failing)
-        return {w: np.asarray(t, "<u4").tobytes() for w, t in zip(words, tokens, strict=True)}
+        return out
 
     def pieces(self, text: str) -> list[str]:
         """Words, and special strings as they stand in the text."""
@@ -211,7 +294,14 @@ class BytePairEncoder:
         return [b"".join([*map(get, split), *map(at, rest)]) for split, rest in plan]
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        tokens = np.frombuffer(ids, "<u4")
+        if not len(tokens):
+            return ""
+        sizes = self.token_sizes[tokens]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.table_starts[tokens] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return self.table_bytes[at].tobytes().decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=2)
@@ -247,6 +337,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return common.map_slices(encoded.select(*names), "ids", run, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, and the SHA-256 of ids and decoded text."""
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+def digests(decoded: DataFrame, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, and the SHA-256 of ids and decoded text; with the ids if asked for."""
+    ids = ["ids"] if with_ids else []
+    return decoded.select("doc_id", "n_tokens", *ids, F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
