@@ -119,18 +119,21 @@ def train(docs: DataFrame, labels: DataFrame, holds_out=None, label: str = "qual
     share = min(1.0, max_rows / max(1, n))
     chosen = usable.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias(common.TEXT)).where(F.col(common.TEXT).isNotNull()).join(F.broadcast(chosen), "__id")
-    dealt = rows.repartition(SHARDS, "__id").sortWithinPartitions(F.xxhash64("__id"), "__id", "__label")
+    # the shard is part of a row, so the model is the same for any number of partitions
+    shard = F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(SHARDS)).cast("int").alias("__shard")
+    dealt = rows.select(common.TEXT, "__label", shard, "__id").repartition("__shard").sortWithinPartitions("__shard", F.xxhash64("__id"), "__id", "__label")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = []
+        shards: dict[int, list] = {}
         for batch in batches:
             hashed, counts = features([t or b"" for t in common.byte_list(batch.column(0))])
             parts = np.split(hashed, np.cumsum(counts)[:-1])
-            examples += [_example(p, y) for p, y in zip(parts, batch.column(1).to_pylist(), strict=True)]
-        if examples:
+            for p, y, k in zip(parts, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                shards.setdefault(k, []).append(_example(p, y))
+        for examples in shards.values():
             yield pa.RecordBatch.from_pydict({"n": [len(examples)], "weights": [ftrl(examples).astype("<f8").tobytes()]})
 
-    found = common.map_slices(dealt.select(common.TEXT, "__label"), common.TEXT, learn, "n long, weights binary").collect()
+    found = common.map_slices(dealt.select(common.TEXT, "__label", "__shard"), common.TEXT, learn, "n long, weights binary").collect()
     if not found:
         return np.zeros((1 << BITS) + 1)
     return np.average([np.frombuffer(bytes(r.weights), "<f8") for r in found], axis=0, weights=[r.n for r in found])
