@@ -337,7 +337,22 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return common.map_slices(encoded.select(*names), "ids", run, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
-def digests(decoded: DataFrame, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, and the SHA-256 of ids and decoded text; with the ids if asked for."""
-    ids = ["ids"] if with_ids else []
-    return decoded.select("doc_id", "n_tokens", *ids, F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+def round_trip(docs: DataFrame, path: str | None = None, with_ids: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_tokens, the SHA-256 of the ids and of the text decoded from them, and the ids if asked for.
+
+    The same as encode() and then decode(), but neither ids nor decoded texts leave the task for it.
+    """
+    schema = "doc_id long, n_tokens long, " + "ids binary, " * with_ids + "ids_sha256 string, decoded_sha256 string"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(path or common.tokenizer_path(VOCABULARY))
+        for batch in batches:
+            ids = encoder.encode(batch.column(1).to_pylist())
+            shown = [common.sha256(encoder.decode(b).encode()) for b in ids]
+            columns = [pa.array([len(b) // 4 for b in ids], pa.int64()), *[pa.array(ids, pa.binary())] * with_ids]
+            columns += [pa.array(list(map(common.sha256, ids)), pa.string()), pa.array(shown, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias(common.TEXT))
+    return common.map_slices(rows, common.TEXT, run, schema)

@@ -58,8 +58,7 @@ def train(docs: DataFrame, holds_out=None, text: str = "text", lang: str = "lang
     by_lang = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top_words = words.withColumn("k", F.row_number().over(by_lang)).where(F.col("k") <= MAX_WORDS).drop("k")
     ends = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    places = F.sequence(F.lit(1), F.length(ends))
-    of = [F.transform(places, lambda i, k=k: F.substring(ends, i, F.lit(k))) for k in range(1, LONGEST_GRAM + 1)]
+    of = [F.regexp_extract_all(ends, F.lit(f"(?=(.{{{k}}}))"), 1) for k in range(1, LONGEST_GRAM + 1)]  # a word may be very long
     grams = words.select("lang", "n", F.explode(F.filter(F.flatten(F.array(*of)), lambda g: ~g.isin("^", "$"))).alias("word"))
     grams = grams.groupBy("lang", F.length("word").alias("size"), "word").agg(F.sum("n").alias("n"))
     by_size = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "word")

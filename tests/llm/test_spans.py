@@ -1,0 +1,89 @@
+"""Operators 1 and 2: base spans by the patterns themselves, and what the methods add."""
+
+import hashlib
+import re
+from collections import Counter
+
+from docquarry.llm import pii, secrets
+
+ASSIGN = re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def secret_spans(t):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[1]) >= 12]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+    return sorted(found)
+
+
+def personal_spans(t):
+    def luhn(d):
+        return sum(int(c) if k % 2 == 0 else sum(map(int, str(2 * int(c)))) for k, c in enumerate(reversed(d))) % 10 == 0
+
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([ -]?[0-9])+", t) if 12 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    found += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][ ().0-9-]+[0-9]", t) if 9 <= len(digits(m)) <= 15]
+    return sorted(found)
+
+
+def held(rows, texts, spans_of, kinds, columns):
+    wanted = Counter()
+    for i, t in texts:
+        spans = spans_of(t or "")
+        shown = ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans)
+        wanted[i, hashlib.sha256(shown.encode()).hexdigest(), *(sum(k == c for _, k, _ in spans) for c in range(len(columns)))] += 1
+    assert Counter((r.doc_id, r.base_sha256, *(r[c] for c in columns)) for r in rows) == wanted
+
+
+def pairs(df):
+    return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+
+
+def light(df):
+    """Without the one text whose plain patterns take quadratic time."""
+    return df.where("doc_id IS NULL OR doc_id NOT IN (11, 17)")
+
+
+def test_secrets_base(edge, small):
+    for df in (light(edge), small):
+        held(secrets.report(df).collect(), pairs(df), secret_spans, secrets.KINDS, ["n_assign", "n_access", "n_hex"])
+
+
+def test_secrets_long_and_empty(edge, none):
+    assert secrets.report(none).count() == 0
+    rows = {r.doc_id: r for r in secrets.report(edge.where("doc_id IN (11, 17)")).collect()}
+    assert rows[11].n_hex == 1 and rows[17].n_hex == 1
+
+
+def test_secrets_finds_noise_and_not_names(spark):
+    import random
+
+    rnd = random.Random(1)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    made = [(k, "see " + "".join(rnd.choice(letters) for _ in range(40)) + " now") for k in range(60)]
+    named = [(100 + k, f"see some_long_function_name_for_reading_part{k}_of_file{k} or internationalization{k}abcabcabc") for k in range(60)]
+    rows = secrets.report(spark.createDataFrame(made + named, "doc_id long, text string")).collect()
+    hits = {r.doc_id for r in rows if r.n_random}
+    assert len([h for h in hits if h < 100]) >= 54 and not [h for h in hits if h >= 100]
+
+
+def test_personal_base(edge, small):
+    for df in (light(edge), small):
+        held(pii.report(df).collect(), pairs(df), personal_spans, pii.KINDS, ["n_email", "n_ip", "n_card", "n_phone"])
+
+
+def test_personal_long_and_empty(edge, none):
+    assert pii.report(none).count() == 0
+    assert pii.report(edge).count() == edge.count()
+
+
+def test_bootstrap_finds_unseen_identifiers(spark):
+    sure = [(k, f"Please contact agent user{k}@mail{k}.example for help with item {k}.") for k in range(30)]
+    unseen = [(100 + k, f"Please contact agent user{k}(at)mail for help with item.") for k in range(5)]
+    plain = [(200 + k, f"There were {k + 10}th editions of volume v{k} in total") for k in range(30)]
+    rows = {r.doc_id: r for r in pii.report(spark.createDataFrame(sure + unseen + plain, "doc_id long, text string")).collect()}
+    assert all(rows[100 + k].n_context for k in range(5))
+    assert not any(rows[200 + k].n_context for k in range(30))
+    assert all("email:" in rows[k].spans for k in range(30))
