@@ -43,6 +43,8 @@ SHORT_LIST = 32
 BLOCK_CLASSES = 400
 #: How much a probe of a long list costs, compared with a step of the heap (the method's own constant).
 PROBE_COST = 0.0085
+#: Short lists with so many entries in all are merged by sorting them as one array, not by a heap.
+MERGED_AS_ARRAY = 500
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -190,9 +192,13 @@ class Index:
         longest = int(lengths[there[-1]])
         aside = min(least - 1, int(least / (PROBE_COST * math.log2(longest + 1) + 1)))
         short, long = there[: len(there) - aside], query[there[len(there) - aside :]]
-        heap = heapq.merge(*(self.owner[a:b].tolist() for a, b in zip(lists[0][short].tolist(), lists[1][short].tolist(), strict=True)))
+        merged = [self.owner[a:b] for a, b in zip(lists[0][short].tolist(), lists[1][short].tolist(), strict=True)]
+        if int(lengths[short].sum()) < MERGED_AS_ARRAY:
+            counts = _run_lengths(heapq.merge(*(m.tolist() for m in merged)))
+        else:
+            counts = zip(*(x.tolist() for x in np.unique(np.concatenate(merged), return_counts=True)), strict=True)
         out = []
-        for found, n in _run_lengths(heap):
+        for found, n in counts:
             if n < least - aside:
                 continue
             own = self.sets[found]
@@ -219,13 +225,14 @@ def _run_lengths(numbers: Iterator[int]) -> Iterator[tuple[int, int]]:
         yield last, n
 
 
-def search_candidates(docs: DataFrame, pairs: DataFrame, size: int, percent: int, text: str, doc_id: str) -> DataFrame:
-    """a and b of the links among candidate pairs (query, member), and of others that the search comes upon."""
-    members = pairs.select(F.col("member").alias("id")).distinct()
-    blocks = max(1, members.count() // BLOCK_CLASSES)
-    block = lambda c: F.pmod(F.xxhash64(c, F.lit(7)), F.lit(blocks)).cast("int").alias("block")
-    asked = pairs.select(F.col("query").alias("id"), block("member"), F.lit(True).alias("asks")).distinct()
-    needed = asked.unionByName(members.select("id", block("id"), F.lit(False).alias("asks")))
+def block_of(column: str, blocks: int):
+    return F.pmod(F.xxhash64(column, F.lit(7)), F.lit(blocks)).cast("int").alias("block")
+
+
+def search_blocks(docs: DataFrame, members: DataFrame, asked: DataFrame, blocks: int, size: int, percent: int, text: str, doc_id: str) -> DataFrame:
+    """a and b of the links between classes and the members of the blocks where they are asked for (id, block)."""
+    asked = asked.select("id", "block", F.lit(True).alias("asks"))
+    needed = asked.unionByName(members.select("id", block_of("id", blocks), F.lit(False).alias("asks")))
     sets = sets_of(docs, needed.select("id").distinct(), size, text, doc_id)
     dealt = needed.join(sets, "id").repartition("block").sortWithinPartitions("block", "asks")
 
@@ -270,13 +277,21 @@ def groups_of(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def _fits(a: str, b: str, percent: int):
-    """Whether the shared shingle of two postings lets their sets be similar: sizes, places, shorter list prefix."""
-    na, nb, pa_, pb = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.place"), F.col(f"{b}.place")
-    need = F.ceil(percent * (na + nb) / F.lit(float(100 + percent)) - 1e-9)
-    small, place = F.least(na, nb), F.when(na <= nb, pa_).otherwise(pb)
-    rest = 1 + F.least(na - pa_ - 1, nb - pb - 1)
-    return (small * 100 >= F.greatest(na, nb) * percent) & (rest >= need) & ((na == nb) | (place <= small - F.ceil(2 * percent * small / F.lit(float(100 + percent)) - 1e-9)))
+def _needed(na, nb, percent: int):
+    """``least_overlap`` as a column."""
+    return F.floor((percent * (na + nb) + 99 + percent) / F.lit(100 + percent))
+
+
+def _beyond(n, percent: int):
+    """How many shingles of a set are not among its first ones."""
+    return F.floor((percent * n + 99) / F.lit(100)) - 1
+
+
+def _fits(percent: int):
+    """Whether two postings of one shingle, x and y, let their sets be similar, by sizes and places."""
+    na, nb, at, bt = F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place")
+    most = F.least(at, bt) + 1 + F.least(na - at - 1, nb - bt - 1)
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (most >= _needed(na, nb, percent))
 
 
 def components(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -290,26 +305,36 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "t
     postings = common.written(postings.join(lists, "shingle"))
     short, long = postings.where(F.col("length") <= SHORT_LIST), postings.where(F.col("length") > SHORT_LIST)
 
-    fits = _fits("x", "y", percent)
+    fits = _fits(percent)
     same = F.col("x.shingle") == F.col("y.shingle")
     pair = [F.col("x.id").alias("query"), F.col("y.id").alias("member")]
     x, y = short.alias("x"), short.alias("y")
-    near = x.join(y, same & (F.col("x.id") < F.col("y.id")) & fits).select(*pair)
+    # of the shingles that similar sets share, only so many can stand beyond the first ones of both
+    na, nb = F.col("x.n"), F.col("y.n")
+    among_first = _needed(na, nb, percent) - F.greatest(_beyond(na, percent), _beyond(nb, percent))
+    met = x.join(y, same & (F.col("x.id") < F.col("y.id")) & fits).select(*pair, among_first.alias("least"))
+    near = met.groupBy("query", "member", "least").agg(F.count("*").alias("n")).where("n >= least").select("query", "member")
     leaders = long.where("id = low OR id = high")
     star = leaders.alias("x").join(long.alias("y"), same & (F.col("x.id") != F.col("y.id")) & fits).select(*pair)
     first = common.written(near.unionByName(star).distinct())
-    links = common.settled(search_candidates(docs, first, size, percent, text, doc_id))
+    members = first.select(F.col("member").alias("id")).distinct()
+    blocks = max(1, members.count() // BLOCK_CLASSES)
+    asked = first.select(F.col("query").alias("id"), block_of("member", blocks)).distinct()
+    links = common.settled(search_blocks(docs, members, asked, blocks, size, percent, text, doc_id))
     labels = groups_of(links)
 
     named = long.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     named = common.written(named)
     mixed = named.groupBy("shingle").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other")
     main = named.where("id = low").select("shingle", F.col("label").alias("main"))
-    rest = named.join(mixed.select("shingle"), "shingle").join(main, "shingle")
-    apart = rest.where("label <> main").alias("x").join(named.alias("y"), same & (F.col("x.label") != F.col("y.label")) & fits).select(*pair)
-    second = common.written(apart.distinct().join(first, ["query", "member"], "left_anti"))
-    if not second.isEmpty():
-        more = search_candidates(docs, second, size, percent, text, doc_id)
+    rest = common.written(named.join(mixed.select("shingle"), "shingle").join(main, "shingle"))
+    members = rest.select("id").distinct()
+    blocks = max(1, members.count() // BLOCK_CLASSES)
+    if not rest.isEmpty():  # a query meets blocks, not members, so no list makes pairs of all its classes
+        places = rest.groupBy("shingle", block_of("id", blocks)).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+        reach = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
+        asked = rest.where("label <> main").select("shingle", "id", "n").join(places, "shingle").where(reach).select("id", "block").distinct()
+        more = search_blocks(docs, members, asked, blocks, size, percent, text, doc_id)
         labels = groups_of(links.unionByName(more).distinct())
     named_classes = classes.select("set_hash", "id").join(labels, "id", "left").select("set_hash", F.coalesce("label", "id").alias("label"))
     found = own.select("id", "n", "set_hash").join(named_classes, "set_hash", "left")
