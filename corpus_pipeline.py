@@ -37,7 +37,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of every document, and digests of them and of the text that they decode to."""
-    return bpe.digests(bpe.decode(bpe.encode(docs)), with_ids=True)
+    return bpe.round_trip(docs, with_ids=True)
 
 
 STAGES = [
