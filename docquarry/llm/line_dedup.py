@@ -3,7 +3,8 @@
 A text is cut into lines; a line of LONG_LINE bytes and more is folded after its sentences, whose ends make
 lines of their own, and nothing is chunked across its edges. A rolling hash over the hashes of two neighbouring
 lines chooses where a chunk ends, so boundaries move with the content and equal passages fall into equal chunks
-wherever they stand. A chunk is two lines or more (or one long line without sentences), and MIN_BYTES or more.
+wherever they stand. A chunk is two lines or more (or one long line without sentences), and MIN_BYTES or more; a
+long line that would have a smaller part stays one chunk.
 
 Chunks that occur more than once are found by hash over the whole corpus. Then the bytes of every such chunk are
 compared with those of the occurrence that stays (in the document with the smallest id), and equal ones are
@@ -75,8 +76,14 @@ class Chunks:
         cut[:-1] &= ~last[1:]
         ends = np.flatnonzero(cut | last)
         begins = np.concatenate([[0], ends[:-1] + 1])
-        size = end[ends] - start[begins]
-        keep = (size >= MIN_BYTES) & ((ends > begins) | (size >= LONG_LINE))
+        qualify = lambda size: (size >= MIN_BYTES) & ((ends > begins) | (size >= LONG_LINE))
+        # a long line with a part that is too small stays whole
+        own = line[begins]
+        whole = np.zeros(len(lines), bool)
+        whole[own[long[own] & ~qualify(end[ends] - start[begins])]] = True
+        joined = (own[1:] == own[:-1]) & whole[own[1:]]
+        begins, ends = begins[np.append(True, ~joined)], ends[np.append(~joined, True)]
+        keep = qualify(end[ends] - start[begins])
         begins, ends = begins[keep], ends[keep]
         self.owner = owner[begins]
         base = starts_of[self.owner]
