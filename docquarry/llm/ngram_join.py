@@ -40,7 +40,7 @@ BLOCK = 1024
 #: Lists up to this length are joined with themselves.
 SHORT_LIST = 32
 #: Classes in a block of the search.
-BLOCK_CLASSES = 400
+BLOCK_CLASSES = 100
 #: How much a probe of a long list costs, compared with a step of the heap (the method's own constant).
 PROBE_COST = 0.0085
 #: Short lists with so many entries in all are merged by sorting them as one array, not by a heap.
@@ -260,21 +260,23 @@ def search_blocks(docs: DataFrame, members: DataFrame, asked: DataFrame, blocks:
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every a hangs on one b, and no b hangs on anything."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("hangs")).unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("hangs")))
+    return ends.groupBy("v").agg(F.sum("hangs").alias("s"), F.count("*").alias("n")).where("s > 1 OR s = 1 AND n > 1").isEmpty()
+
+
 def groups_of(links: DataFrame) -> DataFrame:
-    """id and label (the smallest id of its group) of everything that is linked: large and small stars by turns."""
-    edges = common.settled(links.select("a", "b"))  # a > b
-    seen = None
-    while True:
+    """id and label (the smallest id of its group) of everything but the smallest ids: large and small stars by turns."""
+    edges = links.select("a", "b")  # a > b
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = common.settled(hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == seen:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
-        seen = now
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
 
 
 def _needed(na, nb, percent: int):
@@ -335,7 +337,8 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "t
         reach = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
         asked = rest.where("label <> main").select("shingle", "id", "n").join(places, "shingle").where(reach).select("id", "block").distinct()
         more = search_blocks(docs, members, asked, blocks, size, percent, text, doc_id)
-        labels = groups_of(links.unionByName(more).distinct())
+        old = labels.select(F.col("id").alias("a"), F.col("label").alias("b"))
+        labels = groups_of(common.settled(old.unionByName(more).distinct()))
     named_classes = classes.select("set_hash", "id").join(labels, "id", "left").select("set_hash", F.coalesce("label", "id").alias("label"))
     found = own.select("id", "n", "set_hash").join(named_classes, "set_hash", "left")
     return found.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("label", "id")).alias("component"))
