@@ -226,28 +226,39 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> I
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with n_words, hits (merged [start, end) word spans) and items (sorted ids of items with occurring windows)."""
-    spark: SparkSession = docs.sparkSession
-    fields = ["n_words", "hits", "items"]
-    out = docs
-    for k, block in enumerate(blocks(benchmark, item_id, item_text, block_words)):
-        sent = spark.sparkContext.broadcast(block)
-        found = _match(out, sent, window, text, f"__{k}" if k else "")
-        if k:
-            both = F.concat("hits", f"hits__{k}")
-            found = found.withColumn("hits", both).withColumn("items", F.array_sort(F.array_distinct(F.concat("items", f"items__{k}"))))
-            found = found.drop(*(f"{x}__{k}" for x in fields))
-        out = found
-    return out
+    return _over_blocks(docs, benchmark, window, text, item_id, item_text, block_words, None)
+
+
+def _over_blocks(docs: DataFrame, benchmark: DataFrame, window: int, text: str, item_id: str, item_text: str, block_words: int, most: float | None) -> DataFrame:
+    """A pass for each block. What a pass found is written before the next, so that no task holds two automata."""
+    width = len(docs.columns)
+    coming = blocks(benchmark, item_id, item_text, block_words)
+    block = next(coming)
+    while block is not None:
+        after = next(coming, None)
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        docs = _match(docs, sent, window, text, width, most if after is None else None)
+        docs, block = docs if after is None else common.written(docs), after
+    return docs
 
 
 #: The automaton that a worker holds, by the mark of its block.
 _ready: dict[str, Block] = {}
 
+#: A word as the matcher counts them, for finding its characters again.
+WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
 
-def _match(docs: DataFrame, sent, window: int, text: str, mark: str) -> DataFrame:
-    schema = T.StructType([*docs.schema]).add(f"n_words{mark}", "long").add(f"hits{mark}", SPANS).add(f"items{mark}", T.ArrayType(T.StringType()))
+def _match(docs: DataFrame, sent, window: int, text: str, width: int, most: float | None) -> DataFrame:
+    """The first ``width`` columns of ``docs``, with n_words, hits and items after a block more; or, given the
+    largest share of hit words that is let through, those columns alone with hit spans cut from the texts."""
+    schema = T.StructType(docs.schema.fields[:width])
+    found_names = ["n_words", "hits", "items"]
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    names = [f"n_words{mark}", f"hits{mark}", f"items{mark}"]
+    again = len(docs.columns) > width
+    at = docs.columns.index(text)
+    if most is None:
+        schema = schema.add("n_words", "long").add("hits", SPANS).add("items", T.ArrayType(T.StringType()))
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,19 +269,45 @@ def _match(docs: DataFrame, sent, window: int, text: str, mark: str) -> DataFram
         block = _ready[key]
         labels = [i for i, _ in items]
         for batch in batches:
+            texts = common.byte_list(batch.column(at))
             n, hits, found = [], [], []
-            for raw in common.byte_list(batch.column(batch.schema.get_field_index(text))):
+            for raw in texts:
                 words = words_of(raw)
                 spans, which = block.match(words) if words else ([], set())
                 n.append(len(words))
-                hits.append([{"start": a, "end": b} for a, b in spans])
-                found.append(sorted({labels[i] for i in which if labels[i] is not None}))
-            columns = [*batch.columns, pa.array(n, pa.int64()), pa.array(hits, spans_type), pa.array(found, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *names])
+                hits.append(spans)
+                found.append({labels[i] for i in which if labels[i] is not None})
+            if again:
+                old = zip(batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist(), strict=True)
+                for i, (spans, ids) in enumerate(old):
+                    hits[i] = merged(hits[i] + [(h["start"], h["end"]) for h in spans])
+                    found[i].update(ids)
+            columns = [*batch.columns[:width]]
+            if most is None:
+                shown = [[{"start": a, "end": b} for a, b in spans] for spans in hits]
+                more = [pa.array(n, pa.int64()), pa.array(shown, spans_type), pa.array(list(map(sorted, found)), pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*columns, *more], [*batch.schema.names[:width], *found_names])
+                continue
+            keep = [sum(b - a for a, b in spans) <= most * k for spans, k in zip(hits, n, strict=True)]
+            for i, spans in enumerate(hits):
+                if spans and keep[i]:
+                    texts[i] = _without(texts[i], spans)
+            columns[at] = pa.array([t if t is None else t.decode() for t in texts], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, schema.names).filter(pa.array(keep, pa.bool_()))
 
     return common.map_slices(docs, text, run, schema)
 
 
+def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without spans of words, each from its first word's first byte to its last word's last."""
+    places = [m.span() for m in WORD.finditer(text)]
+    last, parts = 0, []
+    for a, b in spans:
+        parts.append(text[last : places[a][0]])
+        last = places[b - 1][1]
+    return b"".join([*parts, text[last:]])
+
+
 def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row."""
     found = find_hits(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias(common.TEXT)), benchmark, text=common.TEXT)
@@ -293,38 +330,12 @@ def _covered(hits: str):
     return F.aggregate(F.array_sort(F.col(hits)), zero, step, lambda acc: acc["n"])
 
 
-#: A word as the matcher counts them, for finding its characters again.
-WORD = rb"[0-9A-Za-z\x80-\xff]+"
-
-
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, text: str = "text") -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without the hit spans of their texts; documents hit in more than ``max_coverage`` of their words go.
 
     A span is removed from its first word's first byte to its last word's last byte. Clean rows come back as they are.
     """
-    columns = docs.columns
-    found = find_hits(docs.withColumnsRenamed({c: f"__{i}" for i, c in enumerate(columns)}), benchmark, window, text=f"__{columns.index(text)}")
-    covered = _covered("hits")
-    kept = found.where((F.size("hits") == 0) | (covered <= F.lit(max_coverage) * F.col("n_words")))
-    at = columns.index(text)
-    types = docs.schema
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = re.compile(WORD)
-        for batch in batches:
-            hits = batch.column(batch.num_columns - 1).to_pylist()
-            texts = common.byte_list(batch.column(at))
-            for i, spans in enumerate(hits):
-                if spans:
-                    places = [m.span() for m in word.finditer(texts[i])]
-                    last, parts = 0, []
-                    for a, b in merged([(s["start"], s["end"]) for s in spans]):
-                        parts.append(texts[i][last : places[a][0]])
-                        last = places[b - 1][1]
-                    texts[i] = b"".join([*parts, texts[i][last:]])
-            columns_ = [*batch.columns[: len(columns)]]
-            columns_[at] = pa.array([t if t is None else t.decode() for t in texts], pa.string())
-            yield pa.RecordBatch.from_arrays(columns_, columns)
-
-    rows = kept.select(*(F.col(f"__{i}") for i in range(len(columns))), "hits")
-    return common.map_slices(rows, f"__{at}", cut, types)
+    names = docs.columns
+    rows = docs.withColumnsRenamed({c: f"__{i}" for i, c in enumerate(names)})
+    cut = _over_blocks(rows, benchmark, window, f"__{names.index(text)}", "item_id", "text", block_words, max_coverage)
+    return cut.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(names)))

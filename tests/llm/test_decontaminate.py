@@ -72,7 +72,8 @@ def test_edges(spark, edge, none):
     assert decontaminate.report(none, b).count() == 0
     clean = decontaminate.report(edge, b.limit(0))
     assert clean.where("contaminated").count() == 0 and clean.count() == edge.count()
-    cut = decontaminate.remove_spans(edge, b)
+    cut, in_blocks = decontaminate.remove_spans(edge, b), decontaminate.remove_spans(edge, b, block_words=1)
+    assert Counter(cut.select("doc_id", "text").collect()) == Counter(in_blocks.select("doc_id", "text").collect())
     assert cut.columns == edge.columns
     texts = {r.doc_id: r.text for r in cut.collect()}
     assert 8 not in texts and texts[5] == dict(pairs)[5] and 1 in texts and 2 in texts
