@@ -24,3 +24,18 @@ def parent(path: Column, mark: str = THREAD_MARK) -> Column:
 def rendered_key(*parts: Column, mark: str = "|") -> Column:
     """Key parts as one id; the mark is doubled inside parts, so different keys never look the same."""
     return F.concat_ws(mark + ":", *(F.replace(p.cast("string"), F.lit(mark), F.lit(mark + mark)) for p in parts))
+
+
+def _shaped(hexadecimal: Column, version: int) -> Column:
+    """32 hex digits as a UUID of a version."""
+    part = lambda at, n: F.substring(hexadecimal, at, n)
+    variant = F.lower(F.hex(F.conv(part(17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit(str(version)), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))
+
+
+def name_uuid(namespace: str, name: Column, version: int = 5) -> Column:
+    """The UUID of a name in a namespace (a UUID): version 3 by MD5, 5 by SHA-1; random ones are ``F.uuid()``."""
+    if version not in (3, 5):
+        raise ValueError("names have UUIDs of versions 3 and 5")
+    data = F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8"))
+    return _shaped(F.md5(data) if version == 3 else F.sha1(data), version)

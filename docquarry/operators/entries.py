@@ -24,7 +24,7 @@ def to_entries(df: DataFrame, id_col: str, attrs: list[str] | None = None) -> Da
         many = isinstance(kind, T.ArrayType)
         inner = kind.elementType if many else kind
         number = isinstance(inner, T.NumericType)
-        values = F.col(a) if many else F.array(F.col(a))
+        values = F.coalesce(F.col(a), F.array().cast(kind)) if many else F.array(F.col(a))
         fields.append(F.transform(F.array_distinct(values), _value(a, number)))
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.explode(F.flatten(F.array(*fields))).alias("v"))
     return rows.select("id", "v.*").where("sval IS NOT NULL OR nval IS NOT NULL")
@@ -94,3 +94,11 @@ def ids_with(index: DataFrame, query: str) -> DataFrame:
     """Ids that have, for every token of the query, a word beginning with it: the filter reaches the scan."""
     each = [index.where(F.startswith("word", F.lit(t))).select("id").distinct() for t in words.query_tokens(query)]
     return reduce(lambda a, b: a.join(b, "id", "left_semi"), each)
+
+
+def index_rows(entries: DataFrame, ids: DataFrame) -> DataFrame:
+    """The index rows that some entries make: (kind, attr, key, id), for looking into what is indexed."""
+    own = entries.join(ids.select(F.col(ids.columns[0]).cast("string").alias("id")).distinct(), "id", "left_semi")
+    by_value = own.select(F.lit("value").alias("kind"), "attr", as_text(own).alias("key"), "id")
+    by_word = attr_words(own).select(F.lit("word").alias("kind"), "attr", F.col("word").alias("key"), "id")
+    return by_value.unionByName(by_word)

@@ -74,3 +74,10 @@ def but_not(wanted: list[Column], unwanted: list[Column]) -> Column:
     if not wanted:
         raise ValueError("a negation needs a positive test beside it")
     return reduce(Column.__and__, [*wanted, *(~u for u in unwanted)])
+
+
+def relaxed(df: DataFrame, attr: str, value: str | None = None, low: str | None = None, query: list[str] | None = None) -> Column:
+    """A wider test, for suggestions: a match or a range becomes a prefix, words near each other become the last one."""
+    if query:
+        return word(attr, query[-1])
+    return prefix(df, attr, value if value is not None else low or "")

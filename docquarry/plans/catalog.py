@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cues as times
-from ..functions import ids, values
+from ..functions import ids, sql, values
 from ..functions import text as words
 from ..operators import cues, entries, filters, layers, results, setops, tables, threads
 from ..sources import entry_xml, subtitles
@@ -174,6 +174,24 @@ def index_word_search(spark, d):
     return entries.ids_with(entries.word_index(table(spark, d, "documents"), "doc_id", ["text"]), "ther and")
 
 
+@_query(ORACLES["bool_nested"])
+def sql_nested(spark, d):
+    sql.register(spark)
+    return spark.sql("SELECT doc_id FROM {docs} WHERE (has_word(text, 'ther') OR lang = 'fr') AND NOT source = 'src1'", docs=table(spark, d, "documents"))
+
+
+@_query(ORACLES["near_two_words"])
+def sql_near(spark, d):
+    sql.register(spark)
+    return spark.sql("SELECT doc_id FROM {docs} WHERE has_near(text, 'ther', 'and', 2)", docs=table(spark, d, "documents"))
+
+
+@_query("SELECT p_partkey FROM part WHERE starts_with(p_name, 'red b')")
+def relaxed_match(spark, d):
+    parts = table(spark, d, "part")
+    return parts.where(filters.relaxed(parts, "p_name", value="red b")).select("p_partkey")
+
+
 # -- entries and indexes -----------------------------------------------------------------------------------
 
 
@@ -213,6 +231,13 @@ def attr_word_index(spark, d):
     return entries.attr_words(entries.to_entries(table(spark, d, "part"), "p_partkey", ["p_name", "p_type"])).groupBy("attr", "word").agg(F.count("*").alias("n"))
 
 
+@_query(f"""SELECT 'value' AS kind, 'p_name' AS attr, p_name AS key, CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_size = 11
+UNION ALL SELECT DISTINCT 'word', 'p_name', k, id FROM (SELECT CAST(p_partkey AS VARCHAR) AS id, unnest({_tok('p_name')}) AS k FROM part WHERE p_size = 11) WHERE length(k) > 2""")
+def index_rows(spark, d):
+    parts = table(spark, d, "part")
+    return entries.index_rows(entries.to_entries(parts, "p_partkey", ["p_name"]), parts.where("p_size = 11").select("p_partkey"))
+
+
 @_query("""SELECT id, attr, sval FROM (SELECT CAST(doc_id AS VARCHAR) AS id, 'lang' AS attr, lang AS sval FROM documents
 UNION SELECT CAST(doc_id AS VARCHAR), 'lang', CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END FROM labels WHERE quality IS NOT NULL)""")
 def additive_upsert(spark, d):

@@ -49,3 +49,12 @@ def write(cues: DataFrame, path: str, eol: str = "\n") -> None:
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "start_ms", "end_ms", "text"))), lambda c: block(c["index"], c["start_ms"], c["end_ms"], c["text"])), "\n")
     files = cues.groupBy("file").agg(F.replace(body, F.lit("\n"), F.lit(eol)).alias("value"))
     files.write.partitionBy("file").option("lineSep", eol).text(path)
+
+
+def load_new(spark: SparkSession, path: str, known: DataFrame | None = None, encoding: str = "UTF-8") -> DataFrame:
+    """Cues of the files whose content isn't among ``known`` fingerprints, with the fingerprint of their file."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.md5("content").alias("fingerprint"), F.decode("content", encoding).alias("content"))
+    if known is not None:
+        files = files.join(known.select("fingerprint").distinct(), "fingerprint", "left_anti")
+    prints = files.select("file", "fingerprint")
+    return cues_of(files.select("file", "content")).join(prints, "file")

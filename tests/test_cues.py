@@ -46,3 +46,12 @@ def test_cut_shift_renumber_search(spark):
     assert {r.text: r["index"] for r in cues.renumber(made, "file").collect()} == {"the a": 1, "c": 2, "b <i>the</i>": 3}
     hits = {r.seek_ms: r.shown for r in cues.search(made, "the", lead_ms=300).collect()}
     assert hits == {0: "the a", 700: "b [I]the[/I]"}
+
+
+def test_known_files_are_not_loaded_again(spark, tmp_path):
+    for name, text in (("a.srt", "one"), ("b.srt", "two")):
+        (tmp_path / name).write_text(f"1\n00:00:00,000 --> 00:00:01,000\n{text}\n")
+    first = subtitles.load_new(spark, str(tmp_path / "a.srt"))
+    assert [r.text for r in first.collect()] == ["one"]
+    again = subtitles.load_new(spark, str(tmp_path), first)
+    assert [r.text for r in again.collect()] == ["two"]

@@ -1,3 +1,5 @@
+import sys
+
 
 
 def test_flagship_runs(spark):

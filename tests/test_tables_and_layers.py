@@ -130,3 +130,23 @@ def test_tagged_values(spark):
     v = F.struct(F.col("f").alias("flag"), F.col("t").alias("text"))
     assert [r[0] for r in df.select(values.searchable(v, F.lit("body"))).collect()] == ["body", "", "", "plain <"]
     assert [r[0] for r in df.select(values.shown(v, F.lit("<body>"))).collect()] == ["&lt;body&gt;", '<a href="u">u</a>', '<img src="u">', "plain &lt;"]
+
+
+def test_name_uuids(spark):
+    import uuid
+
+    names = ["", "python.org", "ä日", "x" * 300]
+    df = spark.createDataFrame([(n,) for n in names], "n string").coalesce(1)
+    for version, make in ((3, uuid.uuid3), (5, uuid.uuid5)):
+        got = [r[0] for r in df.select(ids.name_uuid(str(uuid.NAMESPACE_DNS), F.col("n"), version)).collect()]
+        assert got == [str(make(uuid.NAMESPACE_DNS, n)) for n in names]
+    with pytest.raises(ValueError):
+        ids.name_uuid(str(uuid.NAMESPACE_DNS), F.col("n"), 4)
+
+
+def test_sql_functions(spark):
+    from docquarry.functions import sql
+
+    assert "has_word" in sql.register(spark)
+    row = spark.sql(r"SELECT cue_time('01:02:03,004'), cue_text(3723004), cue_time('x'), thread_ancestors('b\\a\\r'), word_tokens('The End'), has_near('a the b end', 'the', 'end', 1), has_near('the b b end', 'the', 'end', 1), has_word(null, 'a')").first()
+    assert tuple(row) == (3_723_004, "01:02:03,004", None, ["b\\a\\r", "a\\r", "r"], ["the", "end"], True, False, False)
