@@ -4,7 +4,8 @@ A text is cut into lines; a line of LONG_LINE bytes and more is folded after its
 lines of their own, and nothing is chunked across its edges. A rolling hash over the hashes of two neighbouring
 lines chooses where a chunk ends, so boundaries move with the content and equal passages fall into equal chunks
 wherever they stand. A chunk is two lines or more (or one long line without sentences), and MIN_BYTES or more; a
-long line that would have a smaller part stays one chunk.
+long line that would have a smaller part stays one chunk. A whole text is a chunk besides, so that nothing is left
+of copies.
 
 Chunks that occur more than once are found by hash over the whole corpus. Then the bytes of every such chunk are
 compared with those of the occurrence that stays (in the document with the smallest id), and equal ones are
@@ -84,11 +85,20 @@ class Chunks:
         joined = (own[1:] == own[:-1]) & whole[own[1:]]
         begins, ends = begins[np.append(True, ~joined)], ends[np.append(~joined, True)]
         keep = qualify(end[ends] - start[begins])
-        begins, ends = begins[keep], ends[keep]
-        self.owner = owner[begins]
+        # the whole text is a chunk, too
+        of_text = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        last_of = np.append(of_text[1:], len(owner)) - 1
+        enough = (end[last_of] - start[of_text] >= MIN_BYTES) & ((last_of > of_text) | (end[last_of] - start[of_text] >= LONG_LINE))
+        parts = [(begins[keep], ends[keep]), (of_text[enough], last_of[enough])]
+        found = [(owner[f], start[f], end[t], after[t], hash_spans(data, start[f], end[t])) for f, t in parts]
+        owners, starts, stops, afters, chunk_hashes = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((-stops, starts))  # larger chunks before those inside them
+        same = np.zeros(len(order), bool)
+        same[1:] = (starts[order][1:] == starts[order][:-1]) & (stops[order][1:] == stops[order][:-1])
+        order = order[~same]
+        self.owner, self.hash = owners[order], chunk_hashes[order]
         base = starts_of[self.owner]
-        self.start, self.end, self.after = start[begins] - base, end[ends] - base, after[ends] - base
-        self.hash = hash_spans(data, start[begins], end[ends])
+        self.start, self.end, self.after = starts[order] - base, stops[order] - base, afters[order] - base
 
     def __iter__(self) -> Iterator[tuple[int, int, int, int, int]]:
         """Text number, start, end, end with white space, hash."""
@@ -160,7 +170,7 @@ def _cut(rows: DataFrame, at: str) -> DataFrame:
                 parts: list[list[bytes]] = [[] for _ in mine]
                 last = [0] * len(mine)
                 for j, a, b, after, h in Chunks(own):
-                    if h not in stays[j]:
+                    if h not in stays[j] or a < last[j]:  # or inside one that is gone
                         continue
                     if (j, h) not in kept:
                         kept[j, h] = own[j][a:b]

@@ -16,7 +16,7 @@ def deduped(rows):
         raw = (r[1] or "").encode()
         parts, last = [], 0
         for _, a, b, after, _ in Chunks([raw]):
-            if raw[a:b] in first:
+            if raw[a:b] in first and a >= last:
                 parts.append(raw[last:a])
                 last = after
             else:
@@ -69,3 +69,11 @@ def test_a_clean_text_is_untouched(spark):
     docs = spark.createDataFrame([(k, story(100 + k, 500)) for k in range(20)], "doc_id long, text string")
     assert sorted(pairs(line_dedup.dedup_lines(docs))) == sorted(pairs(docs))
     assert line_dedup.report(docs).where("n_removed > 0").count() == 0
+
+
+def test_nothing_is_left_of_copies(spark):
+    text = "Short.\n" + story(31, 90) + "\nAlso short\n" + story(32, 50)
+    docs = spark.createDataFrame([(k, text) for k in (7, 3, 5)] + [(9, "Short. Also short and not a copy, but long enough to be a text of its own.")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert out[3] == text and out[5] == out[7] == "" and out[9]
+    assert {r.doc_id for r in line_dedup.dedup_lines(docs, drop_emptied=True).collect()} == {3, 9}
