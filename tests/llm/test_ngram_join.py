@@ -6,8 +6,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from same import rows as common_rows
 
-from docquarry.llm import ngram_join
+from docquarry.llm import ngram_join, queries
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -65,6 +66,10 @@ def test_small_table(small):
     assert got(ngram_join.components(small, 3, 90)) == expected(docs, 3, 90)
 
 
+def test_against_sql(spark, duck, tiny):
+    assert common_rows(queries.op6_ngram_join(spark, tiny).toPandas()) == common_rows(duck.sql(queries.ORACLES["op6_ngram_join"]).df())
+
+
 def test_edges(edge, none):
     docs = [(r.doc_id, r.text) for r in edge.collect()]
     assert got(ngram_join.components(edge, 3, 90)) == expected(docs, 3, 90)
