@@ -290,8 +290,9 @@ def _match(docs: DataFrame, sent, window: int, text: str, width: int, most: floa
                 continue
             keep = [sum(b - a for a, b in spans) <= most * k for spans, k in zip(hits, n, strict=True)]
             for i, spans in enumerate(hits):
-                if spans and keep[i]:
+                while spans and keep[i]:  # what a cut brings together may be a window again
                     texts[i] = _without(texts[i], spans)
+                    spans, _ = block.match(words_of(texts[i]))
             columns[at] = pa.array([t if t is None else t.decode() for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays(columns, schema.names).filter(pa.array(keep, pa.bool_()))
 

@@ -78,3 +78,12 @@ def test_edges(spark, edge, none):
     texts = {r.doc_id: r.text for r in cut.collect()}
     assert 8 not in texts and texts[5] == dict(pairs)[5] and 1 in texts and 2 in texts
     assert decontaminate.report(cut, b).where("contaminated").count() == 0
+
+
+def test_seams_are_clean(spark):
+    a, b = [f"a{k}" for k in range(10)], [f"b{k}" for k in range(12)]
+    items = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "item_id long, text string")
+    own = " ".join(f"own{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, " ".join([own, *a[:5], *b, *a[5:], "end."]))], "doc_id long, text string")
+    left = decontaminate.remove_spans(docs, items)
+    assert split(left.first().text) == split(own + " end")
