@@ -70,7 +70,8 @@ def has_near(text: Column, query: list[str], limit: int = 2) -> Column:
 
 def sample_words(text: Column, limit: int = 3) -> Column:
     """The first words from the middle token on."""
-    return F.slice(_from_middle(tokens(text)), 1, limit)
+    # inside the lambda the tokens are there; written out, they would be made anew at each use
+    return F.transform(F.array(tokens(text)), lambda found: F.slice(_from_middle(found), 1, limit))[0]
 
 
 def _from_middle(found: Column) -> Column:
