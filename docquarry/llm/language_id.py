@@ -55,19 +55,29 @@ def train(docs: DataFrame, holds_out=None, text: str = "text", lang: str = "lang
     chosen = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))))
     words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     words = common.settled(words)
-    by_lang = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top_words = words.withColumn("k", F.row_number().over(by_lang)).where(F.col("k") <= MAX_WORDS).drop("k")
+    top_words = _commonest(words, ["lang"], MAX_WORDS)
     ends = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     of = [F.regexp_extract_all(ends, F.lit(f"(?=(.{{{k}}}))"), 1) for k in range(1, LONGEST_GRAM + 1)]  # a word may be very long
     grams = words.select("lang", "n", F.explode(F.filter(F.flatten(F.array(*of)), lambda g: ~g.isin("^", "$"))).alias("word"))
     grams = grams.groupBy("lang", F.length("word").alias("size"), "word").agg(F.sum("n").alias("n"))
-    by_size = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "word")
-    top_grams = grams.withColumn("k", F.row_number().over(by_size)).where(F.col("k") <= MAX_GRAMS).drop("k")
+    top_grams = _commonest(common.settled(grams), ["lang", "size"], MAX_GRAMS)
     found = top_words.select("lang", F.lit(0).alias("size"), "word", "n").unionByName(top_grams).collect()
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     return _model(sorted(totals), totals, [(r["lang"], r["size"], r["word"], r["n"]) for r in found])
 
 
+def _commonest(counted: DataFrame, group: list[str], most: int) -> DataFrame:
+    """The rows of each group with the largest n, as many as fit without parting equal ones.
+
+    Only how many rows have each n is sorted, so no task holds a group's rows.
+    """
+    sizes = counted.groupBy(*group, "n").agg(F.count("*").alias("rows"))
+    down = Window.partitionBy(*group).orderBy(F.desc("n"))
+    fitting = sizes.withColumns({"upto": F.sum("rows").over(down), "k": F.row_number().over(down)}).where((F.col("upto") <= most) | (F.col("k") == 1))
+    least = fitting.groupBy(*group).agg(F.min("n").alias("least"))
+    return counted.join(F.broadcast(least), group).where("n >= least").drop("least")  # a row for each group
+
+
 def _model(languages: list[str], totals: dict[str, int], found: list[tuple[str, int, str, int]]) -> Model:
     at = {lang: i for i, lang in enumerate(languages)}
     tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST_GRAM + 1)]
