@@ -5,7 +5,7 @@ from collections import Counter
 from docquarry.llm import line_dedup
 from docquarry.llm.line_dedup import Chunks
 
-from conftest import story
+from stories import story
 
 
 def deduped(rows):
