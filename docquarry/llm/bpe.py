@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from . import common
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Words and pairs that a task remembers.
-REMEMBERED_WORDS, REMEMBERED_PAIRS, LONGEST_KEPT = 500_000, 1_000_000, 48
+#: Words (in each of two tables, and stretches in two others) and pairs that a task remembers.
+REMEMBERED_WORDS, REMEMBERED_PAIRS, LONGEST_KEPT = 150_000, 1_000_000, 48
 #: From this many bytes on a word is merged with a heap; so many shorter words at a time take their steps together.
 HEAP_FROM, MERGED_TOGETHER = 48, 4_000
 #: Stands between words, as no byte does.
@@ -111,6 +111,7 @@ class BytePairEncoder:
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.known: dict[str, bytes] = {}  # ids of words, and of stretches
         self.seen: dict[str, bytes] = {}
+        self.older_known, self.older_seen = {}, {}
         self.pairs, self.valid = np.empty(0, np.int64), np.empty(0, bool)  # sorted tested pairs, and what came out
         self.alone: dict[int, bool] = {}
         self.merged = 0  # words that needed exact merging
@@ -268,10 +269,25 @@ class BytePairEncoder:
         always begin there. But for the first, they are given without that space."""
         return CUT.split(text) if ODD.search(text) else text.split(" ")
 
+    def split_stretches(self, stretches: list[str]) -> dict[str, list[str]]:
+        """The words of each stretch. Those without a space inside are split together: every one starts with a
+        word that begins with a space, and has no other such word."""
+        together = [x for x in stretches if x and " " not in x]
+        words = self.words("".join(f" {x}" for x in together))
+        starts = [i for i, w in enumerate(words) if w[0] == " "]
+        out = {x: words[i:j] for x, i, j in zip(together, starts, [*starts, len(words)][1:], strict=True)}
+        out.update((x, self.words(" " + x)) for x in stretches if x not in out)
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of texts, as bytes. Stretches and words met before have theirs in a table."""
-        if not self.known or len(self.known) + len(self.seen) > REMEMBERED_WORDS:
-            self.known, self.seen = {s: np.asarray([i], "<u4").tobytes() for s, i in self.special.items()}, {}
+        """The ids of texts, as bytes. Stretches and words met before have theirs in a table.
+
+        A full table becomes the older of two, so what is met again and again isn't learnt again and again.
+        """
+        if len(self.known) > REMEMBERED_WORDS or not self.known:
+            self.older_known, self.known = self.known, {s: np.asarray([i], "<u4").tobytes() for s, i in self.special.items()}
+        if len(self.seen) > REMEMBERED_WORDS:
+            self.older_seen, self.seen = self.seen, {}
         known, seen = self.known, self.seen
         plan: list[tuple[list[str], list[str]]] = []  # of each text: words apart from stretches, stretches
         for t in texts:
@@ -280,10 +296,14 @@ class BytePairEncoder:
             else:
                 first, *rest = self.stretches(t)
                 plan.append((self.words(first), rest))
-        fresh = {x: self.words(" " + x) for x in {x for _, rest in plan for x in rest if x not in seen}}
+        unseen = {x for _, rest in plan for x in rest if x not in seen}
+        seen.update((x, b) for x in unseen if (b := self.older_seen.get(x)) is not None)
+        fresh = self.split_stretches([x for x in unseen if x not in seen])
         words = {w for split, _ in plan for w in split if w not in known}
         words.update(w for split in fresh.values() for w in split if w not in known)
-        found = self.learn([*words]) if words else {}
+        known.update((w, b) for w in words if (b := self.older_known.get(w)) is not None)
+        words = [w for w in words if w not in known]
+        found = self.learn(words) if words else {}
         known.update((w, b) for w, b in found.items() if len(w) <= LONGEST_KEPT)
         of = {w: b for w, b in found.items() if len(w) > LONGEST_KEPT}
         get = known.__getitem__ if not of else lambda w: known[w] if w in known else of[w]
