@@ -1,11 +1,12 @@
 """Line deduplication by content-defined chunks of lines.
 
 A text is cut into lines; a line of LONG_LINE bytes and more is folded after its sentences, whose ends make
-lines of their own, and nothing is chunked across its edges. A rolling hash over the hashes of two neighbouring
+lines of their own, and a sentence of LONG_LINE bytes and more (or a script without such ends) is folded where a hash
+of the bytes before is largest among SPACING bytes to both sides, at words if there are any. Nothing is chunked across
+the edges of a long line. A rolling hash over the hashes of two neighbouring
 lines chooses where a chunk ends, so boundaries move with the content and equal passages fall into equal chunks
-wherever they stand. A chunk is two lines or more (or one long line without sentences), and MIN_BYTES or more; a
-long line that would have a smaller part stays one chunk. A whole text is a chunk besides, so that nothing is left
-of copies.
+wherever they stand. A chunk is two lines or more (or one long line that has no place for a fold), and MIN_BYTES or
+more; in a long line a smaller part joins the next. A whole text is a chunk besides, so that nothing is left of copies.
 
 Chunks that occur more than once are found by hash over the whole corpus. Then the bytes of every such chunk are
 compared with those of the occurrence that stays (in the document with the smallest id), and equal ones are
@@ -32,12 +33,34 @@ from .hashing import U, hash_spans, mix
 
 #: Bytes from which a line is folded at its sentences, and those that a chunk needs.
 LONG_LINE, MIN_BYTES = 200, 64
+#: Bytes to both sides among which a fold without a sentence's end is the best place; a power of two.
+SPACING = 32
 _LAST_ID = (1 << 63) - 1
 
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 
 
+def _folds(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Places in the stretches [start, end) that depend on the bytes around them alone, more than SPACING apart."""
+    room = end - start + SPACING  # zeros in front of each stretch keep it from its neighbours
+    at = np.arange(int(room.sum())) - np.repeat(np.cumsum(room) - room + SPACING - start, room)
+    real = at >= np.repeat(start, room)
+    byte = np.where(real, data[at], 0).astype(U)
+    before = np.zeros(len(byte), U)  # the eight bytes before
+    for k in range(1, 9):
+        before[k:] |= byte[:-k] << U(8 * k - 8)
+    inside = real & (at > np.repeat(start, room)) & (byte & U(0xC0) != 0x80)
+    value = np.where(inside, mix(before) >> U(1) | U(1), U(0))
+    value |= (inside & (before & U(0xFF) == 32) & (byte != 32)).astype(U) << U(63)  # words go first
+    most = value.copy()  # among SPACING places from here on
+    for k in range(SPACING.bit_length() - 1):
+        most[: -(1 << k)] = np.maximum(most[: -(1 << k)], most[1 << k :])
+    best = (value > 0) & (value > np.append(most[1:], U(0)))
+    best[SPACING:] &= value[SPACING:] > most[:-SPACING]
+    return at[best]
+
+
 class Chunks:
     """The chunks of some texts, one after the other: owner, start and end (in the text), hash."""
 
@@ -59,6 +82,9 @@ class Chunks:
         folds = folds[folds < len(data)]
         edges[folds[long[np.searchsorted(lines, folds, side="right") - 1]]] = True
         cuts = np.flatnonzero(edges)
+        if (still := np.diff(cuts) >= LONG_LINE).any():
+            edges[_folds(data, cuts[:-1][still], cuts[1:][still])] = True
+            cuts = np.flatnonzero(edges)
         start, after = cuts[:-1], cuts[1:]
         end = after - ((data[after - 1] == 10) | (data[after - 1] == 32))
         hashes = hash_spans(data, start, end)
@@ -78,11 +104,10 @@ class Chunks:
         ends = np.flatnonzero(cut | last)
         begins = np.concatenate([[0], ends[:-1] + 1])
         qualify = lambda size: (size >= MIN_BYTES) & ((ends > begins) | (size >= LONG_LINE))
-        # a long line with a part that is too small stays whole
+        # a part of a long line that is too small joins the next, the last one the part before
         own = line[begins]
-        whole = np.zeros(len(lines), bool)
-        whole[own[long[own] & ~qualify(end[ends] - start[begins])]] = True
-        joined = (own[1:] == own[:-1]) & whole[own[1:]]
+        small = long[own] & ~qualify(end[ends] - start[begins])
+        joined = (own[1:] == own[:-1]) & (small[:-1] | small[1:] & np.append(own[2:] != own[1:-1], True)[: len(own) - 1])
         begins, ends = begins[np.append(True, ~joined)], ends[np.append(~joined, True)]
         keep = qualify(end[ends] - start[begins])
         # the whole text is a chunk, too

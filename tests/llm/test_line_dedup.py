@@ -77,3 +77,25 @@ def test_nothing_is_left_of_copies(spark):
     out = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
     assert out[3] == text and out[5] == out[7] == "" and out[9]
     assert {r.doc_id for r in line_dedup.dedup_lines(docs, drop_emptied=True).collect()} == {3, 9}
+
+
+def prose(seed, n):
+    """n words in sentences of different lengths, some of them short, in one line."""
+    return " ".join(f"w{seed * 7 + k * k % 1009}x{k * seed % 97}" + (". He nodded. She left." if k % 23 == 22 else "." if k % 9 == 8 else "") for k in range(n)) + "."
+
+
+def test_short_sentences_keep_no_long_line_whole(spark):
+    passage = prose(3, 300)
+    docs = [(k, f"{prose(40 + k, 400)} {passage} {prose(60 + k, 300)}") for k in range(3)]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out[0] == docs[0][1] and all(len(out[k]) <= len(docs[k][1]) - 0.7 * len(passage) for k in (1, 2))
+
+
+def test_long_lines_without_sentences_are_folded(spark):
+    for space in (" ", ""):
+        some = lambda seed, n: space.join(chr(0x4E00 + (seed * 7919 + k * k * 31 + k * seed) % 5000) * 2 for k in range(n))
+        passage = some(5, 400)
+        docs = [(k, space.join([some(20 + k, 300), passage, some(30 + k, 200)])) for k in range(3)]
+        out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert out[0] == docs[0][1] and all(len(out[k]) <= len(docs[k][1]) - 0.7 * len(passage) for k in (1, 2))
+    assert len(list(Chunks([b"7777 " * 3000, b"a" * 70_000]))) == 2
