@@ -48,7 +48,7 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end] for sorted spans that don't overlap."""
+    """Hashes of data[start:end] for spans of which the starts and the ends are sorted; they may overlap."""
     out = np.empty(len(starts), U)
     i = 0
     while i < len(starts):

@@ -1,25 +1,33 @@
-"""Line deduplication by content-defined chunks of lines.
+"""Line deduplication by content-defined lines and overlapping chunks of them.
 
 A text is cut into lines; a line of LONG_LINE bytes and more is folded after its sentences, whose ends make
 lines of their own, and a sentence of LONG_LINE bytes and more (or a script without such ends) is folded where a hash
-of the bytes before is largest among SPACING bytes to both sides, at words if there are any. Nothing is chunked across
-the edges of a long line. A rolling hash over the hashes of two neighbouring
-lines chooses where a chunk ends, so boundaries move with the content and equal passages fall into equal chunks
-wherever they stand. A chunk is two lines or more (or one long line that has no place for a fold), and MIN_BYTES or
-more; in a long line a smaller part joins the next. A whole text is a chunk besides, so that nothing is left of copies.
-
-Chunks that occur more than once are found by hash over the whole corpus. Then the bytes of every such chunk are
-compared with those of the occurrence that stays (in the document with the smallest id), and equal ones are
-removed. Hashes travel, and only the bytes of repeated chunks; counts are summed before they are shuffled, and
-the joins put one row of a chunk against its occurrences, so that Spark can split a frequent one.
+of the bytes before is largest among SPACING bytes to both sides, at words if there are any. Lines thus move with the
+content, and blank ones belong to the line before.
+
+Each line begins a chunk: two lines or more (or one of LONG_LINE bytes that has no place for a fold) and MIN_BYTES or
+more, and the fewest lines that are. Further chunks begin there, each a line longer, up to the one that holds the
+next line's chunk; of this largest one only the first line is removed, as the next line's chunks take the rest. So a
+repeated passage goes from its first line to its last, wherever it stands and whatever its neighbours, as if each
+chunk were grown line by line until the bytes differ. A whole text is a chunk besides, so that nothing is left of
+copies.
+
+The smallest chunks and whole texts that occur more than once are found by hash over the whole corpus; a longer
+chunk can only be repeated if those in it are. Then the bytes of every such chunk are compared with those of the
+occurrence that stays (in the document with the smallest id), and equal ones are removed; longer chunks, whose parts
+are compared that way, are compared by their SHA-256. Hashes travel, and only the bytes of the smallest chunks that
+are repeated; of copies only the whole text does. Counts are summed before they are shuffled,
+and the joins put one row of a chunk against its occurrences, so that Spark can split a frequent one.
 
 Rows: null and empty texts, and texts of a single short line, come back as they are; rows with the same id and
-text are the same document and get the same result; rows without an id come after all others; a chunk that a
-document repeats stays once; all columns come back, whatever their names.
+text are the same document and get the same result; rows without an id come after all others; what a
+document repeats itself stays once, also where the repeats follow one another (of three equal lines one stays); all
+columns come back, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +47,8 @@ _LAST_ID = (1 << 63) - 1
 
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _folds(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -50,7 +60,7 @@ def _folds(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     before = np.zeros(len(byte), U)  # the eight bytes before
     for k in range(1, 9):
         before[k:] |= byte[:-k] << U(8 * k - 8)
-    inside = real & (at > np.repeat(start, room)) & (byte & U(0xC0) != 0x80)
+    inside = real & (at >= np.repeat(start, room) + 8) & (byte & U(0xC0) != 0x80)
     value = np.where(inside, mix(before) >> U(1) | U(1), U(0))
     value |= (inside & (before & U(0xFF) == 32) & (byte != 32)).astype(U) << U(63)  # words go first
     most = value.copy()  # among SPACING places from here on
@@ -62,17 +72,64 @@ def _folds(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 class Chunks:
-    """The chunks of some texts, one after the other: owner, start and end (in the text), hash."""
+    """The chunks of some texts, one after the other: owner, start and end (in the text), hash.
+
+    ``needs`` has the hashes of the smallest chunks at the start and at the end of a chunk. With ``smallest``, there
+    are only those and whole texts.
+    """
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], smallest: bool = False):
         self.texts = texts
+        self.owner = self.start = self.end = self.after = np.empty(0, np.int64)
+        self.hash, self.needs, self.whole = np.empty(0, U), np.empty((2, 0), U), np.empty(0, bool)
         data = np.frombuffer(b"".join(texts), np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         starts_of = np.cumsum(sizes) - sizes
-        if not len(data):
-            self.owner = self.start = self.end = np.empty(0, np.int64)
-            self.hash = np.empty(0, U)
+        solid = np.flatnonzero(~_WHITE[data])
+        if not len(solid):
             return
+        start, end, after, owner = self._lines(data, solid, starts_of, sizes)
+        n = len(start)
+        place = np.arange(n)
+        of_text = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        last_of = np.append(of_text[1:], n) - 1
+        last = np.repeat(last_of, last_of - of_text + 1)
+        # the last line of the smallest chunk that begins at each line, if its text has it
+        least = np.maximum(np.searchsorted(end, start + MIN_BYTES), place + (end - start < LONG_LINE))
+        fits = least <= last
+        follows = np.append(fits[1:] & (owner[1:] == owner[:-1]), False)
+        most = np.where(follows, np.append(least[1:], 0), last)
+        first = np.flatnonzero(fits)
+        hashes = np.zeros(n, U)
+        hashes[first] = hash_spans(data, start[first], end[least[first]])
+        count = np.ones(len(first), np.int64) if smallest else (most - least + 1)[first]
+        line = np.repeat(first, count)
+        to = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count) + least[line]
+        parts = follows[line] & (to == most[line])
+        stops = np.where(parts, start[np.minimum(line + 1, n - 1)], after[to])
+        needs = np.stack([hashes[line], hashes[np.where(parts, line + 1, line) % n]])
+        # the whole text is a chunk, too
+        size = end[last_of] - starts_of[owner[of_text]]
+        enough = (size >= MIN_BYTES) & ((last_of > of_text) | (size >= LONG_LINE))
+        texts_from, texts_to = starts_of[owner[of_text[enough]]], last_of[enough]
+        whole_hash = hash_spans(data, texts_from, end[texts_to])
+        starts = np.concatenate([texts_from, start[line]])
+        ends = np.concatenate([end[texts_to], end[to]])
+        order = np.lexsort((np.arange(len(starts)), -ends, starts))  # larger chunks before those inside them
+        same = np.zeros(len(order), bool)
+        same[1:] = (starts[order][1:] == starts[order][:-1]) & (ends[order][1:] == ends[order][:-1])
+        order = order[~same]
+        self.owner = np.concatenate([owner[of_text[enough]], owner[line]])[order]
+        base = starts_of[self.owner]
+        self.start, self.end = starts[order] - base, ends[order] - base
+        self.after = np.concatenate([after[texts_to], stops])[order] - base
+        self.hash = np.concatenate([whole_hash, hashes[line] if smallest else hash_spans(data, start[line], end[to])])[order]
+        self.needs = np.concatenate([np.stack([whole_hash, whole_hash]), needs], 1)[:, order]
+        self.whole = order < len(whole_hash)
+
+    @staticmethod
+    def _lines(data: np.ndarray, solid: np.ndarray, starts_of: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Start, end without white space, end with it, and owner of the lines that aren't blank."""
         edges = np.zeros(len(data) + 1, bool)  # line edges, ends of texts included
         edges[starts_of] = edges[len(data)] = True
         edges[1:][data == 10] = True
@@ -85,51 +142,24 @@ class Chunks:
         if (still := np.diff(cuts) >= LONG_LINE).any():
             edges[_folds(data, cuts[:-1][still], cuts[1:][still])] = True
             cuts = np.flatnonzero(edges)
-        start, after = cuts[:-1], cuts[1:]
-        end = after - ((data[after - 1] == 10) | (data[after - 1] == 32))
-        hashes = hash_spans(data, start, end)
+        start = cuts[:-1][np.diff(np.searchsorted(solid, cuts)) > 0]
         owner = np.searchsorted(starts_of, start, side="right") - 1
-        # nothing is chunked across texts or across the edges of a long line
-        line = np.searchsorted(lines, start, side="right") - 1
-        apart = np.ones(len(start) + 1, bool)
-        apart[1:-1] = (owner[1:] != owner[:-1]) | (line[1:] != line[:-1]) & (long[line[1:]] | long[line[:-1]])
-        first, last = apart[:-1], apart[1:]
-        before = np.concatenate([np.zeros(1, U), hashes[:-1]])
-        before[first] = 0
-        rolled = mix(hashes + before * U(0x9E3779B97F4A7C15)) >> U(63) == 0
-        cut = rolled.copy()  # after a line; never twice in a row, so chunks have two lines at least
-        cut[1:] &= ~rolled[:-1] | first[1:]
-        cut &= ~first
-        cut[:-1] &= ~last[1:]
-        ends = np.flatnonzero(cut | last)
-        begins = np.concatenate([[0], ends[:-1] + 1])
-        qualify = lambda size: (size >= MIN_BYTES) & ((ends > begins) | (size >= LONG_LINE))
-        # a part of a long line that is too small joins the next, the last one the part before
-        own = line[begins]
-        small = long[own] & ~qualify(end[ends] - start[begins])
-        joined = (own[1:] == own[:-1]) & (small[:-1] | small[1:] & np.append(own[2:] != own[1:-1], True)[: len(own) - 1])
-        begins, ends = begins[np.append(True, ~joined)], ends[np.append(~joined, True)]
-        keep = qualify(end[ends] - start[begins])
-        # the whole text is a chunk, too
-        of_text = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        last_of = np.append(of_text[1:], len(owner)) - 1
-        enough = (end[last_of] - start[of_text] >= MIN_BYTES) & ((last_of > of_text) | (end[last_of] - start[of_text] >= LONG_LINE))
-        parts = [(begins[keep], ends[keep]), (of_text[enough], last_of[enough])]
-        found = [(owner[f], start[f], end[t], after[t], hash_spans(data, start[f], end[t])) for f, t in parts]
-        owners, starts, stops, afters, chunk_hashes = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((-stops, starts))  # larger chunks before those inside them
-        same = np.zeros(len(order), bool)
-        same[1:] = (starts[order][1:] == starts[order][:-1]) & (stops[order][1:] == stops[order][:-1])
-        order = order[~same]
-        self.owner, self.hash = owners[order], chunk_hashes[order]
-        base = starts_of[self.owner]
-        self.start, self.end, self.after = starts[order] - base, stops[order] - base, afters[order] - base
+        after = np.append(start[1:], len(data))
+        ends_text = np.append(owner[1:] != owner[:-1], True)
+        after[ends_text] = (starts_of + sizes)[owner[ends_text]]
+        return start, solid[np.searchsorted(solid, after) - 1] + 1, after, owner
+
+    def among(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """The chunks that have one of the hashes."""
+        return self._some(np.flatnonzero(np.isin(self.hash.view(np.int64), hashes)))
+
+    def _some(self, at: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        columns = (self.owner, self.start, self.end, self.after, self.hash.view(np.int64))
+        return zip(*(c[at].tolist() for c in columns), strict=True)
 
     def __iter__(self) -> Iterator[tuple[int, int, int, int, int]]:
         """Text number, start, end, end with white space, hash."""
-        if not len(self.owner):
-            return iter(())
-        return zip(self.owner.tolist(), self.start.tolist(), self.end.tolist(), self.after.tolist(), self.hash.view(np.int64).tolist(), strict=True)
+        return self._some(np.arange(len(self.owner)))
 
 
 def _marked(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -141,43 +171,60 @@ def _marked(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def chunk_rows(rows: DataFrame, at: str) -> DataFrame:
-    """__key, __id and hash of every chunk."""
+    """__key, __id and hash of every whole text and of the smallest chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = Chunks([t or b"" for t in common.byte_list(batch.column(2))])
+            found = Chunks([t or b"" for t in common.byte_list(batch.column(2))], smallest=True)
             owner = pa.array(found.owner)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(found.hash.view(np.int64))], ["__key", "__id", "hash"])
 
     return common.map_slices(rows.select("__key", "__id", at), at, run, "__key long, __id long, hash long")
 
 
-def _repeated_bytes(rows: DataFrame, at: str) -> DataFrame:
-    """hash, stays (whether this document keeps it), again (whether it repeats it), __key and bytes of marked chunks."""
+def _hashes(marks: pa.Array) -> np.ndarray:
+    """The hashes in a column of marks, each once."""
+    return np.unique(marks.flatten().field("hash").to_numpy(zero_copy_only=False))
+
+
+def _repeated(rows: DataFrame, at: str) -> DataFrame:
+    """__key, __id, hash, stays, again (whether this document repeats it) and bytes of marked chunks; and of longer ones
+    all of whose parts are marked, without ``stays`` and with a digest for the bytes. Of marked copies only the whole."""
     number = rows.columns.index(at)
-    schema = "__key long, hash long, stays boolean, again boolean, chunk binary"
+    schema = "__key long, __id long, hash long, stays boolean, again boolean, chunk binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [{m["hash"]: m["stays"] for m in ms} for ms in batch.column(batch.num_columns - 1).to_pylist()]
+            column = batch.column(batch.num_columns - 1)
+            marks = [{m["hash"]: m["stays"] for m in ms} for ms in column.to_pylist()]
             texts = [t or b"" for t in common.byte_list(batch.column(number))]
-            keys = batch.column(0).to_pylist()
+            keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            chunks = Chunks(texts)
+            needs = chunks.needs.view(np.int64)
+            maybe = np.flatnonzero(np.isin(needs, _hashes(column)).all(0))
+            copies: set[int] = set()
             seen: dict[tuple[int, int], list] = {}
-            for i, a, b, _, h in Chunks(texts):
-                if h in marks[i]:
-                    if (i, h) in seen:
-                        seen[i, h][3] = True
-                    else:
-                        seen[i, h] = [keys[i], h, marks[i][h], False, texts[i][a:b]]
-            columns = [*zip(*seen.values(), strict=True)] or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["__key", "hash", "stays", "again", "chunk"])
+            for (i, a, b, _, h), x, y, whole in zip(chunks._some(maybe), *needs[:, maybe].tolist(), chunks.whole[maybe].tolist(), strict=True):
+                mine = marks[i]
+                if i in copies or x not in mine or y not in mine:
+                    continue
+                stays = mine.get(h)
+                if whole and not stays:
+                    copies.add(i)
+                if (i, h) in seen:
+                    seen[i, h][4] = True
+                else:
+                    part = texts[i][a:b]
+                    seen[i, h] = [keys[i], ids[i], h, stays, False, part if stays is not None else hashlib.sha256(part).digest()]
+            columns = [*zip(*seen.values(), strict=True)] or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["__key", "__id", "hash", "stays", "again", "chunk"])
 
     return common.map_slices(rows, at, run, schema)
 
 
 def _cut(rows: DataFrame, at: str) -> DataFrame:
-    """The rows without the chunks that their last column names, with n_lines and n_removed."""
+    """The rows without the chunks that their last column names, with n_lines and n_removed (stretches)."""
     number = rows.columns.index(at)
     schema = T.StructType(rows.schema.fields[:-1]).add("__n_lines", T.LongType()).add("__n_removed", T.LongType())
 
@@ -194,8 +241,8 @@ def _cut(rows: DataFrame, at: str) -> DataFrame:
                 kept: dict[tuple[int, int], bytes] = {}
                 parts: list[list[bytes]] = [[] for _ in mine]
                 last = [0] * len(mine)
-                for j, a, b, after, h in Chunks(own):
-                    if h not in stays[j] or a < last[j]:  # or inside one that is gone
+                for j, a, b, after, h in Chunks(own).among(_hashes(batch.column(batch.num_columns - 1))):
+                    if h not in stays[j]:
                         continue
                     if (j, h) not in kept:
                         kept[j, h] = own[j][a:b]
@@ -203,8 +250,10 @@ def _cut(rows: DataFrame, at: str) -> DataFrame:
                             continue
                     elif kept[j, h] != own[j][a:b]:
                         continue
+                    if a < last[j]:  # inside one that is gone
+                        continue
+                    removed[mine[j]] += a > last[j] or not parts[j]
                     parts[j].append(own[j][last[j] : a])
-                    removed[mine[j]] += 1
                     last[j] = after
                 for j, i in enumerate(mine):
                     left = b"".join([*parts[j], own[j][last[j] :]])
@@ -219,21 +268,27 @@ def _cut(rows: DataFrame, at: str) -> DataFrame:
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", drop_emptied: bool = False, counts: bool = False) -> DataFrame:
     """``docs`` without repeated chunks of lines.
 
-    With ``counts``, columns n_lines (before) and n_removed (chunks) are added. With ``drop_emptied``, documents of which
+    With ``counts``, columns n_lines (before) and n_removed (stretches) are added. With ``drop_emptied``, documents of which
     nothing but white space is left by the removal go.
     """
     names = docs.columns
     rows = _marked(docs, text, doc_id)
     at = f"__{names.index(text)}"
-    chunks = common.settled(chunk_rows(rows, at))
-    repeated = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__key")).alias("first")).where("n > 1")
-    found = chunks.distinct().join(repeated, "hash").select("__key", F.struct("hash", (F.col("first.__key") == F.col("__key")).alias("stays")).alias("mark"))
-    marks = found.groupBy("__key").agg(F.collect_list("mark").alias("marks"))
-    bodies = common.written(_repeated_bytes(rows.join(marks, "__key").select(*rows.columns, "marks"), at))
+    chunks = common.written(chunk_rows(rows, at))
+    repeated = chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    found = common.written(chunks.join(repeated, "hash"))
+    firsts = found.groupBy("hash").agg(F.min(F.struct("__id", "__key")).alias("first"))
+    marked = found.select("__key", "hash").join(firsts, "hash").select("__key", F.struct("hash", (F.col("first.__key") == F.col("__key")).alias("stays")).alias("mark"))
+    marks = marked.groupBy("__key").agg(F.collect_set("mark").alias("marks"))
+    bodies = common.written(_repeated(rows.join(marks, "__key").select(*rows.columns, "marks"), at))
     kept = bodies.where("stays").select("hash", F.col("chunk").alias("kept")).dropDuplicates(["hash"])
-    same = bodies.where("NOT stays").join(kept, "hash").where(F.col("chunk") == F.col("kept")).select("__key", "hash", F.lit(False).alias("stays"))
+    same = bodies.where("NOT stays").join(kept, "hash").where(F.col("chunk") == F.col("kept")).select("__key", "hash", "stays")
     again = bodies.where("stays AND again").select("__key", "hash", "stays")
-    gone = same.unionByName(again).groupBy("__key").agg(F.collect_set(F.struct("hash", "stays")).alias("gone"))
+    longer = bodies.where("stays IS NULL").drop("stays")
+    first = longer.groupBy("hash").agg(F.min(F.struct("__id", "__key", "chunk")).alias("first"))
+    stays = F.col("first.__key") == F.col("__key")
+    more = longer.join(first, "hash").where((F.col("chunk") == F.col("first.chunk")) & (~stays | F.col("again"))).select("__key", "hash", stays.alias("stays"))
+    gone = same.unionByName(again).unionByName(more).groupBy("__key").agg(F.collect_set(F.struct("hash", "stays")).alias("gone"))
     out = _cut(rows.join(gone, "__key", "left").select(*rows.columns, "gone"), at)
     if drop_emptied:
         out = out.where((F.col("__n_removed") == 0) | F.col(at).rlike(r"\S"))

@@ -99,3 +99,22 @@ def test_long_lines_without_sentences_are_folded(spark):
         out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
         assert out[0] == docs[0][1] and all(len(out[k]) <= len(docs[k][1]) - 0.7 * len(passage) for k in (1, 2))
     assert len(list(Chunks([b"7777 " * 3000, b"a" * 70_000]))) == 2
+
+
+def test_passages_of_short_lines_go_whole(spark):
+    line = lambda seed, k: " ".join(f"w{seed}q{(seed * 31 + k * k * 7 + j * 13) % 997}" for j in range(3 + (k * seed) % 5)) + "."
+    lines = lambda seed, n: [line(seed, k) for k in range(n)]
+    for between in ("\n", " "):  # several short lines, or sentences of a paragraph
+        for n in range(4, 12):
+            passage = between.join(lines(7, n))
+            parts = [(between.join(lines(100 + 9 * n + k, 6 + k)), between.join(lines(300 + 9 * n + k, 9 - k))) for k in range(4)]
+            docs = [(k, between.join([a, passage, b])) for k, (a, b) in enumerate(parts)]
+            out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+            assert out == {0: docs[0][1]} | {k: between.join(parts[k]) for k in (1, 2, 3)}
+
+
+def test_passages_end_with_lines_too_short_for_a_chunk(spark):
+    passage = "\n".join([*(f"a line of the passage that is long enough, number {k}" for k in range(4)), "so", "it", "ends"])
+    docs = [(k, f"{story(60 + k, 60)}{passage}\n\nand {k} goes on\nafter {k}") for k in range(3)]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {k: t if k == 0 else f"{story(60 + k, 60)}and {k} goes on\nafter {k}" for k, t in docs}
