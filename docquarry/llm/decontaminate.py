@@ -17,6 +17,7 @@ null item ids are left out of the id list but their windows still count as hits;
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 from collections.abc import Iterator
@@ -226,22 +227,26 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> I
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with n_words, hits (merged [start, end) word spans) and items (sorted ids of items with occurring windows)."""
-    return _over_blocks(docs, benchmark, window, text, item_id, item_text, block_words, None)
+    return _over_blocks(docs, benchmark, window, text, item_id, item_text, block_words, None)[0]
 
 
-def _over_blocks(docs: DataFrame, benchmark: DataFrame, window: int, text: str, item_id: str, item_text: str, block_words: int, most: float | None) -> DataFrame:
-    """A pass for each block. What a pass found is written before the next, so that no task holds two automata."""
+def _over_blocks(docs: DataFrame, benchmark: DataFrame, window: int, text: str, item_id: str, item_text: str, block_words: int, most: float | None) -> tuple[DataFrame, int]:
+    """A pass for each block, and their number. What a pass found is written before the next, so that no task holds
+    two automata."""
     width = len(docs.columns)
     coming = blocks(benchmark, item_id, item_text, block_words)
-    block = next(coming)
+    block, passes = next(coming), 0
     while block is not None:
-        after = next(coming, None)
+        after, passes = next(coming, None), passes + 1
         sent = docs.sparkSession.sparkContext.broadcast(block)
         docs = _match(docs, sent, window, text, width, most if after is None else None)
         docs, block = docs if after is None else common.written(docs), after
-    return docs
+    return docs, passes
 
 
+#: Whether words were cut from a text.
+CUT = "__cut"
+
 #: The automaton that a worker holds, by the mark of its block.
 _ready: dict[str, Block] = {}
 
@@ -251,13 +256,15 @@ WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 def _match(docs: DataFrame, sent, window: int, text: str, width: int, most: float | None) -> DataFrame:
     """The first ``width`` columns of ``docs``, with n_words, hits and items after a block more; or, given the
-    largest share of hit words that is let through, those columns alone with hit spans cut from the texts."""
+    largest share of hit words that is let through, those columns with hit spans cut from the texts, and CUT."""
     schema = T.StructType(docs.schema.fields[:width])
     found_names = ["n_words", "hits", "items"]
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     again = len(docs.columns) > width
     at = docs.columns.index(text)
-    if most is None:
+    if most is not None:
+        schema = schema.add(CUT, "boolean")
+    else:
         schema = schema.add("n_words", "long").add("hits", SPANS).add("items", T.ArrayType(T.StringType()))
     key = uuid.uuid4().hex
 
@@ -294,6 +301,7 @@ def _match(docs: DataFrame, sent, window: int, text: str, width: int, most: floa
                     texts[i] = _without(texts[i], spans)
                     spans, _ = block.match(words_of(texts[i]))
             columns[at] = pa.array([t if t is None else t.decode() for t in texts], pa.string())
+            columns.append(pa.array([bool(spans) for spans in hits], pa.bool_()))
             yield pa.RecordBatch.from_arrays(columns, schema.names).filter(pa.array(keep, pa.bool_()))
 
     return common.map_slices(docs, text, run, schema)
@@ -338,5 +346,17 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
     """
     names = docs.columns
     rows = docs.withColumnsRenamed({c: f"__{i}" for i, c in enumerate(names)})
-    cut = _over_blocks(rows, benchmark, window, f"__{names.index(text)}", "item_id", "text", block_words, max_coverage)
-    return cut.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(names)))
+    parts, most = [], max_coverage
+    while True:
+        cut, passes = _over_blocks(rows, benchmark, window, f"__{names.index(text)}", "item_id", "text", block_words, most)
+        if passes == 1:
+            parts.append(cut)
+            break
+        # a pass knows its own block, and a cut may bring together a window of another one
+        cut = common.written(cut)
+        parts.append(cut.where(~F.col(CUT)))
+        rows, most = cut.where(CUT).drop(CUT), 1.0
+        if rows.isEmpty():
+            break
+    clean = functools.reduce(DataFrame.unionByName, parts)
+    return clean.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(names)))

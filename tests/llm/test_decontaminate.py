@@ -87,3 +87,14 @@ def test_seams_are_clean(spark):
     docs = spark.createDataFrame([(1, " ".join([own, *a[:5], *b, *a[5:], "end."]))], "doc_id long, text string")
     left = decontaminate.remove_spans(docs, items)
     assert split(left.first().text) == split(own + " end")
+
+
+def test_seams_of_other_blocks_are_clean(spark):
+    a, b = [f"a{k}" for k in range(10)], [f"b{k}" for k in range(10)]
+    items = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "item_id long, text string")
+    own = " ".join(f"own{k}" for k in range(60))
+    docs = [(k, " ".join([own, *x[:5], *y[:5], *x, *y[5:], *x[5:], "end."])) for k, (x, y) in enumerate([(a, b), (b, a)])] + [(2, own), (3, None), (4, " ".join(a))]
+    for block_words in (10, 200_000):
+        left = decontaminate.remove_spans(spark.createDataFrame(docs, "doc_id long, text string"), items, block_words=block_words)
+        assert left.columns == ["doc_id", "text"]
+        assert {r.doc_id: r.text and split(r.text) for r in left.collect()} == {0: split(own + " end"), 1: split(own + " end"), 2: split(own), 3: None}
