@@ -42,9 +42,18 @@ def _one_word(text: Column, token: str) -> Column:
     return F.lower(text).rlike(f"{NOT_AFTER_WORD}{token}" + (rf"\w{{{more}}}" if more else ""))
 
 
-def has_word(text: Column, query: str) -> Column:
-    """Whether every token of the query begins some word of the text; false for null."""
-    return F.coalesce(reduce(Column.__and__, (_one_word(text, t) for t in query_tokens(query))), F.lit(False))
+def has_word(text: Column, query: str, tokenizer=None) -> Column:
+    """Whether every token of the query begins some word of the text; false for null.
+
+    Another tokenizer (a function from a column to its words) cuts the query and the text alike; a query in which
+    it finds nothing matches nothing.
+    """
+    if tokenizer is None:
+        return F.coalesce(reduce(Column.__and__, (_one_word(text, t) for t in query_tokens(query))), F.lit(False))
+    wanted = tokenizer(F.lit(query))
+    # the text's words are bound once, not made anew for each token of the query
+    every = F.transform(F.array(tokenizer(text)), lambda own: F.forall(wanted, lambda q: F.exists(own, lambda w: F.startswith(w, q))))[0]
+    return F.coalesce((F.size(wanted) > 0) & every, F.lit(False))
 
 
 def has_near(text: Column, query: list[str], limit: int = 2) -> Column:
@@ -100,10 +109,26 @@ def highlight(text: Column, queries: list[str], marks: list[tuple[str, str]] | N
     return out
 
 
+#: Rounds that add up an array: enough for 2 ** ROUNDS elements.
+ROUNDS = 30
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums of an array's elements up to each one, in rounds that double their reach; nothing is copied for each element."""
+
+    def reach(k: int):
+        # the array is bound by the outer lambda, so that it is made once a round
+        far = lambda own: F.transform(own, lambda x, i: F.when(i >= k, x + F.get(own, i - k)).otherwise(x))
+        return lambda own: F.when(F.size(own) > k, far(own)).otherwise(own)
+
+    bound = F.array(numbers)
+    for r in range(ROUNDS):
+        bound = F.transform(bound, reach(1 << r))
+    return bound[0]
+
+
 def prefix_places(text: Column, prefix: str) -> Column:
     """Starts and ends of the tokens' beginnings that are ``prefix``: array<struct<start, end>>, from 0."""
     pieces = F.split(F.lower(text), f"{NOT_AFTER_WORD}{re.escape(prefix)}", -1)
-    lengths = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), F.length)
-    step = lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)) + len(prefix), F.lit(0)) + n))
-    starts = F.aggregate(lengths, F.array().cast("array<int>"), step)
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), (s + len(prefix)).alias("end")))
+    lengths = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.length(p) + len(prefix))
+    return F.transform(running_sums(lengths), lambda e: F.struct((e - len(prefix)).alias("start"), e.alias("end")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import xml_escape
@@ -22,19 +22,40 @@ def searchable(value: Column, fetched: Column) -> Column:
     return F.when(value["flag"].isin(EXPANDED, UNEXPANDED), fetched).when(value["flag"].isin(UNINDEXED, IMAGE, LINK), F.lit("")).otherwise(value["text"])
 
 
-def shown(value: Column, fetched: Column) -> Column:
-    """The value as HTML."""
+def shown(value: Column, fetched: Column, link=None) -> Column:
+    """The value as HTML; ``link`` makes an internal link's HTML from its escaped text."""
     text = xml_escape(value["text"])
-    link = F.concat(F.lit('<a href="'), text, F.lit('">'), text, F.lit("</a>"))
+    anchor = F.concat(F.lit('<a href="'), text, F.lit('">'), text, F.lit("</a>"))
+    inner = link(text) if link else F.concat(F.lit("<b> INTERNAL LINK TO "), text, F.lit(" </b>"))
     return (
         F.when(value["flag"] == EXPANDED, xml_escape(fetched))
-        .when(value["flag"].isin(UNEXPANDED, UNINDEXED), link)
+        .when(value["flag"].isin(UNEXPANDED, UNINDEXED), anchor)
         .when(value["flag"] == IMAGE, F.concat(F.lit('<img src="'), text, F.lit('">')))
-        .when(value["flag"] == LINK, F.concat(F.lit("<b>"), text, F.lit("</b>")))
+        .when(value["flag"] == LINK, inner)
         .otherwise(text)
     )
 
 
+def in_xml(value: Column, field: str) -> Column:
+    """The value as a field of an entry's XML, with its flag."""
+    return F.concat(F.lit(f'<fld n="{field}" special="'), value["flag"], F.lit('">'), xml_escape(value["text"]), F.lit("</fld>"))
+
+
+def link_target(value: Column) -> Column:
+    """Where an internal link, written ATTRIBUTE::IDENTITY, leads: struct<attr, id>; null for other values."""
+    at = F.instr(value["text"], "::")
+    text = value["text"]
+    target = F.struct(F.when(at > 0, F.substring(text, 1, at - 1)).alias("attr"), F.when(at > 0, F.substring(text, at + 2, F.length(text))).otherwise(text).alias("id"))
+    return F.when(value["flag"] == LINK, target)
+
+
+def fetched(df: DataFrame, url: str, pages: DataFrame, prefixes: dict[str, str] | None = None, content: str = "html", name: str = "fetched") -> DataFrame:
+    """``df`` with what is behind its URLs: a left join with stored pages (url, content; one row a URL) by the URL,
+    rewritten first. Addresses without a page, and values without an address, get null."""
+    own = pages.select(F.col("url").alias("__url"), F.col(content).alias(name))
+    return df.join(own, rewritten(F.col(url), prefixes or {}) == F.col("__url"), "left").drop("__url")
+
+
 def rewritten(url: Column, prefixes: dict[str, str]) -> Column:
     """The URL with its longest known prefix replaced."""
     longest_first = sorted(prefixes.items(), key=lambda p: (-len(p[0]), p[0]))

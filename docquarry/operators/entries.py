@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,7 +51,7 @@ def describe(entries: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """id and a map from attribute to its values, for the given ids (a lookup join) or all; missing ids give no row."""
     if ids is not None:
         entries = entries.join(ids.select(F.col(ids.columns[0]).cast("string").alias("id")).distinct(), "id", "left_semi")
-    own = entries.withColumn("text", as_text(entries))
+    own = entries.withColumn("text", as_text(entries)).repartition("id")  # both groupings below then stay in place
     lists = own.groupBy("id", "attr").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("values"))
     return lists.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("attr", "values")))).alias("attrs"))
 
@@ -96,6 +97,25 @@ def ids_with(index: DataFrame, query: str) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "id", "left_semi"), each)
 
 
+def stored_index(index: DataFrame, path: str) -> DataFrame:
+    """The index at ``path``, which is written there unless it already is."""
+    spark = index.sparkSession
+    try:
+        return spark.read.schema(index.schema).parquet(path)
+    except AnalysisException as none:
+        if none.getCondition() != "PATH_NOT_FOUND":
+            raise
+    write_sorted(index, path)
+    return spark.read.schema(index.schema).parquet(path)
+
+
+def follow_links(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """The values that internal links (id, link: struct<attr, id>) lead to: from_id, to_id, attr, value."""
+    targets = links.where("link IS NOT NULL").select(F.col("id").alias("from_id"), F.col("link.id").alias("id"), F.col("link.attr").alias("wanted"))
+    found = entries.join(targets, "id").where((F.col("wanted") == F.col("attr")) | F.col("wanted").isNull())
+    return found.select("from_id", F.col("id").alias("to_id"), "attr", as_text(found).alias("value"))
+
+
 def index_rows(entries: DataFrame, ids: DataFrame) -> DataFrame:
     """The index rows that some entries make: (kind, attr, key, id), for looking into what is indexed."""
     own = entries.join(ids.select(F.col(ids.columns[0]).cast("string").alias("id")).distinct(), "id", "left_semi")

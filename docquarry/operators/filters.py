@@ -1,4 +1,8 @@
-"""Row tests as two-valued columns: a missing value fails every test, so ``~`` means "does not"."""
+"""Row tests as two-valued columns: a missing value fails every test, so ``~`` means "does not".
+
+A test of a plain attribute is the bare comparison beside ``IS NOT NULL``: it is false for a missing value, and as
+both parts are comparisons of a column, Spark hands them to the Parquet scan.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +15,6 @@ from pyspark.sql import types as T
 from ..functions import text as words
 
 
-def _two_valued(test: Column) -> Column:
-    return F.coalesce(test, F.lit(False))
-
-
 def match(df: DataFrame, attr: str, value) -> Column:
     """Any value of the attribute equals; a string never equals a number."""
     kind = df.schema[attr].dataType
@@ -37,20 +37,21 @@ def between(df: DataFrame, attr: str, low=None, high=None, inclusive: bool = Fal
     def test(v: Column) -> Column:
         parts = [v >= F.lit(low)] if low is not None else []
         parts += [(v <= F.lit(high) if inclusive else v < F.lit(high))] if high is not None else []
-        return reduce(Column.__and__, parts, v.isNotNull())
+        return reduce(Column.__and__, parts) if parts else v.isNotNull()
 
     return _any(df, attr, test)
 
 
 def _any(df: DataFrame, attr: str, test) -> Column:
+    column = F.col(attr)
     if isinstance(df.schema[attr].dataType, T.ArrayType):
-        return _two_valued(F.exists(attr, test))
-    return _two_valued(test(F.col(attr)))
+        return column.isNotNull() & F.exists(attr, lambda v: v.isNotNull() & test(v))
+    return column.isNotNull() & test(column)
 
 
-def word(attr: str, query: str) -> Column:
-    """Every token of the query begins a word of the attribute."""
-    return words.has_word(F.col(attr).cast("string"), query)
+def word(attr: str, query: str, tokenizer=None) -> Column:
+    """Every token of the query begins a word of the attribute; a tokenizer (a function of a column) cuts both."""
+    return words.has_word(F.col(attr).cast("string"), query, tokenizer)
 
 
 def any_word(attrs: list[str], query: str) -> Column:
@@ -59,6 +60,11 @@ def any_word(attrs: list[str], query: str) -> Column:
     return reduce(Column.__and__, each)
 
 
+def id_prefix(column: str, start: str) -> Column:
+    """Ids of one namespace: those that begin with ``start``; the test reaches the scan."""
+    return F.col(column).isNotNull() & F.startswith(F.col(column), F.lit(start))
+
+
 def near(attrs: list[str], query: list[str], limit: int = 2) -> Column:
     """The query's words stand near each other, in order, in one attribute."""
     return reduce(Column.__or__, (words.has_near(F.col(a).cast("string"), query, limit) for a in attrs))

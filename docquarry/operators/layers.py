@@ -24,9 +24,13 @@ def append(rows: DataFrame, path: str, level: int, session: str, visible: bool =
     named.write.mode("append").partitionBy("level").parquet(path)
 
 
-def compact(spark: SparkSession, path: str, to: str) -> None:
-    """All visible layers as one base layer at another path; deleted keys are gone for good."""
+def compact(spark: SparkSession, path: str, to: str, keep_unseen: bool = False) -> None:
+    """All visible layers as one base layer at another path; deleted keys are gone for good. Rows that only their own
+    session sees are left behind, or come along as they are."""
     layers = spark.read.parquet(path)
     seen = layers.where("visible")
     top = seen.groupBy("key").agg(F.max_by(F.struct("value", "is_deleted", "ts", "session", "visible"), F.struct("level", "ts")).alias("top"))
-    top.select("key", "top.*", F.lit(0).alias("level")).where("NOT is_deleted").write.mode("errorifexists").partitionBy("level").parquet(to)
+    base = top.select("key", "top.*", F.lit(0).alias("level")).where("NOT is_deleted")
+    if keep_unseen:
+        base = base.unionByName(layers.where("NOT visible"))
+    base.write.mode("errorifexists").partitionBy("level").parquet(to)

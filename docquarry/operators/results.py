@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as words
+from .entries import as_text
 
 
 def page(df: DataFrame, key: str, number: int, size: int = 20) -> DataFrame:
@@ -15,12 +16,26 @@ def page(df: DataFrame, key: str, number: int, size: int = 20) -> DataFrame:
     return df.orderBy(key).offset(start).limit(size)
 
 
+def page_after(df: DataFrame, key: str, last=None, size: int = 20) -> DataFrame:
+    """The rows that follow the key ``last`` (the first ones without it): however far on, a page takes ``size`` rows of
+    each partition, and the test of the key reaches the scan."""
+    rows = df if last is None else df.where(F.col(key) > F.lit(last))
+    return rows.orderBy(key).limit(size)
+
+
 def facet_words(df: DataFrame, by: str, text: str) -> DataFrame:
     """How many different words the texts of each group have."""
     pairs = df.select(by, F.explode(F.array_distinct(words.words(F.col(text)))).alias("word")).distinct()
     return pairs.groupBy(by).agg(F.count("*").alias("n_words"))
 
 
+def facet_sets(entries: DataFrame) -> DataFrame:
+    """attr and words (in order) of some entries, as (id, attr, sval, nval): the words of each attribute, and of all together
+    under a null attribute. For a page of results, whose words are few; counts for any size are ``facet_words``."""
+    found = entries.select("attr", F.explode(words.words(as_text(entries))).alias("word"))
+    return found.groupingSets([["attr"], []], "attr").agg(F.array_sort(F.collect_set("word")).alias("words"))
+
+
 def samples(df: DataFrame, key: str, text: str, limit: int = 3) -> DataFrame:
     """Sample words of each text."""
     return df.select(key, words.sample_words(F.col(text), limit).alias("samples"))

@@ -65,6 +65,27 @@ def next_key(df: DataFrame, key: str, after) -> DataFrame:
     return df.where(F.col(key) > after).agg(F.min(key).alias(key))
 
 
+def first_key(df: DataFrame, key: str) -> DataFrame:
+    """The smallest key (null without any)."""
+    return df.agg(F.min(key).alias(key))
+
+
+def all_keys(df: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """The different keys in order, or the first ``limit`` of them."""
+    keys = df.select(key).distinct().orderBy(key)
+    return keys if limit is None else keys.limit(limit)
+
+
+def has_key(df: DataFrame, key: str, value) -> bool:
+    """Whether a row has the key: the test reaches the scan, and the first row found ends it."""
+    return not df.where(F.col(key) == F.lit(value)).select(key).isEmpty()
+
+
+def at_end(df: DataFrame, key: str, last) -> bool:
+    """Whether no key follows ``last``."""
+    return df.where(F.col(key) > F.lit(last)).select(key).isEmpty()
+
+
 def range_sorted(df: DataFrame, *keys: str) -> DataFrame:
     """Partitions hold ranges of keys and are sorted within: a total order without one large task."""
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
@@ -72,3 +93,11 @@ def range_sorted(df: DataFrame, *keys: str) -> DataFrame:
 
 def table_stats(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.min(key).alias("min_key"), F.max(key).alias("max_key"), F.count("*").alias("n_rows"))
+
+
+def size_stats(df: DataFrame) -> DataFrame:
+    """Rows, values that aren't null, and bytes of the values as text, in one pass."""
+    there = [F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in df.columns]
+    size = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns]
+    total = lambda parts: F.coalesce(F.sum(reduce(lambda a, b: a + b, parts)), F.lit(0)).cast("long")
+    return df.agg(F.count("*").alias("n_rows"), total(there).alias("n_values"), total(size).alias("n_bytes"))

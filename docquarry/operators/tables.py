@@ -1,16 +1,23 @@
 """Keyed tables: select, insert, update and delete as transformations of DataFrames.
 
 Spark keeps the tables; these functions say what a table looks like after a change, and refuse changes that
-would break its key.
+would break its key. A Space names tables and keeps them as Parquet: every change of a table is a new version of its rows
+and a line in the space's log, so readers of an old version aren't disturbed.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ids import rendered_key
+from ..sources import folders
+from .entries import as_text, to_entries
 from .filters import whole
 
 
@@ -56,3 +63,117 @@ class Table:
 
     def delete_where(self, **equal) -> Table:
         return self._with(self.rows.where(~whole(self.rows, **equal)))
+
+    def replace_all(self, rows: DataFrame) -> Table:
+        """The table with these rows instead of its own."""
+        return self._with(rows.toDF(*map(str.lower, rows.columns)).select(*self.rows.columns))
+
+    def add(self, rows: DataFrame) -> Table:
+        """New rows; of a known key, only what the old row lacks is taken."""
+        names = [c for c in self.rows.columns if c not in self.keys]
+        more = rows.toDF(*map(str.lower, rows.columns))
+        both = self.rows.withColumn("__k", F.lit(0)).unionByName(more.withColumn("__k", F.lit(1)), allowMissingColumns=True)
+        first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("__k"))).alias(c) for c in names]
+        return self._with(both.groupBy(*self.keys).agg(*first).select(*self.rows.columns))
+
+
+#: What the log of a space says of a table; the last line counts.
+_LOG = "table_name string, abbreviation string, keys array<string>, location string, at long"
+
+
+@dataclass(frozen=True)
+class Space:
+    """Tables with names, abbreviations and keys, under a prefix of a folder. Several spaces share a folder undisturbed."""
+
+    spark: SparkSession
+    path: str
+    prefix: str = "ts"
+    #: A name that no table may have, as the space's own description goes by it.
+    meta: str = "META"
+
+    @property
+    def _log(self) -> str:
+        return f"{self.path}/{self.prefix}/{self.meta}"
+
+    def metadata(self) -> DataFrame:
+        """table_name, abbreviation, keys and location of the tables that are defined (a row each); location is null without rows."""
+        if not folders.exists(self.spark, self._log):
+            return self.spark.createDataFrame([], _LOG).drop("at")
+        log = self.spark.read.schema(_LOG).parquet(self._log)
+        last = log.groupBy("table_name").agg(F.max_by(F.struct("abbreviation", "keys", "location"), "at").alias("last"))
+        return last.select("table_name", "last.*").where("abbreviation IS NOT NULL")
+
+    def _known(self) -> dict[str, tuple[str, list[str], str | None]]:
+        return {r["table_name"]: (r["abbreviation"], list(r["keys"]), r["location"]) for r in self.metadata().collect()}
+
+    def _definition(self, name: str) -> tuple[str, list[str], str | None]:
+        if (found := self._known().get(name)) is None:
+            raise KeyError(f"no table {name} in {self.prefix}")
+        return found
+
+    def _note(self, *lines: tuple[str, str | None, list[str] | None, str | None]) -> None:
+        at = time.time_ns()
+        self.spark.createDataFrame([(*line, at) for line in lines], _LOG).coalesce(1).write.mode("append").parquet(self._log)
+
+    def define(self, name: str, abbreviation: str, *keys: str) -> None:
+        """Defines a table; the same definition again changes nothing, another one under a known name or abbreviation is an error."""
+        if self.meta in (name, abbreviation):
+            raise ValueError(f"{self.meta} names the space's description")
+        if not keys or any(len(k.split()) != 1 for k in keys):
+            raise ValueError("key columns need names without white space")
+        own, known = [k.lower() for k in keys], self._known()
+        if name in known:
+            if known[name][:2] == (abbreviation, own):
+                return
+            raise ValueError(f"table {name} is defined otherwise")
+        if abbreviation in {a for a, _, _ in known.values()}:
+            raise ValueError(f"the abbreviation {abbreviation} is in use")
+        self._note((name, abbreviation, own, None))
+
+    def open(self, name: str) -> Table:
+        _, keys, location = self._definition(name)
+        if location is None:
+            raise ValueError(f"table {name} has no rows yet")
+        return Table(name, tuple(keys), self.spark.read.parquet(location))
+
+    def save(self, table: Table) -> Table:
+        """The table's rows as its new version, and the table as read from there."""
+        abbreviation, keys, _ = self._definition(table.name)
+        if list(table.keys) != keys:
+            raise ValueError(f"table {table.name} has the keys {keys}")
+        location = f"{self.path}/{self.prefix}/{abbreviation}/{uuid.uuid4().hex}"
+        table.rows.write.mode("errorifexists").parquet(location)
+        self._note((table.name, abbreviation, keys, location))
+        return self.open(table.name)
+
+    def drop(self, name: str) -> None:
+        """Takes a table and its rows away; its name and abbreviation are free again."""
+        abbreviation, _, _ = self._definition(name)
+        self._note((name, None, None, None))
+        folders.remove(self.spark, f"{self.path}/{self.prefix}/{abbreviation}")
+
+    def drop_all(self) -> None:
+        """Everything of this space; other prefixes stay."""
+        folders.remove(self.spark, f"{self.path}/{self.prefix}")
+
+    def extended(self, table: Table) -> DataFrame:
+        """The rows with table_name and i, an id made of prefix, abbreviation and keys."""
+        abbreviation, keys, _ = self._definition(table.name)
+        return table.rows.withColumns({"table_name": F.lit(table.name), "i": rendered_key(F.lit(self.prefix), F.lit(abbreviation), *map(F.col, keys))})
+
+    def dump(self, rows: bool = True) -> DataFrame:
+        """table_name, abbreviation, keys, i, attr, value: what is defined and, unless ``rows`` is false, every value."""
+        parts = []
+        for name, (abbreviation, keys, location) in sorted(self._known().items()):
+            head = [F.lit(name).alias("table_name"), F.lit(abbreviation).alias("abbreviation"), F.lit(" ".join(keys)).alias("keys")]
+            if not rows or location is None:
+                none = F.lit(None).cast("string")
+                parts.append(self.spark.range(1).select(*head, none.alias("i"), none.alias("attr"), none.alias("value")))
+                continue
+            own = self.extended(self.open(name)).drop("table_name")
+            values = to_entries(own, "i")
+            parts.append(values.select(*head, F.col("id").alias("i"), "attr", as_text(values).alias("value")))
+        if not parts:
+            kinds = ("table_name", "abbreviation", "keys", "i", "attr", "value")
+            return self.spark.createDataFrame([], ", ".join(f"{k} string" for k in kinds))
+        return reduce(DataFrame.unionByName, parts)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cues as times
 from ..functions import ids, sql, values
 from ..functions import text as words
-from ..operators import cues, entries, filters, layers, results, setops, tables, threads
+from ..operators import cues, entries, filters, layers, results, sessions, setops, tables, threads
 from ..sources import entry_xml, subtitles
+from ..sources.folders import new_folder, shared_root
 from ..streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,19 +46,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors see."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docquarry-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _docs(spark: SparkSession, d: str, test: Callable[[DataFrame], Column], columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     docs = table(spark, d, "documents")
     return docs.where(test(docs)).select(*columns)
 
 
+def _stored_word_index(spark: SparkSession, d: str) -> DataFrame:
+    """The word index of the documents, built once for the files that they are in and found again later."""
+    docs = table(spark, d, "documents")
+    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    mark = files.agg(F.coalesce(F.sum(F.xxhash64("*").cast("decimal(38,0)")), F.lit(0)).cast("string")).first()[0]
+    path = f"{shared_root(spark)}/word-index-{hashlib.md5(mark.encode()).hexdigest()}"
+    return entries.stored_index(entries.word_index(docs, "doc_id", ["text"]), path)
+
+
 # -- filters -----------------------------------------------------------------------------------------------
 
 
@@ -141,6 +144,12 @@ def match_whole_row(spark, d):
     return orders.where(filters.whole(orders, o_orderpriority="1-URGENT", o_orderstatus="F")).select("o_orderkey")
 
 
+@_query("SELECT doc_id FROM documents WHERE len(list_filter(string_split_regex(lower(text), '[ \\n]+'), lambda w: starts_with(w, 'ther,'))) > 0")
+def word_tokenized(spark, d):
+    by_space = lambda text: F.split(F.lower(text), r"[ \n]+")
+    return _docs(spark, d, lambda t: filters.word("text", "Ther,", by_space))
+
+
 @_query("SELECT doc_id FROM documents WHERE n_chars % 7 = 0 AND lang = 'de'")
 def custom_filter(spark, d):
     return _docs(spark, d, lambda t: filters.match(t, "lang", "de") & (F.col("n_chars") % 7 == 0))
@@ -171,7 +180,7 @@ def bool_nested(spark, d):
 
 @_query(f"SELECT doc_id AS id FROM documents WHERE {_wp('text', 'ther')} AND {_wp('text', 'and')}")
 def index_word_search(spark, d):
-    return entries.ids_with(entries.word_index(table(spark, d, "documents"), "doc_id", ["text"]), "ther and")
+    return entries.ids_with(_stored_word_index(spark, d), "ther and")
 
 
 @_query(ORACLES["bool_nested"])
@@ -246,6 +255,26 @@ def additive_upsert(spark, d):
     return entries.upsert(old, entries.to_entries(more, "doc_id")).select("id", "attr", "sval")
 
 
+@_query("SELECT CAST(p_partkey AS VARCHAR) AS id, 'p_name' AS attr, CASE WHEN p_size = 11 THEN upper(p_name) ELSE p_name END AS sval FROM part")
+def replace_entries(spark, d):
+    parts = table(spark, d, "part")
+    old = entries.to_entries(parts, "p_partkey", ["p_name"])
+    more = entries.to_entries(parts.where(filters.match(parts, "p_size", 11)).select("p_partkey", F.upper("p_name").alias("p_name")), "p_partkey")
+    return entries.replace(old, more).select("id", "attr", "sval")
+
+
+@_query(f"SELECT DISTINCT p_partkey AS id, w AS word FROM (SELECT p_partkey, unnest({_tok('p_name')}) AS w FROM part) WHERE length(w) > 2")
+def archive_created(spark, d):
+    path = new_folder(spark)
+    index = entries.word_index(table(spark, d, "part"), "p_partkey", ["p_name"])
+    entries.write_sorted(index, path)
+    try:
+        entries.write_sorted(index, path)  # a second archive in the same place
+    except AnalysisException:
+        return spark.read.parquet(path)
+    raise AssertionError("an archive was written over")
+
+
 @_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)")
 def tombstone_delete(spark, d):
     gone = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
@@ -259,7 +288,7 @@ def entry_xml_out(spark, d):
 
 @_query("SELECT CAST(n_nationkey AS VARCHAR) AS id, 'n_name' AS attr, n_name AS sval FROM nation")
 def entry_xml_round_trip(spark, d):
-    path = shared_folder(spark)
+    path = new_folder(spark)
     entry_xml.write(entries.describe(entries.to_entries(table(spark, d, "nation"), "n_nationkey", ["n_name"])), path)
     return entry_xml.read(spark, path).select("id", "attr", "sval")
 
@@ -272,9 +301,21 @@ def result_size(spark, d):
     return _docs(spark, d, lambda t: filters.word("text", "ther")).agg(F.count("*").alias("n"))
 
 
-@_query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 20")
+@_query("SELECT DISTINCT doc_id FROM labels ORDER BY doc_id LIMIT 20")
 def ids_ordered_limit(spark, d):
-    return table(spark, d, "documents").select("doc_id").orderBy("doc_id").limit(20)
+    return setops.all_keys(table(spark, d, "labels"), "doc_id", 20)
+
+
+@_query("SELECT min(doc_id) AS doc_id FROM documents")
+def first_id(spark, d):
+    return setops.first_key(table(spark, d, "documents"), "doc_id")
+
+
+@_query("SELECT k AS probe, EXISTS (FROM documents WHERE doc_id = k) AS found, NOT EXISTS (FROM documents WHERE doc_id > k) AS at_end FROM (VALUES (-5::BIGINT), (1::BIGINT), (9000000000::BIGINT)) v (k)")
+def id_probes(spark, d):
+    docs = table(spark, d, "documents")
+    rows = [(k, setops.has_key(docs, "doc_id", k), setops.at_end(docs, "doc_id", k)) for k in (-5, 1, 9_000_000_000)]
+    return spark.createDataFrame(rows, "probe long, found boolean, at_end boolean")
 
 
 @_query("SELECT min(doc_id) AS doc_id FROM documents WHERE doc_id > 10")
@@ -292,6 +333,21 @@ def page_past_end(spark, d):
     return results.page(table(spark, d, "documents").select("doc_id"), "doc_id", 1_000_000_000)
 
 
+@_query("SELECT doc_id, lang FROM documents WHERE doc_id > 59 ORDER BY doc_id LIMIT 20")
+def page_next(spark, d):
+    return results.page_after(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", 59)
+
+
+@_query(f"""WITH p AS (SELECT text, source FROM documents ORDER BY doc_id LIMIT 20),
+w AS (SELECT 'text' AS attr, unnest({_tok('text')}) AS w FROM p UNION SELECT 'source', unnest({_tok('source')}) FROM p),
+g AS (SELECT attr, w FROM w WHERE length(w) > 2 UNION SELECT NULL, w FROM w WHERE length(w) > 2)
+SELECT attr, count(*) AS n, string_agg(w, ' ' ORDER BY w) AS words FROM g GROUP BY attr""")
+def facet_sets(spark, d):
+    shown = results.page_after(table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id")
+    found = results.facet_sets(entries.to_entries(shown, "doc_id"))
+    return found.select("attr", F.size("words").cast("long").alias("n"), F.array_join("words", " ").alias("words"))
+
+
 @_query(f"SELECT lang, count(DISTINCT w) AS n_words FROM (SELECT lang, unnest({_tok('text')}) AS w FROM documents) WHERE length(w) > 2 GROUP BY lang")
 def facet_words(spark, d):
     return results.facet_words(table(spark, d, "documents"), "lang", "text")
@@ -338,6 +394,14 @@ def tokens(spark, d):
     return own.select("doc_id", F.size("k").cast("long").alias("n_tokens"), F.size(F.array_distinct("k")).cast("long").alias("n_distinct"))
 
 
+@_query(r"""WITH s AS (SELECT doc_id, string_split(lower(text), 'ther') AS p FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, p, unnest(range(1, len(p))) AS k FROM s),
+f AS (SELECT doc_id, list_sum(list_transform(p[1:k], lambda x: length(x))) + 4 * (k - 1) AS a FROM h WHERE (k = 1 AND p[1] = '') OR (p[k] <> '' AND NOT regexp_matches(right(p[k], 1), '[a-z0-9_]')))
+SELECT doc_id, CAST(a AS INTEGER) AS "start", CAST(a + 4 AS INTEGER) AS "end" FROM f""")
+def prefix_places(spark, d):
+    found = table(spark, d, "documents").select("doc_id", F.explode(words.prefix_places(F.col("text"), "ther")).alias("at"))
+    return found.select("doc_id", "at.start", "at.end")
+
+
 # -- sets and merges ---------------------------------------------------------------------------------------
 
 
@@ -356,26 +420,35 @@ def set_difference(spark, d):
     return setops.difference(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id"))
 
 
-_HALVES = "a AS (SELECT o_orderkey, o_totalprice, 'new' AS layer FROM orders WHERE o_orderkey % 3 = 0), b AS (SELECT o_orderkey, o_totalprice, 'old' AS layer FROM orders WHERE o_orderkey % 2 = 0)"
+_SOLD = "SELECT l_orderkey AS o_orderkey, sum(l_quantity) AS amount, 'lines' AS layer FROM lineitem GROUP BY l_orderkey"
 
 
-@_query(f"WITH {_HALVES} SELECT o_orderkey, coalesce(a.o_totalprice, b.o_totalprice) AS o_totalprice, coalesce(a.layer, b.layer) AS layer FROM a FULL JOIN b USING (o_orderkey)")
+def _sold(spark, d) -> DataFrame:
+    """What is sold with each order, by its lines."""
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("amount")).withColumn("layer", F.lit("lines"))
+
+
+def _orders(spark, d) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("amount"), F.lit("orders").alias("layer"))
+
+
+@_query(f"WITH a AS ({_SOLD}) SELECT o_orderkey, coalesce(a.amount, b.o_totalprice) AS amount, coalesce(a.layer, 'orders') AS layer FROM a FULL JOIN orders b USING (o_orderkey)")
 def merge_prefer_left(spark, d):
-    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    return setops.merge(["o_orderkey"], orders.where("o_orderkey % 3 = 0").withColumn("layer", F.lit("new")), orders.where("o_orderkey % 2 = 0").withColumn("layer", F.lit("old")))
+    return setops.merge(["o_orderkey"], _sold(spark, d), _orders(spark, d))
 
 
-@_query("""SELECT o_orderkey, min(k) AS layer FROM (SELECT o_orderkey, 0 AS k FROM orders WHERE o_orderkey % 5 = 0 UNION ALL
-SELECT o_orderkey, 1 FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 2 FROM orders WHERE o_orderkey % 2 = 0) GROUP BY o_orderkey""")
+@_query("""SELECT o_orderkey, min(k) AS layer FROM (SELECT l_orderkey AS o_orderkey, 0 AS k FROM lineitem WHERE l_returnflag = 'R' UNION ALL
+SELECT l_orderkey, 1 FROM lineitem UNION ALL SELECT o_orderkey, 2 FROM orders) GROUP BY o_orderkey""")
 def merge_n_way(spark, d):
-    orders = table(spark, d, "orders").select("o_orderkey")
-    return setops.merge(["o_orderkey"], *(orders.where(f"o_orderkey % {m} = 0").withColumn("layer", F.lit(k)) for k, m in enumerate((5, 3, 2))))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag")
+    layered = (lines.where("l_returnflag = 'R'").drop("l_returnflag"), lines.drop("l_returnflag"), table(spark, d, "orders").select("o_orderkey"))
+    return setops.merge(["o_orderkey"], *(rows.withColumn("layer", F.lit(k)) for k, rows in enumerate(layered)))
 
 
-@_query("SELECT o_orderkey, count(*) AS n FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0) GROUP BY o_orderkey")
+@_query("SELECT o_orderkey, count(*) AS n FROM (SELECT o_orderkey FROM orders UNION ALL SELECT l_orderkey FROM lineitem) GROUP BY o_orderkey")
 def merge_keep_duplicates(spark, d):
-    orders = table(spark, d, "orders").select("o_orderkey")
-    return setops.keep_duplicates(orders.where("o_orderkey % 3 = 0"), orders.where("o_orderkey % 2 = 0")).groupBy("o_orderkey").agg(F.count("*").alias("n"))
+    both = setops.keep_duplicates(table(spark, d, "orders").select("o_orderkey"), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")))
+    return both.groupBy("o_orderkey").agg(F.count("*").alias("n"))
 
 
 @_query("SELECT user_id, max_by(value, (ts, event_id)) AS value, max(ts) AS ts FROM events GROUP BY user_id")
@@ -393,6 +466,11 @@ def sort_total(spark, d):
     return setops.range_sorted(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", "o_orderkey")
 
 
+@_query("SELECT count(*) AS n_rows, CAST(count(p_partkey) + count(p_name) + count(p_size) AS BIGINT) AS n_values, CAST(sum(strlen(CAST(p_partkey AS VARCHAR)) + strlen(p_name) + strlen(CAST(p_size AS VARCHAR))) AS BIGINT) AS n_bytes FROM part")
+def size_stats(spark, d):
+    return setops.size_stats(table(spark, d, "part").select("p_partkey", "p_name", "p_size"))
+
+
 @_query("SELECT min(o_orderkey) AS min_key, max(o_orderkey) AS max_key, count(*) AS n_rows FROM orders")
 def table_stats(spark, d):
     return setops.table_stats(table(spark, d, "orders"), "o_orderkey")
@@ -424,7 +502,7 @@ def layered_view_own_session(spark, d):
 
 @_query(_TOP.format("true"))
 def layers_compacted(spark, d):
-    path = shared_folder(spark)
+    path = new_folder(spark)
     rows = _layer_rows(table(spark, d, "events"))
     for level in range(3):
         layers.append(rows.where(F.col("level") == level), f"{path}/layers", level, "batch")
@@ -432,18 +510,96 @@ def layers_compacted(spark, d):
     return layers.view(spark.read.parquet(f"{path}/base"))
 
 
+def _arriving(spark: SparkSession, d: str, folder: str, take: Callable[[DataFrame], object], parts: int = 3) -> None:
+    """Lets events arrive in parts by time, each of which a stream takes in, resumed from its checkpoint."""
+    events = table(spark, d, "events")
+    ends = events.agg(F.min("ts").cast("timestamp").cast("double").alias("low"), F.max("ts").cast("timestamp").cast("double").alias("high")).first()
+    at = F.col("ts").cast("timestamp").cast("double")
+    part = F.least(F.floor((at - ends["low"]) / max(ends["high"] - ends["low"], 1e-6) * parts), F.lit(parts - 1))
+    for k in range(parts):
+        events.where(part == k).write.mode("append").parquet(folder)
+        take(ingest.parquet_stream(spark, folder)).awaitTermination()
+
+
 @_query("SELECT key, value FROM (SELECT user_id AS key, value, event_id % 11 = 0 AS gone, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1 AND NOT gone")
 def streaming_layers(spark, d):
-    path = shared_folder(spark)
-    rows = _layer_rows(ingest.parquet_stream(spark, d, "events.parquet"))
-    ingest.ingest(rows.select("key", "value", "is_deleted", "ts"), f"{path}/layers", f"{path}/checkpoint").awaitTermination()
+    path = new_folder(spark)
+    take = lambda rows: ingest.ingest(_layer_rows(rows).select("key", "value", "is_deleted", "ts"), f"{path}/layers", f"{path}/checkpoint")
+    _arriving(spark, d, f"{path}/in", take)
     return layers.view(spark.read.parquet(f"{path}/layers"))
 
 
 @_query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def windowed_counts(spark, d):
-    found = ingest.windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
-    return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    path = new_folder(spark)
+    counts = lambda rows: ingest.windowed_counts(rows.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
+    _arriving(spark, d, f"{path}/in", lambda rows: ingest.keep_updates(counts(rows), f"{path}/counts", f"{path}/checkpoint"))
+    return ingest.newest(spark, f"{path}/counts", "window_start", "event_type").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# -- sessions ----------------------------------------------------------------------------------------------
+
+
+def _archive(spark, d) -> tuple[sessions.Archive, DataFrame]:
+    """An archive with the documents' languages in one active session, and the labels' answers for a second one."""
+    archive = sessions.Archive(spark, new_folder(spark))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("lang").alias("value"), F.lit(False).alias("is_deleted"), F.lit(1).alias("ts"))
+    archive.write(docs, archive.begin("documents"))
+    archive.publish("documents")
+    labels = table(spark, d, "labels").groupBy(F.col("doc_id").alias("key")).agg(F.max("quality").cast("string").alias("value"), (F.coalesce(F.max("toxic"), F.lit(0)) == 1).alias("is_deleted"))
+    return archive, labels.withColumn("ts", F.lit(2))
+
+
+_BEFORE = "SELECT doc_id AS key, lang AS value FROM documents"
+_AFTER = """SELECT coalesce(d.doc_id, l.doc_id) AS key, CASE WHEN l.doc_id IS NULL THEN d.lang ELSE l.value END AS value FROM documents d
+FULL JOIN (SELECT doc_id, CAST(max(quality) AS VARCHAR) AS value, coalesce(max(toxic), 0) = 1 AS gone FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id WHERE NOT coalesce(l.gone, false)"""
+
+
+@_query(_BEFORE)
+def layers_discarded(spark, d):
+    archive, labels = _archive(spark, d)
+    archive.write(labels, archive.begin("labels"), level=2)
+    archive.discard("labels")
+    return archive.view()
+
+
+@_query(_AFTER)
+def layers_published(spark, d):
+    archive, labels = _archive(spark, d)
+    archive.write(labels, archive.begin("labels"), level=2)
+    archive.publish("labels")
+    return archive.view()
+
+
+@_query(f"SELECT *, 'anybody' AS seen_by FROM ({_BEFORE}) UNION ALL SELECT *, 'labels' FROM ({_AFTER})")
+def layers_resumed(spark, d):
+    archive, labels = _archive(spark, d)
+    archive.write(labels.where("is_deleted"), archive.begin("labels"), level=2)
+    again = sessions.Archive(spark, archive.path)  # as another program would, later
+    again.write(labels.where("NOT is_deleted"), again.resume("labels"), level=2)
+    return again.view().withColumn("seen_by", F.lit("anybody")).unionByName(again.view("labels").withColumn("seen_by", F.lit("labels")))
+
+
+@_query(_AFTER)
+def layers_vacuumed(spark, d):
+    archive, labels = _archive(spark, d)
+    archive.write(labels, archive.begin("labels"), level=2)
+    archive.publish("labels")
+    archive.write(labels, archive.begin("wrong"), level=3)
+    archive.discard("wrong")
+    archive.compact()
+    archive.vacuum(complete=True)
+    return archive.view()
+
+
+@_query("SELECT * FROM (VALUES ('base', 'active'), ('documents', 'retired'), ('labels', 'waiting'), ('wrong', 'discarded')) v (session, state)")
+def layers_states(spark, d):
+    archive, labels = _archive(spark, d)
+    archive.write(labels, archive.begin("labels"), level=2)
+    archive.write(labels, archive.begin("wrong"), level=3)
+    archive.discard("wrong")
+    archive.compact()
+    return archive.states().select(F.regexp_replace("session", "^base-.*", "base").alias("session"), "state")
 
 
 # -- tables ------------------------------------------------------------------------------------------------
@@ -488,6 +644,77 @@ def primary_key_render(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", ids.rendered_key(F.col("l_orderkey"), F.col("l_linenumber")).alias("id"))
 
 
+def _space(spark, d) -> tables.Space:
+    """A space with two tables of their own keys."""
+    space = tables.Space(spark, new_folder(spark))
+    space.define("supplier", "S", "s_suppkey")
+    space.define("sells", "L", "l_suppkey", "l_partkey")
+    space.save(tables.Table("supplier", ("s_suppkey",), table(spark, d, "supplier").select("s_suppkey", "s_name")))
+    sold = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    space.save(tables.Table("sells", ("l_suppkey", "l_partkey"), sold))
+    return space
+
+
+@_query("SELECT s_suppkey, s_name FROM supplier")
+def ts_opened_by_name(spark, d):
+    return _space(spark, d).open("supplier").rows
+
+
+@_query("SELECT 'sells' AS table_name, 'L' AS abbreviation, 'l_suppkey l_partkey' AS keys UNION ALL SELECT 'supplier', 'S', 's_suppkey'")
+def ts_define_twice(spark, d):
+    space = _space(spark, d)
+    space.define("supplier", "S", "S_SUPPKEY")  # the same again
+    for wrong in (("supplier", "S", "s_name"), ("part", "S", "p_partkey"), ("part", "META", "p_partkey")):
+        try:
+            space.define(*wrong)
+        except ValueError:
+            continue
+        raise AssertionError(f"{wrong} was let through")
+    return space.metadata().select("table_name", "abbreviation", F.array_join("keys", " ").alias("keys"))
+
+
+@_query("""SELECT 'sells' AS table_name, 'ts|:L|:' || l_suppkey || '|:' || l_partkey AS i, attr, CAST(value AS VARCHAR) AS value FROM
+(UNPIVOT (SELECT DISTINCT l_suppkey, l_partkey, l_suppkey AS a, l_partkey AS b FROM lineitem) ON a, b INTO NAME attr0 VALUE value), (VALUES ('a', 'l_suppkey'), ('b', 'l_partkey')) v (short, attr) WHERE attr0 = short
+UNION ALL SELECT 'supplier', 'ts|:S|:' || s_suppkey, 's_suppkey', CAST(s_suppkey AS VARCHAR) FROM supplier UNION ALL SELECT 'supplier', 'ts|:S|:' || s_suppkey, 's_name', s_name FROM supplier""")
+def ts_dump(spark, d):
+    return _space(spark, d).dump().select("table_name", "i", "attr", "value")
+
+
+@_query("SELECT 'sells' AS table_name, l_suppkey, l_partkey FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)")
+def ts_drop(spark, d):
+    space = _space(spark, d)
+    other = tables.Space(spark, space.path, "other")
+    other.define("supplier", "S", "s_suppkey")
+    space.drop("supplier")
+    other.drop_all()
+    left = [r["table_name"] for r in space.metadata().collect()]
+    return space.open(left[0]).rows.select(F.lit(left[0]).alias("table_name"), "l_suppkey", "l_partkey")
+
+
+@_query("SELECT 'ts|:S|:' || s_suppkey AS i, 'supplier' AS table_name, s_suppkey, s_name FROM supplier")
+def ts_extended(spark, d):
+    space = _space(spark, d)
+    return space.extended(space.open("supplier"))
+
+
+@_query("SELECT 'ts|:L|:' || l_suppkey || '|:' || l_partkey AS i FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey = 3)")
+def ts_id_prefix(spark, d):
+    space = _space(spark, d)
+    return space.extended(space.open("sells")).where(filters.id_prefix("i", "ts|:L|:3|:")).select("i")
+
+
+@_query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R')")
+def ts_delete_keys(spark, d):
+    gone = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("s_suppkey"))
+    return _suppliers(spark, d).delete(gone).rows.select("s_suppkey")
+
+
+@_query("SELECT s_suppkey, s_name, s_nationkey FROM supplier UNION ALL SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+def ts_add(spark, d):
+    more = table(spark, d, "customer").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name"), F.col("c_nationkey").alias("s_nationkey"))
+    return _suppliers(spark, d).add(more).rows.select("s_suppkey", "s_name", "s_nationkey")
+
+
 # -- threads -----------------------------------------------------------------------------------------------
 
 
@@ -519,6 +746,13 @@ def thread_match(spark, d):
     return threads.matching(turns.select("id").distinct(), turns.where("role = 'user'").select("id"), turns.where(filters.word("text", "the")).select("id"))
 
 
+@_query(rf"""WITH {_PATHS}, a AS (SELECT DISTINCT id FROM turns WHERE role = 'user')
+SELECT DISTINCT t.id FROM turns t WHERE EXISTS (FROM a WHERE t.id = a.id OR ends_with(t.id, '\' || a.id))""")
+def thread_closure(spark, d):
+    turns = _turns(spark, d)
+    return threads.closure(turns.select("id").distinct(), turns.where("role = 'user'").select("id"))
+
+
 # -- values, URLs, fingerprints ----------------------------------------------------------------------------
 
 
@@ -532,9 +766,43 @@ def url_rewrite(spark, d):
 @_query(f"SELECT page_id FROM pages WHERE {_wp('html', 'the')}")
 def expanded_url_search(spark, d):
     pages = table(spark, d, "pages")
-    cited = pages.select("page_id", values.tagged(values.EXPANDED, F.col("url")).alias("link"), F.col("url").alias("cited"))
-    fetched = pages.select(F.col("page_id").alias("at"), F.col("html"))
-    return cited.join(fetched, cited["page_id"] == fetched["at"]).where(words.has_word(values.searchable(F.col("link"), F.col("html")), "the")).select("page_id")
+    moved = {"https://": "file:///all/", "http://": "file:///old/"}
+    stored = pages.select(values.rewritten(F.col("url"), moved).alias("url"), "html")  # what is behind an address lies elsewhere
+    cited = pages.select("page_id", "url", values.tagged(values.EXPANDED, F.col("url")).alias("link"))
+    found = values.fetched(cited, "url", stored, moved)
+    return found.where(words.has_word(values.searchable(F.col("link"), F.col("fetched")), "the")).select("page_id")
+
+
+_QUOTED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_Q_URL, _Q_HTML = _QUOTED.format("url"), _QUOTED.format("html")
+
+
+@_query(f"""SELECT page_id, 'ExpandedURL' AS flag, {_Q_HTML} AS shown FROM pages UNION ALL SELECT page_id, 'UnExpandedURL', '<a href="' || {_Q_URL} || '">' || {_Q_URL} || '</a>' FROM pages
+UNION ALL SELECT page_id, 'UnIndexedURL', '<a href="' || {_Q_URL} || '">' || {_Q_URL} || '</a>' FROM pages UNION ALL SELECT page_id, 'ImageURL', '<img src="' || {_Q_URL} || '">' FROM pages
+UNION ALL SELECT page_id, 'InternalLink', '<b> INTERNAL LINK TO ' || {_Q_URL} || ' </b>' FROM pages UNION ALL SELECT page_id, '', {_Q_URL} FROM pages""")
+def values_shown(spark, d):
+    flags = F.array(*map(F.lit, [values.EXPANDED, values.UNEXPANDED, values.UNINDEXED, values.IMAGE, values.LINK, ""]))
+    own = table(spark, d, "pages").select("page_id", "url", "html", F.explode(flags).alias("flag"))
+    return own.select("page_id", "flag", values.shown(F.struct("flag", F.col("url").alias("text")), F.col("html")).alias("shown"))
+
+
+@_query(f"""SELECT page_id, '<fld n="link" special="InternalLink">' || {_Q_URL} || '</fld>' AS xml, '<a href="?id=' || {_Q_URL} || '">' || {_Q_URL} || '</a>' AS html FROM pages""")
+def values_made(spark, d):
+    own = values.tagged(values.LINK, F.col("url"))
+    link = lambda text: F.concat(F.lit('<a href="?id='), text, F.lit('">'), text, F.lit("</a>"))
+    return table(spark, d, "pages").select("page_id", values.in_xml(own, "link").alias("xml"), values.shown(own, F.lit(None), link).alias("html"))
+
+
+_TURN_ENTRIES = "t AS (SELECT DISTINCT conv_id || '-' || turn AS id, conv_id || '-' || (turn - 1) AS before, text FROM conversations WHERE text IS NOT NULL)"
+
+
+@_query(f"WITH {_TURN_ENTRIES} SELECT DISTINCT a.id AS from_id, b.id AS to_id, 'text' AS attr, b.text AS value FROM t a JOIN t b ON a.before = b.id")
+def links_followed(spark, d):
+    own = table(spark, d, "conversations").where("text IS NOT NULL")
+    number = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
+    turns = own.select(number(F.col("turn")).alias("id"), "text", F.concat(F.lit("text::"), number(F.col("turn") - 1)).alias("before")).distinct()
+    links = turns.select("id", values.link_target(values.tagged(values.LINK, F.col("before"))).alias("link")).distinct()
+    return entries.follow_links(entries.to_entries(turns.select("id", "text"), "id"), links).distinct()
 
 
 @_query("SELECT doc_id, md5(text) AS fingerprint FROM documents")
@@ -542,6 +810,15 @@ def md5_fingerprint(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5("text").alias("fingerprint"))
 
 
+_UUID = """substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-3' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"""
+_DNS = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
+
+
+@_query(f"SELECT page_id, {_UUID} AS uuid FROM (SELECT page_id, md5(unhex('{_DNS.replace('-', '')}') || encode(url)) AS h FROM pages)")
+def name_uuids(spark, d):
+    return table(spark, d, "pages").select("page_id", ids.name_uuid(_DNS, F.col("url"), 3).alias("uuid"))
+
+
 # -- cues --------------------------------------------------------------------------------------------------
 
 _DAY = "(date_part('hour', ts) * 3600000 + date_part('minute', ts) * 60000 + floor(date_part('millisecond', ts)))::BIGINT"
@@ -570,7 +847,7 @@ def srt_parse(spark, d):
 
 @_query(f"SELECT CAST(user_id AS VARCHAR) AS file, CAST(count(*) AS BIGINT) AS n, CAST(sum(start_ms) AS BIGINT) AS total FROM ({_CUE}) GROUP BY ALL")
 def srt_file_round_trip(spark, d):
-    path = shared_folder(spark)
+    path = new_folder(spark)
     own = _cues(spark, d).withColumn("file", F.col("user_id").cast("string"))
     subtitles.write(cues.renumber(own, "file", "event_id").select("file", "index", "start_ms", "end_ms", "text"), path)
     found = subtitles.read(spark, f"{path}/*/*.txt").withColumn("file", F.regexp_extract("file", "/file=([^/]*)/", 1))
@@ -596,3 +873,43 @@ def srt_renumber(spark, d):
 def cue_search(spark, d):
     own = table(spark, d, "conversations").withColumns({"start_ms": F.col("turn") * 2000, "end_ms": F.col("turn") * 2000 + 1900})
     return cues.search(own, "the", lead_ms=500).select("conv_id", "turn", "start", "seek_ms")
+
+
+@_query("SELECT conv_id, turn, replace(replace(replace(text, chr(10), ' '), '<i>', '[I]'), '</i>', '[/I]') AS shown FROM conversations WHERE " + _wp("text", "the"))
+def cue_shown(spark, d):
+    own = table(spark, d, "conversations").withColumns({"start_ms": F.col("turn") * 2000, "end_ms": F.col("turn") * 2000 + 1900})
+    return cues.search(own, "the").select("conv_id", "turn", "shown")
+
+
+@_query(f"""SELECT event_id, start_ms // 3600000 AS h, start_ms // 60000 % 60 AS m, start_ms // 1000 % 60 AS s, start_ms % 1000 AS ms,
+start_ms - start_ms // 60000 % 60 * 60000 + 300000 AS reset FROM ({_CUE})""")
+def cue_parts(spark, d):
+    at = F.col("start_ms")
+    own = _cues(spark, d).select("event_id", times.parts(at).alias("p"), times.with_parts(at, m=5).alias("reset"))
+    return own.select("event_id", *(F.col("p")[k].alias(name) for k, name in enumerate(("h", "m", "s", "ms"))), "reset")
+
+
+@_query(f"SELECT event_id, {_DAY} AS start_ms, CAST('1970-01-01' AS TIMESTAMP) + to_milliseconds({_DAY}) AS at FROM events")
+def cue_times_of_day(spark, d):
+    start = times.of_time(F.col("ts"))
+    return table(spark, d, "events").select("event_id", start.alias("start_ms"), times.to_time(start).alias("at"))
+
+
+@_query("SELECT event_id, e AS encoding, event_type AS text FROM events, (VALUES ('UTF-8'), ('UTF-16LE'), ('UTF-16BE'), ('none')) v (e)")
+def subtitle_encodings(spark, d):
+    text, mark = F.col("event_type"), {name: F.unhex(F.lit(mark)) for mark, name in subtitles.MARKS}
+    forms = [F.struct(F.lit(e).alias("encoding"), F.concat(mark[e], F.encode(text, e)).alias("content")) for e in ("UTF-8", "UTF-16LE", "UTF-16BE")]
+    own = table(spark, d, "events").select("event_id", F.explode(F.array(*forms, F.struct(F.lit("none").alias("encoding"), F.encode(text, "UTF-8").alias("content")))).alias("f"))
+    found = own.select("event_id", "f.encoding", subtitles.encoding_of(F.col("f.content"), "none").alias("found"), subtitles.decoded(F.col("f.content")).alias("text"))
+    return found.where("encoding = found").select("event_id", "encoding", "text")
+
+
+@_query(f"SELECT CAST(user_id AS VARCHAR) AS file, count(*) AS n FROM ({_CUE}) GROUP BY user_id HAVING min(start_ms) >= 3600000")
+def subtitles_loaded_anew(spark, d):
+    path = new_folder(spark)
+    own = _cues(spark, d).withColumn("file", F.col("user_id").cast("string"))
+    subtitles.write(cues.renumber(own, "file", "event_id").select("file", "index", "start_ms", "end_ms", "text"), path)
+    first = subtitles.load_new(spark, f"{path}/*/*.txt")
+    known = first.where("start_ms < 3600000").select("fingerprint").distinct()  # loaded before
+    more = subtitles.load_new(spark, f"{path}/*/*.txt", known).withColumn("file", F.regexp_extract("file", "/file=([^/]*)/", 1))
+    return more.groupBy("file").agg(F.count("*").alias("n"))

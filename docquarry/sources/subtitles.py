@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.cues import format_time, parse_time
 
-BLOCK = r"(?s)^(\d+)\n(\d{2}:\d{2}:\d{2}[,.]\d{3}) --> (\d{2}:\d{2}:\d{2}[,.]\d{3})[ XY:\d]*\n(.*)"
+_AT = r"(\d{2}:\d{2}:\d{2}[,.]\d{3})"
+#: A number; two times, and the corners of a box if the cue has one; any lines of text.
+_BOX = r"(?:[ \t]+[XY][12]:\d+)*[ \t]*"
+BLOCK = rf"(?s)^(\d+)\n{_AT} --> {_AT}{_BOX}\n(.*)"
+#: Byte order marks and the encodings they stand for, longer ones first.
+MARKS = (("FFFE0000", "UTF-32LE"), ("0000FEFF", "UTF-32BE"), ("EFBBBF", "UTF-8"), ("FFFE", "UTF-16LE"), ("FEFF", "UTF-16BE"))
 MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 
 
@@ -34,9 +39,37 @@ def cues_of(files: DataFrame, mode: str = "DROPMALFORMED") -> DataFrame:
     return found.select("file", "cue.*", F.when(F.col("cue").isNull(), F.col("block")).alias("malformed"))
 
 
-def read(spark: SparkSession, path: str, encoding: str = "UTF-8", mode: str = "DROPMALFORMED") -> DataFrame:
-    """Cues of all files under a path."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", encoding).alias("content"))
+def encoding_of(content: Column, default: str = "UTF-8") -> Column:
+    """The encoding that a file's byte order mark names; the default without one."""
+    head = F.hex(F.substring(content, 1, 4))
+    cases = F.lit(default)
+    for mark, name in reversed(MARKS):
+        cases = F.when(F.startswith(head, F.lit(mark)), F.lit(name)).otherwise(cases)
+    return cases
+
+
+def decoded(content: Column, encoding: str | None = None) -> Column:
+    """The text of a file: in the given encoding, or in that of its mark, which is left out."""
+    if encoding:
+        return F.decode(content, encoding)
+    head, text = F.hex(F.substring(content, 1, 4)), F.decode(content, "UTF-8")
+    for mark, name in reversed(MARKS):
+        rest = F.substring(content, len(mark) // 2 + 1, (1 << 31) - 1)
+        # Spark's decoder knows UTF-32 in the order of its mark alone
+        body = F.decode(content, "UTF-32") if name.startswith("UTF-32") else F.decode(rest, name)
+        text = F.when(F.startswith(head, F.lit(mark)), body).otherwise(text)
+    return text
+
+
+def newline_of(text: Column) -> Column:
+    """The first line end of a text; null without any."""
+    found = F.regexp_extract(text, r"(\r\n|\n|\r)", 1)
+    return F.when(found != "", found)
+
+
+def read(spark: SparkSession, path: str, encoding: str | None = None, mode: str = "DROPMALFORMED") -> DataFrame:
+    """Cues of all files under a path; without an encoding, each file's mark decides (UTF-8 if it has none)."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), decoded(F.col("content"), encoding).alias("content"))
     return cues_of(files, mode)
 
 
@@ -51,9 +84,9 @@ def write(cues: DataFrame, path: str, eol: str = "\n") -> None:
     files.write.partitionBy("file").option("lineSep", eol).text(path)
 
 
-def load_new(spark: SparkSession, path: str, known: DataFrame | None = None, encoding: str = "UTF-8") -> DataFrame:
+def load_new(spark: SparkSession, path: str, known: DataFrame | None = None, encoding: str | None = None) -> DataFrame:
     """Cues of the files whose content isn't among ``known`` fingerprints, with the fingerprint of their file."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.md5("content").alias("fingerprint"), F.decode("content", encoding).alias("content"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.md5("content").alias("fingerprint"), decoded(F.col("content"), encoding).alias("content"))
     if known is not None:
         files = files.join(known.select("fingerprint").distinct(), "fingerprint", "left_anti")
     prints = files.select("file", "fingerprint")
