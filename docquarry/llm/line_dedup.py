@@ -1,49 +1,62 @@
-"""Line deduplication by content-defined lines and overlapping chunks of them.
-
-A text is cut into lines; a line of LONG_LINE bytes and more is folded after its sentences, whose ends make
-lines of their own, and a sentence of LONG_LINE bytes and more (or a script without such ends) is folded where a hash
-of the bytes before is largest among SPACING bytes to both sides, at words if there are any. Lines thus move with the
-content, and blank ones belong to the line before.
-
-Each line begins a chunk: two lines or more (or one of LONG_LINE bytes that has no place for a fold) and MIN_BYTES or
-more, and the fewest lines that are. Further chunks begin there, each a line longer, up to the one that holds the
-next line's chunk; of this largest one only the first line is removed, as the next line's chunks take the rest. So a
-repeated passage goes from its first line to its last, wherever it stands and whatever its neighbours, as if each
-chunk were grown line by line until the bytes differ. A whole text is a chunk besides, so that nothing is left of
-copies.
-
-The smallest chunks and whole texts that occur more than once are found by hash over the whole corpus; a longer
-chunk can only be repeated if those in it are. Then the bytes of every such chunk are compared with those of the
-occurrence that stays (in the document with the smallest id), and equal ones are removed; longer chunks, whose parts
-are compared that way, are compared by their SHA-256. Hashes travel, and only the bytes of the smallest chunks that
-are repeated; of copies only the whole text does. Counts are summed before they are shuffled,
-and the joins put one row of a chunk against its occurrences, so that Spark can split a frequent one.
-
-Rows: null and empty texts, and texts of a single short line, come back as they are; rows with the same id and
-text are the same document and get the same result; rows without an id come after all others; what a
-document repeats itself stays once, also where the repeats follow one another (of three equal lines one stays); all
-columns come back, whatever their names.
+"""Line deduplication by content-defined chunks of lines.
+
+*Lines.* A text is cut at its line ends and after its sentences, and long sentences are folded where the hash of the
+eight bytes before a word is largest among FOLD words to both sides (characters of three bytes and more, as of Chinese,
+count as words). Only what stands in the sentence itself decides, so lines move with the content. Blank lines belong to
+the line before.
+
+*Chunks.* From each line on, the fewest lines, two at least, that hold CHUNK_WORDS words could be a chunk. A rolling
+hash over them chooses the lines where chunks do begin: those whose hash isn't larger than both neighbours'. Of two
+lines in a row one is always chosen, and their chunks alone decide which, so wherever a passage stands, the same
+boundaries are found inside it.
+
+*Repeats.* Hashes of chunks are counted over the whole corpus. Chunks of the hashes that occur again are brought
+together with their bytes, which are compared with those of the occurrence that stays (in the document with the
+smallest id, at the smallest place); equal ones go, and with them the lines before and after, one by one (by their
+hashes), as long as they are equal, up to where the next chunk takes over. So a passage that repeats goes from its
+first line to its last. A whole text is a chunk besides, whatever its size, compared by SHA-256: of exact copies
+nothing is left.
+
+*Scale.* The count shuffles hashes alone. Which hashes repeat is broadcast as a table of bits (at most 2 ** MOST_BITS), which
+only ever says "maybe": where it is full, more chunks travel, and the result is the same. Hashes with more than one in
+HOT of all occurrences, HOT at most, are salted, so that no task holds a frequent chunk's rows. Texts travel once, to meet
+the stretches that are cut from them.
+
+Rows: null and empty texts, and those of white space, come back as they are; rows with the same id and text are the same
+document and get the same result; rows without an id come after all others; what a document repeats itself stays once,
+also where the repeats follow one another (of three equal lines in a row one stays); all columns come back, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 from .hashing import U, hash_spans, mix
 
-#: Bytes from which a line is folded at its sentences, and those that a chunk needs.
-LONG_LINE, MIN_BYTES = 200, 64
-#: Bytes to both sides among which a fold without a sentence's end is the best place; a power of two.
-SPACING = 32
+#: Words to both sides of a fold, and those that a chunk needs.
+FOLD, CHUNK_WORDS = 4, 10
+#: The table of bits has 8 places for each repeated hash, in powers of two between these.
+LEAST_BITS, MOST_BITS = 16, 27
+BLOCK_BITS = 1 << 13
+#: A hash with more than one in so many occurrences is hot.
+HOT = 4096
+#: Chunks of more bytes, which only lines without any place for a fold make, are compared by SHA-256.
+LONGEST = 1024
 _LAST_ID = (1 << 63) - 1
+_NEXT = U(0xD6E8FEB86659FD93)
+#: Hashes of whole texts are told apart from those of chunks.
+_WHOLE = U(0x5851F42D4C957F2D)
 
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
@@ -51,213 +64,258 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _folds(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Places in the stretches [start, end) that depend on the bytes around them alone, more than SPACING apart."""
-    room = end - start + SPACING  # zeros in front of each stretch keep it from its neighbours
-    at = np.arange(int(room.sum())) - np.repeat(np.cumsum(room) - room + SPACING - start, room)
-    real = at >= np.repeat(start, room)
-    byte = np.where(real, data[at], 0).astype(U)
-    before = np.zeros(len(byte), U)  # the eight bytes before
-    for k in range(1, 9):
-        before[k:] |= byte[:-k] << U(8 * k - 8)
-    inside = real & (at >= np.repeat(start, room) + 8) & (byte & U(0xC0) != 0x80)
-    value = np.where(inside, mix(before) >> U(1) | U(1), U(0))
-    value |= (inside & (before & U(0xFF) == 32) & (byte != 32)).astype(U) << U(63)  # words go first
-    most = value.copy()  # among SPACING places from here on
-    for k in range(SPACING.bit_length() - 1):
-        most[: -(1 << k)] = np.maximum(most[: -(1 << k)], most[1 << k :])
-    best = (value > 0) & (value > np.append(most[1:], U(0)))
-    best[SPACING:] &= value[SPACING:] > most[:-SPACING]
+@dataclass
+class Lines:
+    """The lines of some texts, one after the other, and the chunks that begin at the chosen ones."""
+
+    data: np.ndarray  # the texts' bytes, joined
+    base: np.ndarray  # where each text begins in them
+    owner: np.ndarray  # the text of each line
+    start: np.ndarray
+    end: np.ndarray  # without white space
+    after: np.ndarray  # with it: where the next line begins
+    to: np.ndarray  # the last line of the chunk from each line on; -1 if the text has none
+    hash: np.ndarray  # of that chunk
+    chosen: np.ndarray  # numbers of the lines where chunks begin
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        """The texts that have lines, and their hashes."""
+        first = np.flatnonzero(np.append(True, self.owner[1:] != self.owner[:-1])) if len(self.owner) else np.empty(0, np.int64)
+        last = np.append(first[1:], len(self.owner)) - 1
+        owner = self.owner[first]
+        return owner, mix(hash_spans(self.data, self.base[owner], self.end[last]) ^ _WHOLE) if len(first) else np.empty(0, U)
+
+
+def _folds(data: np.ndarray, word: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Starts of words whose hash is the largest among FOLD words to both sides, all between the same edges."""
+    at, edges = np.flatnonzero(word), np.flatnonzero(edge)
+    stretch = np.searchsorted(edges, at, side="right") - 1
+    before = np.zeros(len(at), U)
+    for k in range(1, 9):  # as far as they belong to the stretch
+        before |= np.where(at - k >= edges[stretch], data[np.maximum(at - k, 0)], 0).astype(U) << U(64 - 8 * k)
+    value = mix(before)
+    best = np.ones(len(at), bool)
+    for d in range(1, FOLD + 1):
+        same = stretch[d:] == stretch[:-d]
+        best[:d] = best[len(at) - d :] = False
+        best[d:] &= same & (value[d:] > value[:-d])
+        best[:-d] &= same & (value[:-d] > value[d:])
     return at[best]
 
 
-class Chunks:
-    """The chunks of some texts, one after the other: owner, start and end (in the text), hash.
-
-    ``needs`` has the hashes of the smallest chunks at the start and at the end of a chunk. With ``smallest``, there
-    are only those and whole texts.
-    """
-
-    def __init__(self, texts: list[bytes], smallest: bool = False):
-        self.texts = texts
-        self.owner = self.start = self.end = self.after = np.empty(0, np.int64)
-        self.hash, self.needs, self.whole = np.empty(0, U), np.empty((2, 0), U), np.empty(0, bool)
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        starts_of = np.cumsum(sizes) - sizes
-        solid = np.flatnonzero(~_WHITE[data])
-        if not len(solid):
-            return
-        start, end, after, owner = self._lines(data, solid, starts_of, sizes)
-        n = len(start)
-        place = np.arange(n)
-        of_text = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        last_of = np.append(of_text[1:], n) - 1
-        last = np.repeat(last_of, last_of - of_text + 1)
-        # the last line of the smallest chunk that begins at each line, if its text has it
-        least = np.maximum(np.searchsorted(end, start + MIN_BYTES), place + (end - start < LONG_LINE))
-        fits = least <= last
-        follows = np.append(fits[1:] & (owner[1:] == owner[:-1]), False)
-        most = np.where(follows, np.append(least[1:], 0), last)
-        first = np.flatnonzero(fits)
-        hashes = np.zeros(n, U)
-        hashes[first] = hash_spans(data, start[first], end[least[first]])
-        count = np.ones(len(first), np.int64) if smallest else (most - least + 1)[first]
-        line = np.repeat(first, count)
-        to = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count) + least[line]
-        parts = follows[line] & (to == most[line])
-        stops = np.where(parts, start[np.minimum(line + 1, n - 1)], after[to])
-        needs = np.stack([hashes[line], hashes[np.where(parts, line + 1, line) % n]])
-        # the whole text is a chunk, too
-        size = end[last_of] - starts_of[owner[of_text]]
-        enough = (size >= MIN_BYTES) & ((last_of > of_text) | (size >= LONG_LINE))
-        texts_from, texts_to = starts_of[owner[of_text[enough]]], last_of[enough]
-        whole_hash = hash_spans(data, texts_from, end[texts_to])
-        starts = np.concatenate([texts_from, start[line]])
-        ends = np.concatenate([end[texts_to], end[to]])
-        order = np.lexsort((np.arange(len(starts)), -ends, starts))  # larger chunks before those inside them
-        same = np.zeros(len(order), bool)
-        same[1:] = (starts[order][1:] == starts[order][:-1]) & (ends[order][1:] == ends[order][:-1])
-        order = order[~same]
-        self.owner = np.concatenate([owner[of_text[enough]], owner[line]])[order]
-        base = starts_of[self.owner]
-        self.start, self.end = starts[order] - base, ends[order] - base
-        self.after = np.concatenate([after[texts_to], stops])[order] - base
-        self.hash = np.concatenate([whole_hash, hashes[line] if smallest else hash_spans(data, start[line], end[to])])[order]
-        self.needs = np.concatenate([np.stack([whole_hash, whole_hash]), needs], 1)[:, order]
-        self.whole = order < len(whole_hash)
-
-    @staticmethod
-    def _lines(data: np.ndarray, solid: np.ndarray, starts_of: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Start, end without white space, end with it, and owner of the lines that aren't blank."""
-        edges = np.zeros(len(data) + 1, bool)  # line edges, ends of texts included
-        edges[starts_of] = edges[len(data)] = True
-        edges[1:][data == 10] = True
-        lines = np.flatnonzero(edges)
-        long = np.diff(lines) >= LONG_LINE
-        folds = np.flatnonzero((data[1:] == 32) & _STOP[data[:-1]]) + 2
-        folds = folds[folds < len(data)]
-        edges[folds[long[np.searchsorted(lines, folds, side="right") - 1]]] = True
-        cuts = np.flatnonzero(edges)
-        if (still := np.diff(cuts) >= LONG_LINE).any():
-            edges[_folds(data, cuts[:-1][still], cuts[1:][still])] = True
-            cuts = np.flatnonzero(edges)
-        start = cuts[:-1][np.diff(np.searchsorted(solid, cuts)) > 0]
-        owner = np.searchsorted(starts_of, start, side="right") - 1
-        after = np.append(start[1:], len(data))
-        ends_text = np.append(owner[1:] != owner[:-1], True)
-        after[ends_text] = (starts_of + sizes)[owner[ends_text]]
-        return start, solid[np.searchsorted(solid, after) - 1] + 1, after, owner
-
-    def among(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """The chunks that have one of the hashes."""
-        return self._some(np.flatnonzero(np.isin(self.hash.view(np.int64), hashes)))
-
-    def _some(self, at: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        columns = (self.owner, self.start, self.end, self.after, self.hash.view(np.int64))
-        return zip(*(c[at].tolist() for c in columns), strict=True)
-
-    def __iter__(self) -> Iterator[tuple[int, int, int, int, int]]:
-        """Text number, start, end, end with white space, hash."""
-        return self._some(np.arange(len(self.owner)))
+def lines_of(texts: list[bytes]) -> Lines:
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    stops = np.cumsum(sizes)
+    base = stops - sizes
+    none = np.empty(0, np.int64)
+    white = _WHITE[data]
+    solid = np.flatnonzero(~white)
+    if not len(solid):
+        return Lines(data, base, none, none, none, none, none, np.empty(0, U), none)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[base] = edge[len(data)] = True
+    edge[1:] |= data == 10
+    edge[2:] |= (data[1:] == 32) & _STOP[data[:-1]] & ~edge[1:-1]
+    word = ~white
+    word[1:] &= white[:-1] | edge[1:-1]
+    word |= data >= 0xE0
+    edge[_folds(data, word & ~edge[:-1], edge)] = True
+    words = np.append(0, np.cumsum(word))
+
+    cuts = np.flatnonzero(edge)
+    start = cuts[:-1][np.diff(np.searchsorted(solid, cuts)) > 0]
+    owner = np.searchsorted(stops, start, side="right")
+    n = len(start)
+    ends_text = np.append(owner[1:] != owner[:-1], True)
+    after = np.append(start[1:], len(data))
+    after[ends_text] = stops[owner[ends_text]]
+    end = solid[np.searchsorted(solid, after) - 1] + 1
+
+    place = np.arange(n)
+    to = np.maximum(np.searchsorted(words[end], words[start] + CHUNK_WORDS), place + 1)
+    has = to < n
+    has[has] = owner[to[has]] == owner[has]
+    own = np.flatnonzero(has)
+    hashes = np.zeros(n, U)
+    hashes[own] = hash_spans(data, start[own], end[to[own]])
+    # beside a line without a chunk, or at an end of a text, there is one neighbour or none
+    beside = has[1:] & has[:-1] & (owner[1:] == owner[:-1])
+    not_after = np.append(False, beside & (hashes[1:] <= hashes[:-1]))
+    not_before = np.append(beside & (hashes[:-1] <= hashes[1:]), False)
+    alone = ~np.append(False, beside) & ~np.append(beside, False)
+    chosen = np.flatnonzero(has & (not_after | not_before | alone))
+    return Lines(data, base, owner, start, end, after, np.where(has, to, -1), hashes, chosen)
 
 
 def _marked(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """``docs`` with columns named by number, and a key that tells documents apart."""
+    """``docs`` with columns named by number, and two hashes that tell documents apart."""
     names = docs.columns
     rows = docs.withColumnsRenamed({c: f"__{i}" for i, c in enumerate(names)})
     own_id = F.coalesce(F.col(f"__{names.index(doc_id)}").cast("long"), F.lit(_LAST_ID))
-    return rows.select(F.xxhash64(own_id, f"__{names.index(text)}").alias("__key"), own_id.alias("__id"), *rows.columns)
+    own_text = F.col(f"__{names.index(text)}")
+    keys = [F.xxhash64(own_id, own_text).alias("__k1"), F.xxhash64(F.lit("second"), own_text, own_id).alias("__k2")]
+    return rows.select(*keys, own_id.alias("__id"), *rows.columns)
+
+
+def _texts(column: pa.Array) -> list[bytes]:
+    return [t or b"" for t in common.byte_list(column)]
 
 
-def chunk_rows(rows: DataFrame, at: str) -> DataFrame:
-    """__key, __id and hash of every whole text and of the smallest chunks."""
+def repeated_hashes(rows: DataFrame, at: str) -> DataFrame:
+    """hash and n of the chunks and whole texts that occur more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = Chunks([t or b"" for t in common.byte_list(batch.column(2))], smallest=True)
-            owner = pa.array(found.owner)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(found.hash.view(np.int64))], ["__key", "__id", "hash"])
+            lines = lines_of(_texts(batch.column(0)))
+            found = np.concatenate([lines.whole()[1], lines.hash[lines.chosen]])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["hash"])
 
-    return common.map_slices(rows.select("__key", "__id", at), at, run, "__key long, __id long, hash long")
+    found = common.map_slices(rows.select(at), at, run, "hash long")
+    return found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def _hashes(marks: pa.Array) -> np.ndarray:
-    """The hashes in a column of marks, each once."""
-    return np.unique(marks.flatten().field("hash").to_numpy(zero_copy_only=False))
+def bits_of(hashes: DataFrame, n: int) -> np.ndarray:
+    """A bit for each hash's place in a table of bounded size, made block by block."""
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, (8 * n).bit_length()))
+    place = F.pmod(F.col("hash"), F.lit(size)).alias("place")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            places = batch.column(1).to_numpy()
+            order = np.argsort(places)
+            places = places[order]
+            cuts = np.flatnonzero(np.append(True, places[1:] // BLOCK_BITS != places[:-1] // BLOCK_BITS)) if len(places) else []
+            for part in np.split(places, cuts[1:]) if len(places) else []:
+                own = blocks.setdefault(int(part[0]) // BLOCK_BITS, np.zeros(BLOCK_BITS, bool))
+                own[part % BLOCK_BITS] = True
+        if blocks:
+            yield pa.RecordBatch.from_pydict({"block": pa.array([*blocks], pa.int64()), "bits": [np.packbits(b).tobytes() for b in blocks.values()]})
+
+    dealt = hashes.select(place).select((F.shiftright("place", BLOCK_BITS.bit_length() - 1)).alias("block"), "place").repartition("block")
+    bits = np.zeros((size // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
+    for row in dealt.mapInArrow(run, "block long, bits binary").collect():  # 2 ** MOST_BITS bits in all
+        bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return bits.ravel()
 
-def _repeated(rows: DataFrame, at: str) -> DataFrame:
-    """__key, __id, hash, stays, again (whether this document repeats it) and bytes of marked chunks; and of longer ones
-    all of whose parts are marked, without ``stays`` and with a digest for the bytes. Of marked copies only the whole."""
-    number = rows.columns.index(at)
-    schema = "__key long, __id long, hash long, stays boolean, again boolean, chunk binary"
+
+def _maybe(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = (hashes % U(8 * len(bits))).astype(np.int64)
+    return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+
+
+#: An occurrence: its document, its hash, where it starts, the hash of the line before, chained hashes of the lines
+#: behind, its bytes, and where it and those lines begin and end: the line before, the chunk's end, the lines behind.
+_NAMES = ["__id", "__k1", "__k2", "hash", "start", "before", "behind", "chunk", "ends"]
+_OCCURRENCE = "__id long NOT NULL, __k1 long NOT NULL, __k2 long NOT NULL, hash long NOT NULL, start int NOT NULL, before long, behind array<long> NOT NULL, chunk binary NOT NULL, ends array<int> NOT NULL"
+
+
+def occurrences(rows: DataFrame, at: str, bits) -> DataFrame:
+    """Where chunks and whole texts that may be repeated stand, with their bytes, and with the lines around them up to
+    where the next chunks take over: the one before, and chained hashes of those behind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            marks = [{m["hash"]: m["stays"] for m in ms} for ms in column.to_pylist()]
-            texts = [t or b"" for t in common.byte_list(batch.column(number))]
-            keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            chunks = Chunks(texts)
-            needs = chunks.needs.view(np.int64)
-            maybe = np.flatnonzero(np.isin(needs, _hashes(column)).all(0))
-            copies: set[int] = set()
-            seen: dict[tuple[int, int], list] = {}
-            for (i, a, b, _, h), x, y, whole in zip(chunks._some(maybe), *needs[:, maybe].tolist(), chunks.whole[maybe].tolist(), strict=True):
-                mine = marks[i]
-                if i in copies or x not in mine or y not in mine:
-                    continue
-                stays = mine.get(h)
-                if whole and not stays:
-                    copies.add(i)
-                if (i, h) in seen:
-                    seen[i, h][4] = True
-                else:
-                    part = texts[i][a:b]
-                    seen[i, h] = [keys[i], ids[i], h, stays, False, part if stays is not None else hashlib.sha256(part).digest()]
-            columns = [*zip(*seen.values(), strict=True)] or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["__key", "__id", "hash", "stays", "again", "chunk"])
-
-    return common.map_slices(rows, at, run, schema)
+            texts = _texts(batch.column(3))
+            yield _occurrences(batch, texts, lines_of(texts), bits.value)
+
+    def _occurrences(batch: pa.RecordBatch, texts: list[bytes], lines: Lines, marks: np.ndarray) -> pa.RecordBatch:
+        owner, hashes = lines.whole()
+        again = _maybe(marks, hashes)
+        owner, hashes = owner[again], hashes[again]
+        k = lines.chosen[_maybe(marks, lines.hash[lines.chosen])]
+        mine, n = lines.owner[k], len(lines.owner)
+        own_hash = hash_spans(lines.data, lines.start, lines.end)
+        follows = np.append(lines.owner[1:] == lines.owner[:-1], False)
+        # the line before, and those behind up to the last line of the chunk two lines on (or to the text's end)
+        has_before = (k > 0) & follows[k - 1]
+        last_of = np.repeat(*_last_lines(lines.owner)) if n else np.empty(0, np.int64)
+        on = np.minimum(k + 2, n - 1)
+        known = (lines.owner[on] == mine) & (lines.to[on] >= 0)
+        until = np.where(known, lines.to[on], last_of[k])
+        count = until - lines.to[k]
+        offsets = np.append(0, np.cumsum(count))
+        behind, behind_ends = np.empty(offsets[-1], U), np.empty(offsets[-1], np.int64)
+        chained = np.zeros(len(k), U)
+        for j in range(int(count.max(initial=0))):
+            here = np.flatnonzero(count > j)
+            line = lines.to[k[here]] + 1 + j
+            chained[here] = mix(chained[here] * _NEXT + own_hash[line])
+            behind[offsets[here] + j] = chained[here]
+            behind_ends[offsets[here] + j] = lines.after[line] - lines.base[mine[here]]
+        base = lines.base[mine]
+        before_start, end = lines.start[k - 1] - base, lines.after[lines.to[k]] - base
+        ends = np.insert(behind_ends, np.repeat(offsets[:-1], 2), np.stack([before_start, end], 1).ravel())
+        who, nothing = np.concatenate([owner, mine]), np.zeros(len(owner), np.int64)
+        # a whole text has no lines around it
+        whole_ends = np.stack([nothing, np.fromiter((len(texts[i]) for i in owner.tolist()), np.int64, len(owner))], 1).ravel()
+        places = np.concatenate([2 * np.arange(len(owner)), 2 * len(owner) + offsets + 2 * np.arange(len(k) + 1)])
+        digest = lambda part: part if len(part) <= LONGEST else hashlib.sha256(part).digest()
+        buffer = lines.data.tobytes()
+        chunks = [hashlib.sha256(texts[i].rstrip(b"\t\n\v\f\r ")).digest() for i in owner.tolist()]
+        chunks += [digest(buffer[a:b]) for a, b in zip(lines.start[k].tolist(), lines.end[lines.to[k]].tolist(), strict=True)]
+        columns = [
+            *(batch.column(c).take(pa.array(who)) for c in range(3)),
+            pa.array(np.concatenate([hashes, lines.hash[k]]).view(np.int64)),
+            pa.array(np.concatenate([nothing, lines.start[k] - base]).astype(np.int32)),
+            pa.array(np.concatenate([nothing, own_hash[k - 1].view(np.int64)]), mask=np.concatenate([nothing == 0, ~has_before])),
+            pa.ListArray.from_arrays(pa.array(np.concatenate([nothing, offsets]).astype(np.int32)), pa.array(behind.view(np.int64))),
+            pa.array(chunks, pa.binary()),
+            pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(np.concatenate([whole_ends, ends]).astype(np.int32))),
+        ]
+        return pa.RecordBatch.from_arrays(columns, _NAMES)
+
+    return common.map_slices(rows.select("__id", "__k1", "__k2", at), at, run, _OCCURRENCE)
+
+
+def _last_lines(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last line of each text that has lines, and how many it has."""
+    last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
+    return last, np.diff(np.append(-1, last))
+
+
+def removals(found: DataFrame, hot: DataFrame) -> DataFrame:
+    """__k1, __k2 and gone (stretches of bytes, start and end) of the documents that lose something.
+
+    ``hot`` has the salts of frequent hashes. Rows of a hash and a salt are together; the first of them stays, or, of a
+    salted hash, the first of all salts, whose rows (HOT at most, of bounded size) are broadcast.
+    """
+    dealt = found.join(F.broadcast(hot), "hash", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    dealt = dealt.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("__k1", "start"), F.col("salts")).cast("int"), F.lit(0))).repartition("hash", "salt")
+    # all columns take part on both sides, and none but ``before`` is ever null, so that both read one shuffle
+    local = dealt.groupBy("hash", "salt").agg(F.min(F.struct("__id", "__k1", "__k2", "start", "before", "behind", "chunk", "ends", "salts")).alias("own"))
+    over = local.where("own.salts > 1").groupBy("hash").agg(F.min("own").alias("all"))
+    first = F.coalesce("all", "own")
+    both = dealt.join(local, ["hash", "salt"]).join(F.broadcast(over), "hash", "left").withColumn("first", first)
+    is_first = functools.reduce(Column.__and__, (F.col(c) == F.col(f"first.{c}") for c in ("__id", "__k1", "__k2", "start", "salts")))
+    matched = F.size(F.array_intersect("behind", "first.behind"))
+    from_ = F.when(F.col("before") == F.col("first.before"), F.get("ends", F.lit(0))).otherwise(F.col("start"))
+    stretch = F.struct(from_.alias("start"), F.get("ends", matched + 1).alias("end"))
+    gone = both.where(~is_first & (F.col("chunk") == F.col("first.chunk"))).select("__k1", "__k2", stretch.alias("stretch"))
+    return gone.groupBy("__k1", "__k2").agg(F.collect_set("stretch").alias("gone"))
 
 
 def _cut(rows: DataFrame, at: str) -> DataFrame:
-    """The rows without the chunks that their last column names, with n_lines and n_removed (stretches)."""
+    """The rows without the stretches in their last column, with n_lines (before) and n_removed (stretches, as merged)."""
     number = rows.columns.index(at)
     schema = T.StructType(rows.schema.fields[:-1]).add("__n_lines", T.LongType()).add("__n_removed", T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = batch.column(batch.num_columns - 1).to_pylist()
+            gone = batch.column(batch.num_columns - 1)
             texts = common.byte_list(batch.column(number))
             lines = [0 if t is None else t.count(b"\n") + 1 for t in texts]
             removed = [0] * len(texts)
-            mine = [i for i, m in enumerate(marks) if m]
-            if mine:
-                stays = [{m["hash"]: m["stays"] for m in marks[i]} for i in mine]
-                own = [texts[i] for i in mine]
-                kept: dict[tuple[int, int], bytes] = {}
-                parts: list[list[bytes]] = [[] for _ in mine]
-                last = [0] * len(mine)
-                for j, a, b, after, h in Chunks(own).among(_hashes(batch.column(batch.num_columns - 1))):
-                    if h not in stays[j]:
-                        continue
-                    if (j, h) not in kept:
-                        kept[j, h] = own[j][a:b]
-                        if stays[j][h]:
-                            continue
-                    elif kept[j, h] != own[j][a:b]:
-                        continue
-                    if a < last[j]:  # inside one that is gone
-                        continue
-                    removed[mine[j]] += a > last[j] or not parts[j]
-                    parts[j].append(own[j][last[j] : a])
-                    last[j] = after
-                for j, i in enumerate(mine):
-                    left = b"".join([*parts[j], own[j][last[j] :]])
-                    texts[i] = left if own[j].endswith(b"\n") or last[j] < len(own[j]) else left.rstrip(b" \n")
+            for i in np.flatnonzero(np.asarray(gone.is_valid())).tolist():
+                text, parts, last = texts[i], [], 0
+                for a, b in sorted((s["start"], s["end"]) for s in gone[i].as_py()):
+                    if a > last or not removed[i]:
+                        parts.append(text[last:a])
+                        removed[i] += 1
+                    last = max(last, b)
+                left = b"".join([*parts, text[last:]])
+                texts[i] = left if text.endswith(b"\n") or last < len(text) else left.rstrip(b" \n")
             columns = [*batch.columns[:-1]]
             columns[number] = pa.array([t if t is None else t.decode() for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], schema.names)
@@ -274,22 +332,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", dro
     names = docs.columns
     rows = _marked(docs, text, doc_id)
     at = f"__{names.index(text)}"
-    chunks = common.written(chunk_rows(rows, at))
-    repeated = chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    found = common.written(chunks.join(repeated, "hash"))
-    firsts = found.groupBy("hash").agg(F.min(F.struct("__id", "__key")).alias("first"))
-    marked = found.select("__key", "hash").join(firsts, "hash").select("__key", F.struct("hash", (F.col("first.__key") == F.col("__key")).alias("stays")).alias("mark"))
-    marks = marked.groupBy("__key").agg(F.collect_set("mark").alias("marks"))
-    bodies = common.written(_repeated(rows.join(marks, "__key").select(*rows.columns, "marks"), at))
-    kept = bodies.where("stays").select("hash", F.col("chunk").alias("kept")).dropDuplicates(["hash"])
-    same = bodies.where("NOT stays").join(kept, "hash").where(F.col("chunk") == F.col("kept")).select("__key", "hash", "stays")
-    again = bodies.where("stays AND again").select("__key", "hash", "stays")
-    longer = bodies.where("stays IS NULL").drop("stays")
-    first = longer.groupBy("hash").agg(F.min(F.struct("__id", "__key", "chunk")).alias("first"))
-    stays = F.col("first.__key") == F.col("__key")
-    more = longer.join(first, "hash").where((F.col("chunk") == F.col("first.chunk")) & (~stays | F.col("again"))).select("__key", "hash", stays.alias("stays"))
-    gone = same.unionByName(again).unionByName(more).groupBy("__key").agg(F.collect_set(F.struct("hash", "stays")).alias("gone"))
-    out = _cut(rows.join(gone, "__key", "left").select(*rows.columns, "gone"), at)
+    repeated = common.written(repeated_hashes(rows, at))
+    size = repeated.agg(F.count("*").alias("hashes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    bits = docs.sparkSession.sparkContext.broadcast(bits_of(repeated, size["hashes"]))
+    many = max(1000, size["rows"] // HOT + 1)
+    hot = repeated.where(F.col("n") > many).select("hash", F.ceil(F.col("n") / many).cast("int").alias("salts"))
+    gone = removals(occurrences(rows, at, bits), hot)
+    out = _cut(rows.join(gone.hint("shuffle_hash"), ["__k1", "__k2"], "left").select(*rows.columns, "gone"), at)
     if drop_emptied:
         out = out.where((F.col("__n_removed") == 0) | F.col(at).rlike(r"\S"))
     more = [F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed")] if counts else []
