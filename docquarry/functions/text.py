@@ -113,20 +113,25 @@ def highlight(text: Column, queries: list[str], marks: list[tuple[str, str]] | N
 ROUNDS = 30
 
 
-def running_sums(numbers: Column) -> Column:
-    """Sums of an array's elements up to each one, in rounds that double their reach; nothing is copied for each element."""
+def running(values: Column, combine) -> Column:
+    """An array's elements each combined with all before it (sums, maxima: an associative function of two columns), in
+    rounds that double their reach; nothing is copied for each element."""
 
     def reach(k: int):
         # the array is bound by the outer lambda, so that it is made once a round
-        far = lambda own: F.transform(own, lambda x, i: F.when(i >= k, x + F.get(own, i - k)).otherwise(x))
+        far = lambda own: F.transform(own, lambda x, i: F.when(i >= k, combine(F.get(own, i - k), x)).otherwise(x))
         return lambda own: F.when(F.size(own) > k, far(own)).otherwise(own)
 
-    bound = F.array(numbers)
+    bound = F.array(values)
     for r in range(ROUNDS):
         bound = F.transform(bound, reach(1 << r))
     return bound[0]
 
 
+def running_sums(numbers: Column) -> Column:
+    return running(numbers, lambda a, b: a + b)
+
+
 def prefix_places(text: Column, prefix: str) -> Column:
     """Starts and ends of the tokens' beginnings that are ``prefix``: array<struct<start, end>>, from 0."""
     pieces = F.split(F.lower(text), f"{NOT_AFTER_WORD}{re.escape(prefix)}", -1)
