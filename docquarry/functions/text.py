@@ -109,23 +109,24 @@ def highlight(text: Column, queries: list[str], marks: list[tuple[str, str]] | N
     return out
 
 
-#: Rounds that add up an array: enough for 2 ** ROUNDS elements.
-ROUNDS = 30
+#: Elements that ``running`` combines in one go.
+PART = 1024
 
 
-def running(values: Column, combine) -> Column:
-    """An array's elements each combined with all before it (sums, maxima: an associative function of two columns), in
-    rounds that double their reach; nothing is copied for each element."""
+def running(values: Column, combine, kind: str = "bigint") -> Column:
+    """An array's elements, each combined with all before it (sums, maxima: an associative function of two columns).
 
-    def reach(k: int):
-        # the array is bound by the outer lambda, so that it is made once a round
-        far = lambda own: F.transform(own, lambda x, i: F.when(i >= k, combine(F.get(own, i - k), x)).otherwise(x))
-        return lambda own: F.when(F.size(own) > k, far(own)).otherwise(own)
-
-    bound = F.array(values)
-    for r in range(ROUNDS):
-        bound = F.transform(bound, reach(1 << r))
-    return bound[0]
+    Parts of the array are combined apart and then with what came before them, so that an element costs a copy of a
+    part at most, however long the array is.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    # expressions that are used twice are bound by a lambda, so that they are evaluated once
+    add = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) > 0, combine(F.element_at(acc, -1), x)).otherwise(x)))
+    within = lambda own: F.transform(F.sequence(F.lit(0), F.greatest(F.size(own) - 1, F.lit(0)), F.lit(PART)), lambda i: F.aggregate(F.slice(own, i + 1, PART), none, add))
+    parts = F.transform(F.array(values), within)
+    bound = F.transform(parts, lambda p: F.struct(p.alias("parts"), F.aggregate(F.transform(p, lambda x: F.element_at(x, -1)), none, add).alias("upto")))
+    whole = lambda s: F.flatten(F.transform(s["parts"], lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda x: combine(F.get(s["upto"], i - 1), x)))))
+    return F.when(F.size(values) > 0, F.transform(bound, whole)[0]).otherwise(none)
 
 
 def running_sums(numbers: Column) -> Column:
@@ -135,5 +136,5 @@ def running_sums(numbers: Column) -> Column:
 def prefix_places(text: Column, prefix: str) -> Column:
     """Starts and ends of the tokens' beginnings that are ``prefix``: array<struct<start, end>>, from 0."""
     pieces = F.split(F.lower(text), f"{NOT_AFTER_WORD}{re.escape(prefix)}", -1)
-    lengths = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.length(p) + len(prefix))
-    return F.transform(running_sums(lengths), lambda e: F.struct((e - len(prefix)).alias("start"), e.alias("end")))
+    lengths = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: (F.length(p) + len(prefix)).cast("bigint"))
+    return F.transform(running_sums(lengths), lambda e: F.struct((e - len(prefix)).cast("int").alias("start"), e.cast("int").alias("end")))
