@@ -3,14 +3,18 @@
 Base spans are the leftmost non-overlapping matches of each pattern, less those that fail its length rule.
 Their places come from splitting the text at the matches and adding up lengths in code points.
 
-Other tokens of 20 and more characters with letters and digits go through a battery. The encoding is inferred
-(hex, base32, base64, base64url, alphanumeric), and three statistics are taken over its alphabet: chi-squared
+Other tokens of 20 and more characters go through a battery. The encoding is inferred (digits, letters of one case or
+both, hex, base32, base64, base64url, alphanumeric), and three statistics are taken over its alphabet: chi-squared
 uniformity, Wald-Wolfowitz runs about the middle of the alphabet with the changes of character class, and
 lag-one serial correlation. Each is held against two models. A token must not be rejected as uniform noise
 (Fisher's combination of the three), and its combined p-value as *structured* text (names, numbers, words)
 must pass the Benjamini-Hochberg step-up rule. That rule runs apart in each band of lengths over all tokens of
-the corpus, so short tokens, which say little, can't ride on long ones. It works on counts of p-values in
-fixed bins (at most BINS a band), which is all that reaches the driver.
+the corpus that could be reported (those outside base spans that pass the first test), so short tokens, which say
+little, can't ride on long ones. It works on counts of p-values in fixed bins (at most BINS a band), which is all that
+reaches the driver.
+
+Places are sums of lengths, and overlaps are found between neighbours in order, so a text's work is about in
+proportion to its matches.
 
 Rows: null text counts as empty; empty text has no spans and the hash of the empty string; repeated rows repeat;
 a text of any length is one row's work; other columns are neither read nor returned.
@@ -23,6 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import running, running_sums
 from . import common
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -34,6 +39,10 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}+"
 
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 ALPHABETS = {
+    "digits": _DIGITS,
+    "lower": _LOWER,
+    "upper": _LOWER.upper(),
+    "letters": _LOWER.upper() + _LOWER,
     "hex": _DIGITS + "abcdef",
     "HEX": _DIGITS + "ABCDEF",
     "base32": _LOWER.upper() + "234567",
@@ -52,23 +61,28 @@ BANDS, BINS = (20, 28, 40, 64, 128), 300
 def spans_of(text: Column, pattern: str) -> Column:
     """Matches as array<struct<start, end, match>>; an empty array without matches."""
     matches, pieces = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["piece"]) + F.length(x["match"])).alias("at"),
-        F.concat(
-            acc["found"],
-            F.array(
-                F.struct(
-                    (acc["at"] + F.length(x["piece"])).alias("start"),
-                    (acc["at"] + F.length(x["piece"]) + F.length(x["match"])).alias("end"),
-                    x["match"].alias("match"),
-                )
-            ),
-        ).alias("found"),
-    )
-    kind = "array<struct<start:bigint,end:bigint,match:string>>"
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("found"))
     pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("piece"), matches.alias("match"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, zero, step, lambda acc: acc["found"])).otherwise(F.array().cast(kind))
+    ends = running_sums(F.transform(pairs, lambda x: (F.length(x["piece"]) + F.length(x["match"])).cast("bigint")))
+    place = lambda x: F.struct((x["end"] - F.length(x["match"])).alias("start"), x["end"].alias("end"), x["match"].alias("match"))
+    found = F.transform(F.arrays_zip(ends.alias("end"), matches.alias("match")), place)
+    none = F.array().cast("array<struct<start:bigint,end:bigint,match:string>>")
+    return F.when(text.rlike(pattern), found).otherwise(none)
+
+
+def outside(found: Column, base: Column) -> Column:
+    """The spans of ``found`` (in order, apart from each other) that overlap none of ``base`` (in any order)."""
+    taken = F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("kind"), b["end"].alias("end")))
+    own = F.transform(found, lambda c: F.struct(c["start"].alias("start"), F.lit(1).alias("kind"), c["end"].alias("end")))
+    ordered = F.array_sort(F.concat(taken, own))
+    reached = lambda spans: running(F.transform(spans, lambda x: F.when(x["kind"] == 0, x["end"]).otherwise(F.lit(0).cast("bigint"))), lambda a, b: F.greatest(a, b))
+    # a base span that begins inside one of ``found`` is the next in order
+    after = lambda s, i: F.coalesce(F.get(s["spans"], i + 1)["start"], F.lit(1 << 62))
+    free = lambda s: F.filter(s["spans"], lambda x, i: (x["kind"] == 1) & (F.get(s["reached"], i) <= x["start"]) & (after(s, i) >= x["end"]))
+    bound = F.transform(F.array(ordered), lambda spans: F.struct(spans.alias("spans"), reached(spans).alias("reached")))
+    starts = F.transform(F.transform(bound, free)[0], lambda x: x["start"])
+    # both are in order, and all of the free ones are among ``found``
+    merged = F.transform(F.array(F.map_from_arrays(starts, starts)), lambda known: F.filter(found, lambda c: known[c["start"]].isNotNull()))[0]
+    return F.when((F.size(found) > 0) & (F.size(base) > 0), merged).otherwise(found)
 
 
 def _normal_tail(z: Column) -> Column:
@@ -103,10 +117,14 @@ def _occurrences(text: Column, part: str) -> Column:
 
 def _encoding(c: Column) -> dict[str, Column]:
     t = c["match"]
-    upper, lower, marks = t.rlike("[A-Z]"), t.rlike("[a-z]"), t.rlike("[+/]")
-    # neither marks and dashes together, nor tokens without digits or without letters, are one encoding
+    marks = t.rlike("[+/]")
+    # neither marks and dashes together, nor tokens of marks with letters or digits alone, are one encoding
     name = (
-        F.when(~t.rlike("[0-9]") | ~(upper | lower) | (marks & t.rlike("[-_]")), None)
+        F.when(t.rlike("^[0-9]+$"), "digits")
+        .when(t.rlike("^[a-z]+$"), "lower")
+        .when(t.rlike("^[A-Z]+$"), "upper")
+        .when(t.rlike("^[A-Za-z]+$"), "letters")
+        .when(~t.rlike("[0-9]") | ~t.rlike("[A-Za-z]") | (marks & t.rlike("[-_]")), None)
         .when(t.rlike("^[0-9a-f]+$"), "hex")
         .when(t.rlike("^[0-9A-F]+$"), "HEX")
         .when(t.rlike("^[A-Z2-7]+$"), "base32")
@@ -127,7 +145,7 @@ def _choose(c: Column, value) -> Column:
 
 def _symbols(c: Column) -> dict[str, Column]:
     t = c["match"]
-    squares = lambda a: F.aggregate(F.array(*map(F.lit, a)), F.lit(0.0), lambda s, x: s + F.pow(F.length(t) - F.length(F.replace(t, x, F.lit(""))), F.lit(2.0)))
+    squares = lambda a: F.aggregate(F.split(F.lit(a), ""), F.lit(0.0), lambda s, x: s + F.pow(F.length(t) - F.length(F.replace(t, x, F.lit(""))), F.lit(2.0)))
     halves = lambda a: F.translate(t, a, "0" * (len(a) // 2) + "1" * (len(a) - len(a) // 2))
     places = lambda a: F.transform(F.split(t, ""), lambda x: F.instr(F.lit(a), x).cast("double"))
     classes = F.translate(t, _DIGITS + _LOWER + _LOWER.upper() + "+/-_", "0" * 10 + "1" * 26 + "2" * 26 + "3333")
@@ -170,20 +188,23 @@ def _verdict(c: Column) -> dict[str, Column]:
     return {"p_noise": F.exp(-x) * (1 + x + x * x / 2), "band": band.cast("int"), "bin": bin_}
 
 
-def candidates_of(text: Column) -> Column:
-    """Tokens that could be secrets, with their statistics: array of structs."""
-    found = _each(spans_of(text, CANDIDATE), _encoding)
+def candidates_of(text: Column, base: Column) -> Column:
+    """Tokens outside base spans that could be secrets, with their statistics: array of structs."""
+    found = _each(outside(spans_of(text, CANDIDATE), base), _encoding)
     found = _each(F.filter(found, lambda c: c["encoding"].isNotNull()), _symbols, _sums, _statistics, _tests, _verdict)
     keep = ("start", "end", "encoding", "n", "chi2", "runs", "correlation", "p_noise", "p_structured", "band", "bin")
     return F.transform(found, lambda c: F.struct(*(c[k].alias(k) for k in keep)))
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, and the spans of each kind: assign, access, hex, and candidates with their statistics."""
+    """doc_id, and the spans of each kind: assign, access, hex, and, with their statistics, the candidates that could be
+    reported: outside base spans, and like noise."""
     t = F.coalesce(F.col(text), F.lit(""))
     assigned = F.filter(spans_of(t, ASSIGN), lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 2)) >= 12)
     plain = lambda spans: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return docs.select(F.col(doc_id).alias("doc_id"), plain(assigned).alias("assign"), plain(spans_of(t, ACCESS)).alias("access"), plain(spans_of(t, HEX)).alias("hex"), candidates_of(t).alias("candidates"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), t.alias("t"), plain(assigned).alias("assign"), plain(spans_of(t, ACCESS)).alias("access"), plain(spans_of(t, HEX)).alias("hex"))
+    found = candidates_of(F.col("t"), F.concat("assign", "access", "hex"))
+    return base.select("doc_id", "assign", "access", "hex", F.filter(found, lambda c: c["p_noise"] >= NOISE_LEVEL).alias("candidates"))
 
 
 def least_bins(scanned: DataFrame, rate: float = RATE) -> dict[int, int]:
@@ -203,11 +224,8 @@ def find_secrets(docs: DataFrame, rate: float = RATE, text: str = "text", doc_id
     scanned = common.settled(scan(docs, text, doc_id))
     least = least_bins(scanned, rate)
     limit = lambda c: sum((F.when(c["band"] == band, bin_).otherwise(0) for band, bin_ in least.items()), F.lit(0))
-    base = F.concat("assign", "access", "hex")
-    inside = lambda c: F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     if least:
-        allowed = lambda c: c["band"].isin(*least) & (c["bin"] >= limit(c)) & (c["p_noise"] >= NOISE_LEVEL) & ~inside(c)
-        found = F.filter("candidates", allowed)
+        found = F.filter("candidates", lambda c: c["band"].isin(*least) & (c["bin"] >= limit(c)))
     else:
         found = F.filter("candidates", lambda c: F.lit(False))
     tag = lambda k: lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"))

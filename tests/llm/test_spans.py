@@ -1,6 +1,7 @@
 """Operators 1 and 2: base spans by the patterns themselves, and what the methods add."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -69,6 +70,93 @@ def test_secrets_finds_noise_and_not_names(spark):
     assert len([h for h in hits if h < 100]) >= 54 and not [h for h in hits if h >= 100]
 
 
+def test_many_secrets_in_one_text(spark):
+    import random
+
+    rnd = random.Random(2)
+    text = " ".join("%020x" % rnd.getrandbits(80) for _ in range(32_000))
+    row = secrets.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    shown = ",".join(f"hex:{a}:{b}" for a, _, b in secret_spans(text))
+    assert row.n_hex == 32_000 and row.spans == shown
+
+
+def test_candidates_overlap_no_base_span(spark):
+    df = spark.createDataFrame([(1, [(0, 5), (20, 30), (40, 45)], [(50, 60), (3, 8), (30, 40), (22, 24)]), (2, [(1, 2)], []), (3, [], [(1, 2)])], "k int, f array<struct<start:long,end:long>>, b array<struct<start:long,end:long>>")
+    from pyspark.sql import functions as F
+
+    got = {r.k: [tuple(x) for x in r.o] for r in df.select("k", secrets.outside(F.col("f"), F.col("b")).alias("o")).collect()}
+    assert got == {1: [(40, 45)], 2: [(1, 2)], 3: []}
+
+
+def tail(z):
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def battery(token):
+    """The encoding of a token and its p-values as noise and as structure, from the definitions."""
+    for name, pattern in [("digits", "[0-9]+"), ("lower", "[a-z]+"), ("upper", "[A-Z]+"), ("letters", "[A-Za-z]+"), ("hex", "[0-9a-f]+"), ("HEX", "[0-9A-F]+"), ("base32", "[A-Z2-7]+"), ("alnum", "[A-Za-z0-9]+"), ("base64", "[A-Za-z0-9+/]+"), ("base64url", "[A-Za-z0-9_-]+")]:
+        if re.fullmatch(pattern, token):
+            break
+    else:
+        return None
+    if name in ("base64", "base64url") and not (re.search("[0-9]", token) and re.search("[A-Za-z]", token)):
+        return None
+    letters = secrets.ALPHABETS[name]
+    n, k = len(token), len(letters)
+    place = [letters.index(c) + 1 for c in token]
+    chi2 = sum((token.count(c) - n / k) ** 2 / (n / k) for c in letters)
+    high = [p > k // 2 for p in place]
+    runs, ones = 1 + sum(a != b for a, b in zip(high, high[1:])), sum(high)
+    expected = 2 * ones * (n - ones) / n + 1
+    kinds = ["0" if c.isdigit() else "1" if c.islower() else "2" if c.isupper() else "3" for c in token]
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    mean = sum(place) / n
+    correlation = sum((a - mean) * (b - mean) for a, b in zip(place, place[1:])) / max(1e-9, sum((p - mean) ** 2 for p in place))
+    df = k - 1
+    noise = tail(((chi2 / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    runs_z = 40 if expected <= 2 else (runs - expected) / math.sqrt(max(1e-9, (expected - 1) * (expected - 2) / (n - 1)))
+    serial = 2 * tail(abs((correlation + 1 / (n - 1)) * math.sqrt(n)))
+    x = -sum(math.log(max(1e-300, p)) for p in (noise, 2 * tail(abs(runs_z)), serial))
+    c = secrets.COINCIDENCE
+    even = (df + (n - 1) * (c - 1) - chi2) / math.sqrt(2 * df * c + 4 * (n - 1) * c * (c - 1))
+    changing = (changes - secrets.CHANGES * (n - 1)) / math.sqrt(secrets.CHANGES * (1 - secrets.CHANGES) * (n - 1))
+    loose = (secrets.CORRELATION - correlation) * math.sqrt(n)
+    return name, chi2, runs, correlation, math.exp(-x) * (1 + x + x * x / 2), tail((even + changing + loose) / math.sqrt(3))
+
+
+def test_statistics_and_rule_against_their_definitions(spark):
+    import random
+
+    rnd = random.Random(3)
+    kinds = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", secrets.ALPHABETS["letters"], secrets.ALPHABETS["alnum"], secrets.ALPHABETS["base64"], secrets.ALPHABETS["base64url"]]
+    made = ["".join(rnd.choice(rnd.choice(kinds)) for _ in range(rnd.randrange(20, 90))) for _ in range(60)]
+    made += ["".join(rnd.choice(k) for _ in range(rnd.randrange(20, 150))) for k in kinds for _ in range(25)]
+    made += ["some_reading_of_names" + str(k) * 3 for k in range(30)]
+    # texts whose whole token is one candidate and no base span
+    tokens = [t for t in made if re.fullmatch(secrets.CANDIDATE.rstrip("+"), t) and not secret_spans(t)]
+    df = spark.createDataFrame(list(enumerate(tokens)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in secrets.scan(df).collect()}
+    ranked = {}
+    for i, t in enumerate(tokens):
+        wanted, got = battery(t), rows[i].candidates
+        if wanted is None or wanted[4] < secrets.NOISE_LEVEL:
+            assert not got, t
+            continue
+        assert len(got) == 1 and got[0].encoding == wanted[0] and got[0].runs == wanted[2], t
+        for mine, theirs in ((got[0].chi2, wanted[1]), (got[0].correlation, wanted[3])):
+            assert math.isclose(mine, theirs, abs_tol=1e-6)
+        # the normal tail is an approximation to 7.5e-8
+        assert abs(got[0].p_noise - wanted[4]) < 1e-3 and abs(got[0].p_structured - wanted[5]) < 1e-6
+        ranked.setdefault(sum(len(t) >= b for b in secrets.BANDS[1:]), []).append((got[0].bin, i))
+    found = {r.doc_id for r in secrets.report(df).collect() if r.n_random}
+    rule = set()
+    for bins in ranked.values():
+        down = sorted(bins, reverse=True)
+        passing = [b for b, _ in bins if 10 ** (-b / 10) <= secrets.RATE * sum(x >= b for x, _ in bins) / len(bins)]
+        rule |= {i for b, i in down if passing and b >= min(passing)}
+    assert found == rule and len(found) > 40
+
+
 def test_personal_base(edge, small):
     for df in (light(edge), small):
         held(pii.report(df).collect(), pairs(df), personal_spans, pii.KINDS, ["n_email", "n_ip", "n_card", "n_phone"])
