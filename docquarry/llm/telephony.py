@@ -2,11 +2,16 @@
 
 The companded codes expand through tables of 256 samples; ADPCM blocks are decoded step by step, each step
 for all blocks of a slice at once. ``to_pcm`` turns a column of WAVE files into WAVE files of resampled PCM;
-``store`` keeps any text losslessly as a mu-law WAVE file, one byte a sample, and ``read_back`` gives the
-payload and the features of stored files.
+``store`` keeps any text losslessly as a mu-law WAVE file, one byte a sample, and ``read_back`` gives the payload of
+stored files and the features of the PCM files that ``to_pcm`` makes of them.
 
-Rows: null text counts as empty and is stored as 192 spaces; a null or unreadable file gives nulls; repeated
-rows repeat; other columns stay out of the result.
+Lower rates are reached by taking the mean of the samples that fall into one, higher ones by linear interpolation,
+both in whole numbers. Of a last ADPCM block that isn't complete the samples that are there count, and PCM of 8 bits
+is brought to 16.
+
+Rows: null text counts as empty and is stored as 192 spaces; a null or unreadable file (no WAVE file of one channel,
+a damaged header, another format, a rate of zero) gives nulls, and one without samples a file without samples;
+repeated rows repeat; other columns stay out of the result.
 """
 
 from __future__ import annotations
@@ -57,7 +62,7 @@ CHANGES = np.where(_code & 8, -_size, _size).astype(np.int32)
 
 
 def decode_ima(data: np.ndarray, block: int = BLOCK) -> np.ndarray:
-    """Samples of mono IMA ADPCM, one row a block; all blocks advance together, one nibble at a time."""
+    """Samples of whole blocks of mono IMA ADPCM, one row a block; all blocks advance together, one nibble at a time."""
     blocks = data[: len(data) // block * block].reshape(-1, block)
     value = (blocks[:, 0].astype(np.int32) | blocks[:, 1].astype(np.int8).astype(np.int32) << 8).copy()
     index = np.minimum(blocks[:, 2], 88).astype(np.int32)
@@ -75,6 +80,13 @@ def decode_ima(data: np.ndarray, block: int = BLOCK) -> np.ndarray:
     return out.T
 
 
+def decode_ima_file(data: np.ndarray, block: int) -> np.ndarray:
+    """All samples of a file's blocks, with those of a last one that isn't complete."""
+    rest = len(data) % block
+    whole = decode_ima(data, block).ravel()
+    return whole if rest < 4 else np.concatenate([whole, decode_ima(data[-rest:], rest).ravel()])
+
+
 def resample(samples: np.ndarray, rate: int, target: int) -> np.ndarray:
     """Linear interpolation in whole numbers, to a rate that isn't lower."""
     if target < rate:
@@ -91,24 +103,39 @@ def resample(samples: np.ndarray, rate: int, target: int) -> np.ndarray:
     return (wide[i] + (wide[i + 1] - wide[i]) * part // target).astype(np.int16)
 
 
+def at_rate(samples: np.ndarray, rate: int, target: int) -> np.ndarray:
+    """The samples at another rate, which may be lower: then each is the mean (rounded down) of those that fall into it."""
+    if target >= rate or not len(samples):
+        return resample(samples, rate, target)
+    count = (len(samples) - 1) * target // rate + 1
+    begin = -(-np.arange(count, dtype=np.int64) * rate // target)
+    sums = np.add.reduceat(samples.astype(np.int64), begin)
+    return (sums // np.diff(np.append(begin, len(samples)))).astype(np.int16)
+
+
 def wave(data: bytes, kind: int, rate: int, bits: int, block: int = 1) -> bytes:
     """A mono WAVE file around encoded samples."""
     extra = b"" if kind == PCM else struct.pack("<H", 0) if kind != IMA else struct.pack("<HH", 2, 1 + 2 * (block - 4))
-    form = struct.pack("<HHIIHH", kind, 1, rate, rate * bits // 8, block, bits) + extra
+    form = struct.pack("<HHIIHH", kind, 1, rate, rate * bits // 8 & 0xFFFFFFFF, block, bits) + extra
     chunks = b"fmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
     return b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WAVE" + chunks
 
 
 def parse_wave(media: bytes) -> tuple[int, int, int, bytes] | None:
-    """Format, rate, block size and encoded samples of a mono WAVE file; None for anything else."""
+    """Format, rate, block size and encoded samples of a mono WAVE file; None for anything else. The block size of PCM
+    is the bytes of a sample."""
     if len(media) < 12 or media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         return None
     at, form = 12, None
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
-        if name == b"fmt " and size >= 16:
-            kind, channels, rate, _, block, _ = struct.unpack_from("<HHIIHH", media, at + 8)
-            form = (kind, rate, block) if channels == 1 else None
+        if name == b"fmt ":
+            if size < 16 or at + 24 > len(media):
+                return None
+            kind, channels, rate, _, block, bits = struct.unpack_from("<HHIIHH", media, at + 8)
+            if channels != 1 or not rate:
+                return None
+            form = (kind, rate, bits // 8 if kind == PCM else block)
         elif name == b"data":
             return None if form is None else (*form, media[at + 8 : at + 8 + size])
         at += 8 + size + size % 2
@@ -116,14 +143,24 @@ def parse_wave(media: bytes) -> tuple[int, int, int, bytes] | None:
 
 
 def samples_of(kind: int, data: bytes, block: int) -> np.ndarray | None:
+    """The samples as 16-bit PCM; None for other formats."""
     raw = np.frombuffer(data, np.uint8)
     if kind == MULAW:
         return MULAW_PCM[raw]
     if kind == ALAW:
         return ALAW_PCM[raw]
     if kind == IMA and block > 4:
-        return decode_ima(raw, block).ravel()
-    return np.frombuffer(data[: len(data) // 2 * 2], "<i2") if kind == PCM else None
+        return decode_ima_file(raw, block)
+    if kind == PCM and block == 1:
+        return (raw.astype(np.int16) - 128) << 8
+    return np.frombuffer(data[: len(data) // 2 * 2], "<i2") if kind == PCM and block == 2 else None
+
+
+def pcm_file(media: bytes | None, target: int = TARGET_RATE) -> bytes | None:
+    """A WAVE file of 16-bit PCM at the target rate; None if the file can't be read."""
+    parsed = parse_wave(media) if media else None
+    samples = samples_of(parsed[0], parsed[3], parsed[2]) if parsed else None
+    return None if samples is None else wave(at_rate(samples, parsed[1], target).astype("<i2").tobytes(), PCM, target, 16, 2)
 
 
 def to_pcm(files: DataFrame, media: str = "media", key: str = "doc_id", target: int = TARGET_RATE) -> DataFrame:
@@ -131,11 +168,7 @@ def to_pcm(files: DataFrame, media: str = "media", key: str = "doc_id", target:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for file in batch.column(1).to_pylist():
-                parsed = parse_wave(file) if file else None
-                pcm = samples_of(parsed[0], parsed[3], parsed[2]) if parsed else None
-                out.append(None if pcm is None else wave(resample(pcm, parsed[1], target).astype("<i2").tobytes(), PCM, target, 16, 2))
+            out = [pcm_file(file, target) for file in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], [key, "pcm"])
 
     return common.map_slices(files.select(key, F.col(media).alias("__media")), "__media", run, f"{key} {files.schema[key].dataType.simpleString()}, pcm binary")
@@ -154,21 +187,22 @@ def store(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     return common.map_slices(rows, common.TEXT, run, "doc_id long, n_bytes long, media binary")
 
 
-def _describe(pcm: np.ndarray, rate: int) -> str:
-    pcm = resample(pcm, rate, TARGET_RATE)
+def _describe(file: bytes) -> str:
+    """Features of a file of 16-bit PCM."""
+    pcm = np.frombuffer(parse_wave(file)[3], "<i2")
     wide = pcm.astype(np.int64)
     power = math.isqrt(int(wide @ wide) // len(pcm))
     crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-    return f"n{len(pcm)} rms{power} zc{crossings} peak{int(np.abs(wide).max())} crc{zlib.crc32(pcm.astype('<i2')):08x}"
+    return f"n{len(pcm)} rms{power} zc{crossings} peak{int(np.abs(wide).max())} crc{zlib.crc32(pcm):08x}"
 
 
 def read_back(stored: DataFrame) -> DataFrame:
-    """What the stored files hold: payload digests, and features of the samples resampled to 16 kHz.
+    """What the stored files hold: payload digests, the PCM file that comes of them, and features.
 
-    The feature describes the payload as mu-law, and the same bytes taken as A-law and as ADPCM blocks.
+    The feature describes the PCM of the stored file, and that of the same bytes as A-law and as ADPCM blocks.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "pcm_bytes", "pcm_sha256", "feature"]
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pcm_bytes long, pcm_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,11 +212,13 @@ def read_back(stored: DataFrame) -> DataFrame:
             ima = decode_ima(np.frombuffer(b"".join(data), np.uint8))  # whole blocks, so texts don't mix
             rows, at = [], 0
             for file, (_, rate, _, payload) in zip(files, payloads, strict=True):
-                raw = np.frombuffer(payload, np.uint8)
                 n = len(payload) // BLOCK
-                feature = f"ulaw {_describe(MULAW_PCM[raw], rate)}; alaw {_describe(ALAW_PCM[raw], rate)}; ima {_describe(ima[at : at + n].ravel(), rate)}"
+                pcm = pcm_file(file)
+                others = [ALAW_PCM[np.frombuffer(payload, np.uint8)], ima[at : at + n].ravel()]
+                alaw, adpcm = (wave(at_rate(x, rate, TARGET_RATE).astype("<i2").tobytes(), PCM, TARGET_RATE, 16, 2) for x in others)
+                feature = f"ulaw {_describe(pcm)}; alaw {_describe(alaw)}; ima {_describe(adpcm)}"
                 at += n
-                rows.append((len(payload), common.sha256(payload), zlib.crc32(payload[-16:]), len(file), common.sha256(file), feature))
+                rows.append((len(payload), common.sha256(payload), zlib.crc32(payload[-16:]), len(file), common.sha256(file), len(pcm), common.sha256(pcm), feature))
             columns = [pa.array(c) for c in zip(*rows, strict=True)] if rows else []
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)

@@ -85,6 +85,37 @@ def test_resampling_by_other_ratios():
         telephony.resample(x, 8000, 4000)
 
 
+def test_odd_files_give_nulls_or_audio(spark):
+    pcm = np.arange(-3000, 3000, 10, dtype="<i2")
+    good = telephony.wave(pcm.tobytes(), telephony.PCM, 44_100, 16, 2)
+    ima = telephony.wave(bytes(range(192)) + bytes(range(60)), telephony.IMA, 8000, 4, 192)
+    files = {
+        "44.1 kHz": good,
+        "no rate": telephony.wave(b"x" * 50, telephony.MULAW, 0, 8),
+        "short header": good[:30],
+        "no data": good[:36],
+        "cut data": good[:100],
+        "two channels": good[:22] + b"\2\0" + good[24:],
+        "other format": telephony.wave(b"x" * 50, 85, 8000, 8),
+        "24 bits": telephony.wave(b"x" * 48, telephony.PCM, 8000, 24, 3),
+        "8 bits": telephony.wave(bytes([0, 128, 255]), telephony.PCM, 16_000, 8, 1),
+        "no samples": telephony.wave(b"", telephony.MULAW, 8000, 8),
+        "short block": ima,
+        "empty": b"",
+    }
+    rows = telephony.to_pcm(spark.createDataFrame([*files.items()], "name string, media binary"), key="name").collect()
+    got = {r.name: None if r.pcm is None else np.frombuffer(telephony.parse_wave(bytes(r.pcm))[3], "<i2").tolist() for r in rows}
+    for name in ("no rate", "short header", "no data", "two channels", "other format", "24 bits", "empty"):
+        assert got[name] is None, name
+    assert got["8 bits"] == [-32768, 0, 32512] and got["no samples"] == []
+    whole = scalar_ima(bytes(range(192))) + scalar_ima(bytes(range(60)))
+    assert got["short block"][::2] == whole
+    means = [[] for _ in range((len(pcm) - 1) * 16_000 // 44_100 + 1)]
+    for i, x in enumerate(pcm.tolist()):
+        means[i * 16_000 // 44_100].append(x)
+    assert got["44.1 kHz"] == [sum(m) // len(m) for m in means] and len(got["cut data"]) == 27 * 16_000 // 44_100 + 1
+
+
 # -- BPE ---------------------------------------------------------------------------------------------------
 
 
