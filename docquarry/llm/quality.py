@@ -148,9 +148,12 @@ def with_score(docs: DataFrame, weights: np.ndarray, text: str = "text", name: s
         w = sent.value
         for batch in batches:
             hashed, counts = features([t or b"" for t in common.byte_list(batch.column(at))])
-            sums = np.concatenate([[0.0], np.cumsum(w[hashed], dtype=np.float64)])
-            ends = np.cumsum(counts)
-            dots = (sums[ends] - sums[ends - counts]) * (SCALE / (CALM + counts)) + float(w[-1])
+            # each text's own sum, so that equal texts have equal scores whatever their neighbours
+            sums = np.zeros(len(counts))
+            some = counts > 0
+            if some.any():
+                sums[some] = np.add.reduceat(w[hashed].astype(np.float64), (np.cumsum(counts) - counts)[some])
+            dots = sums * (SCALE / (CALM + counts)) + float(w[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_sigmoid(dots))], [*batch.schema.names, name])
 
     return common.map_slices(docs, text, run, T.StructType([*docs.schema]).add(name, T.DoubleType()))
