@@ -17,6 +17,7 @@ Rows: null text counts as empty, and a text without digits and at signs has no s
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,8 +32,6 @@ ROUNDS = 3
 RELIABLE, SUPPORT, SMOOTHING = 0.6, 4, 2.0
 #: Confidence from which an unseen instance supports patterns in the next round.
 TRUSTED = 0.7
-#: Characters around an identifier in which its context words are looked for.
-AROUND = 80
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -106,12 +105,18 @@ def slots(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
         token = token.strip("\"'([{<>}]).,;:!?")
         if len(token) >= 4:
             found.append((start + left, start + left + len(token), -1))
+    if not found:
+        return []
+    words = [m.span() for m in _WORD.finditer(text)]
+    starts, ends = [a for a, _ in words], [b for _, b in words]
     out = []
     for s, e, kind in found:
-        before = [w.lower() for w in _WORD.findall(text[max(0, s - AROUND) : s])[-2:]]
-        after = _WORD.search(text[e : e + AROUND])
+        # the two words before and the one after, however far; a word that the identifier is part of counts as far as it goes
+        i, j = bisect_left(starts, s), bisect_right(ends, e)
+        before = [text[a : min(b, s)].lower() for a, b in words[max(0, i - 2) : i]]
         before = ["^"] * (2 - len(before)) + before
-        patterns = [f"{before[0]} {before[1]} _", f"{before[1]} _ {after[0].lower() if after else '$'}"]
+        after = text[max(starts[j], e) : ends[j]].lower() if j < len(words) else "$"
+        patterns = [f"{before[0]} {before[1]} _", f"{before[1]} _ {after}"]
         out.append({"start": s, "end": e, "kind": kind, "instance": text[s:e].lower(), "patterns": patterns})
     return out
 
@@ -168,10 +173,10 @@ def find_personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, n_context, base_sha256, spans of every row."""
+    """doc_id, n_found (spans of all kinds), n_email, n_ip, n_card, n_phone, n_context, base_sha256, spans of every row."""
     found = find_personal_data(docs)
     names = F.array(*map(F.lit, KINDS))
     shown = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", names[x["kind"]], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long")
     base = F.filter("found", lambda x: x["kind"] < 4)
-    return found.select("doc_id", *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)), F.sha2(shown(base).cast("binary"), 256).alias("base_sha256"), shown(F.col("found")).alias("spans"))
+    return found.select("doc_id", F.size("found").cast("long").alias("n_found"), *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)), F.sha2(shown(base).cast("binary"), 256).alias("base_sha256"), shown(F.col("found")).alias("spans"))

@@ -175,3 +175,59 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert all(rows[100 + k].n_context for k in range(5))
     assert not any(rows[200 + k].n_context for k in range(30))
     assert all("email:" in rows[k].spans for k in range(30))
+
+
+def test_contexts_reach_any_distance():
+    gap = " 12 - " * 60
+    got = pii.slots(f"see Mister{gap}a@b.example{gap}today or abc77@x.example", [])
+    by = {s["instance"]: s["patterns"] for s in got}
+    assert by["a@b.example"] == ["see mister _", "mister _ today"] and by["abc77@x.example"] == ["today or _", "or _ $"]
+    assert pii.slots("v1.2.3.4x", [(1, 1, 8)])[0]["patterns"] == ["^ v _", "v _ x"]
+
+
+def test_pattern_scores_against_a_plain_version(spark):
+    import random
+
+    rnd = random.Random(4)
+    leads = ["mail me", "write to", "room no", "call us", "part of"]
+    docs = []
+    for k in range(400):
+        lead = rnd.choice(leads)
+        who = rnd.randrange(40)
+        thing = f"user{who}@site{who % 7}.example" if rnd.random() < {"mail me": 0.9, "write to": 0.6, "room no": 0.05, "call us": 0.3, "part of": 0}[lead] else f"item{who}x"
+        docs.append((k, f"{lead} {thing} {rnd.choice(['soon', 'now', 'again'])}"))
+    kind_of, edges = {}, set()
+    for _, t in docs:
+        for s in pii.slots(t, pii.base_spans(t)):
+            for p in s["patterns"]:
+                edges.add((p, s["instance"]))
+            kind_of[s["instance"]] = max(kind_of.get(s["instance"], -1), s["kind"])
+    degree = Counter(p for p, _ in edges)
+    seeds = {(i, k): 1.0 for i, k in kind_of.items() if k >= 0}
+    trusted = dict(seeds)
+    for turn in range(pii.ROUNDS):
+        mass, support = Counter(), Counter()
+        for p, i in edges:
+            for (j, k), c in trusted.items():
+                if i == j:
+                    mass[p, k] += c
+                    support[p, k] += 1
+        scores = {pk: mass[pk] / (degree[pk[0]] + pii.SMOOTHING) for pk in mass if support[pk] >= pii.SUPPORT}
+        doubt = {}
+        for p, i in edges:
+            for (q, k), r in scores.items():
+                if p == q and r >= pii.RELIABLE / 2:
+                    doubt[i, k] = doubt.get((i, k), 1.0) * (1 - min(r, 0.999))
+        trusted = dict(seeds)
+        for ik, d in doubt.items():
+            if 1 - d >= pii.TRUSTED:
+                trusted[ik] = max(trusted.get(ik, 0.0), 1 - d)
+    wanted = {pk: r for pk, r in scores.items() if r >= pii.RELIABLE}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.pattern, r.kind): r.reliability for r in pii.reliable_patterns(pii.extract(df)).collect()}
+    assert got.keys() == wanted.keys() and len(wanted) > 2 and all(math.isclose(got[k], wanted[k]) for k in wanted)
+    marked = {p for p, _ in wanted}
+    for r in pii.report(df).collect():
+        slots = pii.slots(docs[r.doc_id][1], pii.base_spans(docs[r.doc_id][1]))
+        more = [s for s in slots if s["kind"] < 0 and marked & set(s["patterns"])]
+        assert (r.n_context, r.n_found) == (len(more), len(more) + len(pii.base_spans(docs[r.doc_id][1])))
