@@ -1,13 +1,14 @@
 """Language identification, words first: known words score by log frequency, unseen ones by their n-grams.
 
-The model has, per language, log frequencies of its commonest words and of character n-grams of 1 to 4
-letters. A word of the model counts with its own frequencies. Any other word falls back to its n-grams of four
-letters (with word ends marked), and, where the model has none of them, to three, two and one; it counts with
-the mean over the n-grams found. The best sum over all words of a text wins.
+The model has, per language, log frequencies of words and of character n-grams of 1 to 4 letters, of those that the
+language's sample has KNOWN_FROM times or more. A word of the model counts with its own frequencies. Any other word falls
+back to its n-grams of four letters (with word ends marked), and, where the model has none of them, to three, two and
+one; it counts with the mean over the n-grams found. The best sum over all words of a text wins.
 
-Training reads a bounded, hash-chosen sample (about MAX_DOCS rows) of the rows whose language is known; the
-counting is Spark's, and the model keeps MAX_WORDS words and MAX_GRAMS n-grams a language and order, which
-bounds what is broadcast. Prediction reads whole texts and no other column.
+Training reads a bounded, hash-chosen sample of every language: about MAX_DOCS rows and MAX_BYTES bytes of each, so that
+rare ones stay learnable, of at most MAX_LANGUAGES languages, the commonest first. The counting is Spark's. What is
+collected and broadcast is bounded by the sample: an entry for each language that has a word, never a row over all
+languages. Prediction reads whole texts and no other column.
 
 Rows: null text, and text without a letter, is ``und`` with score 0; if nothing was learnt every row is;
 ties go to the language that sorts first; repeated rows repeat.
@@ -16,102 +17,156 @@ ties go to the language that sorts first; repeated rows repeat.
 from __future__ import annotations
 
 import re
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: The sample that trains: about so many rows, chosen by hash.
-MAX_DOCS = 12_000
-MAX_WORDS, MAX_GRAMS, LONGEST_GRAM = 20_000, 20_000, 4
+#: The sample that trains: about so many rows and bytes of each language, chosen by hash, and so many languages.
+MAX_DOCS, MAX_BYTES, MAX_LANGUAGES = 3_000, 16_000_000, 1_000
+#: How often a sample has what the model keeps.
+KNOWN_FROM, LONGEST_GRAM = 2, 4
 UNKNOWN = "und"
-#: Words whose scores a task remembers.
-REMEMBERED = 400_000
+#: Scores (words times languages) that a worker remembers.
+REMEMBERED = 1_600_000
 #: How much a count is raised, so that a language which lacks a word isn't ruled out by it.
 RAISED = 0.5
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
+@dataclass
+class Table:
+    """Log frequencies of words, or of n-grams of one length: for each, the languages that have it and by how much they
+    exceed ``lacking``, the log frequency of what a language lacks."""
+
+    places: dict[str, int]
+    bounds: np.ndarray  # where the entries of each word begin
+    languages: np.ndarray
+    above: np.ndarray
+    lacking: np.ndarray
+
+    def get(self, word: str) -> np.ndarray | None:
+        if (k := self.places.get(word)) is None:
+            return None
+        row = self.lacking.copy()
+        own = slice(self.bounds[k], self.bounds[k + 1])
+        row[self.languages[own]] += self.above[own]
+        return row
+
+
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]  # by length - 1
+    words: Table
+    grams: list[Table]  # by length - 1
+
+
+def words_of(text: str) -> list[str]:
+    return _WORDS(text.lower())
+
+
+def grams_of(word: str, size: int) -> list[str]:
+    """The n-grams of a word with its ends marked, but for the marks themselves."""
+    marked = f"^{word}$"
+    found = [marked[i : i + size] for i in range(len(marked) - size + 1)]
+    return found[1:-1] if size == 1 else found
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """lang, size (0 for words), word and n of everything in the texts of rows (text, lang)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words: dict[str, Counter] = {}
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words.setdefault(lang, Counter()).update(words_of(text))
+            found: list[tuple[str, int, str, int]] = []
+            for lang, own in words.items():
+                found += [(lang, 0, w, n) for w, n in own.items()]
+                for size in range(1, LONGEST_GRAM + 1):
+                    grams: Counter = Counter()
+                    for w, n in own.items():
+                        for g in grams_of(w, size):
+                            grams[g] += n
+                    found += [(lang, size, g, n) for g, n in grams.items()]
+            columns = [*zip(*found, strict=True)] or [()] * 4
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "size", "word", "n"])
+
+    partial = common.map_slices(rows.select("text", "lang"), "text", run, "lang string, size int, word string, n long")
+    return partial.groupBy("lang", "size", "word").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, holds_out=None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_docs: int = MAX_DOCS) -> Model:
     """A model from rows with a language; those where the column ``holds_out`` of the id is true are left out."""
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull())
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if holds_out is not None:
         rows = rows.where(~holds_out(F.col("id")))
-    n = rows.drop("text").count()
-    share = min(1.0, max_docs / max(1, n))
-    chosen = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    words = common.settled(words)
-    top_words = _commonest(words, ["lang"], MAX_WORDS)
-    ends = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    of = [F.regexp_extract_all(ends, F.lit(f"(?=(.{{{k}}}))"), 1) for k in range(1, LONGEST_GRAM + 1)]  # a word may be very long
-    grams = words.select("lang", "n", F.explode(F.filter(F.flatten(F.array(*of)), lambda g: ~g.isin("^", "$"))).alias("word"))
-    grams = grams.groupBy("lang", F.length("word").alias("size"), "word").agg(F.sum("n").alias("n"))
-    top_grams = _commonest(common.settled(grams), ["lang", "size"], MAX_GRAMS)
-    found = top_words.select("lang", F.lit(0).alias("size"), "word", "n").unionByName(top_grams).collect()
-    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    return _model(sorted(totals), totals, [(r["lang"], r["size"], r["word"], r["n"]) for r in found])
-
-
-def _commonest(counted: DataFrame, group: list[str], most: int) -> DataFrame:
-    """The rows of each group with the largest n, as many as fit without parting equal ones.
-
-    Only how many rows have each n is sorted, so no task holds a group's rows.
-    """
-    sizes = counted.groupBy(*group, "n").agg(F.count("*").alias("rows"))
-    down = Window.partitionBy(*group).orderBy(F.desc("n"))
-    fitting = sizes.withColumns({"upto": F.sum("rows").over(down), "k": F.row_number().over(down)}).where((F.col("upto") <= most) | (F.col("k") == 1))
-    least = fitting.groupBy(*group).agg(F.min("n").alias("least"))
-    return counted.join(F.broadcast(least), group).where("n >= least").drop("least")  # a row for each group
-
-
-def _model(languages: list[str], totals: dict[str, int], found: list[tuple[str, int, str, int]]) -> Model:
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    top = sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    share = F.least(F.lit(1.0), max_docs / F.col("n"), MAX_BYTES / F.greatest(F.col("bytes"), F.lit(1)))
+    below = top.select("lang", F.ceil(share * (1 << 30)).alias("below"))
+    # MAX_LANGUAGES rows at most
+    chosen = rows.join(F.broadcast(below), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("below"))
+    counts = common.settled(_counted(chosen))
+    totals = {r["lang"]: r["n"] for r in counts.where("size = 0").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    kept = counts.where(F.col("n") >= KNOWN_FROM).toArrow()
+    return _model(sorted(totals), totals, kept)
+
+
+def _model(languages: list[str], totals: dict[str, int], kept: pa.Table) -> Model:
     at = {lang: i for i, lang in enumerate(languages)}
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST_GRAM + 1)]
-    for lang, size, word, n in found:
-        if size <= LONGEST_GRAM:
-            tables[size].setdefault(word, np.zeros(len(languages)))[at[lang]] = n
-    words_of = np.array([totals[lang] for lang in languages], float)
-    for size, table in enumerate(tables):
-        sums = sum(table.values(), np.zeros(len(languages))) if size else words_of
-        for word, counts in table.items():
-            table[word] = (np.log(counts + RAISED) - np.log(sums + RAISED * (len(table) + 1))).astype(np.float32)
+    tables = []
+    sizes = kept.column("size").to_numpy()
+    for size in range(LONGEST_GRAM + 1):
+        own = kept.filter(pa.array(sizes == size))
+        words, langs = own.column("word").to_pylist(), own.column("lang").to_pylist()
+        counts, which = own.column("n").to_numpy().astype(float), np.fromiter((at[x] for x in langs), np.int64, len(langs))
+        names = sorted(set(words))
+        places = dict(zip(names, range(len(names)), strict=True))
+        place = np.fromiter((places[w] for w in words), np.int64, len(words))
+        sums = np.array([totals[x] for x in languages], float) if not size else np.bincount(which, counts, len(languages))
+        lacking = np.log(RAISED) - np.log(sums + RAISED * (len(names) + 1))
+        order = np.lexsort((which, place))
+        bounds = np.append(0, np.cumsum(np.bincount(place, minlength=len(names)))).astype(np.int64)
+        above = (np.log(counts[order] + RAISED) - np.log(RAISED)).astype(np.float32)
+        tables.append(Table(places, bounds, which[order].astype(np.int32), above, lacking.astype(np.float32)))
     return Model(languages, tables[0], tables[1:])
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
+        self.most = REMEMBERED // max(1, len(model.languages))
         self.known: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.languages)), np.float32)
 
     def word(self, word: str) -> np.ndarray:
         if (own := self.model.words.get(word)) is not None:
             return own
-        marked = f"^{word}$"
-        for k in range(LONGEST_GRAM, 0, -1):
-            table = self.model.grams[k - 1]
-            found = [v for i in range(len(marked) - k + 1) if (v := table.get(marked[i : i + k])) is not None]
+        for size in range(LONGEST_GRAM, 0, -1):
+            table = self.model.grams[size - 1]
+            found = [table.places[g] for g in grams_of(word, size) if g in table.places]
             if found:
-                return np.mean(found, axis=0)
+                # the mean over the n-grams: what all lack, and a share of what each language has above it
+                sums = table.lacking.astype(np.float64)
+                for k in found:
+                    own = slice(table.bounds[k], table.bounds[k + 1])
+                    sums[table.languages[own]] += table.above[own] / len(found)
+                return sums.astype(np.float32)
         return np.zeros(len(self.model.languages), np.float32)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        split = [_WORDS(t.lower()) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
+        split = [words_of(t) if t else [] for t in texts]
+        if len(self.known) > self.most:
             self.known, self.rows = {}, self.rows[:0]
         new = [*{w for words in split for w in words if w not in self.known}]
         if new:
@@ -130,12 +185,20 @@ class Scorer:
         return out
 
 
+#: The scorer that a worker holds, by the mark of its model.
+_ready: dict[str, Scorer] = {}
+
+
 def with_language(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred and score (the winner's share) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    mark = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        if mark not in _ready:  # a worker keeps its scorer from task to task
+            _ready.clear()
+            _ready[mark] = Scorer(sent.value)
+        scorer = _ready[mark]
         for batch in batches:
             found = scorer.predict(batch.column(1).to_pylist())
             langs, scores = [f[0] for f in found], [f[1] for f in found]

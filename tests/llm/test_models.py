@@ -1,6 +1,9 @@
 """Operators 3 and 10: held-out accuracy, edge cases, and the updates against a plain loop."""
 
 import math
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -31,11 +34,71 @@ def test_backoff_takes_the_longest_known(spark):
     docs = spark.createDataFrame([(k, "sunny sunday", "a") for k in range(9)] + [(20 + k, "mondo mond", "b") for k in range(9)], "doc_id long, text string, lang string")
     model = language_id.train(docs)
     scorer = language_id.Scorer(model)
-    assert scorer.word("sunny") is model.words["sunny"]
+    assert scorer.word("sunny").tolist() == model.words.get("sunny").tolist() and "sunny" in model.words.places
     assert language_id.Scorer(model).predict(["sundown", "mondial"])[0][0] == "a"
     assert language_id.Scorer(model).predict(["mondial"])[0][0] == "b"
 
 
+def test_scores_against_a_plain_version(small):
+    rows = [(r.doc_id, r.text, r.lang) for r in small.collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    word, gram, total = Counter(), [Counter() for _ in range(5)], Counter()
+    for i, t, lang in rows:
+        if t is not None and lang is not None and not held(i):
+            for w in re.findall(r"[^\W\d_]+", t.lower()):
+                word[lang, w] += 1
+                total[lang] += 1
+                for size in range(1, 5):
+                    marked = f"^{w}$"
+                    for k in range(len(marked) - size + 1):
+                        if marked[k : k + size] not in "^$":
+                            gram[size][lang, marked[k : k + size]] += 1
+    langs = sorted(total)
+
+    def table(counts, sums):
+        kept = {k: n for k, n in counts.items() if n >= language_id.KNOWN_FROM}
+        names = {w for _, w in kept}
+        sums = sums or {x: sum(n for (y, _), n in kept.items() if x == y) for x in langs}
+        return names, lambda x, w: math.log(kept.get((x, w), 0) + 0.5) - math.log(sums[x] + 0.5 * (len(names) + 1))
+
+    tables = [table(word, total)] + [table(gram[size], None) for size in range(1, 5)]
+
+    def score(w):
+        if w in tables[0][0]:
+            return [tables[0][1](x, w) for x in langs]
+        for size in (4, 3, 2, 1):
+            marked = f"^{w}$"
+            found = [marked[k : k + size] for k in range(len(marked) - size + 1) if marked[k : k + size] in tables[size][0]]
+            if found:
+                return [sum(tables[size][1](x, g) for g in found) / len(found) for x in langs]
+        return [0.0] * len(langs)
+
+    got = {r.doc_id: r for r in language_id.report(small).collect()}
+    memory = {}
+    for i, t, _ in rows:
+        words = re.findall(r"[^\W\d_]+", (t or "").lower())
+        assert got[i].held_out == held(i)
+        if not words:
+            assert got[i].lang_pred == "und"
+            continue
+        sums = [0.0] * len(langs)
+        for w in words:
+            if w not in memory:
+                memory[w] = score(w)
+            sums = [a + b for a, b in zip(sums, memory[w])]
+        odds = [math.exp(x - max(sums)) for x in sums]
+        best = sums.index(max(sums))
+        assert got[i].lang_pred == langs[best] and abs(got[i].score - odds[best] / sum(odds)) < 1e-2
+
+
+def test_rare_languages_stay_and_odd_ones_do_no_harm(spark):
+    docs = [(k, f"sol luna mar{k % 5}", "big") for k in range(400)] + [(1000 + k, "zug berg tal", "rare") for k in range(3)] + [(2000, "zug", None), (2001, None, "none")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language_id.train(df, max_docs=20)
+    assert model.languages == ["big", "rare"]
+    assert [p for p, _ in language_id.Scorer(model).predict(["zug tal", "luna sol", "", None, "123"])] == ["rare", "big", "und", "und", "und"]
+
+
 def test_quality_accuracy(small, spark, tiny):
     labels = spark.read.parquet(f"{tiny}/labels.parquet")
     rows = {r.doc_id: r for r in quality.score(small, labels).collect()}
