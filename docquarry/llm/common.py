@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import hashlib
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import shared_root
+
 #: Rows that a Python task handles at a time; a slice also ends at this many bytes of text.
 SLICE_BYTES = 1 << 20
 
+#: Tables of bits have so many places, in powers of two, and are made in blocks.
+LEAST_BITS, MOST_BITS = 16, 27
+BLOCK_BITS = 1 << 13
+
 #: A column name that no input column is likely to have.
 TEXT = "__text"
 
@@ -27,11 +33,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder: the one the cluster names in ``spark.checkpoint.dir``, which all executors share;
-    only where that is unset (tests on one machine) a temporary one is made."""
+    where that is unset, one of this machine, if Spark runs on it alone."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="docquarry-checkpoints-"))
+        context.setCheckpointDir(shared_root(spark))
     return context.getCheckpointDir()
 
 
@@ -73,6 +78,37 @@ def map_slices(df: DataFrame, text: str, fn: Callable[[Iterator[pa.RecordBatch]]
     return df.mapInArrow(lambda batches: fn(slices(batches, text)), schema)
 
 
+def bits_of(hashes: DataFrame, n: int) -> np.ndarray:
+    """A bit for each hash's place, about 8 * n in all but at most 2 ** MOST_BITS, made block by block (column hash)."""
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, (8 * n).bit_length()))
+    place = F.pmod(F.col("hash"), F.lit(size)).alias("place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            places = batch.column(1).to_numpy()
+            order = np.argsort(places)
+            places = places[order]
+            cuts = np.flatnonzero(np.append(True, places[1:] // BLOCK_BITS != places[:-1] // BLOCK_BITS)) if len(places) else []
+            for part in np.split(places, cuts[1:]) if len(places) else []:
+                own = blocks.setdefault(int(part[0]) // BLOCK_BITS, np.zeros(BLOCK_BITS, bool))
+                own[part % BLOCK_BITS] = True
+        if blocks:
+            yield pa.RecordBatch.from_pydict({"block": pa.array([*blocks], pa.int64()), "bits": [np.packbits(b).tobytes() for b in blocks.values()]})
+
+    dealt = hashes.select(place).select((F.shiftright("place", BLOCK_BITS.bit_length() - 1)).alias("block"), "place").repartition("block")
+    bits = np.zeros((size // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
+    for row in dealt.mapInArrow(run, "block long, bits binary").collect():  # 2 ** MOST_BITS bits in all
+        bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return bits.ravel()
+
+
+def maybe(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be among those that the table was made of; if not, it isn't."""
+    place = (hashes % np.uint64(8 * len(bits))).astype(np.int64)
+    return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+
+
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

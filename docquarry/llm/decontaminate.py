@@ -7,12 +7,14 @@ than the window counts as one window, and is found through the suffix links, as
 
 Words that the benchmark lacks end every match, and so do neighbours that are no neighbours in any item, so
 the stream only visits stretches of benchmark word pairs that are long enough to matter; finding those is
-array work. The benchmark is read in blocks of at most BLOCK_WORDS words, one automaton each, so what is sent
-to the executors stays bounded however long the benchmark is; each block is one more pass over the documents.
+array work. An automaton is made of at most about BLOCK_WORDS words, so what is sent to the executors stays bounded however
+long the benchmark is. A longer benchmark is dealt into blocks by the hashes of its items; then one pass over the
+documents writes their stretches of word pairs of any block (by a table of bits of bounded size), and the blocks'
+automata read these stretches, not the documents.
 
 Rows: null and wordless texts have no words and are clean; repeated documents or items repeat or coincide;
-null item ids are left out of the id list but their windows still count as hits; other columns are kept by
-``remove_spans`` and ignored by ``find_hits``.
+null item ids are left out of the id list but their windows still count as hits; other columns are kept, but for
+those that ``find_hits`` names itself, which it replaces.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
+from .hashing import U, chain, hash_spans, mix, runs
 
 WINDOW = 10
 #: Words of benchmark items in one automaton; about 400 bytes a word in each Python worker.
@@ -172,7 +175,7 @@ class Block:
         get = self.ids.get
         ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
         spans: list[tuple[int, int]] = []
-        found: set[int] = set()
+        states: set[int] = set()
         m = self.automaton
         for a, b in self.stretches(ids):
             state = length = 0
@@ -187,16 +190,16 @@ class Block:
                 here = state
                 if length >= self.window:
                     hit = length
-                    found |= m.items.get(m.anchor[state], set())
+                    states.add(m.anchor[state])
                 short = m.shorter[here]
                 while short >= 0:
                     if m.short[short] <= length:
                         hit = max(hit, m.short[short])
-                        found |= m.items[short]
+                        states.add(short)
                     short = m.shorter[m.link[short]] if m.link[short] >= 0 else -1
                 if hit:
                     spans.append((k + 1 - hit, k + 1))
-        return merged(spans), found
+        return merged(spans), set().union(*(m.items.get(s, ()) for s in states))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -209,43 +212,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[str | None, bytes | None]]]:
-    """Items in blocks of bounded size, streamed through the driver one partition at a time."""
-    block: list[tuple[str | None, bytes | None]] = []
-    size = 0
-    for row in benchmark.select(F.col(item_id).cast("string"), F.col(text).cast("binary")).distinct().toLocalIterator():
-        n = len(words_of(row[1]))
-        if n == 0:
-            continue
-        if block and size + n > block_words:
-            yield block
-            block, size = [], 0
-        block.append((row[0], bytes(row[1])))
-        size += n
-    yield block
-
-
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with n_words, hits (merged [start, end) word spans) and items (sorted ids of items with occurring windows)."""
-    return _over_blocks(docs, benchmark, window, text, item_id, item_text, block_words, None)[0]
-
-
-def _over_blocks(docs: DataFrame, benchmark: DataFrame, window: int, text: str, item_id: str, item_text: str, block_words: int, most: float | None) -> tuple[DataFrame, int]:
-    """A pass for each block, and their number. What a pass found is written before the next, so that no task holds
-    two automata."""
-    width = len(docs.columns)
-    coming = blocks(benchmark, item_id, item_text, block_words)
-    block, passes = next(coming), 0
-    while block is not None:
-        after, passes = next(coming, None), passes + 1
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-        docs = _match(docs, sent, window, text, width, most if after is None else None)
-        docs, block = docs if after is None else common.written(docs), after
-    return docs, passes
-
-
+#: Words as Spark counts them; the same as ``words_of`` finds.
+_RUNS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What ``find_hits`` adds.
+FOUND = ["n_words", "hits", "items"]
 #: Whether words were cut from a text.
 CUT = "__cut"
+#: Copies of what was found, for texts that very many rows have.
+SALTS = 16
 
 #: The automaton that a worker holds, by the mark of its block.
 _ready: dict[str, Block] = {}
@@ -253,58 +227,171 @@ _ready: dict[str, Block] = {}
 #: A word as the matcher counts them, for finding its characters again.
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
+_spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def dealt_items(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> tuple[DataFrame, int, int]:
+    """Different items with words as (item, text, n, block), how many words they have, and how many blocks."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").alias("text")).distinct()
+    items = items.withColumn("n", F.regexp_count("text", F.lit(_RUNS))).where("n > 0")
+    total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    count = max(1, -(-total // block_words))
+    return items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(count)).cast("int")), total, count
+
+
+def _sent(items: DataFrame):
+    """A block's items, broadcast: about BLOCK_WORDS words."""
+    rows = [(r["item"], r["text"].encode()) for r in items.select("item", "text").collect()]
+    return items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows))
+
 
-def _match(docs: DataFrame, sent, window: int, text: str, width: int, most: float | None) -> DataFrame:
-    """The first ``width`` columns of ``docs``, with n_words, hits and items after a block more; or, given the
-    largest share of hit words that is let through, those columns with hit spans cut from the texts, and CUT."""
-    schema = T.StructType(docs.schema.fields[:width])
-    found_names = ["n_words", "hits", "items"]
-    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    again = len(docs.columns) > width
+def _block(sent, window: int) -> tuple[Block, list[str | None]]:
+    mark, items = sent.value
+    if mark not in _ready:
+        _ready.clear()
+        _ready[mark] = Block([t for _, t in items], window)
+    return _ready[mark], [i for i, _ in items]
+
+
+def _match(docs: DataFrame, sent, window: int, text: str) -> DataFrame:
+    """``docs`` with what one block finds."""
     at = docs.columns.index(text)
-    if most is not None:
-        schema = schema.add(CUT, "boolean")
-    else:
-        schema = schema.add("n_words", "long").add("hits", SPANS).add("items", T.ArrayType(T.StringType()))
-    key = uuid.uuid4().hex
+    schema = T.StructType([*docs.schema]).add("n_words", "long").add("hits", SPANS).add("items", T.ArrayType(T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = sent.value
-        if key not in _ready:
-            _ready.clear()
-            _ready[key] = Block([t for _, t in items], window)
-        block = _ready[key]
-        labels = [i for i, _ in items]
+        block, labels = _block(sent, window)
         for batch in batches:
-            texts = common.byte_list(batch.column(at))
             n, hits, found = [], [], []
-            for raw in texts:
+            for raw in common.byte_list(batch.column(at)):
                 words = words_of(raw)
                 spans, which = block.match(words) if words else ([], set())
                 n.append(len(words))
-                hits.append(spans)
-                found.append({labels[i] for i in which if labels[i] is not None})
-            if again:
-                old = zip(batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist(), strict=True)
-                for i, (spans, ids) in enumerate(old):
-                    hits[i] = merged(hits[i] + [(h["start"], h["end"]) for h in spans])
-                    found[i].update(ids)
-            columns = [*batch.columns[:width]]
-            if most is None:
-                shown = [[{"start": a, "end": b} for a, b in spans] for spans in hits]
-                more = [pa.array(n, pa.int64()), pa.array(shown, spans_type), pa.array(list(map(sorted, found)), pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*columns, *more], [*batch.schema.names[:width], *found_names])
-                continue
+                hits.append([{"start": a, "end": b} for a, b in spans])
+                found.append(sorted({labels[i] for i in which if labels[i] is not None}))
+            more = [pa.array(n, pa.int64()), pa.array(hits, _spans_type), pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema.names)
+
+    return common.map_slices(docs, text, run, schema)
+
+
+def _pairs(docs: DataFrame, text: str) -> DataFrame:
+    """hash of the neighbouring words of texts, and of a text's one word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in common.byte_list(batch.column(0)):
+                _, words = _hashed(raw)
+                found = chain(words, 2) if len(words) > 1 else mix(words ^ _ALONE)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(found).view(np.int64))], ["hash"])
+
+    return common.map_slices(docs.select(text), text, run, "hash long")
+
+
+#: Hashes of words that are an item are told apart from those of pairs.
+_ALONE = U(0x5851F42D4C957F2D)
+
+
+def _hashed(raw: bytes | None) -> tuple[tuple[bytes, np.ndarray, np.ndarray], np.ndarray]:
+    """A text with nothing but words and spaces, where its words start and end, and their hashes."""
+    plain = (raw or b"").translate(TO_WORDS)
+    data = np.frombuffer(plain, np.uint8)
+    starts, ends = runs(data != 32) if len(data) else (np.empty(0, np.int64),) * 2
+    return (plain, starts, ends), hash_spans(data, starts, ends)
+
+
+def _stretches(docs: DataFrame, text: str, bits, least: int) -> DataFrame:
+    """__k1, __k2, start (a word's number) and words of the stretches of a text in which all neighbours may be neighbours in
+    some item, ``least`` words long at least; with one-word items, words that may be one, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, int, bytes]] = []
+            for i, raw in enumerate(common.byte_list(batch.column(2))):
+                (plain, starts, ends), words = _hashed(raw)
+                if len(words) < least:
+                    continue
+                joined = np.concatenate([[False], common.maybe(bits.value, chain(words, 2)), [False]])
+                turns = np.flatnonzero(joined[1:] != joined[:-1])
+                spans = [(a, b + 1) for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True) if b + 1 - a >= least]
+                if least <= 1:
+                    alone = np.flatnonzero(common.maybe(bits.value, mix(words ^ _ALONE)) & ~joined[1:] & ~joined[:-1])
+                    spans += [(a, a + 1) for a in alone.tolist()]
+                rows += [(i, a, plain[starts[a] : ends[b - 1]]) for a, b in spans]
+            which, start, part = zip(*rows, strict=True) if rows else ((), (), ())
+            keys = [batch.column(k).take(pa.array(which, pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(start, pa.int64()), pa.array(part, pa.binary())], ["__k1", "__k2", "start", "words"])
+
+    found = common.map_slices(docs.select("__k1", "__k2", text), text, run, "__k1 long, __k2 long, start long, words binary")
+    return found.dropDuplicates(["__k1", "__k2", "start"])  # equal texts have equal stretches
+
+
+def _in_blocks(docs: DataFrame, items: DataFrame, total: int, count: int, window: int, text: str) -> DataFrame:
+    """``docs`` with what all blocks find: one pass for the stretches, and one to bring their hits back."""
+    rows = docs.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit("second"), text)})
+    bits = docs.sparkSession.sparkContext.broadcast(common.bits_of(_pairs(items, "text"), total))
+    least = min(window, items.agg(F.min("n")).first()[0])
+    stretches = common.written(_stretches(rows, text, bits, least))
+    parts = []
+    for k in range(count):
+        found = _match(stretches, _sent(items.where(F.col("block") == k)), window, "words")
+        moved = F.transform("hits", lambda h: F.struct((h["start"] + F.col("start")).alias("start"), (h["end"] + F.col("start")).alias("end")))
+        # written, so that no task holds two automata
+        parts.append(common.written(found.where(F.size("hits") > 0).select("__k1", "__k2", moved.alias("hits"), "items")))
+    every = functools.reduce(DataFrame.unionByName, parts)
+    each = lambda c: F.flatten(F.collect_list(c))
+    hits = every.groupBy("__k1", "__k2").agg(each("hits").alias("hits"), F.array_sort(F.array_distinct(each("items"))).alias("items"))
+    salted = hits.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*(F.col(c) for c in docs.columns if c != text), F.lit(1)), F.lit(SALTS)).cast("int")
+    both = rows.withColumn("__salt", salt).join(salted, ["__k1", "__k2", "__salt"], "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    n_words = F.coalesce(F.regexp_count(text, F.lit(_RUNS)), F.lit(0)).cast("long").alias("n_words")
+    return both.select(*docs.columns, n_words, none("hits", SPANS), none("items", "array<string>"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, text: str, item_id: str, item_text: str, block_words: int) -> DataFrame:
+    items, total, count = dealt_items(benchmark, item_id, item_text, block_words)
+    return _match(docs, _sent(items), window, text) if count == 1 else _in_blocks(docs, common.written(items), total, count, window, text)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.withColumnsRenamed({c: f"__{i}" for i, c in enumerate(docs.columns)})
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``docs`` with n_words, hits ([start, end) word spans in order, which blocks may find more than once) and items (sorted ids
+    of items with occurring windows)."""
+    names = docs.columns
+    found = _found(_numbered(docs), benchmark, window, f"__{names.index(text)}", item_id, item_text, block_words)
+    return found.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(names) if c not in FOUND), "n_words", F.array_sort("hits").alias("hits"), "items")
+
+
+def _cut(found: DataFrame, text: str, most: float, sent, window: int) -> DataFrame:
+    """The rows whose hit words are at most a share of all, with hit spans cut from their texts, and CUT. What was found is in
+    the last columns; or, given the one block there is, texts are matched here, again until a cut brings no window together."""
+    width = len(found.columns) - (0 if sent else len(FOUND))
+    schema = T.StructType(found.schema.fields[:width]).add(CUT, "boolean")
+    at = found.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = common.byte_list(batch.column(at))
+            if sent:
+                block = _block(sent, window)[0]
+                words = [words_of(t) for t in texts]
+                hits, n = [block.match(w)[0] for w in words], [*map(len, words)]
+            else:
+                hits = [merged([(h["start"], h["end"]) for h in own]) for own in batch.column(width + 1).to_pylist()]
+                n = batch.column(width).to_pylist()
             keep = [sum(b - a for a, b in spans) <= most * k for spans, k in zip(hits, n, strict=True)]
             for i, spans in enumerate(hits):
-                while spans and keep[i]:  # what a cut brings together may be a window again
+                while spans and keep[i]:
                     texts[i] = _without(texts[i], spans)
-                    spans, _ = block.match(words_of(texts[i]))
+                    spans = block.match(words_of(texts[i]))[0] if sent else []
+            columns = [*batch.columns[:width], pa.array([bool(spans) for spans in hits], pa.bool_())]
             columns[at] = pa.array([t if t is None else t.decode() for t in texts], pa.string())
-            columns.append(pa.array([bool(spans) for spans in hits], pa.bool_()))
             yield pa.RecordBatch.from_arrays(columns, schema.names).filter(pa.array(keep, pa.bool_()))
 
-    return common.map_slices(docs, text, run, schema)
+    return common.map_slices(found, text, run, schema)
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -345,18 +432,17 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
     A span is removed from its first word's first byte to its last word's last byte. Clean rows come back as they are.
     """
     names = docs.columns
-    rows = docs.withColumnsRenamed({c: f"__{i}" for i, c in enumerate(names)})
-    parts, most = [], max_coverage
-    while True:
-        cut, passes = _over_blocks(rows, benchmark, window, f"__{names.index(text)}", "item_id", "text", block_words, most)
-        if passes == 1:
-            parts.append(cut)
-            break
-        # a pass knows its own block, and a cut may bring together a window of another one
-        cut = common.written(cut)
-        parts.append(cut.where(~F.col(CUT)))
-        rows, most = cut.where(CUT).drop(CUT), 1.0
-        if rows.isEmpty():
-            break
-    clean = functools.reduce(DataFrame.unionByName, parts)
+    rows, at = _numbered(docs), f"__{names.index(text)}"
+    items, total, count = dealt_items(benchmark, "item_id", "text", block_words)
+    if count == 1:
+        sent = _sent(items)
+        clean = _cut(rows, at, max_coverage, sent, window)
+    else:
+        items = common.written(items)
+        parts, most = [], max_coverage
+        while not parts or not rows.isEmpty():  # a cut may bring together a window of any block
+            cut = common.written(_cut(_in_blocks(rows, items, total, count, window, at), at, most, None, window))
+            parts.append(cut.where(~F.col(CUT)))
+            rows, most = cut.where(CUT).drop(CUT), 1.0
+        clean = functools.reduce(DataFrame.unionByName, parts)
     return clean.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(names)))

@@ -17,7 +17,7 @@ hashes), as long as they are equal, up to where the next chunk takes over. So a
 first line to its last. A whole text is a chunk besides, whatever its size, compared by SHA-256: of exact copies
 nothing is left.
 
-*Scale.* The count shuffles hashes alone. Which hashes repeat is broadcast as a table of bits (at most 2 ** MOST_BITS), which
+*Scale.* The count shuffles hashes alone. Which hashes repeat is broadcast as a table of bits of bounded size (``common.bits_of``), which
 only ever says "maybe": where it is full, more chunks travel, and the result is the same. Hashes with more than one in
 HOT of all occurrences, HOT at most, are salted, so that no task holds a frequent chunk's rows. Texts travel once, to meet
 the stretches that are cut from them.
@@ -46,9 +46,6 @@ from .hashing import U, hash_spans, mix
 
 #: Words to both sides of a fold, and those that a chunk needs.
 FOLD, CHUNK_WORDS = 4, 10
-#: The table of bits has 8 places for each repeated hash, in powers of two between these.
-LEAST_BITS, MOST_BITS = 16, 27
-BLOCK_BITS = 1 << 13
 #: A hash with more than one in so many occurrences is hot.
 HOT = 4096
 #: Chunks of more bytes, which only lines without any place for a fold make, are compared by SHA-256.
@@ -175,36 +172,6 @@ def repeated_hashes(rows: DataFrame, at: str) -> DataFrame:
     return found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def bits_of(hashes: DataFrame, n: int) -> np.ndarray:
-    """A bit for each hash's place in a table of bounded size, made block by block."""
-    size = 1 << min(MOST_BITS, max(LEAST_BITS, (8 * n).bit_length()))
-    place = F.pmod(F.col("hash"), F.lit(size)).alias("place")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, np.ndarray] = {}
-        for batch in batches:
-            places = batch.column(1).to_numpy()
-            order = np.argsort(places)
-            places = places[order]
-            cuts = np.flatnonzero(np.append(True, places[1:] // BLOCK_BITS != places[:-1] // BLOCK_BITS)) if len(places) else []
-            for part in np.split(places, cuts[1:]) if len(places) else []:
-                own = blocks.setdefault(int(part[0]) // BLOCK_BITS, np.zeros(BLOCK_BITS, bool))
-                own[part % BLOCK_BITS] = True
-        if blocks:
-            yield pa.RecordBatch.from_pydict({"block": pa.array([*blocks], pa.int64()), "bits": [np.packbits(b).tobytes() for b in blocks.values()]})
-
-    dealt = hashes.select(place).select((F.shiftright("place", BLOCK_BITS.bit_length() - 1)).alias("block"), "place").repartition("block")
-    bits = np.zeros((size // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
-    for row in dealt.mapInArrow(run, "block long, bits binary").collect():  # 2 ** MOST_BITS bits in all
-        bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
-    return bits.ravel()
-
-
-def _maybe(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    place = (hashes % U(8 * len(bits))).astype(np.int64)
-    return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
-
-
 #: An occurrence: its document, its hash, where it starts, the hash of the line before, chained hashes of the lines
 #: behind, its bytes, and where it and those lines begin and end: the line before, the chunk's end, the lines behind.
 _NAMES = ["__id", "__k1", "__k2", "hash", "start", "before", "behind", "chunk", "ends"]
@@ -222,9 +189,9 @@ def occurrences(rows: DataFrame, at: str, bits) -> DataFrame:
 
     def _occurrences(batch: pa.RecordBatch, texts: list[bytes], lines: Lines, marks: np.ndarray) -> pa.RecordBatch:
         owner, hashes = lines.whole()
-        again = _maybe(marks, hashes)
+        again = common.maybe(marks, hashes)
         owner, hashes = owner[again], hashes[again]
-        k = lines.chosen[_maybe(marks, lines.hash[lines.chosen])]
+        k = lines.chosen[common.maybe(marks, lines.hash[lines.chosen])]
         mine, n = lines.owner[k], len(lines.owner)
         own_hash = hash_spans(lines.data, lines.start, lines.end)
         follows = np.append(lines.owner[1:] == lines.owner[:-1], False)
@@ -334,7 +301,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", dro
     at = f"__{names.index(text)}"
     repeated = common.written(repeated_hashes(rows, at))
     size = repeated.agg(F.count("*").alias("hashes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    bits = docs.sparkSession.sparkContext.broadcast(bits_of(repeated, size["hashes"]))
+    bits = docs.sparkSession.sparkContext.broadcast(common.bits_of(repeated, size["hashes"]))
     many = max(1000, size["rows"] // HOT + 1)
     hot = repeated.where(F.col("n") > many).select("hash", F.ceil(F.col("n") / many).cast("int").alias("salts"))
     gone = removals(occurrences(rows, at, bits), hot)

@@ -98,3 +98,18 @@ def test_seams_of_other_blocks_are_clean(spark):
         left = decontaminate.remove_spans(spark.createDataFrame(docs, "doc_id long, text string"), items, block_words=block_words)
         assert left.columns == ["doc_id", "text"]
         assert {r.doc_id: r.text and split(r.text) for r in left.collect()} == {0: split(own + " end"), 1: split(own + " end"), 2: split(own), 3: None}
+
+
+def test_clashing_names(edge, spark):
+    b = spark.createDataFrame([(1, "one")], "item_id long, text string")
+    for block_words in (1, 200_000):
+        found = decontaminate.find_hits(edge, b.union(spark.createDataFrame([(2, "two words")], b.schema)), block_words=block_words)
+        assert len(set(found.columns)) == len(found.columns) and set(edge.columns) <= set(found.columns)
+        assert {r.doc_id for r in found.collect() if r.hits} == {8, 9, 10}
+
+
+def test_documents_are_read_twice_whatever_the_blocks(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    b = spark.createDataFrame([(k, f"word{k} " * 12) for k in range(30)], "item_id long, text string")
+    shown = decontaminate.find_hits(docs, b, block_words=50)._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("documents.parquet") == 1  # and once for the stretches, which are written
