@@ -5,13 +5,18 @@ hundredths. Equal sets are one class from the start, so copies never meet each o
 
 The lists of an inverted index hold the classes with a shingle. Over the corpus, shingles are ordered by how many
 documents have them (counted in a table of fixed size), and the first few of a class, its shortest lists, must
-meet those of any similar class: joins of the lists with filters on sizes and places give candidates. Lists of up
+meet those of any similar class: joins of the lists with filters on sizes and places give candidates. The first
+shingle that two similar sets share can't stand far back in either, as all that they share follows it; so of a template
+with many pages that differ just too much, no list is early enough in any page, and nothing is compared. Lists of up
 to SHORT_LIST classes are joined with themselves. Longer ones first meet two of their members each; classes that
-are still in different groups afterwards meet in a second round, the smaller side against the rest of the list.
+are still in different groups afterwards meet in a second round, the smaller side against the rest of the list, but
+only where sizes and places of the list's members (summed up by levels of size) let a set be similar.
 
 Candidates are searched as DivideSkip does. Their classes are dealt into blocks, each with an inverted index of
-its own, and a class goes as a query to the blocks where it has candidates. There its longest lists are set
-aside, the others are merged with a heap, and classes with enough occurrences are looked up in the long lists by
+its own, and a class goes as a query to the blocks where it has candidates; a block with many queries is copied, so that no
+task has more than about QUERIES of them. There a query's longest lists are set
+aside, the others are merged with a heap (or, from MERGED_AS_ARRAY entries on, by sorting them as one array, which counts the
+same occurrences), and classes with enough of them are looked up in the long lists by
 binary search. Those that reach the required overlap are links.
 
 A shingle is known by 48 bits of its hash when two sets are compared, and a set by 128 bits. Rows: null and
@@ -39,8 +44,10 @@ COUNT_BITS, MARK_BITS = 20, 24
 BLOCK = 1024
 #: Lists up to this length are joined with themselves.
 SHORT_LIST = 32
-#: Classes in a block of the search.
-BLOCK_CLASSES = 100
+#: Classes in a block of the search, and queries that meet one copy of it.
+BLOCK_CLASSES, QUERIES = 100, 20_000
+#: Sizes of sets are summed up by levels, so many to a factor of e.
+SIZE_LEVELS = 50
 #: How much a probe of a long list costs, compared with a step of the heap (the method's own constant).
 PROBE_COST = 0.0085
 #: Short lists with so many entries in all are merged by sorting them as one array, not by a heap.
@@ -232,16 +239,21 @@ def block_of(column: str, blocks: int):
 def search_blocks(docs: DataFrame, members: DataFrame, asked: DataFrame, blocks: int, size: int, percent: int, text: str, doc_id: str) -> DataFrame:
     """a and b of the links between classes and the members of the blocks where they are asked for (id, block)."""
     asked = asked.select("id", "block", F.lit(True).alias("asks"))
-    needed = asked.unionByName(members.select("id", block_of("id", blocks), F.lit(False).alias("asks")))
+    copies = asked.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies"))
+    own = members.select("id", block_of("id", blocks)).join(copies, "block")  # blocks that nobody asks stay out
+    own = own.select("id", "block", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    asked = asked.join(copies, "block").select("id", "block", "asks", F.pmod(F.xxhash64("id", F.lit(9)), F.col("copies")).cast("int").alias("copy"))
+    needed = asked.unionByName(own)
     sets = sets_of(docs, needed.select("id").distinct(), size, text, doc_id)
-    dealt = needed.join(sets, "id").repartition("block").sortWithinPartitions("block", "asks")
+    dealt = needed.join(sets, "id").repartition("block", "copy").sortWithinPartitions("block", "copy", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, own, index = None, [], [], None
         for batch in batches:
             a: list[int] = []
             b: list[int] = []
-            for which, asks, i, packed in zip(*(batch.column(k).to_pylist() for k in ("block", "asks", "id", "members")), strict=True):
+            for block, copy, asks, i, packed in zip(*(batch.column(k).to_pylist() for k in ("block", "copy", "asks", "id", "members")), strict=True):
+                which = block, copy
                 if which != now:
                     now, ids, own, index = which, [], [], None
                 if not asks:
@@ -256,7 +268,7 @@ def search_blocks(docs: DataFrame, members: DataFrame, asked: DataFrame, blocks:
                 a += [i] * (len(b) - len(a))
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    found = dealt.select("block", "asks", "id", "members").mapInArrow(run, "a long, b long")
+    found = dealt.select("block", "copy", "asks", "id", "members").mapInArrow(run, "a long, b long")
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -296,6 +308,47 @@ def _fits(percent: int):
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (most >= _needed(na, nb, percent))
 
 
+def _early(percent: int):
+    """Whether a shingle of both, x and y, can be the first that similar sets share: all the others follow it."""
+    need = _needed(F.col("x.n"), F.col("y.n"), percent)
+    return (F.col("x.place") <= F.col("x.n") - need) & (F.col("y.place") <= F.col("y.n") - need)
+
+
+def _by_level(postings: DataFrame, *by):
+    """Sizes and least places of the lists' members, by levels of size."""
+    level = F.floor(F.log("n") * SIZE_LEVELS).alias("level")
+    return postings.groupBy("shingle", level, *by).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("place").alias("first"))
+
+
+def _may_meet(percent: int):
+    """Whether a posting (n, place) can be early with a member of a level (least, most, first): the overlap that is needed
+    grows with the member's size, and so does the place up to which it may stand."""
+    n = F.col("n")
+    low = F.greatest(F.col("least"), F.ceil(n * percent / 100))
+    high = F.least(F.col("most"), F.floor(n * 100 / percent))
+    return (low <= high) & (F.col("place") <= n - _needed(n, low, percent)) & (F.col("first") <= high - _needed(n, high, percent))
+
+
+def second_round(long: DataFrame, labels: DataFrame, blocks_of, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members and queries (id, block) of long lists whose classes are still in different groups.
+
+    ``blocks_of`` gives the number of blocks for a table of members.
+    """
+    named = long.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = common.written(named)
+    mixed = named.groupBy("shingle").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other")
+    main = named.where("id = low").select("shingle", F.col("label").alias("main"))
+    rest = named.join(mixed.select("shingle"), "shingle").join(main, "shingle")
+    # a posting that meets no level of its list early goes no further, and no list makes pairs of all its classes
+    met = rest.join(_by_level(rest), "shingle").where(_may_meet(percent)).select(*rest.columns).distinct()
+    rest = common.written(met)
+    members = rest.select("id").distinct()
+    blocks = blocks_of(members)
+    places = _by_level(rest, block_of("id", blocks))
+    asked = rest.where("label <> main").select("shingle", "id", "n", "place").join(places, "shingle").where(_may_meet(percent)).select("id", "block").distinct()
+    return members, common.written(asked)
+
+
 def components(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """id, n (set size) and component (smallest id of its group) of every row."""
     own = common.written(profiles(docs, size, percent, text, doc_id))
@@ -307,36 +360,30 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "t
     postings = common.written(postings.join(lists, "shingle"))
     short, long = postings.where(F.col("length") <= SHORT_LIST), postings.where(F.col("length") > SHORT_LIST)
 
-    fits = _fits(percent)
+    fits, early = _fits(percent), _early(percent)
     same = F.col("x.shingle") == F.col("y.shingle")
     pair = [F.col("x.id").alias("query"), F.col("y.id").alias("member")]
+    # how many of a class's first shingles have long lists, which the joins of short ones don't see
+    beyond_short = long.groupBy("id").agg(F.count("*").alias("n_long"))
+    short = short.join(beyond_short, "id", "left").withColumn("n_long", F.coalesce("n_long", F.lit(0)))
     x, y = short.alias("x"), short.alias("y")
     # of the shingles that similar sets share, only so many can stand beyond the first ones of both
     na, nb = F.col("x.n"), F.col("y.n")
-    among_first = _needed(na, nb, percent) - F.greatest(_beyond(na, percent), _beyond(nb, percent))
-    met = x.join(y, same & (F.col("x.id") < F.col("y.id")) & fits).select(*pair, among_first.alias("least"))
-    near = met.groupBy("query", "member", "least").agg(F.count("*").alias("n")).where("n >= least").select("query", "member")
+    among_first = _needed(na, nb, percent) - F.greatest(_beyond(na, percent), _beyond(nb, percent)) - F.least("x.n_long", "y.n_long")
+    met = x.join(y, same & (F.col("x.id") < F.col("y.id")) & fits).select(*pair, among_first.alias("least"), early.alias("early"))
+    near = met.groupBy("query", "member", "least").agg(F.count("*").alias("n"), F.max("early").alias("early")).where("n >= least AND early").select("query", "member")
     leaders = long.where("id = low OR id = high")
-    star = leaders.alias("x").join(long.alias("y"), same & (F.col("x.id") != F.col("y.id")) & fits).select(*pair)
+    star = leaders.alias("x").join(long.alias("y"), same & (F.col("x.id") != F.col("y.id")) & fits & early).select(*pair)
     first = common.written(near.unionByName(star).distinct())
+    blocks_of = lambda members: max(1, members.count() // BLOCK_CLASSES)
     members = first.select(F.col("member").alias("id")).distinct()
-    blocks = max(1, members.count() // BLOCK_CLASSES)
+    blocks = blocks_of(members)
     asked = first.select(F.col("query").alias("id"), block_of("member", blocks)).distinct()
     links = common.settled(search_blocks(docs, members, asked, blocks, size, percent, text, doc_id))
     labels = groups_of(links)
-
-    named = long.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    named = common.written(named)
-    mixed = named.groupBy("shingle").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other")
-    main = named.where("id = low").select("shingle", F.col("label").alias("main"))
-    rest = common.written(named.join(mixed.select("shingle"), "shingle").join(main, "shingle"))
-    members = rest.select("id").distinct()
-    blocks = max(1, members.count() // BLOCK_CLASSES)
-    if not rest.isEmpty():  # a query meets blocks, not members, so no list makes pairs of all its classes
-        places = rest.groupBy("shingle", block_of("id", blocks)).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-        reach = (F.col("n") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("n") * percent)
-        asked = rest.where("label <> main").select("shingle", "id", "n").join(places, "shingle").where(reach).select("id", "block").distinct()
-        more = search_blocks(docs, members, asked, blocks, size, percent, text, doc_id)
+    members, asked = second_round(long, labels, blocks_of, percent)
+    if not asked.isEmpty():
+        more = search_blocks(docs, members, asked, blocks_of(members), size, percent, text, doc_id)
         old = labels.select(F.col("id").alias("a"), F.col("label").alias("b"))
         labels = groups_of(common.settled(old.unionByName(more).distinct()))
     named_classes = classes.select("set_hash", "id").join(labels, "id", "left").select("set_hash", F.coalesce("label", "id").alias("label"))

@@ -98,3 +98,39 @@ def test_packed_sets_come_back():
     s = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 50).astype(np.uint64))
     packed = s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
     assert (ngram_join.unpack(packed) >> np.uint64(16) == s >> np.uint64(16)).all()
+
+
+def family(n, own, seed=1):
+    """Pages of one template that share all but some words of their own."""
+    rnd = random.Random(seed)
+    template = [f"t{rnd.randrange(10**6)}" for _ in range(400)]
+    return [(k, " ".join(template[:200] + [f"p{k}x{j}" for j in range(rnd.choice(own))] + template[200:])) for k in range(n)]
+
+
+@pytest.mark.parametrize("own", [[35], [18, 19, 20, 21, 22, 23, 24], [30, 60]])
+def test_families_near_the_limit(spark, monkeypatch, own):
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 8)
+    docs = family(40, own)
+    assert got(ngram_join.components(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90)) == expected(docs, 3, 90)
+
+
+def test_near_misses_are_not_compared(spark, monkeypatch):
+    asked = []
+    search = ngram_join.search_blocks
+
+    def counting(docs, members, ask, *rest):
+        asked.append(ask.count())
+        return search(docs, members, ask, *rest)
+
+    monkeypatch.setattr(ngram_join, "search_blocks", counting)
+    for n in (100, 400):
+        docs = spark.createDataFrame(family(n, [35]), "doc_id long, text string")
+        assert ngram_join.components(docs, 3, 90).where("id <> component").count() == 0
+    assert sum(asked) <= 20
+
+
+def test_many_queries_meet_copies_of_a_block(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "QUERIES", 5)
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 3)
+    docs = variants(7, groups=3, per=25)
+    assert got(ngram_join.components(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90)) == expected(docs, 3, 90)
