@@ -16,6 +16,7 @@ ties go to the language that sorts first; repeated rows repeat.
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 from collections import Counter
@@ -53,13 +54,15 @@ class Table:
     above: np.ndarray
     lacking: np.ndarray
 
-    def get(self, word: str) -> np.ndarray | None:
-        if (k := self.places.get(word)) is None:
-            return None
-        row = self.lacking.copy()
-        own = slice(self.bounds[k], self.bounds[k + 1])
-        row[self.languages[own]] += self.above[own]
-        return row
+    def means(self, found: list[int], counts: list[int]) -> np.ndarray:
+        """A row over all languages for each of several lists of places, one after the other: the mean over its entries."""
+        places, n = np.array(found, np.int64), np.array(counts, np.int64)
+        begin, size = self.bounds[places], self.bounds[places + 1] - self.bounds[places]
+        entry = np.arange(int(size.sum())) + np.repeat(begin - np.cumsum(size) + size, size)
+        owner = np.repeat(np.repeat(np.arange(len(n)), n), size)
+        cells, wide = len(n) * len(self.lacking), len(self.lacking)
+        sums = np.bincount(owner * wide + self.languages[entry], self.above[entry], cells).reshape(-1, wide)
+        return sums / n[:, None] + self.lacking
 
 
 @dataclass
@@ -149,20 +152,24 @@ class Scorer:
         self.known: dict[str, int] = {}
         self.rows = np.zeros((0, len(model.languages)), np.float32)
 
-    def word(self, word: str) -> np.ndarray:
-        if (own := self.model.words.get(word)) is not None:
-            return own
-        for size in range(LONGEST_GRAM, 0, -1):
-            table = self.model.grams[size - 1]
-            found = [table.places[g] for g in grams_of(word, size) if g in table.places]
-            if found:
-                # the mean over the n-grams: what all lack, and a share of what each language has above it
-                sums = table.lacking.astype(np.float64)
-                for k in found:
-                    own = slice(table.bounds[k], table.bounds[k + 1])
-                    sums[table.languages[own]] += table.above[own] / len(found)
-                return sums.astype(np.float32)
-        return np.zeros(len(self.model.languages), np.float32)
+    def words(self, words: list[str]) -> np.ndarray:
+        """A row of scores over all languages for each word; all words are looked up before anything is added up."""
+        out = np.zeros((len(words), len(self.model.languages)), np.float32)
+        tables = [(self.model.words, lambda w: [w])] + [(self.model.grams[k - 1], functools.partial(grams_of, size=k)) for k in range(LONGEST_GRAM, 0, -1)]
+        left = [*range(len(words))]
+        for table, parts in tables:
+            get, own, found, counts, rest = table.places.get, [], [], [], []
+            for i in left:
+                if here := [k for part in parts(words[i]) if (k := get(part)) is not None]:
+                    own.append(i)
+                    found += here
+                    counts.append(len(here))
+                else:
+                    rest.append(i)
+            if own:
+                out[own] = table.means(found, counts)
+            left = rest
+        return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         split = [words_of(t) if t else [] for t in texts]
@@ -171,7 +178,8 @@ class Scorer:
         new = [*{w for words in split for w in words if w not in self.known}]
         if new:
             self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.rows = np.concatenate([self.rows, np.stack([self.word(w) for w in new])])
+            few = 1 + self.most // 8
+            self.rows = np.concatenate([self.rows, *(self.words(new[i : i + few]) for i in range(0, len(new), few))])
         out = []
         for words in split:
             if not self.model.languages or not any(c.isalpha() for w in words for c in w):

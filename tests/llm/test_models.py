@@ -34,7 +34,7 @@ def test_backoff_takes_the_longest_known(spark):
     docs = spark.createDataFrame([(k, "sunny sunday", "a") for k in range(9)] + [(20 + k, "mondo mond", "b") for k in range(9)], "doc_id long, text string, lang string")
     model = language_id.train(docs)
     scorer = language_id.Scorer(model)
-    assert scorer.word("sunny").tolist() == model.words.get("sunny").tolist() and "sunny" in model.words.places
+    assert scorer.words(["sunny"]).tolist() == model.words.means([model.words.places["sunny"]], [1]).astype(np.float32).tolist()
     assert language_id.Scorer(model).predict(["sundown", "mondial"])[0][0] == "a"
     assert language_id.Scorer(model).predict(["mondial"])[0][0] == "b"
 
