@@ -268,7 +268,7 @@ def search_blocks(docs: DataFrame, members: DataFrame, asked: DataFrame, blocks:
                 a += [i] * (len(b) - len(a))
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    found = dealt.select("block", "copy", "asks", "id", "members").mapInArrow(run, "a long, b long")
+    found = common.map_slices(dealt.select("block", "copy", "asks", "id", "members"), "members", run, "a long, b long")
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
