@@ -12,7 +12,6 @@ word by word, and one endless word is merged with a heap; other columns stay out
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import re
@@ -324,10 +323,9 @@ class BytePairEncoder:
         return self.table_bytes[at].tobytes().decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
 def encoder_of(path: str) -> BytePairEncoder:
     """A worker keeps what it has learnt from one task to the next."""
-    return BytePairEncoder(path)
+    return common.kept(__name__, path, lambda: BytePairEncoder(path))
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -73,9 +74,36 @@ def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             yield batch.slice(start, n - start)
 
 
+#: What a worker keeps from one task to the next, by the module that made it. Functions below see to it, as only they
+#: are the same in all tasks of a worker.
+_kept: dict[str, dict[str, Any]] = {}
+
+
+def kept(owner: str, mark: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gave for this mark, kept for the worker's next tasks until its owner asks for another one."""
+    own = _kept.setdefault(owner, {})
+    if mark not in own:
+        own.clear()
+        own[mark] = make()
+    return own[mark]
+
+
+def release(owner: str) -> None:
+    """Lets go of what other modules keep: idle workers stay, and would hold the tables of every operator they have run."""
+    for other in [k for k in _kept if k != owner]:
+        del _kept[other]
+    pa.default_memory_pool().release_unused()
+
+
 def map_slices(df: DataFrame, text: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``df.mapInArrow`` over slices bounded by bytes of the text column."""
-    return df.mapInArrow(lambda batches: fn(slices(batches, text)), schema)
+    owner = fn.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(owner)
+        yield from fn(slices(batches, text))
+
+    return df.mapInArrow(run, schema)
 
 
 def bits_of(hashes: DataFrame, n: int) -> np.ndarray:

@@ -221,9 +221,6 @@ CUT = "__cut"
 #: Copies of what was found, for texts that very many rows have.
 SALTS = 16
 
-#: The automaton that a worker holds, by the mark of its block.
-_ready: dict[str, Block] = {}
-
 #: A word as the matcher counts them, for finding its characters again.
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -247,10 +244,8 @@ def _sent(items: DataFrame):
 
 def _block(sent, window: int) -> tuple[Block, list[str | None]]:
     mark, items = sent.value
-    if mark not in _ready:
-        _ready.clear()
-        _ready[mark] = Block([t for _, t in items], window)
-    return _ready[mark], [i for i, _ in items]
+    block = common.kept(__name__, f"{mark} {window}", lambda: Block([t for _, t in items], window))
+    return block, [i for i, _ in items]
 
 
 def _match(docs: DataFrame, sent, window: int, text: str) -> DataFrame:

@@ -193,20 +193,13 @@ class Scorer:
         return out
 
 
-#: The scorer that a worker holds, by the mark of its model.
-_ready: dict[str, Scorer] = {}
-
-
 def with_language(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred and score (the winner's share) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     mark = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if mark not in _ready:  # a worker keeps its scorer from task to task
-            _ready.clear()
-            _ready[mark] = Scorer(sent.value)
-        scorer = _ready[mark]
+        scorer = common.kept(__name__, mark, lambda: Scorer(sent.value))  # from task to task
         for batch in batches:
             found = scorer.predict(batch.column(1).to_pylist())
             langs, scores = [f[0] for f in found], [f[1] for f in found]

@@ -12,7 +12,6 @@ columns are neither read nor returned.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -81,10 +80,9 @@ class PieceCounter:
         return [sum(map(get, parts)) for parts in split]
 
 
-@functools.lru_cache(maxsize=2)
 def counter_of(path: str) -> PieceCounter:
     """A worker keeps the lengths it knows from one task to the next."""
-    return PieceCounter(path)
+    return common.kept(__name__, path, lambda: PieceCounter(path))
 
 
 def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", doc_id: str = "doc_id", limit: int = 4096) -> DataFrame:
