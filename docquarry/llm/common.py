@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import uuid
@@ -92,7 +93,15 @@ def release(owner: str) -> None:
     """Lets go of what other modules keep: idle workers stay, and would hold the tables of every operator they have run."""
     for other in [k for k in _kept if k != owner]:
         del _kept[other]
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system. The C library keeps it otherwise, and idle workers would hold on to the
+    largest amount that they ever had."""
     pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
 
 
 def map_slices(df: DataFrame, text: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -101,7 +110,10 @@ def map_slices(df: DataFrame, text: str, fn: Callable[[Iterator[pa.RecordBatch]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release(owner)
-        yield from fn(slices(batches, text))
+        try:
+            yield from fn(slices(batches, text))
+        finally:
+            trim()
 
     return df.mapInArrow(run, schema)
 
