@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fill_in_middle, language_id, line_dedup, ngram_join, pii, quality, secrets, telephony, token_counts
+from . import bpe, conversation_repair, decontaminate, fill_in_middle, language_id, line_dedup, ngram_join, pii, quality, secrets, telephony, token_counts
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(table(spark, sf_dir, "conversations"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.report(fill_in_middle.transform(table(spark, sf_dir, "documents")))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
