@@ -12,8 +12,9 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.folders import shared_root
 
@@ -118,6 +119,38 @@ def map_slices(df: DataFrame, text: str, fn: Callable[[Iterator[pa.RecordBatch]]
     return df.mapInArrow(run, schema)
 
 
+def running_totals(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all earlier rows of the same keys, as column before.
+
+    Rows are dealt in ranges, so the rows of a key may be many tasks' work. A task sums up its own rows; what came before
+    them is added for keys that began in an earlier range, of which a range has one at most.
+    """
+    places = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
+    names = df.columns
+    schema = T.StructType([*df.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("before", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, 0
+        for batch in batches:
+            before = []
+            own = zip(*(batch.column(names.index(k)).to_pylist() for k in keys), strict=True)
+            for key, n in zip(own, batch.column(names.index(value)).to_pylist(), strict=True):
+                if key != last:
+                    last, total = key, 0
+                before.append(total)
+                total += n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.int64())], [*names, "__part", "before"])
+
+    ranged = df.repartitionByRange(*places).sortWithinPartitions(*places)
+    fixed = written(ranged.withColumn("__part", F.spark_partition_id()).mapInArrow(run, schema))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = fixed.groupBy(*keys, "__part").agg(F.sum(value).alias("__sum")).withColumn("__offset", F.sum("__sum").over(earlier)).where("__offset IS NOT NULL")
+    parts = parts.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__part").alias("__of"), "__offset")
+    same = [fixed[k].eqNullSafe(parts[f"__{k}"]) for k in keys]
+    found = fixed.join(F.broadcast(parts), [fixed["__part"] == parts["__of"], *same], "left")  # a row for each range at most
+    return found.select(*names, (F.col("before") + F.coalesce("__offset", F.lit(0))).alias("before"))
+
+
 def bits_of(hashes: DataFrame, n: int) -> np.ndarray:
     """A bit for each hash's place, about 8 * n in all but at most 2 ** MOST_BITS, made block by block (column hash)."""
     size = 1 << min(MOST_BITS, max(LEAST_BITS, (8 * n).bit_length()))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversation_repair, decontaminate, fill_in_middle, language_id, line_dedup, ngram_join, pii, quality, secrets, telephony, token_counts
+from . import bpe, chat_format, conversation_repair, decontaminate, fill_in_middle, language_id, line_dedup, ngram_join, pii, quality, secrets, telephony, token_counts
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.report(table(spark, sf_dir, "conversations"))
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.report(chat_format.with_control_strings(table(spark, sf_dir, "conversations")))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.report(fill_in_middle.transform(table(spark, sf_dir, "documents")))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_chat_format": op12_chat_format,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
