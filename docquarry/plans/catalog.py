@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import cues as times
 from ..functions import ids, sql, values
 from ..functions import text as words
-from ..operators import cues, entries, filters, layers, results, sessions, setops, tables, threads
+from ..operators import cues, entries, filters, layers, results, sessions, setops, tables, temporal, threads
 from ..sources import entry_xml, subtitles
 from ..sources.folders import new_folder, shared_root
 from ..streaming import ingest
@@ -913,3 +913,44 @@ def subtitles_loaded_anew(spark, d):
     known = first.where("start_ms < 3600000").select("fingerprint").distinct()  # loaded before
     more = subtitles.load_new(spark, f"{path}/*/*.txt", known).withColumn("file", F.regexp_extract("file", "/file=([^/]*)/", 1))
     return more.groupBy("file").agg(F.count("*").alias("n"))
+
+
+# -- joins by time -----------------------------------------------------------------------------------------
+
+
+@_query("""SELECT e.event_id, coalesce(p.event_id, -1) AS last_view, p.ts AS view_ts FROM events e
+ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY ALL) p ON e.user_id = p.user_id AND e.ts > p.ts""")
+def asof_join(spark, d):
+    events = table(spark, d, "events").select("event_id", "user_id", "ts")
+    views = table(spark, d, "events").where("event_type = 'view'").select("user_id", "ts", "event_id")
+    found = temporal.asof_join(events, views, ["user_id"], "ts", "ts", exact=False)
+    return found.select("event_id", F.coalesce("match.event_id", F.lit(-1)).alias("last_view"), F.col("match.ts").alias("view_ts"))
+
+
+@_query("""SELECT l_orderkey, l_linenumber, coalesce(o.o_orderkey, -1) AS last_order, o.o_orderdate AS order_ts FROM lineitem l JOIN orders own ON l_orderkey = own.o_orderkey
+ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL) o ON own.o_custkey = o.o_custkey AND l.l_shipdate >= o.o_orderdate""")
+def asof_orders(spark, d):
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    found = temporal.asof_join(lines.drop("o_orderkey"), orders, ["o_custkey"], "l_shipdate", "o_orderdate")
+    return found.select("l_orderkey", "l_linenumber", F.coalesce("match.o_orderkey", F.lit(-1)).alias("last_order"), F.col("match.o_orderdate").alias("order_ts"))
+
+
+@_query("""WITH s AS (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS a, date_diff('day', DATE '1970-01-01', n::DATE) + 1 AS b
+FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)
+SELECT x.o_orderkey AS one, y.o_orderkey AS other FROM s x JOIN s y ON x.o_custkey = y.o_custkey AND x.a < y.b AND y.a < x.b WHERE x.o_orderkey < y.o_orderkey""")
+def overlap_join(spark, d):
+    day = lambda c: F.unix_date(F.to_date(c)).cast("long")
+    shipped = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last"))
+    orders = table(spark, d, "orders").join(shipped, F.col("l_orderkey") == F.col("o_orderkey"))
+    open_days = orders.select("o_orderkey", "o_custkey", day(F.col("o_orderdate")).alias("a"), (day(F.col("last")) + 1).alias("b"))
+    found = temporal.overlap_join(open_days, open_days, ("a", "b"), ("a", "b"), ["o_custkey"])
+    return found.where("l.o_orderkey < r.o_orderkey").select(F.col("l.o_orderkey").alias("one"), F.col("r.o_orderkey").alias("other"))
+
+
+@_query(f"""WITH c AS ({_CUE}) SELECT x.event_id AS error_id, y.event_id AS purchase_id FROM (FROM c WHERE text = 'error') x
+JOIN (FROM c WHERE text = 'purchase') y ON x.start_ms < y.end_ms AND y.start_ms < x.end_ms""")
+def overlap_cues(spark, d):
+    own = _cues(spark, d)
+    found = temporal.overlap_join(own.where("text = 'error'"), own.where("text = 'purchase'"), ("start_ms", "end_ms"), ("start_ms", "end_ms"))
+    return found.select(F.col("l.event_id").alias("error_id"), F.col("r.event_id").alias("purchase_id"))
