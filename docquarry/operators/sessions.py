@@ -1,9 +1,9 @@
 """Writing sessions over layered tables: rows wait, become visible at once, and are retired by compaction.
 
-An archive is a folder with two Parquet tables. ``rows`` holds the rows of each session in a partition of its own,
-and ``states`` is a log of what became of the sessions; the last state of a session counts. Publishing, discarding
-and retiring only append to the log, one file each, so readers see a change wholly or not at all, whatever the
-number of rows. Files are deleted by ``vacuum`` alone.
+An archive is a folder with a Parquet table and a log. ``rows`` holds the rows of each session in a partition of its
+own, and the log says what became of the sessions. Publishing, discarding and retiring only append an entry to the log,
+whose number no two writers can take, so of two writers that close one session the second is refused, and readers see a
+change wholly or not at all, whatever the number of rows. Files are deleted by ``vacuum`` alone.
 
 A session is *waiting* while only it sees its rows, *active* when anybody does, *retired* when a compacted base
 holds what is left of them, *discarded* when nobody does.
@@ -11,7 +11,6 @@ holds what is left of them, *discarded* when nobody does.
 
 from __future__ import annotations
 
-import time
 import uuid
 from dataclasses import dataclass
 
@@ -20,10 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import folders
+from ..sources.log import Log
 from . import layers
 
 STATES = ("waiting", "active", "retired", "discarded")
-STATE_SCHEMA = "session string, state string, at long"
+STATE_SCHEMA = "session string, state string"
 
 
 @dataclass(frozen=True)
@@ -31,12 +31,20 @@ class Archive:
     spark: SparkSession
     path: str
 
+    @property
+    def log(self) -> Log:
+        return Log(self.spark, f"{self.path}/log", lambda states, entry: states | entry)
+
     def begin(self, session: str | None = None) -> str:
         """A new waiting session, or the one of that name again, as it was left (``resume``)."""
         session = session or uuid.uuid4().hex
-        if self.state(session) not in (None, "waiting"):
-            raise ValueError(f"session {session} is closed")
-        self._mark([session], "waiting")
+
+        def change(states: dict[str, str]) -> dict[str, str] | None:
+            if (known := states.get(session)) not in (None, "waiting"):
+                raise ValueError(f"session {session} is closed")
+            return None if known else {session: "waiting"}
+
+        self.log.commit(change)
         return session
 
     resume = begin
@@ -49,32 +57,27 @@ class Archive:
         own.write.mode("append").partitionBy("session").parquet(f"{self.path}/rows")
 
     def publish(self, *sessions: str) -> None:
-        self._close(sessions, "active")
+        self._close({s: ("waiting", "active") for s in sessions})
 
     def discard(self, *sessions: str) -> None:
-        self._close(sessions, "discarded")
+        self._close({s: ("waiting", "discarded") for s in sessions})
+
+    def _close(self, moves: dict[str, tuple[str, str]]) -> None:
+        """Takes sessions from one state to another, all of them or, if one isn't in its first state any more, none."""
 
-    def _close(self, sessions: tuple[str, ...], state: str) -> None:
-        if wrong := [s for s in sessions if self.state(s) != "waiting"]:
-            raise ValueError(f"sessions {wrong} aren't waiting")
-        self._mark(list(sessions), state)
+        def change(states: dict[str, str]) -> dict[str, str]:
+            if wrong := [s for s, (old, _) in moves.items() if states.get(s) != old]:
+                raise ValueError(f"sessions {wrong} are {[states.get(s) for s in wrong]}")
+            return {s: new for s, (_, new) in moves.items()}
 
-    def _mark(self, sessions: list[str], state: str, also: tuple[str, str] | None = None) -> None:
-        at = time.time_ns()
-        marks = [(s, state, at) for s in sessions] + ([(*also, at)] if also else [])
-        # one file, which appears when it is complete
-        self.spark.createDataFrame(marks, STATE_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.path}/states")
+        self.log.commit(change)
 
     def states(self) -> DataFrame:
         """session and state: as many rows as there ever were sessions."""
-        log = self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.path}/states")
-        return log.groupBy("session").agg(F.max_by("state", "at").alias("state"))
+        return self.spark.createDataFrame(sorted(self.log.state()[1].items()), STATE_SCHEMA)
 
     def state(self, session: str) -> str | None:
-        if not folders.exists(self.spark, f"{self.path}/states"):
-            return None
-        row = self.states().where(F.col("session") == session).first()
-        return row and row["state"]
+        return self.log.state()[1].get(session)
 
     def rows(self) -> DataFrame:
         """The rows of waiting and active sessions, with their visibility; other sessions' partitions aren't read."""
@@ -89,21 +92,23 @@ class Archive:
         return layers.view(self.rows(), session)
 
     def compact(self) -> str:
-        """All active sessions as one base session; waiting ones stay as they are. The name of the base."""
-        states = self.states()
-        merged = [r["session"] for r in states.where("state = 'active'").collect()]  # names of sessions, not rows
-        base = f"base-{uuid.uuid4().hex}"
-        seen = self.rows().where("visible")
+        """All active sessions as one base session; waiting ones stay as they are. The name of the base. If another
+        compaction retires one of them meanwhile, this one is refused, and its base is discarded."""
+        merged = [s for s, state in self.log.state()[1].items() if state == "active"]  # names of sessions, not rows
+        base = self.begin(f"base-{uuid.uuid4().hex}")
+        seen = self.rows().where(F.col("session").isin(merged))
         top = seen.groupBy("key").agg(F.max_by(F.struct("value", "is_deleted", "ts"), F.struct("level", "ts")).alias("top")).select("key", "top.*").where("NOT is_deleted")
-        self._mark([base], "waiting")
         self.write(top, base, level=0)
-        self._mark(merged, "retired", also=(base, "active"))
+        try:
+            self._close({s: ("active", "retired") for s in merged} | {base: ("waiting", "active")})
+        except ValueError:
+            self.discard(base)
+            raise
         return base
 
     def vacuum(self, complete: bool = False) -> list[str]:
         """Deletes the rows of retired and discarded sessions, and of waiting ones if ``complete``; their names."""
-        gone = ["retired", "discarded"] + ["waiting"] * complete
-        names = sorted(r["session"] for r in self.states().where(F.col("state").isin(gone)).collect())
         if complete:
-            self._mark([s for s in names if self.state(s) == "waiting"], "discarded")
+            self.log.commit(lambda states: {s: "discarded" for s, state in states.items() if state == "waiting"} or None)
+        names = sorted(s for s, state in self.log.state()[1].items() if state in ("retired", "discarded"))
         return [s for s in names if folders.remove(self.spark, f"{self.path}/rows/session={s}")]

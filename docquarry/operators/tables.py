@@ -2,12 +2,12 @@
 
 Spark keeps the tables; these functions say what a table looks like after a change, and refuse changes that
 would break its key. A Space names tables and keeps them as Parquet: every change of a table is a new version of its rows
-and a line in the space's log, so readers of an old version aren't disturbed.
+and an entry in the space's log, so readers of an old version aren't disturbed, and a change of a version that isn't the
+last one any more is refused.
 """
 
 from __future__ import annotations
 
-import time
 import uuid
 from dataclasses import dataclass
 from functools import reduce
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import rendered_key
 from ..sources import folders
+from ..sources.log import Conflict, Log
 from .entries import as_text, to_entries
 from .filters import whole
 
@@ -28,6 +29,8 @@ class Table:
     name: str
     keys: tuple[str, ...]
     rows: DataFrame
+    #: Where the version lies that these rows were made of, if they come from a space.
+    origin: str | None = None
 
     def __post_init__(self):
         lower = [c.lower() for c in self.rows.columns]
@@ -37,7 +40,7 @@ class Table:
         object.__setattr__(self, "keys", tuple(k.lower() for k in self.keys))
 
     def _with(self, rows: DataFrame) -> Table:
-        return Table(self.name, self.keys, rows)
+        return Table(self.name, self.keys, rows, self.origin)
 
     def select(self, *more: Column, **equal) -> DataFrame:
         """Rows whose named columns equal, and that pass further tests."""
@@ -77,8 +80,7 @@ class Table:
         return self._with(both.groupBy(*self.keys).agg(*first).select(*self.rows.columns))
 
 
-#: What the log of a space says of a table; the last line counts.
-_LOG = "table_name string, abbreviation string, keys array<string>, location string, at long"
+_METADATA = "table_name string, abbreviation string, keys array<string>, location string"
 
 
 @dataclass(frozen=True)
@@ -92,28 +94,26 @@ class Space:
     meta: str = "META"
 
     @property
-    def _log(self) -> str:
-        return f"{self.path}/{self.prefix}/{self.meta}"
+    def _log(self) -> Log:
+        def fold(known: dict, entry: dict) -> dict:
+            return {k: v for k, v in (known | entry).items() if v is not None}
+
+        return Log(self.spark, f"{self.path}/{self.prefix}/{self.meta}", fold)
 
     def metadata(self) -> DataFrame:
         """table_name, abbreviation, keys and location of the tables that are defined (a row each); location is null without rows."""
-        if not folders.exists(self.spark, self._log):
-            return self.spark.createDataFrame([], _LOG).drop("at")
-        log = self.spark.read.schema(_LOG).parquet(self._log)
-        last = log.groupBy("table_name").agg(F.max_by(F.struct("abbreviation", "keys", "location"), "at").alias("last"))
-        return last.select("table_name", "last.*").where("abbreviation IS NOT NULL")
+        return self.spark.createDataFrame([(name, *own) for name, own in sorted(self._known().items())], _METADATA)
 
     def _known(self) -> dict[str, tuple[str, list[str], str | None]]:
-        return {r["table_name"]: (r["abbreviation"], list(r["keys"]), r["location"]) for r in self.metadata().collect()}
+        return {name: tuple(own) for name, own in self._log.state()[1].items()}
 
     def _definition(self, name: str) -> tuple[str, list[str], str | None]:
-        if (found := self._known().get(name)) is None:
-            raise KeyError(f"no table {name} in {self.prefix}")
-        return found
+        return self._of(self._known(), name)
 
-    def _note(self, *lines: tuple[str, str | None, list[str] | None, str | None]) -> None:
-        at = time.time_ns()
-        self.spark.createDataFrame([(*line, at) for line in lines], _LOG).coalesce(1).write.mode("append").parquet(self._log)
+    def _of(self, known: dict, name: str) -> tuple[str, list[str], str | None]:
+        if (found := known.get(name)) is None:
+            raise KeyError(f"no table {name} in {self.prefix}")
+        return tuple(found)
 
     def define(self, name: str, abbreviation: str, *keys: str) -> None:
         """Defines a table; the same definition again changes nothing, another one under a known name or abbreviation is an error."""
@@ -121,35 +121,51 @@ class Space:
             raise ValueError(f"{self.meta} names the space's description")
         if not keys or any(len(k.split()) != 1 for k in keys):
             raise ValueError("key columns need names without white space")
-        own, known = [k.lower() for k in keys], self._known()
-        if name in known:
-            if known[name][:2] == (abbreviation, own):
-                return
-            raise ValueError(f"table {name} is defined otherwise")
-        if abbreviation in {a for a, _, _ in known.values()}:
-            raise ValueError(f"the abbreviation {abbreviation} is in use")
-        self._note((name, abbreviation, own, None))
+        own = [k.lower() for k in keys]
+
+        def change(known: dict) -> dict | None:
+            if name in known:
+                if known[name][:2] == [abbreviation, own]:
+                    return None
+                raise ValueError(f"table {name} is defined otherwise")
+            if abbreviation in {a for a, _, _ in known.values()}:
+                raise ValueError(f"the abbreviation {abbreviation} is in use")
+            return {name: [abbreviation, own, None]}
+
+        self._log.commit(change)
 
     def open(self, name: str) -> Table:
         _, keys, location = self._definition(name)
         if location is None:
             raise ValueError(f"table {name} has no rows yet")
-        return Table(name, tuple(keys), self.spark.read.parquet(location))
+        return Table(name, tuple(keys), self.spark.read.parquet(location), location)
 
     def save(self, table: Table) -> Table:
-        """The table's rows as its new version, and the table as read from there."""
+        """The table's rows as its new version, and the table as read from there. Rows that were made of a version which
+        isn't the last one any more are refused (``Conflict``): the change would undo another writer's."""
         abbreviation, keys, _ = self._definition(table.name)
         if list(table.keys) != keys:
             raise ValueError(f"table {table.name} has the keys {keys}")
         location = f"{self.path}/{self.prefix}/{abbreviation}/{uuid.uuid4().hex}"
         table.rows.write.mode("errorifexists").parquet(location)
-        self._note((table.name, abbreviation, keys, location))
-        return self.open(table.name)
+
+        def change(known: dict) -> dict:
+            now = self._of(known, table.name)
+            if now[:2] != (abbreviation, keys) or table.origin not in (None, now[2]):
+                raise Conflict(f"table {table.name} has changed meanwhile")
+            return {table.name: [abbreviation, keys, location]}
+
+        try:
+            self._log.commit(change)
+        except (Conflict, KeyError):
+            folders.remove(self.spark, location)
+            raise
+        return Table(table.name, table.keys, self.spark.read.parquet(location), location)
 
     def drop(self, name: str) -> None:
         """Takes a table and its rows away; its name and abbreviation are free again."""
         abbreviation, _, _ = self._definition(name)
-        self._note((name, None, None, None))
+        self._log.commit(lambda known: {name: None} if self._of(known, name) else None)
         folders.remove(self.spark, f"{self.path}/{self.prefix}/{abbreviation}")
 
     def drop_all(self) -> None:
