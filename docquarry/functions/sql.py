@@ -8,12 +8,18 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 _TOKENS = r"transform(regexp_extract_all(lower(t), r'(\w+)', 1), w -> substring(w, 1, 30))"
+_TOKENS_OF_QUERY = r"transform(regexp_extract_all(lower(q), r'(\w+)', 1), w -> substring(w, 1, 30))"
 _IS_WORD = "length(x.w) > 2 AND startswith(x.w, {0})"
 
 #: name(parameters) -> (type, expression)
 FUNCTIONS = {
     "word_tokens(t STRING)": ("ARRAY<STRING>", _TOKENS),
-    "has_word(t STRING, q STRING)": ("BOOLEAN", f"coalesce(contains(lower(t), lower(q)) AND exists({_TOKENS}, w -> length(w) > 2 AND startswith(w, lower(q))), false)"),
+    # every token of q begins some word of t; the words are bound once for all of q's tokens
+    "has_word(t STRING, q STRING)": (
+        "BOOLEAN",
+        f"""coalesce(transform(array({_TOKENS}), ws -> transform(array({_TOKENS_OF_QUERY}), qs -> size(qs) > 0 AND forall(qs, p -> contains(lower(t), p))
+            AND forall(qs, p -> exists(ws, w -> length(w) > 2 AND startswith(w, p))))[0])[0], false)""",
+    ),
     "has_near(t STRING, a STRING, b STRING, n INT)": (
         "BOOLEAN",
         f"""coalesce(aggregate(transform({_TOKENS}, (w, i) -> struct(w, i)), named_struct('last', -1, 'found', false),

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,24 +90,17 @@ def write_sorted(index: DataFrame, path: str, partitions: int | None = None) ->
     ranged.sortWithinPartitions("word", "id").write.mode("errorifexists").parquet(path)
 
 
+def range_written(df: DataFrame, path: str, *keys: str) -> None:
+    """Rows as Parquet, in ranges of the keys, so that each file has few of their values."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("errorifexists").parquet(path)
+
+
 def ids_with(index: DataFrame, query: str) -> DataFrame:
     """Ids that have, for every token of the query, a word beginning with it: the filter reaches the scan."""
     each = [index.where(F.startswith("word", F.lit(t))).select("id").distinct() for t in words.query_tokens(query)]
     return reduce(lambda a, b: a.join(b, "id", "left_semi"), each)
 
 
-def stored_index(index: DataFrame, path: str) -> DataFrame:
-    """The index at ``path``, which is written there unless it already is."""
-    spark = index.sparkSession
-    try:
-        return spark.read.schema(index.schema).parquet(path)
-    except AnalysisException as none:
-        if none.getCondition() != "PATH_NOT_FOUND":
-            raise
-    write_sorted(index, path)
-    return spark.read.schema(index.schema).parquet(path)
-
-
 def follow_links(entries: DataFrame, links: DataFrame) -> DataFrame:
     """The values that internal links (id, link: struct<attr, id>) lead to: from_id, to_id, attr, value."""
     targets = links.where("link IS NOT NULL").select(F.col("id").alias("from_id"), F.col("link.id").alias("id"), F.col("link.attr").alias("wanted"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,38 @@ from ..functions import text as words
 from .entries import as_text
 
 
-def page(df: DataFrame, key: str, number: int, size: int = 20) -> DataFrame:
-    """Page ``number`` of the rows in order of the key; a page past the end shows the first one."""
-    total = df.count()
-    start = number * size if number * size < total else 0
+#: Rows in which a page is looked for by sorting, and ranges that more rows are counted in first.
+PAGE_ROWS, RANGES = 1_000_000, 128
+
+
+def page(df: DataFrame, key: str, number: int, size: int = 20, rows_at_once: int = PAGE_ROWS) -> DataFrame:
+    """Page ``number`` of the rows in order of the key (nulls first); a page past the end shows the first one.
+
+    Counts by range of the key tell in which range the page begins; the range is cut again until it has few rows, and
+    only those are sorted. The ranges' bounds are a sample of the keys themselves.
+    """
+    n = df.count()
+    start = number * size if number * size < n else 0
+    while n > rows_at_once:
+        share = -(-n // RANGES)
+        drawn = df.select(key).where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(share)) == 0)).distinct()
+        bounds = [r[0] for r in drawn.orderBy(key).limit(4 * RANGES).collect()]
+        if not bounds:
+            break
+        place = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))), F.lit(0))  # nulls are below all
+        counts = {r["place"]: r["count"] for r in df.groupBy(F.when(F.col(key).isNull(), 0).otherwise(place).alias("place")).count().collect()}
+        ends = list(itertools.accumulate(counts.get(k, 0) for k in range(len(bounds) + 1)))
+        first = next(k for k, e in enumerate(ends) if e > start)
+        last = next((k for k, e in enumerate(ends) if e >= start + size), len(bounds))
+        if last < len(bounds):
+            df = df.where((F.col(key) < F.lit(bounds[last])) | F.col(key).isNull() if first == 0 else F.col(key) < F.lit(bounds[last]))
+        if first > 0:
+            df = df.where(F.col(key) >= F.lit(bounds[first - 1]))
+        before, now = (ends[first - 1] if first else 0), ends[last] - (ends[first - 1] if first else 0)
+        start -= before
+        if now == n:
+            break  # rows of one key
+        n = now
     return df.orderBy(key).offset(start).limit(size)
 
 

@@ -1,23 +1,17 @@
 """Joins by time: the last earlier row (as-of), and intervals that overlap.
 
 Both are plans of ordinary joins, windows and aggregations. A key that holds a large part of all rows is cut into ranges
-of time whose bounds are its own quantiles, so no task gets such a key whole.
+of time, so no task gets such a key whole.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key with more rows than this is cut into so many ranges of time.
-HOT_ROWS, RANGES = 4_000_000, 128
-
-
-def _same(a: list[Column], b: list[Column]) -> Column:
-    return reduce(Column.__and__, (x == y for x, y in zip(a, b, strict=True)))
-
+from .running import HOT_ROWS, running
 
 def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, exact: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``left`` with the last row of ``right`` (as struct ``match``, null without one) that has the same keys and a time
@@ -26,34 +20,16 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str,
     Of several rows of one time the greatest one counts, by its columns in order. Null keys and times match nothing.
     Times are numbers, dates or timestamps.
 
-    Rows of both sides are laid in one order by key and time, and the last right one seen is carried along. Where a key
-    is cut into ranges, each range is carried through apart; what it begins with is the last right row of all earlier
-    ranges, found among one row for each range.
+    Rows of both sides are laid in one order by key and time, and the last right one seen is carried along.
     """
     keys, rest = [f"__k{i}" for i in range(len(on))], [c for c in right.columns if c not in on]
     known = reduce(Column.__and__, (F.col(c).isNotNull() for c in (*on, left_time)))
-    row = F.struct(*(F.col(c) for c in rest))
-    named = lambda df: [F.col(c).alias(k) for c, k in zip(on, keys, strict=True)]
-    ours = left.where(known).select(*named(left), F.col(left_time).alias("__t"), F.lit(1 if exact else -1).alias("__side"), F.struct("*").alias("__l"))
+    named = lambda: [F.col(c).alias(k) for c, k in zip(on, keys, strict=True)]
+    ours = left.where(known).select(*named(), F.col(left_time).alias("__t"), F.lit(1 if exact else -1).alias("__side"), F.struct("*").alias("__l"))
     there = right.where(reduce(Column.__and__, (F.col(c).isNotNull() for c in (*on, right_time))))
-    theirs = there.select(*named(right), F.col(right_time).alias("__t"), F.lit(0).alias("__side"), row.alias("__r"))
-    both = ours.unionByName(theirs, allowMissingColumns=True)
-    # bounds of hot keys' ranges
-    sizes = both.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_rows).select(*(F.col(k).alias(f"{k}_") for k in keys))
-    hot = both.join(sizes, _same([F.col(k) for k in keys], [F.col(f"{k}_") for k in keys])).groupBy(*(f"{k}_" for k in keys))
-    bounds = hot.agg(F.percentile_approx("__t", [i / RANGES for i in range(1, RANGES)], RANGES * 10).alias("__bounds"))
-    both = both.join(bounds, _same([F.col(k) for k in keys], [F.col(f"{k}_") for k in keys]), "left")
-    before = F.filter("__bounds", lambda b: b < F.col("__t"))
-    both = both.select(*keys, "__t", "__side", "__l", "__r", F.coalesce(F.size(F.when(F.col("__bounds").isNotNull(), before)), F.lit(-1)).alias("__range"))
-    own = Window.partitionBy(*keys, "__range").orderBy("__t", "__side", "__r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = both.withColumn("__m", F.last("__r", ignorenulls=True).over(own)).where("__l IS NOT NULL")
-    # what ranges of hot keys begin with
-    last = both.where("__range >= 0").groupBy(*keys, "__range").agg(F.max(F.when(F.col("__r").isNotNull(), F.struct("__t", "__r"))).alias("__last"))
-    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.withColumn("__c", F.last("__last", ignorenulls=True).over(earlier)["__r"]).where("__c IS NOT NULL")
-    carried = carried.select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("__range").alias("__at"), "__c")
-    found = seen.join(carried, _same([*(F.col(k) for k in keys), F.col("__range")], [*(F.col(f"{k}_") for k in keys), F.col("__at")]), "left")
-    matched = found.select("__l.*", F.coalesce("__m", "__c").alias("match"))
+    theirs = there.select(*named(), F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.struct(*rest).alias("__r"))
+    both = running(ours.unionByName(theirs, allowMissingColumns=True), keys, ["__t", "__side", "__r"], ["__r"], hot_rows=hot_rows)
+    matched = both.where("__l IS NOT NULL").select("__l.*", F.col("__r_upto").alias("match"))
     unknown = left.where(~known).select("*", F.lit(None).cast(matched.schema["match"].dataType).alias("match"))
     return matched.unionByName(unknown)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import cues as times
 from ..functions import ids, sql, values
 from ..functions import text as words
-from ..operators import cues, entries, filters, layers, results, sessions, setops, tables, temporal, threads
+from ..operators import cues, entries, estimates, filters, idsets, layers, postings, results, sessions, setops, tables, temporal, threads
 from ..sources import entry_xml, subtitles
+from ..sources.filesets import FileSet
 from ..sources.folders import new_folder, shared_root
 from ..streaming import ingest
 
@@ -51,13 +53,15 @@ def _docs(spark: SparkSession, d: str, test: Callable[[DataFrame], Column], colu
     return docs.where(test(docs)).select(*columns)
 
 
-def _stored_word_index(spark: SparkSession, d: str) -> DataFrame:
-    """The word index of the documents, built once for the files that they are in and found again later."""
+def _stored_index(spark: SparkSession, d: str) -> postings.PostingIndex:
+    """The index of the documents' words, built once for the files that they are in and found again later."""
     docs = table(spark, d, "documents")
     files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     mark = files.agg(F.coalesce(F.sum(F.xxhash64("*").cast("decimal(38,0)")), F.lit(0)).cast("string")).first()[0]
-    path = f"{shared_root(spark)}/word-index-{hashlib.md5(mark.encode()).hexdigest()}"
-    return entries.stored_index(entries.word_index(docs, "doc_id", ["text"]), path)
+    index = postings.PostingIndex(spark, f"{shared_root(spark)}/word-index-{hashlib.md5(mark.encode()).hexdigest()}")
+    if not index.built():
+        index.add(docs, "doc_id", "text")
+    return index
 
 
 # -- filters -----------------------------------------------------------------------------------------------
@@ -180,7 +184,39 @@ def bool_nested(spark, d):
 
 @_query(f"SELECT doc_id AS id FROM documents WHERE {_wp('text', 'ther')} AND {_wp('text', 'and')}")
 def index_word_search(spark, d):
-    return entries.ids_with(_stored_word_index(spark, d), "ther and")
+    return _stored_index(spark, d).ids_with("ther and")
+
+
+@_query(ORACLES["near_two_words"])
+def index_near_search(spark, d):
+    return _stored_index(spark, d).ids_near(["ther", "and"]).select(F.col("id").alias("doc_id"))
+
+
+@_query(f"""{_POSITIONS}
+SELECT DISTINCT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.i = a.i + 1
+WHERE length(a.w) > 2 AND length(b.w) > 2 AND starts_with(a.w, 'ther') AND starts_with(b.w, 'and')""")
+def index_phrase_search(spark, d):
+    return _stored_index(spark, d).ids_phrase("ther and").select(F.col("id").alias("doc_id"))
+
+
+@_query(f"""WITH now AS (SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 OR quality = 0)
+UNION ALL SELECT doc_id, concat_ws(' ', source, lang, 'changed') FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0))
+SELECT doc_id, w AS word, count(*) AS n FROM (SELECT doc_id, unnest({_tok('text')}) AS w FROM now) WHERE length(w) > 2 GROUP BY ALL""")
+def index_after_changes(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    index = postings.PostingIndex(spark, new_folder(spark))
+    index.add(docs, "doc_id", "text")
+    index.remove(labels.where("toxic = 1").select("doc_id"))
+    changed = docs.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    index.add(changed.select("doc_id", F.concat_ws(" ", "source", "lang", F.lit("changed")).alias("text")), "doc_id", "text")
+    index.compact("m", "t")  # a range of words; the other ones are merged in reading
+    return index.postings().select(F.col("id").alias("doc_id"), "word", F.size("positions").cast("long").alias("n"))
+
+
+@_query(f"SELECT doc_id FROM documents WHERE {_wp('text', 'ther')} AND {_wp('text', 'and')} AND {_wp('text', 'in')}")
+def sql_several_words(spark, d):
+    sql.register(spark)
+    return spark.sql("SELECT doc_id FROM {docs} WHERE has_word(text, 'Ther, and in!')", docs=table(spark, d, "documents"))
 
 
 @_query(ORACLES["bool_nested"])
@@ -420,6 +456,55 @@ def set_difference(spark, d):
     return setops.difference(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id"))
 
 
+@_query(ORACLES["set_union"])
+def bitmap_union(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    return idsets.members(idsets.union(idsets.to_set(docs.where("lang = 'en'"), "doc_id"), idsets.to_set(labels.where("toxic = 1"), "doc_id")), "doc_id")
+
+
+@_query(ORACLES["set_intersect"])
+def bitmap_intersect(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    return idsets.members(idsets.intersect(idsets.to_set(docs, "doc_id"), idsets.to_set(labels.where("quality = 1"), "doc_id")), "doc_id")
+
+
+@_query(ORACLES["set_difference"])
+def bitmap_difference(spark, d):
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    return idsets.members(idsets.difference(idsets.to_set(docs, "doc_id"), idsets.to_set(labels, "doc_id")), "doc_id")
+
+
+@_query("""WITH b AS (SELECT max(l_orderkey) // 7 AS w FROM lineitem)
+SELECT CAST(k AS INTEGER) AS part, count(*) AS n, true AS within, true AS narrow FROM (SELECT least(l_orderkey // greatest(w, 1), 6) AS k FROM lineitem, b) GROUP BY k""")
+def row_estimates(spark, d):
+    lines = table(spark, d, "lineitem")
+    path = new_folder(spark)
+    entries.range_written(lines, path, "l_orderkey")
+    rows = spark.read.parquet(path)
+    estimates.write(estimates.sketch(rows, "l_orderkey"), f"{path}-sketches")
+    sketches = estimates.read(spark, f"{path}-sketches")
+    width = max(rows.agg(F.max("l_orderkey")).first()[0] // 7, 1)
+    ranges = [estimates.estimate(sketches, k * width if k else None, (k + 1) * width if k < 6 else None).withColumn("part", F.lit(k)) for k in range(7)]
+    true = rows.groupBy(F.least(F.floor(F.col("l_orderkey") / width), F.lit(6)).cast("int").alias("part")).agg(F.count("*").alias("n"))
+    found = true.join(reduce(DataFrame.unionByName, ranges), "part")
+    total = rows.count()
+    return found.select("part", "n", F.col("n").between(F.col("lower"), F.col("upper")).alias("within"), (F.col("upper") - F.col("lower") <= 0.1 * total + 4).alias("narrow"))
+
+
+@_query("SELECT o_orderkey, o_orderpriority, true AS in_bounds FROM orders")
+def files_resized(spark, d):
+    own, orders = FileSet(spark, new_folder(spark)), table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    for k in range(4):  # small files, and a large one
+        own.append(orders.where(F.col("o_orderkey") % 16 == k).repartition(3))
+    own.append(orders.where("o_orderkey % 16 > 3").coalesce(1))
+    sizes = sorted(own.files().values())
+    least, most = sizes[-2] + 1, max(sizes[-1] - 1, sizes[-2] * 3)
+    own.resize(least, most)
+    own.vacuum()
+    inside = sum(least <= s <= most for s in own.files().values()) >= len(own.files()) - 2  # the last of the packed ones may be small
+    return own.read().withColumn("in_bounds", F.lit(inside))
+
+
 _SOLD = "SELECT l_orderkey AS o_orderkey, sum(l_quantity) AS amount, 'lines' AS layer FROM lineitem GROUP BY l_orderkey"
 
 

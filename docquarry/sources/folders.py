@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -36,3 +36,25 @@ def remove(spark: SparkSession, path: str) -> bool:
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def _listed(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+
+
+def sizes(spark: SparkSession, path: str) -> dict[str, int]:
+    """Bytes of the files in a folder, by name."""
+    return {s.getPath().getName(): s.getLen() for s in _listed(spark, path) if s.isFile()}
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder."""
+    return sorted(s.getPath().getName() for s in _listed(spark, path) if s.isDirectory())
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, for what is read several times."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

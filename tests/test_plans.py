@@ -33,10 +33,3 @@ def test_describing_shuffles_once(spark, tiny):
     parts = spark.read.parquet(f"{tiny}/part.parquet")
     shown = entries.describe(entries.to_entries(parts, "p_partkey", ["p_name", "p_size"]))._jdf.queryExecution().executedPlan().toString()
     assert shown.count("Exchange ") == 1
-
-
-def test_a_stored_index_is_built_once(spark, tiny, tmp_path):
-    docs = spark.read.parquet(f"{tiny}/documents.parquet")
-    index = entries.word_index(docs, "doc_id", ["text"])
-    first = entries.stored_index(index, str(tmp_path / "index")).inputFiles()
-    assert entries.stored_index(index.where(F.lit(False)), str(tmp_path / "index")).inputFiles() == first
