@@ -15,6 +15,7 @@ returned by ``score``; ``keep_good`` returns the columns of its input as they ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, holds_out=None, label: str = "qual
         usable = usable.where(~holds_out(F.col("__id")))
     n = usable.count()
     share = min(1.0, max_rows / max(1, n))
-    chosen = usable.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    chosen = usable.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < math.ceil(share * (1 << 30)))
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias(common.TEXT)).where(F.col(common.TEXT).isNotNull()).join(F.broadcast(chosen), "__id")
     # the shard is part of a row, so the model is the same for any number of partitions
     shard = F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(SHARDS)).cast("int").alias("__shard")
