@@ -6,9 +6,9 @@ back to its n-grams of four letters (with word ends marked), and, where the mode
 one; it counts with the mean over the n-grams found. The best sum over all words of a text wins.
 
 Training reads a bounded, hash-chosen sample of every language: about MAX_DOCS rows and MAX_BYTES bytes of each, so that
-rare ones stay learnable, of at most MAX_LANGUAGES languages, the commonest first. The counting is Spark's. What is
-collected and broadcast is bounded by the sample: an entry for each language that has a word, never a row over all
-languages. Prediction reads whole texts and no other column.
+rare ones stay learnable, and SAMPLE_BYTES in all: the more languages there are, the less of each. No language is left
+out. The counting is Spark's. What is collected and broadcast is bounded by the sample: an entry for each language that
+has a word, never a row over all languages. Prediction reads whole texts and no other column.
 
 Rows: null text, and text without a letter, is ``und`` with score 0; if nothing was learnt every row is;
 ties go to the language that sorts first; repeated rows repeat.
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: The sample that trains: about so many rows and bytes of each language, chosen by hash, and so many languages.
-MAX_DOCS, MAX_BYTES, MAX_LANGUAGES = 3_000, 16_000_000, 1_000
+#: The sample that trains: about so many rows and bytes of each language, and so many bytes of all, chosen by hash.
+MAX_DOCS, MAX_BYTES, SAMPLE_BYTES = 3_000, 16_000_000, 160_000_000
 #: How often a sample has what the model keeps.
 KNOWN_FROM, LONGEST_GRAM = 2, 4
 UNKNOWN = "und"
@@ -113,12 +113,13 @@ def train(docs: DataFrame, holds_out=None, text: str = "text", lang: str = "lang
     rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if holds_out is not None:
         rows = rows.where(~holds_out(F.col("id")))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    top = sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    share = F.least(F.lit(1.0), max_docs / F.col("n"), MAX_BYTES / F.greatest(F.col("bytes"), F.lit(1)))
-    below = top.select("lang", F.ceil(share * (1 << 30)).alias("below"))
-    # MAX_LANGUAGES rows at most
-    chosen = rows.join(F.broadcast(below), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.col("below"))
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min(drawn).alias("first"))
+    sizes = common.settled(sizes)
+    each = min(MAX_BYTES, SAMPLE_BYTES / max(1, sizes.count()))
+    share = F.least(F.lit(1.0), max_docs / F.col("n"), each / F.greatest(F.col("bytes"), F.lit(1)))
+    below = sizes.select("lang", F.greatest(F.ceil(share * (1 << 30)), F.col("first") + 1).alias("below"))  # a row at least
+    chosen = rows.join(below, "lang").where(drawn < F.col("below"))
     counts = common.settled(_counted(chosen))
     totals = {r["lang"]: r["n"] for r in counts.where("size = 0").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     kept = counts.where(F.col("n") >= KNOWN_FROM).toArrow()
@@ -171,11 +172,26 @@ class Scorer:
             left = rest
         return out
 
+    def _sums(self, words: list[str]) -> np.ndarray:
+        """The scores of all words together; words that the table has no room for are looked up a few at a time."""
+        few = 1 + self.most // 8
+        sums = np.zeros(len(self.model.languages))
+        known = np.fromiter((k for w in words if (k := self.known.get(w)) is not None), np.int64)
+        at, counts = np.unique(known, return_counts=True)
+        for i in range(0, len(at), few):
+            sums += counts[i : i + few] @ self.rows[at[i : i + few]].astype(np.float64)
+        if len(known) < len(words):
+            over = Counter(w for w in words if w not in self.known)
+            names, times = [*over], np.fromiter(over.values(), np.float64, len(over))
+            for i in range(0, len(names), few):
+                sums += times[i : i + few] @ self.words(names[i : i + few]).astype(np.float64)
+        return sums
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         split = [words_of(t) if t else [] for t in texts]
         if len(self.known) > self.most:
             self.known, self.rows = {}, self.rows[:0]
-        new = [*{w for words in split for w in words if w not in self.known}]
+        new = [*{w for words in split for w in words if w not in self.known}][: self.most]
         if new:
             self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
             few = 1 + self.most // 8
@@ -185,8 +201,7 @@ class Scorer:
             if not self.model.languages or not any(c.isalpha() for w in words for c in w):
                 out.append((UNKNOWN, 0.0))
                 continue
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            sums = self.rows[at].sum(axis=0, dtype=np.float64)
+            sums = self._sums(words)
             odds = np.exp(sums - sums.max())
             best = int(np.argmax(sums))
             out.append((self.model.languages[best], float(odds[best] / odds.sum())))
