@@ -35,7 +35,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.read_back(telephony.store(table(spark, sf_dir, "documents")))
+    return telephony.read_back(telephony.with_pcm(telephony.store(table(spark, sf_dir, "documents"))))
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

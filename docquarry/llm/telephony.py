@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -196,24 +197,35 @@ def _describe(file: bytes) -> str:
     return f"n{len(pcm)} rms{power} zc{crossings} peak{int(np.abs(wide).max())} crc{zlib.crc32(pcm):08x}"
 
 
+def with_pcm(stored: DataFrame, media: str = "media", target: int = TARGET_RATE) -> DataFrame:
+    """``stored`` with pcm, a WAVE file of resampled 16-bit PCM (null where the file can't be read)."""
+    at = stored.columns.index(media)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pcm = pa.array([pcm_file(file, target) for file in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pcm], [*batch.schema.names, "pcm"])
+
+    return common.map_slices(stored, media, run, T.StructType([*stored.schema]).add("pcm", T.BinaryType()))
+
+
 def read_back(stored: DataFrame) -> DataFrame:
-    """What the stored files hold: payload digests, the PCM file that comes of them, and features.
+    """What the stored files (media, and pcm made of it) hold: payload digests, the PCM's size and digest, and features.
 
-    The feature describes the PCM of the stored file, and that of the same bytes as A-law and as ADPCM blocks.
+    The feature describes the stored PCM, and what the same payload would be as A-law and as ADPCM blocks.
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "pcm_bytes", "pcm_sha256", "feature"]
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pcm_bytes long, pcm_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files = batch.column(2).to_pylist()
+            files, made = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             payloads = [parse_wave(f) for f in files]
             data = [p[3] for p in payloads]
             ima = decode_ima(np.frombuffer(b"".join(data), np.uint8))  # whole blocks, so texts don't mix
             rows, at = [], 0
-            for file, (_, rate, _, payload) in zip(files, payloads, strict=True):
+            for file, pcm, (_, rate, _, payload) in zip(files, made, payloads, strict=True):
                 n = len(payload) // BLOCK
-                pcm = pcm_file(file)
                 others = [ALAW_PCM[np.frombuffer(payload, np.uint8)], ima[at : at + n].ravel()]
                 alaw, adpcm = (wave(at_rate(x, rate, TARGET_RATE).astype("<i2").tobytes(), PCM, TARGET_RATE, 16, 2) for x in others)
                 feature = f"ulaw {_describe(pcm)}; alaw {_describe(alaw)}; ima {_describe(adpcm)}"
@@ -223,4 +235,4 @@ def read_back(stored: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 
-    return common.map_slices(stored.select("doc_id", "n_bytes", "media"), "media", run, schema)
+    return common.map_slices(stored.select("doc_id", "n_bytes", "media", "pcm"), "pcm", run, schema)

@@ -1,6 +1,7 @@
 """Operators 7, 8 and 9: round trips, and the libraries' own answers."""
 
 import hashlib
+import math
 import struct
 import zlib
 from collections import Counter
@@ -25,15 +26,53 @@ def test_payloads_come_back(edge, small):
             raw = (t or "").encode()
             payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
             wanted[i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])] += 1
-        rows = telephony.read_back(telephony.store(df)).collect()
+        rows = telephony.read_back(telephony.with_pcm(telephony.store(df))).collect()
         assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == wanted
         features = {}
         for r in rows:
             assert features.setdefault(r.payload_sha256, (r.feature, r.media_sha256)) == (r.feature, r.media_sha256)
 
 
+def plain_feature(payload):
+    """The feature by loops: what the payload is in three encodings, at twice the rate."""
+
+    def mulaw(b):
+        b = ~b & 255
+        size = ((b & 15) * 8 + 132 << (b >> 4 & 7)) - 132
+        return -size if b & 128 else size
+
+    def alaw(b):
+        b ^= 0x55
+        part, level = (b & 15) * 16 + 8, b >> 4 & 7
+        size = part + 256 << level - 1 if level > 1 else part + 256 if level else part
+        return size if b & 128 else -size
+
+    def shown(samples):
+        out = []
+        for k, x in enumerate(samples):
+            after = samples[min(k + 1, len(samples) - 1)]
+            out += [x + (after - x) * j // (telephony.TARGET_RATE // telephony.RATE) for j in range(telephony.TARGET_RATE // telephony.RATE)]
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(out, out[1:], strict=False))
+        return f"n{len(out)} rms{math.isqrt(sum(x * x for x in out) // len(out))} zc{crossings} peak{max(map(abs, out))} crc{zlib.crc32(struct.pack(f'<{len(out)}h', *out)):08x}"
+
+    ima = [x for k in range(0, len(payload), 192) for x in scalar_ima(payload[k : k + 192])]
+    return f"ulaw {shown([*map(mulaw, payload)])}; alaw {shown([*map(alaw, payload)])}; ima {shown(ima)}"
+
+
+def test_features_against_loops(edge):
+    texts = {t or "" for _, t in pairs(edge) if len(t or "") < 3000}
+    wanted = {}
+    for t in texts:
+        raw = t.encode()
+        payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
+        wanted[hashlib.sha256(payload).hexdigest()] = plain_feature(payload)
+    rows = telephony.read_back(telephony.with_pcm(telephony.store(edge))).collect()
+    assert {r.payload_sha256: r.feature for r in rows if r.payload_sha256 in wanted} == wanted
+    assert telephony.with_pcm(telephony.store(edge)).where("pcm IS NULL").isEmpty()
+
+
 def test_no_rows(none):
-    assert telephony.read_back(telephony.store(none)).count() == 0
+    assert telephony.read_back(telephony.with_pcm(telephony.store(none))).count() == 0
 
 
 def scalar_ima(block):

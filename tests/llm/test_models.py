@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from docquarry.llm import language_id, quality
 
@@ -99,16 +100,61 @@ def test_rare_languages_stay_and_odd_ones_do_no_harm(spark):
     assert [p for p, _ in language_id.Scorer(model).predict(["zug tal", "luna sol", "", None, "123"])] == ["rare", "big", "und", "und", "und"]
 
 
+def test_many_languages_in_bounded_memory():
+    import tracemalloc
+
+    languages = [f"l{k:04}" for k in range(1500)]
+    counts = {("common", i): 3 for i in range(1500)} | {(f"word{i}x", i): 9 for i in range(1500)}
+    rows = {"lang": [languages[i] for _, i in counts], "size": [0] * len(counts), "word": [w for w, _ in counts], "n": [*counts.values()]}
+    model = language_id._model(languages, dict.fromkeys(languages, 12), pa.table(rows, pa.schema([("lang", pa.string()), ("size", pa.int32()), ("word", pa.string()), ("n", pa.int64())])))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda k: "word" + "".join(letters[int(c)] for c in str(k))
+    long = " ".join(name(k) for k in range(40_000))
+    scorer = language_id.Scorer(model)
+    small = scorer.predict(["common wordx", long[:4000]])
+    tracemalloc.start()
+    again = scorer.predict([long, "common wordx", long[:4000]])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6  # 40,000 words by 1,500 languages would be 240 MB
+    assert [p for p, _ in again[1:]] == [p for p, _ in small] and np.allclose([s for _, s in again[1:]], [s for _, s in small])
+
+
+def test_no_language_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 2_000)
+    rows = [(k, f"l{k % 50}", f"{'abcdefghij'[k % 10]}{'klmno'[k % 50 // 10]}q " * 20) for k in range(1000)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert len(model.languages) == 50
+
+
 def test_quality_accuracy(small, spark, tiny):
     labels = spark.read.parquet(f"{tiny}/labels.parquet")
     rows = {r.doc_id: r for r in quality.score(small, labels).collect()}
     truth = [(rows[r.doc_id], r.quality) for r in labels.collect() if r.doc_id in rows and r.quality is not None and rows[r.doc_id].held_out]
     good, bad = [s.score for s, y in truth if y], [s.score for s, y in truth if not y]
-    if good and bad:
-        assert np.mean([[g > b for b in bad] for g in good]) >= 0.9
+    assert good and bad
+    assert np.mean([[g > b for b in bad] for g in good]) >= 0.9
     assert all(r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in rows.values())
 
 
+def test_scores_against_plain_sums(small, spark, tiny):
+    weights = quality.train(small, spark.read.parquet(f"{tiny}/labels.parquet"))
+    texts = [(r.doc_id, r.text or "") for r in small.select("doc_id", "text").collect()]
+    got = {}
+    for r in quality.with_score(small.select("doc_id", "text"), weights).collect():
+        got.setdefault((r.doc_id, r.text or ""), r.score)
+    w = weights.astype("<f4")
+    for key in texts[:300]:
+        hashed, counts = quality.features([key[1].encode()])  # each text alone
+        dot = sum(float(w[h]) for h in hashed.tolist()) * quality.SCALE / (quality.CALM + len(hashed)) + float(w[-1])
+        assert abs(got[key] - 1 / (1 + math.exp(-dot))) < 1e-9
+
+
+def test_the_sample_never_vanishes():
+    for n in (1, 10_000, 10**10, 10**13):
+        assert math.ceil(min(1.0, quality.MAX_ROWS / n) * (1 << 30)) >= 1
+
+
 def test_quality_edges(edge, none, spark):
     labels = spark.createDataFrame([(0, 1), (4, 1), (16, 0), (11, 0), (None, 1), (5, None), (0, 1)], "doc_id long, quality int")
     rows = quality.score(edge, labels).collect()
