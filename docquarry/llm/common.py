@@ -151,10 +151,12 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], value: str)
     return found.select(*names, (F.col("before") + F.coalesce("__offset", F.lit(0))).alias("before"))
 
 
-def bits_of(hashes: DataFrame, n: int) -> np.ndarray:
-    """A bit for each hash's place, about 8 * n in all but at most 2 ** MOST_BITS, made block by block (column hash)."""
-    size = 1 << min(MOST_BITS, max(LEAST_BITS, (8 * n).bit_length()))
-    place = F.pmod(F.col("hash"), F.lit(size)).alias("place")
+def bits_of(hashes: DataFrame, n: int, each: int = 8, probes: int = 1) -> np.ndarray:
+    """A bit for each hash's place (or two places: its lower and its upper half), about ``each`` * n in all but at most
+    2 ** MOST_BITS, made block by block (column hash)."""
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, (each * n).bit_length()))
+    halves = [F.pmod(F.shiftrightunsigned("hash", 32 * k), F.lit(size)) for k in range(probes)]
+    place = F.explode(F.array(*halves)).alias("place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[int, np.ndarray] = {}
@@ -176,10 +178,13 @@ def bits_of(hashes: DataFrame, n: int) -> np.ndarray:
     return bits.ravel()
 
 
-def maybe(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def maybe(bits: np.ndarray, hashes: np.ndarray, probes: int = 1) -> np.ndarray:
     """Whether each hash may be among those that the table was made of; if not, it isn't."""
-    place = (hashes % np.uint64(8 * len(bits))).astype(np.int64)
-    return (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+    found = np.ones(len(hashes), bool)
+    for k in range(probes):
+        place = ((hashes >> np.uint64(32 * k)) % np.uint64(8 * len(bits))).astype(np.int64)
+        found &= (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+    return found
 
 
 def sha256(data: bytes) -> str:

@@ -5,17 +5,18 @@ eight bytes before a word is largest among FOLD words to both sides (characters
 count as words). Only what stands in the sentence itself decides, so lines move with the content. Blank lines belong to
 the line before.
 
-*Chunks.* From each line on, the fewest lines, two at least, that hold CHUNK_WORDS words could be a chunk. A rolling
-hash over them chooses the lines where chunks do begin: those whose hash isn't larger than both neighbours'. Of two
-lines in a row one is always chosen, and their chunks alone decide which, so wherever a passage stands, the same
-boundaries are found inside it.
+*Chunks.* From each line on, the fewest lines, two at least, that hold CHUNK_WORDS words are a chunk, and so are the fewest
+that end with each line; and two whole lines of the text that follow each other are one whatever their words. Choosing
+among the lines where chunks begin, as is usual, would lose passages of few lines, whose neighbours differ from document
+to document; so what a rolling hash chooses here are the lines' own ends, and every line begins a chunk and ends one.
 
 *Repeats.* Hashes of chunks are counted over the whole corpus. Chunks of the hashes that occur again are brought
 together with their bytes, which are compared with those of the occurrence that stays (in the document with the
-smallest id, at the smallest place); equal ones go, and with them the lines before and after, one by one (by their
-hashes), as long as they are equal, up to where the next chunk takes over. So a passage that repeats goes from its
-first line to its last. A whole text is a chunk besides, whatever its size, compared by SHA-256: of exact copies
-nothing is left.
+smallest id, at the smallest place); equal ones go. So a passage of two lines or more that repeats goes from its first
+line to its last, wherever it stands, if it has CHUNK_WORDS words or consists of whole lines, and every line that goes
+stays at its smallest place. A whole text is a chunk besides, whatever its size, compared by SHA-256: of exact copies
+nothing is left. What stays is a single line between lines that don't repeat, a few short sentences inside a paragraph
+("He nodded. She left."), and what stands on a line together with other words.
 
 *Scale.* The count shuffles hashes alone. Which hashes repeat is broadcast as a table of bits of bounded size (``common.bits_of``), which
 only ever says "maybe": where it is full, more chunks travel, and the result is the same. Hashes with more than one in
@@ -24,7 +25,7 @@ the stretches that are cut from them.
 
 Rows: null and empty texts, and those of white space, come back as they are; rows with the same id and text are the same
 document and get the same result; rows without an id come after all others; what a document repeats itself stays once,
-also where the repeats follow one another (of three equal lines in a row one stays); all columns come back, whatever
+also where the repeats follow one another (of three equal lines in a row or more one stays); all columns come back, whatever
 their names.
 """
 
@@ -44,8 +45,10 @@ from pyspark.sql import types as T
 from . import common
 from .hashing import U, hash_spans, mix
 
-#: Words to both sides of a fold, and those that a chunk needs.
+#: Words to both sides of a fold, and those that a chunk needs unless it is two whole lines.
 FOLD, CHUNK_WORDS = 4, 10
+#: Bits for each repeated hash, and those that are looked at.
+BITS, PROBES = 32, 2
 #: A hash with more than one in so many occurrences is hot.
 HOT = 4096
 #: Chunks of more bytes, which only lines without any place for a fold make, are compared by SHA-256.
@@ -63,7 +66,7 @@ _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 @dataclass
 class Lines:
-    """The lines of some texts, one after the other, and the chunks that begin at the chosen ones."""
+    """The lines of some texts, one after the other, and the chunks that begin at them."""
 
     data: np.ndarray  # the texts' bytes, joined
     base: np.ndarray  # where each text begins in them
@@ -71,9 +74,9 @@ class Lines:
     start: np.ndarray
     end: np.ndarray  # without white space
     after: np.ndarray  # with it: where the next line begins
-    to: np.ndarray  # the last line of the chunk from each line on; -1 if the text has none
-    hash: np.ndarray  # of that chunk
-    chosen: np.ndarray  # numbers of the lines where chunks begin
+    first: np.ndarray  # the first and the last line of each chunk
+    last: np.ndarray
+    hash: np.ndarray  # of the chunks
 
     def whole(self) -> tuple[np.ndarray, np.ndarray]:
         """The texts that have lines, and their hashes."""
@@ -109,7 +112,7 @@ def lines_of(texts: list[bytes]) -> Lines:
     white = _WHITE[data]
     solid = np.flatnonzero(~white)
     if not len(solid):
-        return Lines(data, base, none, none, none, none, none, np.empty(0, U), none)
+        return Lines(data, base, none, none, none, none, none, none, np.empty(0, U))
     edge = np.zeros(len(data) + 1, bool)
     edge[base] = edge[len(data)] = True
     edge[1:] |= data == 10
@@ -123,26 +126,26 @@ def lines_of(texts: list[bytes]) -> Lines:
     cuts = np.flatnonzero(edge)
     start = cuts[:-1][np.diff(np.searchsorted(solid, cuts)) > 0]
     owner = np.searchsorted(stops, start, side="right")
-    n = len(start)
     ends_text = np.append(owner[1:] != owner[:-1], True)
     after = np.append(start[1:], len(data))
     after[ends_text] = stops[owner[ends_text]]
     end = solid[np.searchsorted(solid, after) - 1] + 1
 
-    place = np.arange(n)
-    to = np.maximum(np.searchsorted(words[end], words[start] + CHUNK_WORDS), place + 1)
-    has = to < n
-    has[has] = owner[to[has]] == owner[has]
-    own = np.flatnonzero(has)
-    hashes = np.zeros(n, U)
-    hashes[own] = hash_spans(data, start[own], end[to[own]])
-    # beside a line without a chunk, or at an end of a text, there is one neighbour or none
-    beside = has[1:] & has[:-1] & (owner[1:] == owner[:-1])
-    not_after = np.append(False, beside & (hashes[1:] <= hashes[:-1]))
-    not_before = np.append(beside & (hashes[:-1] <= hashes[1:]), False)
-    alone = ~np.append(False, beside) & ~np.append(beside, False)
-    chosen = np.flatnonzero(has & (not_after | not_before | alone))
-    return Lines(data, base, owner, start, end, after, np.where(has, to, -1), hashes, chosen)
+    n, place = len(start), np.arange(len(start))
+    before, upto = words[start], words[end]
+    on = np.maximum(np.searchsorted(upto, before + CHUNK_WORDS), place + 1)
+    back = np.minimum(np.searchsorted(before, upto - CHUNK_WORDS, side="right") - 1, place - 1)
+    opens = (start == base[owner]) | (data[start - 1] == 10)  # a line of the text itself begins here
+    pair = np.flatnonzero(opens[:-1] & opens[1:] & (owner[1:] == owner[:-1]) & np.append(opens[2:] | (owner[2:] != owner[1:-1]), True)[: n - 1])
+    forward, backward = np.flatnonzero(on < n), np.flatnonzero(back >= 0)
+    known, chunks = np.empty(0, np.int64), []
+    for a, b in ((forward, on[forward]), (back[backward], backward), (pair, pair + 1)):
+        mine = owner[a] == owner[b]
+        mine &= ~np.isin(a * n + b, known)
+        a, b = a[mine], b[mine]
+        known = np.append(known, a * n + b)
+        chunks.append((a, b, hash_spans(data, start[a], end[b])))
+    return Lines(data, base, owner, start, end, after, *(np.concatenate(c) for c in zip(*chunks, strict=True)))
 
 
 def _marked(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -165,22 +168,20 @@ def repeated_hashes(rows: DataFrame, at: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines = lines_of(_texts(batch.column(0)))
-            found = np.concatenate([lines.whole()[1], lines.hash[lines.chosen]])
+            found = np.concatenate([lines.whole()[1], lines.hash])
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["hash"])
 
     found = common.map_slices(rows.select(at), at, run, "hash long")
     return found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
 
 
-#: An occurrence: its document, its hash, where it starts, the hash of the line before, chained hashes of the lines
-#: behind, its bytes, and where it and those lines begin and end: the line before, the chunk's end, the lines behind.
-_NAMES = ["__id", "__k1", "__k2", "hash", "start", "before", "behind", "chunk", "ends"]
-_OCCURRENCE = "__id long NOT NULL, __k1 long NOT NULL, __k2 long NOT NULL, hash long NOT NULL, start int NOT NULL, before long, behind array<long> NOT NULL, chunk binary NOT NULL, ends array<int> NOT NULL"
+#: An occurrence: its document, its hash, where it begins and where what follows it does, its bytes.
+_NAMES = ["__id", "__k1", "__k2", "hash", "start", "end", "chunk"]
+_OCCURRENCE = "__id long NOT NULL, __k1 long NOT NULL, __k2 long NOT NULL, hash long NOT NULL, start int NOT NULL, end int NOT NULL, chunk binary NOT NULL"
 
 
 def occurrences(rows: DataFrame, at: str, bits) -> DataFrame:
-    """Where chunks and whole texts that may be repeated stand, with their bytes, and with the lines around them up to
-    where the next chunks take over: the one before, and chained hashes of those behind."""
+    """Where chunks and whole texts that may be repeated stand, with their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,59 +190,30 @@ def occurrences(rows: DataFrame, at: str, bits) -> DataFrame:
 
     def _occurrences(batch: pa.RecordBatch, texts: list[bytes], lines: Lines, marks: np.ndarray) -> pa.RecordBatch:
         owner, hashes = lines.whole()
-        again = common.maybe(marks, hashes)
+        again = common.maybe(marks, hashes, PROBES)
         owner, hashes = owner[again], hashes[again]
-        k = lines.chosen[common.maybe(marks, lines.hash[lines.chosen])]
-        mine, n = lines.owner[k], len(lines.owner)
-        own_hash = hash_spans(lines.data, lines.start, lines.end)
-        follows = np.append(lines.owner[1:] == lines.owner[:-1], False)
-        # the line before, and those behind up to the last line of the chunk two lines on (or to the text's end)
-        has_before = (k > 0) & follows[k - 1]
-        last_of = np.repeat(*_last_lines(lines.owner)) if n else np.empty(0, np.int64)
-        on = np.minimum(k + 2, n - 1)
-        known = (lines.owner[on] == mine) & (lines.to[on] >= 0)
-        until = np.where(known, lines.to[on], last_of[k])
-        count = until - lines.to[k]
-        offsets = np.append(0, np.cumsum(count))
-        behind, behind_ends = np.empty(offsets[-1], U), np.empty(offsets[-1], np.int64)
-        chained = np.zeros(len(k), U)
-        for j in range(int(count.max(initial=0))):
-            here = np.flatnonzero(count > j)
-            line = lines.to[k[here]] + 1 + j
-            chained[here] = mix(chained[here] * _NEXT + own_hash[line])
-            behind[offsets[here] + j] = chained[here]
-            behind_ends[offsets[here] + j] = lines.after[line] - lines.base[mine[here]]
-        base = lines.base[mine]
-        before_start, end = lines.start[k - 1] - base, lines.after[lines.to[k]] - base
-        ends = np.insert(behind_ends, np.repeat(offsets[:-1], 2), np.stack([before_start, end], 1).ravel())
-        who, nothing = np.concatenate([owner, mine]), np.zeros(len(owner), np.int64)
-        # a whole text has no lines around it
-        whole_ends = np.stack([nothing, np.fromiter((len(texts[i]) for i in owner.tolist()), np.int64, len(owner))], 1).ravel()
-        places = np.concatenate([2 * np.arange(len(owner)), 2 * len(owner) + offsets + 2 * np.arange(len(k) + 1)])
+        again = common.maybe(marks, lines.hash, PROBES)
+        k, last, own_hash = lines.first[again], lines.last[again], lines.hash[again]
+        mine = lines.owner[k]
+        base, nothing = lines.base[mine], np.zeros(len(owner), np.int64)
+        sizes = np.fromiter((len(texts[i]) for i in owner.tolist()), np.int64, len(owner))
         digest = lambda part: part if len(part) <= LONGEST else hashlib.sha256(part).digest()
         buffer = lines.data.tobytes()
         chunks = [hashlib.sha256(texts[i].rstrip(b"\t\n\v\f\r ")).digest() for i in owner.tolist()]
-        chunks += [digest(buffer[a:b]) for a, b in zip(lines.start[k].tolist(), lines.end[lines.to[k]].tolist(), strict=True)]
+        chunks += [digest(buffer[a:b]) for a, b in zip(lines.start[k].tolist(), lines.end[last].tolist(), strict=True)]
+        who = pa.array(np.concatenate([owner, mine]))
         columns = [
-            *(batch.column(c).take(pa.array(who)) for c in range(3)),
-            pa.array(np.concatenate([hashes, lines.hash[k]]).view(np.int64)),
+            *(batch.column(c).take(who) for c in range(3)),
+            pa.array(np.concatenate([hashes, own_hash]).view(np.int64)),
             pa.array(np.concatenate([nothing, lines.start[k] - base]).astype(np.int32)),
-            pa.array(np.concatenate([nothing, own_hash[k - 1].view(np.int64)]), mask=np.concatenate([nothing == 0, ~has_before])),
-            pa.ListArray.from_arrays(pa.array(np.concatenate([nothing, offsets]).astype(np.int32)), pa.array(behind.view(np.int64))),
+            pa.array(np.concatenate([sizes, lines.after[last] - base]).astype(np.int32)),
             pa.array(chunks, pa.binary()),
-            pa.ListArray.from_arrays(pa.array(places.astype(np.int32)), pa.array(np.concatenate([whole_ends, ends]).astype(np.int32))),
         ]
         return pa.RecordBatch.from_arrays(columns, _NAMES)
 
     return common.map_slices(rows.select("__id", "__k1", "__k2", at), at, run, _OCCURRENCE)
 
 
-def _last_lines(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The last line of each text that has lines, and how many it has."""
-    last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
-    return last, np.diff(np.append(-1, last))
-
-
 def removals(found: DataFrame, hot: DataFrame) -> DataFrame:
     """__k1, __k2 and gone (stretches of bytes, start and end) of the documents that lose something.
 
@@ -250,16 +222,13 @@ def removals(found: DataFrame, hot: DataFrame) -> DataFrame:
     """
     dealt = found.join(F.broadcast(hot), "hash", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     dealt = dealt.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("__k1", "start"), F.col("salts")).cast("int"), F.lit(0))).repartition("hash", "salt")
-    # all columns take part on both sides, and none but ``before`` is ever null, so that both read one shuffle
-    local = dealt.groupBy("hash", "salt").agg(F.min(F.struct("__id", "__k1", "__k2", "start", "before", "behind", "chunk", "ends", "salts")).alias("own"))
+    # all columns take part on both sides, and none is ever null, so that both read one shuffle
+    local = dealt.groupBy("hash", "salt").agg(F.min(F.struct("__id", "__k1", "__k2", "start", "end", "chunk", "salts")).alias("own"))
     over = local.where("own.salts > 1").groupBy("hash").agg(F.min("own").alias("all"))
     first = F.coalesce("all", "own")
     both = dealt.join(local, ["hash", "salt"]).join(F.broadcast(over), "hash", "left").withColumn("first", first)
     is_first = functools.reduce(Column.__and__, (F.col(c) == F.col(f"first.{c}") for c in ("__id", "__k1", "__k2", "start", "salts")))
-    matched = F.size(F.array_intersect("behind", "first.behind"))
-    from_ = F.when(F.col("before") == F.col("first.before"), F.get("ends", F.lit(0))).otherwise(F.col("start"))
-    stretch = F.struct(from_.alias("start"), F.get("ends", matched + 1).alias("end"))
-    gone = both.where(~is_first & (F.col("chunk") == F.col("first.chunk"))).select("__k1", "__k2", stretch.alias("stretch"))
+    gone = both.where(~is_first & (F.col("chunk") == F.col("first.chunk"))).select("__k1", "__k2", F.struct("start", "end").alias("stretch"))
     return gone.groupBy("__k1", "__k2").agg(F.collect_set("stretch").alias("gone"))
 
 
@@ -301,7 +270,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", dro
     at = f"__{names.index(text)}"
     repeated = common.written(repeated_hashes(rows, at))
     size = repeated.agg(F.count("*").alias("hashes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    bits = docs.sparkSession.sparkContext.broadcast(common.bits_of(repeated, size["hashes"]))
+    bits = docs.sparkSession.sparkContext.broadcast(common.bits_of(repeated, size["hashes"], BITS, PROBES))
     many = max(1000, size["rows"] // HOT + 1)
     hot = repeated.where(F.col("n") > many).select("hash", F.ceil(F.col("n") / many).cast("int").alias("salts"))
     gone = removals(occurrences(rows, at, bits), hot)
