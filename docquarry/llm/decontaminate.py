@@ -8,9 +8,10 @@ than the window counts as one window, and is found through the suffix links, as
 Words that the benchmark lacks end every match, and so do neighbours that are no neighbours in any item, so
 the stream only visits stretches of benchmark word pairs that are long enough to matter; finding those is
 array work. An automaton is made of at most about BLOCK_WORDS words, so what is sent to the executors stays bounded however
-long the benchmark is. A longer benchmark is dealt into blocks by the hashes of its items; then one pass over the
-documents writes their stretches of word pairs of any block (by a table of bits of bounded size), and the blocks'
-automata read these stretches, not the documents.
+long the benchmark is. A longer benchmark is dealt into blocks by the hashes of its items, of which longer ones are cut
+into parts that overlap by a window. Then one pass over the documents writes their stretches of word pairs of any block
+(by a table of bits of bounded size); a join on the pairs themselves tells which blocks a stretch can have a window of,
+and it meets these blocks' automata, all in one job whatever their number. Blocks with many stretches are copied.
 
 Rows: null and wordless texts have no words and are clean; repeated documents or items repeat or coincide;
 null item ids are left out of the id list but their windows still count as hits; other columns are kept, but for
@@ -35,8 +36,8 @@ from . import common
 from .hashing import U, chain, hash_spans, mix, runs
 
 WINDOW = 10
-#: Words of benchmark items in one automaton; about 400 bytes a word in each Python worker.
-BLOCK_WORDS = 200_000
+#: Words of benchmark items in one automaton; about 400 bytes a word in each Python worker. Stretches that meet a copy of it.
+BLOCK_WORDS, STRETCHES = 200_000, 500_000
 
 SPANS = T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()))
 
@@ -225,12 +226,20 @@ SALTS = 16
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 _spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_matched_type = pa.schema([("__k1", pa.int64()), ("__k2", pa.int64()), ("hits", _spans_type), ("items", pa.list_(pa.string()))])
 
 
-def dealt_items(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> tuple[DataFrame, int, int]:
-    """Different items with words as (item, text, n, block), how many words they have, and how many blocks."""
+def dealt_items(benchmark: DataFrame, item_id: str, text: str, block_words: int, window: int) -> tuple[DataFrame, int, int]:
+    """Different items with words as (item, text, n, block), longer ones in parts that overlap by a window; how many words
+    they have, and how many blocks."""
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").alias("text")).distinct()
     items = items.withColumn("n", F.regexp_count("text", F.lit(_RUNS))).where("n > 0")
+    size = max(block_words, 2 * window)
+    words = F.regexp_extract_all("text", F.lit(f"({_RUNS})"), 1)
+    begins = F.sequence(F.lit(0), F.greatest(F.col("n") - window, F.lit(0)), F.lit(size - window + 1))
+    parts = F.transform(F.array(words), lambda w: F.transform(begins, lambda i: F.array_join(F.slice(w, i + 1, size), " ")))[0]
+    long = items.where(F.col("n") > size).select("item", F.explode(parts).alias("text")).withColumn("n", F.regexp_count("text", F.lit(_RUNS)))
+    items = items.where(F.col("n") <= size).unionByName(long)
     total = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     count = max(1, -(-total // block_words))
     return items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(count)).cast("int")), total, count
@@ -269,17 +278,23 @@ def _match(docs: DataFrame, sent, window: int, text: str) -> DataFrame:
     return common.map_slices(docs, text, run, schema)
 
 
-def _pairs(docs: DataFrame, text: str) -> DataFrame:
-    """hash of the neighbouring words of texts, and of a text's one word."""
+def _pairs(rows: DataFrame, *keep: str, singles: bool = False) -> DataFrame:
+    """Columns to keep, and hash: of all neighbouring words of each row's last column, and of its one word, or of every
+    word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in common.byte_list(batch.column(0)):
+            which, found = [np.empty(0, np.int64)], [np.empty(0, U)]
+            for i, raw in enumerate(common.byte_list(batch.column(len(keep)))):
                 _, words = _hashed(raw)
-                found = chain(words, 2) if len(words) > 1 else mix(words ^ _ALONE)
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(found).view(np.int64))], ["hash"])
+                own = [chain(words, 2)] * (len(words) > 1) + [mix(words ^ _ALONE)] * (singles or len(words) == 1)
+                found += own
+                which.append(np.full(sum(map(len, own)), i))
+            where = pa.array(np.concatenate(which))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(where) for k in range(len(keep))), pa.array(np.concatenate(found).view(np.int64))], [*keep, "hash"])
 
-    return common.map_slices(docs.select(text), text, run, "hash long")
+    schema = T.StructType([rows.schema[k] for k in keep]).add("hash", "long")
+    return common.map_slices(rows, rows.columns[-1], run, schema)
 
 
 #: Hashes of words that are an item are told apart from those of pairs.
@@ -321,18 +336,24 @@ def _stretches(docs: DataFrame, text: str, bits, least: int) -> DataFrame:
 
 
 def _in_blocks(docs: DataFrame, items: DataFrame, total: int, count: int, window: int, text: str) -> DataFrame:
-    """``docs`` with what all blocks find: one pass for the stretches, and one to bring their hits back."""
+    """``docs`` with what all blocks find: one pass for the stretches, one job for all blocks, and one to bring hits back."""
     rows = docs.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit("second"), text)})
-    bits = docs.sparkSession.sparkContext.broadcast(common.bits_of(_pairs(items, "text"), total))
+    own_pairs = common.written(_pairs(items.select("block", "text"), "block").distinct())
+    bits = docs.sparkSession.sparkContext.broadcast(common.bits_of(own_pairs.select("hash").distinct(), total))
     least = min(window, items.agg(F.min("n")).first()[0])
     stretches = common.written(_stretches(rows, text, bits, least))
-    parts = []
-    for k in range(count):
-        found = _match(stretches, _sent(items.where(F.col("block") == k)), window, "words")
-        moved = F.transform("hits", lambda h: F.struct((h["start"] + F.col("start")).alias("start"), (h["end"] + F.col("start")).alias("end")))
-        # written, so that no task holds two automata
-        parts.append(common.written(found.where(F.size("hits") > 0).select("__k1", "__k2", moved.alias("hits"), "items")))
-    every = functools.reduce(DataFrame.unionByName, parts)
+    # a block has no window of a stretch unless it has as many of its neighbours as the shortest window has
+    fewest = max(1, least - 1)
+    keys = ["__k1", "__k2", "start"]
+    shared = _pairs(stretches.select(*keys, "words"), *keys, singles=least <= 1).join(own_pairs, "hash").groupBy(*keys, "block").agg(F.count("*").alias("n"))
+    asked = common.written(stretches.join(shared.where(F.col("n") >= fewest).select(*keys, "block"), keys))
+    copies = asked.groupBy("block").agg(F.ceil(F.count("*") / STRETCHES).cast("int").alias("copies"))
+    copy = F.pmod(F.xxhash64(*keys), F.col("copies")).cast("int").alias("copy")
+    asks = asked.join(copies, "block").select("block", copy, F.lit(True).alias("asks"), *keys, "words", F.lit(None).cast("string").alias("item"))
+    none = [F.lit(0).cast("long").alias(k) for k in keys]
+    sent = items.join(copies, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(False).alias("asks"), *none, F.encode("text", "UTF-8").alias("words"), "item")
+    dealt = sent.unionByName(asks).repartition("block", "copy").sortWithinPartitions("block", "copy", "asks")
+    every = common.map_slices(dealt, "words", _matcher(window), T.StructType().add("__k1", "long").add("__k2", "long").add("hits", SPANS).add("items", T.ArrayType(T.StringType())))
     each = lambda c: F.flatten(F.collect_list(c))
     hits = every.groupBy("__k1", "__k2").agg(each("hits").alias("hits"), F.array_sort(F.array_distinct(each("items"))).alias("items"))
     salted = hits.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -343,8 +364,32 @@ def _in_blocks(docs: DataFrame, items: DataFrame, total: int, count: int, window
     return both.select(*docs.columns, n_words, none("hits", SPANS), none("items", "array<string>"))
 
 
+def _matcher(window: int):
+    """Of blocks' items and then the stretches that meet them: what each stretch hits, by words of its document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, items, block = None, [], None
+        for batch in batches:
+            out: list[dict] = []
+            columns = (batch.column(c).to_pylist() for c in ("block", "copy", "asks", "__k1", "__k2", "start", "words", "item"))
+            for number, copy, asks, k1, k2, start, words, item in zip(*columns, strict=True):
+                if now != (number, copy):
+                    now, items, block = (number, copy), [], None
+                if not asks:
+                    items.append((item, words))
+                    continue
+                block = block or Block([t for _, t in items], window)
+                spans, which = block.match(words_of(words))
+                if spans:
+                    found = sorted({items[i][0] for i in which if items[i][0] is not None})
+                    out.append({"__k1": k1, "__k2": k2, "hits": [{"start": a + start, "end": b + start} for a, b in spans], "items": found})
+            yield pa.RecordBatch.from_pylist(out, _matched_type)
+
+    return run
+
+
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, text: str, item_id: str, item_text: str, block_words: int) -> DataFrame:
-    items, total, count = dealt_items(benchmark, item_id, item_text, block_words)
+    items, total, count = dealt_items(benchmark, item_id, item_text, block_words, window)
     return _match(docs, _sent(items), window, text) if count == 1 else _in_blocks(docs, common.written(items), total, count, window, text)
 
 
@@ -428,7 +473,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
     """
     names = docs.columns
     rows, at = _numbered(docs), f"__{names.index(text)}"
-    items, total, count = dealt_items(benchmark, "item_id", "text", block_words)
+    items, total, count = dealt_items(benchmark, "item_id", "text", block_words, window)
     if count == 1:
         sent = _sent(items)
         clean = _cut(rows, at, max_coverage, sent, window)

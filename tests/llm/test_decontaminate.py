@@ -47,7 +47,7 @@ def test_against_sql(spark, duck, tiny):
     assert common_rows(queries.op5_decontaminate(spark, tiny).toPandas()) == common_rows(duck.sql(queries.ORACLES["op5_decontaminate"]).df())
 
 
-@pytest.mark.parametrize("block_words", [15, 200_000])
+@pytest.mark.parametrize("block_words", [15, 60, 200_000])
 def test_random_texts(spark, block_words):
     rnd = random.Random(6)
     text = lambda n: " ".join(rnd.choice("abcd") for _ in range(n))
@@ -113,3 +113,37 @@ def test_documents_are_read_twice_whatever_the_blocks(spark, tiny):
     b = spark.createDataFrame([(k, f"word{k} " * 12) for k in range(30)], "item_id long, text string")
     shown = decontaminate.find_hits(docs, b, block_words=50)._jdf.queryExecution().executedPlan().toString()
     assert shown.count("documents.parquet") == 1  # and once for the stretches, which are written
+
+
+def test_jobs_dont_depend_on_the_blocks(spark):
+    rnd = random.Random(9)
+    text = lambda n: " ".join(f"w{rnd.randrange(40)}" for _ in range(n))
+    items = spark.createDataFrame([(k, text(14)) for k in range(60)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, text(30)) for k in range(40)], "doc_id long, text string")
+    context, jobs = spark.sparkContext, []
+    for block_words in (400, 30):  # 3 and 28 blocks
+        context.setJobGroup(f"blocks{block_words}", "")
+        decontaminate.find_hits(docs, items, block_words=block_words).collect()
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"blocks{block_words}")))
+    context._jsc.clearJobGroup()
+    assert jobs[1] <= jobs[0] + 3  # which Spark cuts a plan into
+
+
+def test_endless_items_are_cut(spark):
+    rnd = random.Random(3)
+    words = [f"w{rnd.randrange(300)}" for _ in range(3000)]
+    items = [(1, " ".join(words)), (2, "a b c")]
+    docs = [(k, " ".join(["x", *words[k * 7 : k * 7 + rnd.choice([9, 10, 12, 60])], "y a b c"])) for k in range(400)]
+    b, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    dealt, _, count = decontaminate.dealt_items(b, "item_id", "text", 100, 10)
+    assert count > 20 and max(r.n for r in dealt.collect()) <= 100
+    wanted = expected(docs, items)
+    for r in decontaminate.find_hits(d, b, block_words=100).collect():
+        hit = set().union(*(range(h.start, h.end) for h in r.hits)) if r.hits else set()
+        ids = ",".join(r["items"])
+        assert wanted[r.doc_id, r.n_words, len(hit), len(r["items"]), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)] > 0
+
+
+def test_blocks_with_many_stretches_are_copied(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "STRETCHES", 3)
+    test_random_texts(spark, 15)
