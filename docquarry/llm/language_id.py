@@ -32,6 +32,8 @@ from . import common
 
 #: The sample that trains: about so many rows and bytes of each language, and so many bytes of all, chosen by hash.
 MAX_DOCS, MAX_BYTES, SAMPLE_BYTES = 3_000, 16_000_000, 160_000_000
+#: Languages whose shares are broadcast; those of more are joined.
+BROADCAST = 100_000
 #: How often a sample has what the model keeps.
 KNOWN_FROM, LONGEST_GRAM = 2, 4
 UNKNOWN = "und"
@@ -116,10 +118,11 @@ def train(docs: DataFrame, holds_out=None, text: str = "text", lang: str = "lang
     drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min(drawn).alias("first"))
     sizes = common.settled(sizes)
-    each = min(MAX_BYTES, SAMPLE_BYTES / max(1, sizes.count()))
+    n_languages = sizes.count()
+    each = min(MAX_BYTES, SAMPLE_BYTES / max(1, n_languages))
     share = F.least(F.lit(1.0), max_docs / F.col("n"), each / F.greatest(F.col("bytes"), F.lit(1)))
     below = sizes.select("lang", F.greatest(F.ceil(share * (1 << 30)), F.col("first") + 1).alias("below"))  # a row at least
-    chosen = rows.join(below, "lang").where(drawn < F.col("below"))
+    chosen = rows.join(F.broadcast(below) if n_languages <= BROADCAST else below, "lang").where(drawn < F.col("below"))
     counts = common.settled(_counted(chosen))
     totals = {r["lang"]: r["n"] for r in counts.where("size = 0").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     kept = counts.where(F.col("n") >= KNOWN_FROM).toArrow()
