@@ -16,7 +16,7 @@ Candidates are searched as DivideSkip does. Their classes are dealt into blocks,
 its own, and a class goes as a query to the blocks where it has candidates; a block with many queries is copied, so that no
 task has more than about QUERIES of them. There a query's longest lists are set
 aside, the others are merged with a heap (or, from MERGED_AS_ARRAY entries on, by sorting them as one array, which counts the
-same occurrences), and classes with enough of them are looked up in the long lists by
+same occurrences, as Python's heap takes a microsecond an entry and longer), and classes with enough of them are looked up in the long lists by
 binary search. Those that reach the required overlap are links.
 
 A shingle is known by 48 bits of its hash when two sets are compared, and a set by 128 bits. Rows: null and
@@ -46,6 +46,9 @@ BLOCK = 1024
 SHORT_LIST = 32
 #: Classes in a block of the search, and queries that meet one copy of it.
 BLOCK_CLASSES, QUERIES = 100, 20_000
+#: Shingles in a block of the second round, and queries that meet one copy of it: larger blocks, as a query of a long list
+#: goes to nearly all of them, and travels once for each.
+SECOND_SHINGLES, SECOND_QUERIES = 600_000, 5_000
 #: Sizes of sets are summed up by levels, so many to a factor of e.
 SIZE_LEVELS = 50
 #: How much a probe of a long list costs, compared with a step of the heap (the method's own constant).
@@ -236,10 +239,10 @@ def block_of(column: str, blocks: int):
     return F.pmod(F.xxhash64(column, F.lit(7)), F.lit(blocks)).cast("int").alias("block")
 
 
-def search_blocks(docs: DataFrame, members: DataFrame, asked: DataFrame, blocks: int, size: int, percent: int, text: str, doc_id: str) -> DataFrame:
+def search_blocks(docs: DataFrame, members: DataFrame, asked: DataFrame, blocks: int, size: int, percent: int, text: str, doc_id: str, queries: int = QUERIES) -> DataFrame:
     """a and b of the links between classes and the members of the blocks where they are asked for (id, block)."""
     asked = asked.select("id", "block", F.lit(True).alias("asks"))
-    copies = asked.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies"))
+    copies = asked.groupBy("block").agg(F.ceil(F.count("*") / queries).cast("int").alias("copies"))
     own = members.select("id", block_of("id", blocks)).join(copies, "block")  # blocks that nobody asks stay out
     own = own.select("id", "block", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     asked = asked.join(copies, "block").select("id", "block", "asks", F.pmod(F.xxhash64("id", F.lit(9)), F.col("copies")).cast("int").alias("copy"))
@@ -329,11 +332,8 @@ def _may_meet(percent: int):
     return (low <= high) & (F.col("place") <= n - _needed(n, low, percent)) & (F.col("first") <= high - _needed(n, high, percent))
 
 
-def second_round(long: DataFrame, labels: DataFrame, blocks_of, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Members and queries (id, block) of long lists whose classes are still in different groups.
-
-    ``blocks_of`` gives the number of blocks for a table of members.
-    """
+def second_round(long: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """Members and queries (id, block) of long lists whose classes are still in different groups, and how many blocks."""
     named = long.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     named = common.written(named)
     mixed = named.groupBy("shingle").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other")
@@ -342,11 +342,11 @@ def second_round(long: DataFrame, labels: DataFrame, blocks_of, percent: int) ->
     # a posting that meets no level of its list early goes no further, and no list makes pairs of all its classes
     met = rest.join(_by_level(rest), "shingle").where(_may_meet(percent)).select(*rest.columns).distinct()
     rest = common.written(met)
-    members = rest.select("id").distinct()
-    blocks = blocks_of(members)
+    members = rest.select("id", "n").distinct()
+    blocks = max(1, (members.agg(F.sum("n")).first()[0] or 0) // SECOND_SHINGLES)
     places = _by_level(rest, block_of("id", blocks))
     asked = rest.where("label <> main").select("shingle", "id", "n", "place").join(places, "shingle").where(_may_meet(percent)).select("id", "block").distinct()
-    return members, common.written(asked)
+    return members.select("id"), common.written(asked), blocks
 
 
 def components(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -375,15 +375,14 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "t
     leaders = long.where("id = low OR id = high")
     star = leaders.alias("x").join(long.alias("y"), same & (F.col("x.id") != F.col("y.id")) & fits & early).select(*pair)
     first = common.written(near.unionByName(star).distinct())
-    blocks_of = lambda members: max(1, members.count() // BLOCK_CLASSES)
     members = first.select(F.col("member").alias("id")).distinct()
-    blocks = blocks_of(members)
+    blocks = max(1, members.count() // BLOCK_CLASSES)
     asked = first.select(F.col("query").alias("id"), block_of("member", blocks)).distinct()
     links = common.settled(search_blocks(docs, members, asked, blocks, size, percent, text, doc_id))
     labels = groups_of(links)
-    members, asked = second_round(long, labels, blocks_of, percent)
+    members, asked, blocks = second_round(long, labels, percent)
     if not asked.isEmpty():
-        more = search_blocks(docs, members, asked, blocks_of(members), size, percent, text, doc_id)
+        more = search_blocks(docs, members, asked, blocks, size, percent, text, doc_id, SECOND_QUERIES)
         old = labels.select(F.col("id").alias("a"), F.col("label").alias("b"))
         labels = groups_of(common.settled(old.unionByName(more).distinct()))
     named_classes = classes.select("set_hash", "id").join(labels, "id", "left").select("set_hash", F.coalesce("label", "id").alias("label"))

@@ -134,3 +134,27 @@ def test_many_queries_meet_copies_of_a_block(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SHORT_LIST", 3)
     docs = variants(7, groups=3, per=25)
     assert got(ngram_join.components(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90)) == expected(docs, 3, 90)
+
+
+def test_near_misses_of_a_template_travel_once_for_each_block(spark, monkeypatch):
+    rnd = random.Random(1)
+    template = [f"t{k}" for k in range(280)]
+    slots = [[f"s{k}x{j}" for j in range(4)] for k in range(12)]
+    counts, search = [], ngram_join.search_blocks
+
+    def counted(docs, members, asked, *more):
+        counts.append(asked.count())
+        return search(docs, members, asked, *more)
+
+    monkeypatch.setattr(ngram_join, "search_blocks", counted)
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 8)
+    sent = {}
+    for n in (150, 300):
+        docs = []
+        for k in range(n):
+            a, b = rnd.sample(range(12), 2)
+            docs.append((k, " ".join([*template[:100], *slots[a], *template[100:200], *slots[b], *template[200:], *(f"o{k}x{j}" for j in range(10))])))
+        counts.clear()
+        assert got(ngram_join.components(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90)) == expected(docs, 3, 90)
+        sent[n] = counts[1] if len(counts) > 1 else 0
+    assert 0 < sent[300] <= 300 and sent[150] <= 150  # one block for all of them: a row a page
