@@ -48,7 +48,7 @@ from .hashing import U, hash_spans, mix
 #: Words to both sides of a fold, and those that a chunk needs unless it is two whole lines.
 FOLD, CHUNK_WORDS = 4, 10
 #: Bits for each repeated hash, and those that are looked at.
-BITS, PROBES = 32, 2
+BITS, PROBES = 16, 2
 #: A hash with more than one in so many occurrences is hot.
 HOT = 4096
 #: Chunks of more bytes, which only lines without any place for a fold make, are compared by SHA-256.
@@ -133,18 +133,21 @@ def lines_of(texts: list[bytes]) -> Lines:
 
     n, place = len(start), np.arange(len(start))
     before, upto = words[start], words[end]
-    on = np.maximum(np.searchsorted(upto, before + CHUNK_WORDS), place + 1)
-    back = np.minimum(np.searchsorted(before, upto - CHUNK_WORDS, side="right") - 1, place - 1)
+    on, back = place + 1, place - 1
+    few = np.flatnonzero(upto[np.minimum(on, n - 1)] - before < CHUNK_WORDS)  # two lines are enough elsewhere
+    on[few] = np.maximum(np.searchsorted(upto, before[few] + CHUNK_WORDS), on[few])
+    few = np.flatnonzero(upto - before[np.maximum(back, 0)] < CHUNK_WORDS)
+    back[few] = np.minimum(np.searchsorted(before, upto[few] - CHUNK_WORDS, side="right") - 1, back[few])
     opens = (start == base[owner]) | (data[start - 1] == 10)  # a line of the text itself begins here
     pair = np.flatnonzero(opens[:-1] & opens[1:] & (owner[1:] == owner[:-1]) & np.append(opens[2:] | (owner[2:] != owner[1:-1]), True)[: n - 1])
-    forward, backward = np.flatnonzero(on < n), np.flatnonzero(back >= 0)
-    known, chunks = np.empty(0, np.int64), []
-    for a, b in ((forward, on[forward]), (back[backward], backward), (pair, pair + 1)):
-        mine = owner[a] == owner[b]
-        mine &= ~np.isin(a * n + b, known)
-        a, b = a[mine], b[mine]
-        known = np.append(known, a * n + b)
-        chunks.append((a, b, hash_spans(data, start[a], end[b])))
+    inside = lambda a, b: owner[a] == owner[b]
+    forward = np.flatnonzero(on < n)
+    forward = forward[inside(forward, on[forward])]
+    backward = np.flatnonzero(back >= 0)
+    backward = backward[inside(back[backward], backward) & (on[back[backward]] != backward)]
+    pair = pair[(on[pair] != pair + 1) & (back[pair + 1] != pair)]
+    chunks = [(a, b, hash_spans(data, start[a], end[b])) for a, b in ((forward, on[forward]), (back[backward], backward), (pair, pair + 1)) if len(a)]
+    chunks = chunks or [(none, none, np.empty(0, U))]
     return Lines(data, base, owner, start, end, after, *(np.concatenate(c) for c in zip(*chunks, strict=True)))
 
 
