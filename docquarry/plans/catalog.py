@@ -904,6 +904,22 @@ def name_uuids(spark, d):
     return table(spark, d, "pages").select("page_id", ids.name_uuid(_DNS, F.col("url"), 3).alias("uuid"))
 
 
+_UUID5 = _UUID.replace("'-3'", "'-5'")
+
+
+@_query(f"SELECT page_id, {_UUID5} AS uuid FROM (SELECT page_id, sha1(unhex('{_DNS.replace('-', '')}') || encode(url)) AS h FROM pages)")
+def name_uuids_sha1(spark, d):
+    return table(spark, d, "pages").select("page_id", ids.name_uuid(_DNS, F.col("url"), 5).alias("uuid"))
+
+
+@_query("""SELECT event_id, printf('%08x-%04x-1%03x-%04x-%012x', s & 4294967295, (s >> 32) & 65535, (s >> 48) & 4095, (event_id & 16383) | 32768, user_id) AS uuid,
+user_id AS node, event_id & 16383 AS clock, 1 AS version, ts AS at FROM (SELECT *, epoch_us(ts) * 10 + 122192928000000000 AS s FROM events)""")
+def time_uuids(spark, d):
+    own = table(spark, d, "events").select("event_id", ids.time_uuid(F.col("ts"), F.col("event_id"), F.col("user_id")).alias("uuid"))
+    parts = own.select("event_id", "uuid", ids.uuid_fields(F.col("uuid")).alias("f"))
+    return parts.select("event_id", "uuid", "f.node", "f.clock", "f.version", F.col("f.at").cast("timestamp_ntz").alias("at"))
+
+
 # -- cues --------------------------------------------------------------------------------------------------
 
 _DAY = "(date_part('hour', ts) * 3600000 + date_part('minute', ts) * 60000 + floor(date_part('millisecond', ts)))::BIGINT"
@@ -1000,6 +1016,44 @@ def subtitles_loaded_anew(spark, d):
     return more.groupBy("file").agg(F.count("*").alias("n"))
 
 
+@_query(ORACLES["srt_file_round_trip"])
+def srt_split_read(spark, d):
+    path = new_folder(spark)
+    own = _cues(spark, d).withColumn("file", F.col("user_id").cast("string"))
+    subtitles.write(cues.renumber(own, "file", "event_id").select("file", "index", "start_ms", "end_ms", "text"), path)
+    found = subtitles.read_split(spark, f"{path}/*/*.txt").withColumn("file", F.regexp_extract("file", "/file=([^/]*)/", 1))
+    return found.groupBy("file").agg(F.count("*").alias("n"), F.sum("start_ms").alias("total"))
+
+
+@_query(f"SELECT event_id, start_ms, end_ms, text FROM ({_CUE})")
+def srt_streamed(spark, d):
+    path = new_folder(spark)
+    own = _cues(spark, d).withColumn("file", (F.col("user_id") % 5).cast("string"))
+    subtitles.write(own.select("file", F.col("event_id").alias("index"), "start_ms", "end_ms", "text"), f"{path}/in")
+    stream = subtitles.read_stream(spark, f"{path}/in").select(F.col("index").cast("long").alias("event_id"), "start_ms", "end_ms", "text")
+    stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/seen").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+@_query("""WITH t AS (SELECT text, text <> '' AND regexp_matches(text, '[à-ÿÀ-ß]') AND NOT regexp_matches(text, '[^\x01-\xFF]') AS accents, len(regexp_extract_all(text, '[a-z]')) > 40 AS letters FROM conversations)
+SELECT e AS encoding, count(*) AS n, true AS found FROM t, (VALUES ('UTF-8', 0), ('UTF-16LE', 1), ('UTF-16BE', 1), ('ISO-8859-1', 0), ('windows-1251', 2), ('KOI8-R', 2)) v (e, k)
+WHERE CASE k WHEN 0 THEN accents WHEN 1 THEN accents AND letters ELSE letters END GROUP BY e""")
+def encodings_guessed(spark, d):
+    text = F.col("text")
+    accents = text.rlike("[à-ÿÀ-ß]") & ~text.rlike(r"[^\x01-\xFF]")
+    letters = F.regexp_count(text, F.lit("[a-z]")) > 40
+    # the same text in other letters, as bytes of two encodings of those
+    latin, upper = "abcdefghijklmnopqrstuvwxyz", bytes(range(128, 256))
+    cyrillic = F.translate(F.regexp_replace(text, r"[^\x01-\x7F]", ""), latin, "абцдефгхийклмнопярстувшюыз")
+    in_bytes = lambda codec: F.encode(F.translate(cyrillic, upper.decode(codec, "replace"), upper.decode("latin-1")), "ISO-8859-1")
+    forms = {e: (accents & letters if e.startswith("UTF-16") else accents, F.encode(text, e)) for e in ("UTF-8", "UTF-16LE", "UTF-16BE", "ISO-8859-1")}
+    forms |= {name: (letters, in_bytes(codec)) for name, codec in subtitles.EIGHT_BIT.items()}
+    each = F.array(*(F.struct(F.lit(e).alias("encoding"), test.alias("fits"), content.alias("content")) for e, (test, content) in forms.items()))
+    own = table(spark, d, "conversations").select(F.explode(each).alias("f")).where("f.fits").select("f.*")
+    right = own.withColumn("right", subtitles.guessed_encoding(F.col("content")) == F.col("encoding"))
+    return right.groupBy("encoding").agg(F.count("*").alias("n"), (F.count_if("right") >= 0.97 * F.count("*")).alias("found"))
+
+
 # -- joins by time -----------------------------------------------------------------------------------------
 
 

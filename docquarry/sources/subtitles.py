@@ -61,6 +61,45 @@ def decoded(content: Column, encoding: str | None = None) -> Column:
     return text
 
 
+#: Bytes that a guess looks at, and the eight-bit encodings that it knows besides Latin-1.
+GUESSED_FROM = 8192
+EIGHT_BIT = {"windows-1251": "cp1251", "KOI8-R": "koi8_r"}
+
+
+def guessed_encoding(content: Column) -> Column:
+    """The encoding of a file: by its mark; without one, by what its first bytes can be and look like.
+
+    In UTF-16 one byte of each pair is nearly always 0 or 4 (Latin and Cyrillic letters). What is valid UTF-8 is that. Of
+    the eight-bit encodings, Cyrillic ones have most of their upper bytes next to each other, others a few between ASCII
+    letters; windows-1251 has its small letters, which prevail, above its capitals, KOI8-R below.
+    """
+    head = F.substring(content, 1, GUESSED_FROM)
+    digits = F.hex(head)
+    pairs = F.regexp_extract_all(digits, F.lit("(....)"), 1)
+    of = lambda test: F.size(F.filter(pairs, test)) / F.greatest(F.size(pairs), F.lit(1))
+    first, second = of(lambda p: F.substring(p, 1, 2).isin("00", "04")), of(lambda p: F.substring(p, 3, 2).isin("00", "04"))
+    count = lambda pattern: F.regexp_count(F.decode(head, "ISO-8859-1"), F.lit(pattern))
+    upper, joined = count(r"[\x80-\xFF]"), count(r"[\x80-\xFF](?=[\x80-\xFF])")
+    small, large = count(r"[\xE0-\xFF]"), count(r"[\xC0-\xDF]")
+    # the head may end within a character
+    whole = F.when(F.length(content) <= GUESSED_FROM, head).otherwise(F.unhex(F.regexp_replace(digits, "(?:[F][0-7].{0,4}|E..{0,2}|[CD].)$", "")))
+    eight = F.when(joined * 2 > upper, F.when(small >= large, "windows-1251").otherwise("KOI8-R")).otherwise("ISO-8859-1")
+    bare = F.when((second > 0.7) & (first < 0.5), "UTF-16LE").when((first > 0.7) & (second < 0.5), "UTF-16BE").when(F.is_valid_utf8(whole.cast("string")), "UTF-8").otherwise(eight)
+    marked = encoding_of(content, "")
+    return F.when(marked != "", marked).otherwise(bare)
+
+
+def guessed_text(content: Column) -> Column:
+    """The text of a file in the encoding that it seems to have; a mark is left out."""
+    name, upper = guessed_encoding(content), bytes(range(128, 256))
+    text = F.when(encoding_of(content, "") != "", decoded(content))
+    for encoding in ("UTF-16LE", "UTF-16BE", "ISO-8859-1"):
+        text = text.when(name == encoding, F.decode(content, encoding))
+    for encoding, codec in EIGHT_BIT.items():
+        text = text.when(name == encoding, F.translate(F.decode(content, "ISO-8859-1"), upper.decode("latin-1"), upper.decode(codec, "replace")))
+    return text.otherwise(F.decode(content, "UTF-8"))
+
+
 def newline_of(text: Column) -> Column:
     """The first line end of a text; null without any."""
     found = F.regexp_extract(text, r"(\r\n|\n|\r)", 1)
@@ -68,9 +107,27 @@ def newline_of(text: Column) -> Column:
 
 
 def read(spark: SparkSession, path: str, encoding: str | None = None, mode: str = "DROPMALFORMED") -> DataFrame:
-    """Cues of all files under a path; without an encoding, each file's mark decides (UTF-8 if it has none)."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), decoded(F.col("content"), encoding).alias("content"))
-    return cues_of(files, mode)
+    """Cues of all files under a path; without an encoding, each file's mark decides (UTF-8 if it has none), or, if it is
+    "guess", what the file looks like. A file is one task's work; ``read_split`` reads large ones."""
+    text = guessed_text(F.col("content")) if encoding == "guess" else decoded(F.col("content"), encoding)
+    return cues_of(spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), text.alias("content")), mode)
+
+
+def _blocks(reader, path: str, eol: str) -> DataFrame:
+    rows = reader.option("lineSep", eol * 2).text(path)
+    # what Spark takes for a block may end with lines of white space
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"(?:\n[ \t\r]*)+$", "").alias("content"))
+
+
+def read_split(spark: SparkSession, path: str, eol: str = "\n", mode: str = "DROPMALFORMED") -> DataFrame:
+    """Cues of UTF-8 files with known line ends. Blocks are the records, so Spark cuts a large file at empty lines and
+    gives its parts to many tasks."""
+    return cues_of(_blocks(spark.read, path, eol), mode)
+
+
+def read_stream(spark: SparkSession, path: str, eol: str = "\n", mode: str = "DROPMALFORMED") -> DataFrame:
+    """Cues of the UTF-8 files that arrive in a folder, as a stream: its checkpoint says which files were read."""
+    return cues_of(_blocks(spark.readStream.schema("value string"), path, eol), mode)
 
 
 def block(index: Column, start_ms: Column, end_ms: Column, text: Column) -> Column:
