@@ -39,7 +39,8 @@ def words(text: Column) -> Column:
 def _one_word(text: Column, token: str) -> Column:
     # the same as exists(words(text), startswith), in one pass of a pattern and without an array
     more = max(0, WORD_LENGTH - len(token))
-    return F.lower(text).rlike(f"{NOT_AFTER_WORD}{token}" + (rf"\w{{{more}}}" if more else ""))
+    low = F.lower(text)
+    return F.contains(low, F.lit(token)) & low.rlike(f"{NOT_AFTER_WORD}{token}" + (rf"\w{{{more}}}" if more else ""))  # most texts end at the plain search
 
 
 def has_word(text: Column, query: str, tokenizer=None) -> Column:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.cues import format_time, parse_time
 
-_AT = r"(\d{2}:\d{2}:\d{2}[,.]\d{3})"
-#: A number; two times, and the corners of a box if the cue has one; any lines of text.
+_AT = r"\d{2}:\d{2}:\d{2}[,.]\d{3}"
+#: A block's first lines: a number; two times, and the corners of a box if the cue has one. Lines of text follow.
 _BOX = r"(?:[ \t]+[XY][12]:\d+)*[ \t]*"
-BLOCK = rf"(?s)^(\d+)\n{_AT} --> {_AT}{_BOX}\n(.*)"
+NUMBER, TIMES = r"^\d+\z", rf"^{_AT} --> {_AT}{_BOX}\z"
 #: Byte order marks and the encodings they stand for, longer ones first.
 MARKS = (("FFFE0000", "UTF-32LE"), ("0000FEFF", "UTF-32BE"), ("EFBBBF", "UTF-8"), ("FFFE", "UTF-16LE"), ("FEFF", "UTF-16BE"))
 MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
@@ -18,8 +18,13 @@ MODES = ("PERMISSIVE", "DROPMALFORMED", "FAILFAST")
 
 def parse(text: Column) -> Column:
     """A block as struct<index, start_ms, end_ms, text>; null if it isn't one."""
-    part = lambda k: F.regexp_extract(text, BLOCK, k)
-    return F.when(text.rlike(BLOCK), F.struct(part(1).cast("int").alias("index"), parse_time(part(2)).alias("start_ms"), parse_time(part(3)).alias("end_ms"), F.rtrim(part(4), F.lit("\n")).alias("text")))
+
+    def cue(lines: Column) -> Column:
+        number, times, rest = (lines[k] for k in range(3))
+        found = F.struct(number.cast("int").alias("index"), parse_time(F.substring(times, 1, 12)).alias("start_ms"), parse_time(F.substring(times, 18, 12)).alias("end_ms"), F.rtrim(rest, F.lit("\n")).alias("text"))
+        return F.when((F.size(lines) == 3) & number.rlike(NUMBER) & times.rlike(TIMES), found)
+
+    return F.transform(F.array(F.split(text, "\n", 3)), cue)[0]  # the lines are bound once
 
 
 def cues_of(files: DataFrame, mode: str = "DROPMALFORMED") -> DataFrame:
