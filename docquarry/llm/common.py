@@ -151,9 +151,9 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], value: str)
     return found.select(*names, (F.col("before") + F.coalesce("__offset", F.lit(0))).alias("before"))
 
 
-def bits_of(hashes: DataFrame, n: int, each: int = 8, probes: int = 1) -> np.ndarray:
+def bit_blocks(hashes: DataFrame, n: int, each: int = 8, probes: int = 1) -> tuple[DataFrame, int]:
     """A bit for each hash's place (or two places: its lower and its upper half), about ``each`` * n in all but at most
-    2 ** MOST_BITS, made block by block (column hash)."""
+    2 ** MOST_BITS: (block, bits) of the blocks that have any, and how many bits there are (column hash)."""
     size = 1 << min(MOST_BITS, max(LEAST_BITS, (each * n).bit_length()))
     halves = [F.pmod(F.shiftrightunsigned("hash", 32 * k), F.lit(size)) for k in range(probes)]
     place = F.explode(F.array(*halves)).alias("place")
@@ -171,13 +171,35 @@ def bits_of(hashes: DataFrame, n: int, each: int = 8, probes: int = 1) -> np.nda
         if blocks:
             yield pa.RecordBatch.from_pydict({"block": pa.array([*blocks], pa.int64()), "bits": [np.packbits(b).tobytes() for b in blocks.values()]})
 
-    dealt = hashes.select(place).select((F.shiftright("place", BLOCK_BITS.bit_length() - 1)).alias("block"), "place").repartition("block")
+    dealt = hashes.select(place).select(block_number(F.col("place")).alias("block"), "place").repartition("block")
+    return dealt.mapInArrow(run, "block long, bits binary"), size
+
+
+def block_number(place):
+    return F.shiftright(place, BLOCK_BITS.bit_length() - 1)
+
+
+def bits_of(hashes: DataFrame, n: int, each: int = 8, probes: int = 1) -> np.ndarray:
+    """All bits of ``bit_blocks`` as one array."""
+    blocks, size = bit_blocks(hashes, n, each, probes)
     bits = np.zeros((size // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
-    for row in dealt.mapInArrow(run, "block long, bits binary").collect():  # 2 ** MOST_BITS bits in all
+    for row in blocks.collect():  # 2 ** MOST_BITS bits in all
         bits[row["block"]] = np.frombuffer(row["bits"], np.uint8)
     return bits.ravel()
 
 
+def with_maybe(df: DataFrame, key: str, hashes: DataFrame, n: int, name: str) -> DataFrame:
+    """``df`` with whether a row's key may be among n hashes (column hash): a join with blocks of bits, of which all
+    together have 2 ** MOST_BITS at most, so that they can be broadcast."""
+    blocks, size = bit_blocks(hashes, n, 16)
+    place = F.pmod(F.col(key), F.lit(size))
+    inner = F.pmod(place, F.lit(BLOCK_BITS)).cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(inner, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, 7 - inner.bitwiseAND(7)).bitwiseAND(1) == 1
+    found = df.join(F.broadcast(blocks.toDF("__block", "__bits")), block_number(place) == F.col("__block"), "left")
+    return found.select(*df.columns, F.coalesce(bit, F.lit(False)).alias(name))
+
+
 def maybe(bits: np.ndarray, hashes: np.ndarray, probes: int = 1) -> np.ndarray:
     """Whether each hash may be among those that the table was made of; if not, it isn't."""
     found = np.ones(len(hashes), bool)

@@ -20,8 +20,8 @@ nothing is left. What stays is a single line between lines that don't repeat, a
 
 *Scale.* The count shuffles hashes alone. Which hashes repeat is broadcast as a table of bits of bounded size (``common.bits_of``), which
 only ever says "maybe": where it is full, more chunks travel, and the result is the same. Hashes with more than one in
-HOT of all occurrences, HOT at most, are salted, so that no task holds a frequent chunk's rows. Texts travel once, to meet
-the stretches that are cut from them.
+HOT of all occurrences, HOT at most, are salted, so that no task holds a frequent chunk's rows. Texts that may lose something,
+by another such table, travel once, to meet the stretches that are cut from them; all others stay where they are.
 
 Rows: null and empty texts, and those of white space, come back as they are; rows with the same id and text are the same
 document and get the same result; rows without an id come after all others; what a document repeats itself stays once,
@@ -276,10 +276,17 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", dro
     bits = docs.sparkSession.sparkContext.broadcast(common.bits_of(repeated, size["hashes"], BITS, PROBES))
     many = max(1000, size["rows"] // HOT + 1)
     hot = repeated.where(F.col("n") > many).select("hash", F.ceil(F.col("n") / many).cast("int").alias("salts"))
-    gone = removals(occurrences(rows, at, bits), hot)
-    out = _cut(rows.join(gone.hint("shuffle_hash"), ["__k1", "__k2"], "left").select(*rows.columns, "gone"), at)
+    gone = common.written(removals(occurrences(rows, at, bits), hot))
+    # only texts that may lose something are shuffled, to meet what goes
+    tested = common.with_maybe(rows, "__k1", gone.select(F.col("__k1").alias("hash")), gone.count(), "__maybe")
+    own = F.col(at)
+    n_lines = F.when(own.isNull(), 0).otherwise(F.octet_length(own) - F.octet_length(F.replace(own, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    same = tested.where(~F.col("__maybe")).drop("__maybe").withColumns({"__n_lines": n_lines, "__n_removed": F.lit(0).cast("long")})
+    met = tested.where("__maybe").drop("__maybe").join(gone.hint("shuffle_hash"), ["__k1", "__k2"], "left").select(*rows.columns, "gone")
+    out = _cut(met, at)
     if drop_emptied:
         out = out.where((F.col("__n_removed") == 0) | F.col(at).rlike(r"\S"))
+    out = same.unionByName(out)
     more = [F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed")] if counts else []
     return out.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(names)), *more)
 
