@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.folders import shared_root
+from ..sources.folders import remove, shared_root
 
 #: Rows that a Python task handles at a time; a slice also ends at this many bytes of text.
 SLICE_BYTES = 1 << 20
@@ -49,13 +49,28 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: The tables that this driver has written, in order.
+_tables: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` cut off from its lineage by a compressed table in the same shared folder."""
     path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_alone(make: Callable[[], DataFrame], spark: SparkSession) -> DataFrame:
+    """What ``make`` gives, written; the tables that were written on the way to it are removed, as nothing needs them."""
+    before = len(_tables)
+    found = written(make())
+    for path in _tables[before:-1]:
+        remove(spark, path)
+    del _tables[before:-1]
+    return found
+
+
 def byte_list(column: pa.Array) -> list[bytes | None]:
     """A string column's values as UTF-8 bytes, without a detour over str."""
     return column.cast(pa.binary()).to_pylist()

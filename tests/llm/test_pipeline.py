@@ -88,3 +88,20 @@ def test_stages_take_odd_rows(spark, tiny, edge):
         assert docs.columns == edge.columns
         docs = common.written(docs)
     assert ngram_join.components(docs).count() == docs.count()
+
+
+def test_tables_on_the_way_are_removed(spark):
+    from docquarry.llm import common
+    from docquarry.sources import folders
+
+    ways = []
+
+    def make():
+        one = common.written(spark.range(10))
+        two = common.written(one.selectExpr("id + 1 AS id"))
+        ways.extend(common._tables[-2:])
+        return one.unionByName(two)
+
+    found = common.written_alone(make, spark)
+    assert found.count() == 20 and common._tables[-1] not in ways
+    assert not any(folders.exists(spark, w) for w in ways)
