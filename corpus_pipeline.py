@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return
 the columns of ``docs``; the last returns the tokens of every document that is left. ``run`` writes each stage's
-rows as Parquet in the shared folder and reads them again, so a lost executor costs one stage at most.
+rows as Parquet in the shared folder and reads them again, so a lost executor costs one stage at most; what a stage
+wrote on its way is removed then.
 
 Rows with null or empty texts go through every stage as the operators define; a quality score of a text without
 words is the model's bias.
@@ -55,5 +56,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir))
+        docs = common.written_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), spark)
     return docs
