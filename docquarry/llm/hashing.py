@@ -48,13 +48,14 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end] for spans of which the starts and the ends are sorted; they may overlap."""
+    """Hashes of data[start:end] for spans of which the starts are sorted; they may overlap."""
     out = np.empty(len(starts), U)
+    upto = np.maximum.accumulate(ends)
     i = 0
     while i < len(starts):
         base = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, base + PIECE, side="right")))
-        stop = int(ends[j - 1])
+        j = max(i + 1, int(np.searchsorted(upto, base + PIECE, side="right")))
+        stop = int(upto[j - 1])
         size = stop - base
         up, down = _powers(1 << max(19, (size + 1).bit_length()))
         sums = np.empty(size + 1, U)

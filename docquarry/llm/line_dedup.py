@@ -89,11 +89,11 @@ class Lines:
 def _folds(data: np.ndarray, word: np.ndarray, edge: np.ndarray) -> np.ndarray:
     """Starts of words whose hash is the largest among FOLD words to both sides, all between the same edges."""
     at, edges = np.flatnonzero(word), np.flatnonzero(edge)
-    stretch = np.searchsorted(edges, at, side="right") - 1
-    before = np.zeros(len(at), U)
-    for k in range(1, 9):  # as far as they belong to the stretch
-        before |= np.where(at - k >= edges[stretch], data[np.maximum(at - k, 0)], 0).astype(U) << U(64 - 8 * k)
-    value = mix(before)
+    stretch = np.cumsum(edge, dtype=np.int32)[at] - 1
+    # the eight bytes before each, as one number, without those that don't belong to the stretch
+    padded = np.concatenate([np.zeros(8, np.uint8), data])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[at]
+    value = mix(eight & ~U(0) << (U(8) * (U(8) - np.minimum(at - edges[stretch], 8).astype(U))))
     best = np.ones(len(at), bool)
     for d in range(1, FOLD + 1):
         same = stretch[d:] == stretch[:-d]
@@ -124,12 +124,13 @@ def lines_of(texts: list[bytes]) -> Lines:
     words = np.append(0, np.cumsum(word))
 
     cuts = np.flatnonzero(edge)
-    start = cuts[:-1][np.diff(np.searchsorted(solid, cuts)) > 0]
+    upto_solid = np.append(0, np.cumsum(~white, dtype=np.int32))
+    start = cuts[:-1][np.diff(upto_solid[cuts]) > 0]
     owner = np.searchsorted(stops, start, side="right")
     ends_text = np.append(owner[1:] != owner[:-1], True)
     after = np.append(start[1:], len(data))
     after[ends_text] = stops[owner[ends_text]]
-    end = solid[np.searchsorted(solid, after) - 1] + 1
+    end = solid[upto_solid[after] - 1] + 1
 
     n, place = len(start), np.arange(len(start))
     before, upto = words[start], words[end]
@@ -146,9 +147,10 @@ def lines_of(texts: list[bytes]) -> Lines:
     backward = np.flatnonzero(back >= 0)
     backward = backward[inside(back[backward], backward) & (on[back[backward]] != backward)]
     pair = pair[(on[pair] != pair + 1) & (back[pair + 1] != pair)]
-    chunks = [(a, b, hash_spans(data, start[a], end[b])) for a, b in ((forward, on[forward]), (back[backward], backward), (pair, pair + 1)) if len(a)]
-    chunks = chunks or [(none, none, np.empty(0, U))]
-    return Lines(data, base, owner, start, end, after, *(np.concatenate(c) for c in zip(*chunks, strict=True)))
+    first, last = np.concatenate([forward, back[backward], pair]), np.concatenate([on[forward], backward, pair + 1])
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], last[order]
+    return Lines(data, base, owner, start, end, after, first, last, hash_spans(data, start[first], end[last]))
 
 
 def _marked(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
