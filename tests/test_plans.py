@@ -1,7 +1,6 @@
 """What reaches the Parquet scan."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from docquarry.operators import entries
 from docquarry.plans.catalog import QUERIES
