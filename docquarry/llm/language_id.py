@@ -179,13 +179,17 @@ class Scorer:
         """The scores of all words together; words that the table has no room for are looked up a few at a time."""
         few = 1 + self.most // 8
         sums = np.zeros(len(self.model.languages))
-        known = np.fromiter((k for w in words if (k := self.known.get(w)) is not None), np.int64)
-        at, counts = np.unique(known, return_counts=True)
+        over: list[str] = []
+        try:
+            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            over = [w for w in words if w not in self.known]
+            at = np.fromiter((k for w in words if (k := self.known.get(w)) is not None), np.int64)
         for i in range(0, len(at), few):
-            sums += counts[i : i + few] @ self.rows[at[i : i + few]].astype(np.float64)
-        if len(known) < len(words):
-            over = Counter(w for w in words if w not in self.known)
-            names, times = [*over], np.fromiter(over.values(), np.float64, len(over))
+            sums += self.rows[at[i : i + few]].sum(axis=0, dtype=np.float64)
+        if over:
+            counts = Counter(over)
+            names, times = [*counts], np.fromiter(counts.values(), np.float64, len(counts))
             for i in range(0, len(names), few):
                 sums += times[i : i + few] @ self.words(names[i : i + few]).astype(np.float64)
         return sums
