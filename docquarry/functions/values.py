@@ -49,11 +49,15 @@ def link_target(value: Column) -> Column:
     return F.when(value["flag"] == LINK, target)
 
 
-def fetched(df: DataFrame, url: str, pages: DataFrame, prefixes: dict[str, str] | None = None, content: str = "html", name: str = "fetched") -> DataFrame:
+def fetched(df: DataFrame, url: str, pages: DataFrame, prefixes: dict[str, str] | None = None, content: str = "html", name: str = "fetched", also: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with what is behind its URLs: a left join with stored pages (url, content; one row a URL) by the URL,
-    rewritten first. Addresses without a page, and values without an address, get null."""
-    own = pages.select(F.col("url").alias("__url"), F.col(content).alias(name))
-    return df.join(own, rewritten(F.col(url), prefixes or {}) == F.col("__url"), "left").drop("__url")
+    rewritten first. Addresses without a page, and values without an address, get null.
+
+    Of an address that is stored several times (a page of each crawl), columns that both have in common, ``also``, say
+    which one is meant: there is one row for each URL and their values, of which null is one."""
+    own = pages.select(F.col("url").alias("__url"), F.col(content).alias(name), *(F.col(c).alias(f"__{c}") for c in also))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in also), rewritten(F.col(url), prefixes or {}) == F.col("__url"))
+    return df.join(own, same, "left").drop("__url", *(f"__{c}" for c in also))
 
 
 def rewritten(url: Column, prefixes: dict[str, str]) -> Column:
