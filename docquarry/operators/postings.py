@@ -7,17 +7,23 @@ one new segment, and takes the range away from the older ones; what has no range
 
 Which segments there are stands in a numbered log, so a build that dies half-way leaves nothing that is read, and of two
 compactions of one range the second is refused. Words and their beginnings are those of ``functions.text``; the tests of
-prefixes reach the scans.
+prefixes reach the scans. A text's words are grouped in Arrow batches, as Spark's own expressions would need a row for
+each token or pass through a text once for each word.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as words
 from ..sources import folders
@@ -26,6 +32,9 @@ from ..sources.log import Log
 #: A range of words: from the first on, up to but without the second (None: to the end).
 Range = tuple[str, str | None]
 EVERYTHING: Range = ("", None)
+#: Bytes of text that a task looks at in one go, and which bytes of a lower-cased text are in tokens.
+SLICE_BYTES = 1 << 20
+_IN_TOKENS = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_", np.uint8))
 
 
 def without(own: list[Range], gone: Range) -> list[Range]:
@@ -54,10 +63,57 @@ def _with_prefixes(tokens: list[str]) -> Column:
     return reduce(Column.__or__, (F.startswith("word", F.lit(t)) for t in tokens))
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) in batches of at most SLICE_BYTES of text, or of one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def _grouped(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(word, id, positions) of lower-cased texts, as ``functions.text`` has tokens and words: all at once, on their bytes."""
+    texts = pc.fill_null(batch.column(1).cast(pa.large_binary()), b"")
+    _, places, content = texts.buffers()
+    offsets = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(content or b"", np.uint8)[offsets[0] : offsets[-1]]
+    first = offsets[:-1][np.diff(offsets) > 0] - offsets[0]  # of each text that has any
+    inside = _IN_TOKENS[data]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    begins[first] = inside[first]
+    ends[:-1] &= ~inside[1:]
+    ends[first[1:] - 1] = inside[first[1:] - 1]
+    starts = np.flatnonzero(begins)
+    lengths = np.minimum(np.flatnonzero(ends) + 1 - starts, words.TOKEN_LENGTH)
+    row = np.searchsorted(offsets[1:] - offsets[0], starts, "right")
+    position = np.arange(len(starts)) - np.searchsorted(starts, offsets[:-1] - offsets[0])[row]
+    long = lengths >= words.WORD_LENGTH
+    starts, lengths, row, position = starts[long], lengths[long], row[long], position[long]
+    cuts = np.append(0, np.cumsum(lengths))
+    letters = data[np.repeat(starts - cuts[:-1], lengths) + np.arange(cuts[-1])]
+    found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(letters)).dictionary_encode()
+    code = found.indices.to_numpy()
+    order = np.lexsort((code, row))  # a word's positions stay in order
+    code, row = code[order], row[order]
+    heads = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1]))) if len(order) else order
+    lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(order)), pa.int32()), pa.array(position[order], pa.int32()))
+    return pa.RecordBatch.from_arrays([found.dictionary.take(pa.array(code[heads])).cast(pa.string()), batch.column(0).take(pa.array(row[heads])), lists], names=["word", "id", "positions"])
+
+
 def postings_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(word, id, positions) of all words, in ranges of (word, id): one shuffle, which the grouping makes use of."""
-    every = docs.select(F.col(id_col).alias("id"), F.posexplode(words.tokens(F.col(text_col)))).toDF("id", "pos", "word").where(F.length("word") >= words.WORD_LENGTH)
-    return every.repartitionByRange("word", "id").groupBy("word", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions")).sortWithinPartitions("word", "id")
+    """(word, id, positions) of all words, in ranges of (word, id). A text's words are grouped where the text is, so a
+    word that a text repeats is shuffled once; only if ids are repeated, texts of the same id are put together after that."""
+    own = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"))
+    schema = T.StructType([T.StructField("word", T.StringType()), own.schema["id"], T.StructField("positions", T.ArrayType(T.IntegerType(), False))])
+    ranged = own.mapInArrow(lambda batches: map(_grouped, _slices(batches)), schema).repartitionByRange("word", "id")
+    if not own.groupBy("id").count().where("count > 1").isEmpty():
+        ranged = ranged.groupBy("word", "id").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return ranged.sortWithinPartitions("word", "id")
 
 
 @dataclass(frozen=True)
