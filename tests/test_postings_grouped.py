@@ -33,6 +33,12 @@ def test_grouped_as_exploded(spark, tiny):
     assert found(postings.postings_of(docs, "id", "text")) == found(exploded(docs))
 
 
+def test_a_row_of_a_text_and_word_is_shuffled(spark):
+    docs = spark.createDataFrame([(1, "the " * 1000), (2, "the end " * 1000)], "id long, text string")
+    plan = postings.postings_of(docs, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+
+
 def test_slices():
     batch = pa.RecordBatch.from_arrays([pa.array(np.arange(6)), pa.array(["a" * n if n is not None else None for n in (5, 0, None, 3 << 20, 1 << 20, 1)])], names=["id", "text"])
     assert [s.num_rows for s in postings._slices([batch])] == [3, 1, 1, 1]
