@@ -28,20 +28,21 @@ def parse(text: Column) -> Column:
 
 
 def cues_of(files: DataFrame, mode: str = "DROPMALFORMED") -> DataFrame:
-    """(file, index, start_ms, end_ms, text) of files given as (file, content).
+    """(file, index, start_ms, end_ms, text) of files given as (file, content); further columns come after file.
 
     Malformed blocks are kept as nulls with their text (PERMISSIVE), dropped, or end the job (FAILFAST).
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
+    own = [c for c in files.columns if c != "content"]
     clean = F.regexp_replace(F.regexp_replace("content", "^﻿", ""), "\r", "")
-    blocks = files.select("file", F.explode(F.split(clean, r"\n\s*\n")).alias("block")).where(F.trim(F.regexp_replace("block", r"\s", "")) != "")
-    found = blocks.select("file", "block", parse(F.ltrim(F.col("block"), F.lit("\n "))).alias("cue"))
+    blocks = files.select(*own, F.explode(F.split(clean, r"\n\s*\n")).alias("block")).where(F.trim(F.regexp_replace("block", r"\s", "")) != "")
+    found = blocks.select(*own, "block", parse(F.ltrim(F.col("block"), F.lit("\n "))).alias("cue"))
     if mode == "DROPMALFORMED":
-        return found.where("cue IS NOT NULL").select("file", "cue.*")
+        return found.where("cue IS NOT NULL").select(*own, "cue.*")
     if mode == "FAILFAST":
-        return found.select("file", F.when(F.col("cue").isNull(), F.raise_error(F.concat(F.lit("malformed cue: "), F.col("block")))).otherwise(F.col("cue")).alias("cue")).select("file", "cue.*")
-    return found.select("file", "cue.*", F.when(F.col("cue").isNull(), F.col("block")).alias("malformed"))
+        return found.select(*own, F.when(F.col("cue").isNull(), F.raise_error(F.concat(F.lit("malformed cue: "), F.col("block")))).otherwise(F.col("cue")).alias("cue")).select(*own, "cue.*")
+    return found.select(*own, "cue.*", F.when(F.col("cue").isNull(), F.col("block")).alias("malformed"))
 
 
 def encoding_of(content: Column, default: str = "UTF-8") -> Column:
@@ -139,17 +140,46 @@ def block(index: Column, start_ms: Column, end_ms: Column, text: Column) -> Colu
     return F.concat(index.cast("string"), F.lit("\n"), format_time(start_ms), F.lit(" --> "), format_time(end_ms), F.lit("\n"), text, F.lit("\n"))
 
 
-def write(cues: DataFrame, path: str, eol: str = "\n") -> None:
-    """One text file for each value of ``file``, cues in order."""
+def _contents(cues: DataFrame, eol: str, *keys: str) -> DataFrame:
+    """What a file of each value of the keys says, but for its last line end: cues in order."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "start_ms", "end_ms", "text"))), lambda c: block(c["index"], c["start_ms"], c["end_ms"], c["text"])), "\n")
-    files = cues.groupBy("file").agg(F.replace(body, F.lit("\n"), F.lit(eol)).alias("value"))
-    files.write.partitionBy("file").option("lineSep", eol).text(path)
+    return cues.groupBy(*keys).agg(F.replace(body, F.lit("\n"), F.lit(eol)).alias("value"))
+
+
+def write(cues: DataFrame, path: str, eol: str = "\n") -> None:
+    """One text file for each value of ``file``, cues in order. A file takes milliseconds, whatever is in it; ``pack``
+    writes very many."""
+    _contents(cues, eol, "file").write.partitionBy("file").option("lineSep", eol).text(path)
+
+
+def pack(cues: DataFrame, path: str, eol: str = "\n", most: int | None = None) -> None:
+    """The files that ``write`` makes, byte for byte, as rows of a Parquet table (file, part, content). With ``most``, a
+    file is cut between cues into parts of so many numbers, which different tasks write and read."""
+    part = F.lit(0).cast("long") if most is None else F.floor(F.col("index") / most)
+    rows = _contents(cues.withColumn("part", part), eol, "file", "part")
+    rows.select("file", "part", F.encode(F.concat("value", F.lit(eol)), "UTF-8").alias("content")).write.parquet(path)
+
+
+def packed(spark: SparkSession, path: str) -> DataFrame:
+    """Whole files (file, content) of a table that ``pack`` wrote."""
+    parts = F.array_sort(F.collect_list(F.struct("part", F.decode("content", "UTF-8").alias("text"))))
+    whole = F.array_join(F.transform(parts, lambda p: p["text"]), "")
+    return spark.read.parquet(path).groupBy("file").agg(F.encode(whole, "UTF-8").alias("content"))
+
+
+def read_packed(spark: SparkSession, path: str, mode: str = "DROPMALFORMED") -> DataFrame:
+    """Cues of all files of a table that ``pack`` wrote; a part is one task's work."""
+    return cues_of(spark.read.parquet(path).select("file", decoded(F.col("content")).alias("content")), mode)
 
 
 def load_new(spark: SparkSession, path: str, known: DataFrame | None = None, encoding: str | None = None) -> DataFrame:
     """Cues of the files whose content isn't among ``known`` fingerprints, with the fingerprint of their file."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.md5("content").alias("fingerprint"), decoded(F.col("content"), encoding).alias("content"))
+    return new_of(spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content"), known, encoding)
+
+
+def new_of(files: DataFrame, known: DataFrame | None = None, encoding: str | None = None) -> DataFrame:
+    """``load_new`` of files that are given as (file, content)."""
+    files = files.select("file", F.md5("content").alias("fingerprint"), decoded(F.col("content"), encoding).alias("content"))
     if known is not None:
         files = files.join(known.select("fingerprint").distinct(), "fingerprint", "left_anti")
-    prints = files.select("file", "fingerprint")
-    return cues_of(files.select("file", "content")).join(prints, "file")
+    return cues_of(files).select("file", "index", "start_ms", "end_ms", "text", "fingerprint")
