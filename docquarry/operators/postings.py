@@ -1,9 +1,11 @@
 """A stored index of words with their places, kept up to date by small additions.
 
-Segments are Parquet tables of (word, id, positions) in ranges of words. A change writes one segment with the postings
-of the documents that it brings, and a table of all ids that it replaces or removes; nothing older is touched. Readers
+Segments are Parquet tables of (word, id, positions). A change writes one segment with the postings of the documents
+that it brings, and a table of all ids that it replaces or removes; nothing older is touched. Its postings stay where the
+texts are: files of runs that are sorted by words, so that a scan for a prefix reads a few pages of each run. Readers
 merge: a posting counts unless a later change names its id. Compaction rewrites a range of words, of all segments, as
-one new segment, and takes the range away from the older ones; what has no range left is deleted by ``vacuum``.
+one new segment in ranges of words, and takes the range away from the older ones; what has no range left is deleted by
+``vacuum``.
 
 Which segments there are stands in a numbered log, so a build that dies half-way leaves nothing that is read, and of two
 compactions of one range the second is refused. Words and their beginnings are those of ``functions.text``; the tests of
@@ -32,9 +34,13 @@ from ..sources.log import Log
 #: A range of words: from the first on, up to but without the second (None: to the end).
 Range = tuple[str, str | None]
 EVERYTHING: Range = ("", None)
-#: Bytes of text that a task looks at in one go, and which bytes of a lower-cased text are in tokens.
-SLICE_BYTES = 1 << 20
+#: Bytes of text that a task looks at in one go, those that make a sorted run, the postings of a page of a segment (a
+#: page is what a scan can leave out), and which bytes of a text are in tokens.
+SLICE_BYTES, RUN_BYTES, PAGE_ROWS = 1 << 20, 1 << 22, 4096
+#: Letters beyond ASCII whose small form is within it (a Kelvin sign, and an I with a dot, which is kept apart).
+_LOWERED = {"\u212a": "k", "\u0130": "i\u0307"}
 _IN_TOKENS = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_", np.uint8))
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
 
 def without(own: list[Range], gone: Range) -> list[Range]:
@@ -63,21 +69,24 @@ def _with_prefixes(tokens: list[str]) -> Column:
     return reduce(Column.__or__, (F.startswith("word", F.lit(t)) for t in tokens))
 
 
-def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) in batches of at most SLICE_BYTES of text, or of one row."""
+def _slices(batches: Iterable[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """(id, text) in batches of at most ``size`` bytes of text, or of one row."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
             yield batch.slice(start, stop - start)
             start = stop
 
 
 def _grouped(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(word, id, positions) of lower-cased texts, as ``functions.text`` has tokens and words: all at once, on their bytes."""
+    """(word, id, positions) of texts by word, as ``functions.text`` has tokens and words: all at once, on their bytes."""
     texts = pc.fill_null(batch.column(1).cast(pa.large_binary()), b"")
+    for letter, small in _LOWERED.items():
+        if pc.any(pc.match_substring(texts, letter)).as_py():
+            texts = pc.replace_substring(texts, letter, small)
     _, places, content = texts.buffers()
     offsets = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(content or b"", np.uint8)[offsets[0] : offsets[-1]]
@@ -95,25 +104,30 @@ def _grouped(batch: pa.RecordBatch) -> pa.RecordBatch:
     long = lengths >= words.WORD_LENGTH
     starts, lengths, row, position = starts[long], lengths[long], row[long], position[long]
     cuts = np.append(0, np.cumsum(lengths))
-    letters = data[np.repeat(starts - cuts[:-1], lengths) + np.arange(cuts[-1])]
+    letters = _LOWER[data[np.repeat(starts - cuts[:-1], lengths) + np.arange(cuts[-1])]]
     found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(letters)).dictionary_encode()
-    code = found.indices.to_numpy()
-    order = np.lexsort((code, row))  # a word's positions stay in order
-    code, row = code[order], row[order]
-    heads = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1]))) if len(order) else order
+    by_word = pc.array_sort_indices(found.dictionary).to_numpy()
+    rank = np.empty(len(by_word), np.int64)
+    rank[by_word] = np.arange(len(by_word))
+    order = np.sort(rank[found.indices.to_numpy()] << 32 | np.arange(len(starts)))  # a word's texts and positions stay in order
+    rank, order = order >> 32, order & 0xFFFFFFFF
+    row = row[order]
+    heads = np.flatnonzero(np.append(True, (rank[1:] != rank[:-1]) | (row[1:] != row[:-1]))) if len(order) else order
     lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(order)), pa.int32()), pa.array(position[order], pa.int32()))
-    return pa.RecordBatch.from_arrays([found.dictionary.take(pa.array(code[heads])).cast(pa.string()), batch.column(0).take(pa.array(row[heads])), lists], names=["word", "id", "positions"])
+    own = found.dictionary.take(pa.array(by_word[rank[heads]])).cast(pa.string())
+    return pa.RecordBatch.from_arrays([own, batch.column(0).take(pa.array(row[heads])), lists], names=["word", "id", "positions"])
 
 
 def postings_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(word, id, positions) of all words, in ranges of (word, id). A text's words are grouped where the text is, so a
-    word that a text repeats is shuffled once; only if ids are repeated, texts of the same id are put together after that."""
-    own = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"))
+    """(word, id, positions) of all words, in runs by word. A text's words are grouped where the text is, and stay there;
+    only if ids are repeated, texts of the same id are put together after that, each task's in one run."""
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField("word", T.StringType()), own.schema["id"], T.StructField("positions", T.ArrayType(T.IntegerType(), False))])
-    ranged = own.mapInArrow(lambda batches: map(_grouped, _slices(batches)), schema).repartitionByRange("word", "id")
-    if not own.groupBy("id").count().where("count > 1").isEmpty():
-        ranged = ranged.groupBy("word", "id").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
-    return ranged.sortWithinPartitions("word", "id")
+    found = own.mapInArrow(lambda batches: map(_grouped, _slices(batches, RUN_BYTES)), schema)
+    if own.groupBy("id").count().where("count > 1").isEmpty():
+        return found
+    together = found.groupBy("word", "id").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return together.sortWithinPartitions("word", "id")
 
 
 @dataclass(frozen=True)
@@ -141,7 +155,7 @@ class PostingIndex:
     def add(self, docs: DataFrame, id_col: str, text_col: str) -> str:
         """Indexes documents; of those that are indexed already, the old postings go. The name of the segment."""
         name = uuid.uuid4().hex
-        postings_of(docs, id_col, text_col).write.parquet(f"{self.path}/{name}/postings")
+        self._write(postings_of(docs, id_col, text_col), name)
         replaced = docs.select(F.col(id_col).alias("id")) if self.built() else None
         return self._close(name, replaced, True)
 
@@ -149,6 +163,9 @@ class PostingIndex:
         """Takes documents out of the index: only their ids are written."""
         return self._close(uuid.uuid4().hex, ids.select(F.col(ids.columns[0]).alias("id")), False)
 
+    def _write(self, rows: DataFrame, name: str) -> None:
+        rows.write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{self.path}/{name}/postings")
+
     def _close(self, name: str, ids: DataFrame | None, postings: bool) -> str:
         if ids is not None:
             ids.where("id IS NOT NULL").distinct().write.parquet(f"{self.path}/{name}/ids")
@@ -218,7 +235,7 @@ class PostingIndex:
         before, own = self.segments(), (low, high)
         name, number = uuid.uuid4().hex, max(s["number"] for s in before.values())
         rows = self.postings(_inside([own]), before)
-        rows.repartitionByRange("word", "id").sortWithinPartitions("word", "id").write.parquet(f"{self.path}/{name}/postings")
+        self._write(rows.repartitionByRange("word", "id").sortWithinPartitions("word", "id"), name)
 
         def change(state: dict) -> dict:
             if any(state.get(n, {}).get("ranges") != s["ranges"] for n, s in before.items()):
